@@ -1,12 +1,16 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import exact_dedup, mixing
+from . import exact_dedup, licenses, mixing, packing, toxicity
 
 QUERIES = {
+    "op4_license_templates": licenses.op4_license_templates,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_source_mix": mixing.op10_source_mix,
 }
 SQL = {
+    "op4_license_templates": licenses.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op10_source_mix": mixing.SQL,
 }
