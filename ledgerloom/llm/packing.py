@@ -12,6 +12,8 @@ distributed prefix sums over (length, block) and look their place up.
 
 from __future__ import annotations
 
+import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +27,6 @@ from .common import documents, table, written
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a task remembers at a time, and characters it encodes at a time.
-REMEMBERED, CHUNK_CHARS = 400_000, 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, nth long"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -39,67 +39,48 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Ids:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of a text as unsigned 32-bit integers; strings of special tokens are ordinary text.
 
-    The vocabulary's splitter never lets a token reach over the place before a
-    blank that something else than white space follows; so a text is encoded
-    word by word, and each word only once. Texts with two blanks in a row are
-    encoded whole.
+    Where the vocabulary also lies beside ``path`` as ranks (the same ids), the
+    faster coder of ranks gives them; the tests hold both against each other.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, out = self.known, []
-        split = [None if "  " in t else self._words(t) for t in texts]
-        new = list({w for s in split if s for w in s if w not in known})
-        known.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for s, t in zip(split, texts, strict=True) if s is None]))
-        for s in split:
-            out.append(next(whole) if s is None else b"".join(map(known.__getitem__, s)))
-        return out
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        words = [" " + w for w in rest]
-        return [first, *words] if first else words
+        ranked = path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranked):
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranked, "rb") as f:
+                ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+            coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.of = lambda text: coder.encode_to_numpy(text, disallowed_special=())
+        else:
+            from tokenizers import Tokenizer
+
+            plain = Tokenizer.from_file(path)
+            plain.encode_special_tokens = True
+            self.of = lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.of(text).astype("<u4", copy=False)
 
 
 def _pieces(capacity: int, end_id: int, path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, block, seen, end = Ids(path), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
+        ids, block, seen = Ids(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            texts, doc_ids, rows = batch["text"].tolist(), batch["doc_id"].astype("Int64").tolist(), []
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= CHUNK_CHARS):
-                    chars += len(texts[to])
-                    to += 1
-                for doc_id, own in zip(doc_ids[at:to], ids(texts[at:to]), strict=True):
-                    own += end
-                    n = len(own) // 4
-                    bounds = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        seen[b - a] = nth = seen.get(b - a, -1) + 1
-                        rows.append((doc_id, k, a, b - a, zlib.crc32(memoryview(own)[4 * a : 4 * b]), block, nth))
-                at = to
+            rows = []
+            for doc_id, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], strict=True):
+                own = np.append(ids(text), np.array([end_id], "<u4")).astype("<u4").data
+                n = len(own)
+                bounds = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+                for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    seen[b - a] = nth = seen.get(b - a, -1) + 1
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(own[a:b]), block, nth))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"), piece=out["piece"].astype("int32"), block=out["block"].astype("int32"))
 
