@@ -1,8 +1,10 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import exact_dedup, licenses, mixing, packing, toxicity
+from . import exact_dedup, fingerprints, licenses, mixing, packing, pii, toxicity
 
 QUERIES = {
+    "op1_multiset_fingerprints": fingerprints.op1_multiset_fingerprints,
+    "op2_personal_data": pii.op2_personal_data,
     "op4_license_templates": licenses.op4_license_templates,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
