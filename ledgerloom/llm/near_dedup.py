@@ -8,11 +8,12 @@ darts in every text. A text keeps the darts below a rank that lets through about
 K (ln K + 3) of them, whatever its length, and of these the earliest of each of K
 coordinates; a text that leaves a coordinate empty is thrown again with twice the rank.
 
-Bands of coordinates deal texts to buckets. A bucket links its members to one pivot,
-each link verified on whole texts; members without a link to it form a bucket of their
-own with a new pivot, and so on while such a bucket holds texts of different classes.
-So a bucket of m texts costs m comparisons for each class in it, never m squared.
-Copies (texts with the same words) are one node throughout, gathered before any shuffle.
+Bands of coordinates deal texts to buckets; of buckets with the same members one
+goes on. A bucket's members meet in groups of at most two blocks of ``BLOCK`` texts,
+every pair of blocks once; a group finds the exact similarity of all its pairs at
+once, as a product of its texts-by-shingles matrix with itself, and returns links
+that span its connected texts, fewer than it has members. Copies (texts with the same
+words) are one node throughout, gathered before any shuffle.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table, written
+from .common import documents, parts, table, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 20 = 0.00003.
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
+#: Texts of a bucket that meet in one group: two blocks.
+BLOCK = 512
 CHUNK_BYTES = 2 << 20
 
 _P = 0x9E3779B97F4A7C15
@@ -175,40 +178,76 @@ def _normals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["node", "words"])
 
 
-def similarities(a: list[bytes], b: list[bytes]) -> list[float]:
-    """Weighted Jaccard similarity of each pair of normal texts."""
-    distinct = list(dict.fromkeys([*a, *b]))
-    units: dict[bytes, np.ndarray] = {}
-    for i, j in _chunks(distinct):
-        own, bounds = elements(distinct[i:j])
-        for k, t in enumerate(distinct[i:j]):
-            units[t] = np.sort(own[bounds[k] : bounds[k + 1]])
-    out = []
-    for s, t in zip(a, b, strict=True):
-        x, y = units[s], units[t]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / max(len(x) + len(y) - both, 1))
+def linked(units: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the texts (sorted units each) connected by pairs of ``similarity`` or more."""
+    n, sizes = len(units), np.array([len(u) for u in units], np.int64)
+    if n == 2:
+        both = len(np.intersect1d(*units, assume_unique=True))
+        return [(0, 1)] if both >= similarity * (sizes.sum() - both) - 1e-9 else []
+    every, of = np.concatenate(units), np.repeat(np.arange(n), sizes)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    times = np.diff(np.append(first, len(every)))
+    column = np.repeat(np.arange(len(first)), times)
+    shared = np.repeat(times > 1, times)  # what stands in one text only adds to no pair
+    of, column = of[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)
+    width = max(256, (8 << 20) // n)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [at, at + width])
+        block = np.zeros((n, min(width, int(column[-1]) + 1 - at)), np.float32)
+        block[of[a:b], column[a:b] - at] = 1
+        both += block @ block.T
+    near = both.astype(np.float64) >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+    out, free = [], np.ones(n, bool)
+    for root in range(n):
+        if not free[root]:
+            continue
+        free[root] = False
+        todo = [root]
+        while todo:
+            more = np.flatnonzero(near[todo.pop()] & free)
+            free[more] = False
+            out += [(root, int(i)) for i in more]
+            todo += more.tolist()
     return out
 
 
-def _verify(limit: float):
+def _link(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, nodes, texts, held = None, [], [], 0
+        ready: list[tuple[list[bytes], list[bytes]]] = []
+
+        def flush() -> pd.DataFrame:
+            distinct = dict.fromkeys(t for _, own in ready for t in own)
+            order, units = list(distinct), {}
+            for a, b in _chunks(order):
+                own, bounds = elements(order[a:b])
+                units.update((t, np.sort(own[bounds[k] : bounds[k + 1]])) for k, t in enumerate(order[a:b]))
+            rows = [(ids[i], ids[j]) for ids, own in ready for i, j in linked([units[t] for t in own], similarity)]
+            ready.clear()
+            return pd.DataFrame(rows, columns=["a", "b"])
+
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                own = batch.iloc[at : at + 500]
-                s = similarities(own["words_a"].tolist(), own["words_b"].tolist())
-                yield pd.DataFrame({"a": own["a"], "b": own["b"], "linked": [x >= limit for x in s]})
+            for at, node, words in zip(zip(batch["key"], batch["i"], batch["j"], strict=True), batch["node"], batch["words"], strict=True):
+                if at != group:
+                    if len(nodes) > 1:
+                        ready.append((nodes, texts))
+                    if held > 8 * CHUNK_BYTES:
+                        yield flush()
+                        held = 0
+                    group, nodes, texts = at, [], []
+                nodes.append(node)
+                texts.append(words)
+                held += len(words)
+        if len(nodes) > 1:
+            ready.append((nodes, texts))
+        yield flush()
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: whether the whole texts are similar enough."""
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
-    return both.select("a", "b", "words_a", "words_b").mapInPandas(_verify(similarity), "a binary, b binary, linked boolean")
-
-
 def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (node, label) with the least label of the nodes that ``links`` (a, b) connect.
 
@@ -236,31 +275,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     label = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     nodes = written(signed.groupBy("node").agg(F.min(label).alias("label")), "near-nodes")
     entries = signed.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
-    # Only what shares a bucket goes on.
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = written(entries.join(counts.select("key"), "key", "left_semi"), "near-entries")
+    # Of every bucket its size and its set of members, in two sums of hashes; of equal sets the first key.
+    sums = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2))).where("n > 1")
+    buckets = written(sums.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-buckets")
+    entries = written(entries.join(buckets, "key"), "near-entries")
     members = entries.select("node").distinct()
     texts = documents(docs, "text").mapInPandas(_normals, "node binary, words binary")
     texts = written(texts.join(members, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
-    links, labels, checked = None, nodes.join(members, "node"), None
-    while True:
-        entries = written(entries.select("key", "node").join(labels, "node"), "near-entries")
-        pivots = written(entries.groupBy("key").agg(F.min(F.struct("label", "node")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low < high").select("key", F.col("first.node").alias("pivot")), "near-pivots")
-        dealt = entries.join(pivots, "key").where("node <> pivot")
-        pairs = dealt.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
-        found = written(verified(pairs, texts, similarity), "near-links")
-        checked = found if checked is None else checked.unionByName(found)
-        links = found.where("linked") if links is None else links.unionByName(found.where("linked"))
-        labels = classes(nodes.join(members, "node"), links)
-        labels = nodes.join(members, "node").alias("n").join(labels.alias("c"), F.col("n.node") == F.col("c.node"), "left").select("n.node", F.coalesce("c.label", "n.label").alias("label"))
-        linked = checked.where("linked").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
-        entries = dealt.select("key", "node", "pivot").join(linked, ["pivot", "node"], "left_anti")
-    labels = labels if links is not None else nodes.join(members, "node")
+    # Block numbers i <= j name a group; a member of block x is in the groups of x and every other block.
+    own = F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = entries.select("key", "node", own.alias("x"), other.alias("y")).select("key", "node", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    met = dealt.join(texts, "node").repartition(parts(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = written(met.select("key", "i", "j", "node", "words").mapInPandas(_link(similarity), "a binary, b binary"), "near-links")
+    labels = classes(nodes.join(members, "node"), links)
     final = nodes.alias("n").join(labels.alias("c"), F.col("n.node") == F.col("c.node"), "left").select("n.node", F.coalesce("c.label.doc_id", "n.label.doc_id").alias("class_id"))
     final = written(final, "near-classes")
     return signed.select("doc_id", "node").join(final, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
