@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, pii, toxicity
+from . import exact_dedup, fingerprints, html_extract, licenses, mixing, near_dedup, packing, pii, toxicity
 
 QUERIES = {
     "op1_multiset_fingerprints": fingerprints.op1_multiset_fingerprints,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_license_templates": licenses.op4_license_templates,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_html_main_text": html_extract.op7_html_main_text,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_source_mix": mixing.op10_source_mix,
