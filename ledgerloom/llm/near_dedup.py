@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, parts, table, written
+from .hashing import MULT, STEP, mix, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 20 = 0.00003.
@@ -37,50 +38,19 @@ K = BANDS * ROWS
 BLOCK = 512
 CHUNK_BYTES = 2 << 20
 
-_P = 0x9E3779B97F4A7C15
-_MULT = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MULT[0]
-    h = (h ^ (h >> np.uint64(27))) * _MULT[1]
-    return h ^ (h >> np.uint64(31))
-
 
 def normal(text: str) -> bytes:
     """The words (between white space, A-Z lower-cased) between single blanks."""
     return b" ".join(text.encode().lower().split())
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        m = max(n, CHUNK_BYTES)
-        for name, base in (("p", _P), ("i", pow(_P, -1, 1 << 64))):
-            out = np.full(m, base, np.uint64)
-            out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["p"], _POWERS["i"]
-
-
 def elements(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed units of region of all texts, sorted within each, and the bounds of each text's.
 
     A shingle that stands w times gives w units. A text of fewer than five words is one
     shingle; one without words has none.
     """
-    joined = b" ".join(texts) + b" "
-    raw = np.frombuffer(joined, np.uint8)
-    power, inverse = _powers(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64) * power[: len(raw)], dtype=np.uint64)))
-    space = raw == 32
-    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    words = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    counts = np.diff(np.searchsorted(starts, edges))
+    words, counts = word_hashes(texts)
     first = np.concatenate(([0], np.cumsum(counts)))[:-1]
     made = np.where(counts >= WORDS, counts - WORDS + 1, np.minimum(counts, 1))
     bounds = np.concatenate(([0], np.cumsum(made)))
@@ -90,13 +60,13 @@ def elements(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(of), np.uint64)
     padded = np.concatenate((words, np.zeros(WORDS, np.uint64)))
     for k in range(WORDS):
-        h += np.where(left > k, padded[at + k] * _MULT[k], np.uint64(0))
-    h = _mix(h)
+        h += np.where(left > k, padded[at + k] * MULT[k], np.uint64(0))
+    h = mix(h)
     order = np.lexsort((h, of))
     h = h[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))) if len(h) else np.zeros(0, bool)
     run = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return _mix(h + run.astype(np.uint64) * _MULT[4]), bounds
+    return mix(h + run.astype(np.uint64) * MULT[4]), bounds
 
 
 def signatures(units: np.ndarray, bounds: np.ndarray, k: int = K) -> np.ndarray:
@@ -111,11 +81,11 @@ def signatures(units: np.ndarray, bounds: np.ndarray, k: int = K) -> np.ndarray:
         rank, flat, j = np.zeros(len(unit)), out.reshape(-1), 0
         while len(unit):
             j += 1
-            dart = _mix(unit + np.uint64((j * _P) & (2**64 - 1)))
+            dart = mix(unit + np.uint64((j * STEP) & (2**64 - 1)))
             rank = rank - np.log1p((dart >> np.uint64(11)).astype(np.float64) * -(2.0**-53))
             here = rank < reach[of]
             unit, of, rank, dart = unit[here], of[here], rank[here], dart[here]
-            again = _mix(dart ^ _MULT[2])
+            again = mix(dart ^ MULT[2])
             # Rank above, the dart's own hash below: the smallest is the earliest, and equal only for the same dart.
             value = (np.minimum(rank * 2.0**16, 2.0**40 - 1).astype(np.uint64) << np.uint64(24)) | (again & np.uint64(0xFFFFFF))
             np.minimum.at(flat, of * k + ((again >> np.uint64(32)) % np.uint64(k)).astype(np.int64), value)
@@ -129,8 +99,8 @@ def bands(signature: np.ndarray) -> np.ndarray:
     """One key per band, with the band's number mixed in."""
     h = np.zeros((len(signature), BANDS), np.uint64)
     for r in range(ROWS):
-        h = _mix(h + signature[:, r::ROWS] * _MULT[3] + np.uint64(r))
-    return _mix(h + np.arange(BANDS, dtype=np.uint64) * _MULT[2]).view(np.int64)
+        h = mix(h + signature[:, r::ROWS] * MULT[3] + np.uint64(r))
+    return mix(h + np.arange(BANDS, dtype=np.uint64) * MULT[2]).view(np.int64)
 
 
 def _digests(texts: list[bytes]) -> list[bytes]:

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import exact_dedup, fingerprints, html_extract, licenses, mixing, near_dedup, packing, pii, toxicity
+from . import context_tree, exact_dedup, fingerprints, html_extract, licenses, mixing, near_dedup, packing, pii, toxicity
 
 QUERIES = {
     "op1_multiset_fingerprints": fingerprints.op1_multiset_fingerprints,
     "op2_personal_data": pii.op2_personal_data,
+    "op3_context_tree_scores": context_tree.op3_context_tree_scores,
     "op4_license_templates": licenses.op4_license_templates,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
