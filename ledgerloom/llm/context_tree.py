@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, parts, table, written
-from .hashing import word_hashes
+from .hashing import Lookup, word_hashes
 
 DEPTH = 5
 #: Rows of an input partition that form a unit, and bytes that are looked at together.
-UNIT_ROWS, CHUNK_BYTES = 16384, 4 << 20
+UNIT_ROWS, CHUNK_BYTES = 16384, 1 << 20
 #: Never a byte of UTF-8: stands before and after every text.
 END = b"\xff"
 SPLIT = 2  # bytes of context by which trees are dealt
@@ -255,13 +255,12 @@ COLUMNS = "doc_id long, trained boolean, n_words long, n_known long, known doubl
 def _score(depth: int):
     def run(docs: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         keys, value = values["key"].to_numpy(np.int64), values["value"].to_numpy()
-        order = np.argsort(keys)
-        keys, value, out, at = keys[order], value[order], [], 0
+        places, out, at = Lookup(keys), [], 0
         texts, doc_ids, trained = [normal(t) for t in docs["text"]], docs["doc_id"].astype("Int64"), docs["trained"]
 
         def look(own: np.ndarray) -> np.ndarray:
-            i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            if not (keys[i] == own).all():
+            i = places.find(own)
+            if (i < 0).any():
                 raise ValueError("a unit of documents has changed between two reads of the table")
             return value[i]
 
