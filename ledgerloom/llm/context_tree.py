@@ -253,42 +253,55 @@ COLUMNS = "doc_id long, trained boolean, n_words long, n_known long, known doubl
 
 
 def _score(depth: int):
-    def run(docs: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        keys, value = values["key"].to_numpy(np.int64), values["value"].to_numpy()
-        places, out, at = Lookup(keys), [], 0
-        texts, doc_ids, trained = [normal(t) for t in docs["text"]], docs["doc_id"].astype("Int64"), docs["trained"]
-
-        def look(own: np.ndarray) -> np.ndarray:
-            i = places.find(own)
-            if (i < 0).any():
-                raise ValueError("a unit of documents has changed between two reads of the table")
-            return value[i]
-
-        while at < len(texts):
-            to, held = at, 0
-            while to < len(texts) and (to == at or held + len(texts[to]) < CHUNK_BYTES):
-                held += len(texts[to])
-                to += 1
-            own = texts[at:to]
-            grams, lengths = context_keys(own, depth)
-            words, counts = word_keys(own)
-            of = np.repeat(np.arange(len(own)), counts)
-            known = look(words) if len(words) else np.zeros(0)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": doc_ids.iloc[at:to],
-                        "trained": trained.iloc[at:to],
-                        "n_words": counts,
-                        "n_known": np.bincount(of[known > 0], minlength=len(own)),
-                        "known": np.bincount(of, known, len(own)),
-                        "score": np.add.reduceat(look(grams), np.concatenate(([0], np.cumsum(lengths)))[:-1]),
-                        "n_bytes": lengths,
-                    }
-                )
-            )
-            at = to
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in COLUMNS.split(", ")])
+    """Rows sorted by unit, those with keys and values (no text) before those with texts."""
+
+    def look(places: Lookup, value: np.ndarray, own: np.ndarray) -> np.ndarray:
+        i = places.find(own)
+        if (i < 0).any():
+            raise ValueError("a unit of documents has changed between two reads of the table")
+        return value[i]
+
+    def rows(texts: list[bytes], ids: pd.Series, trained: pd.Series, places: Lookup, value: np.ndarray) -> pd.DataFrame:
+        grams, lengths = context_keys(texts, depth)
+        words, counts = word_keys(texts)
+        of = np.repeat(np.arange(len(texts)), counts)
+        known = look(places, value, words) if len(words) else np.zeros(0)
+        return pd.DataFrame(
+            {
+                "doc_id": ids,
+                "trained": trained > 0,
+                "n_words": counts,
+                "n_known": np.bincount(of[known > 0], minlength=len(texts)),
+                "known": np.bincount(of, known, len(texts)),
+                "score": np.add.reduceat(look(places, value, grams), np.concatenate(([0], np.cumsum(lengths)))[:-1]),
+                "n_bytes": lengths,
+            }
+        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, keys, values, places, value = None, [], [], None, None
+        for batch in batches:
+            for at, own in batch.groupby("unit", sort=False):
+                if at != unit:
+                    unit, keys, values, places = at, [], [], None
+                new = own[own["text"].isna()]
+                if len(new):
+                    keys.append(new["id"].to_numpy(np.int64))
+                    values.append(new["value"].to_numpy())
+                docs = own[own["text"].notna()]
+                if not len(docs):
+                    continue
+                if places is None:
+                    places, value = Lookup(np.concatenate(keys)), np.concatenate(values)
+                    keys, values = [], []
+                texts, ids, first = [normal(t) for t in docs["text"]], docs["id"].astype("Int64"), 0
+                while first < len(texts):
+                    to, held = first, 0
+                    while to < len(texts) and (to == first or held + len(texts[to]) < CHUNK_BYTES):
+                        held += len(texts[to])
+                        to += 1
+                    yield rows(texts[first:to], ids.iloc[first:to], docs["value"].iloc[first:to], places, value)
+                    first = to
 
     return run
 
@@ -316,8 +329,9 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     tops = trees.mapInPandas(_tops(depth), "bit int, node long, zeros double, ones double, below double")
     tops = top_levels(tops.groupBy("bit", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas())  # 256 * 255 rows at most
     values = trees.mapInPandas(_lengths(depth, tops), "key long, value double").union(counts.where("key < 0").select("key", F.log10(F.col("n") + 1.0)))
-    back = found.select("key", "unit").join(values, "key").select("unit", "key", "value")
-    scored = rows.groupBy("unit").cogroup(back.groupBy("unit")).applyInPandas(_score(depth), COLUMNS)
+    back = found.select("key", "unit").join(values, "key").select("unit", F.col("key").alias("id"), "value", F.lit(None).cast("string").alias("text"))
+    met = back.union(rows.select("unit", F.col("doc_id").cast("long"), F.col("trained").cast("double"), "text")).repartition(n, "unit")
+    scored = met.sortWithinPartitions("unit", F.col("text").isNotNull()).mapInPandas(_score(depth), COLUMNS)
     base = F.col("known") + math.log10(learned + 1) - F.col("n_tokens") * math.log10(tokens + types + 1)
     return scored.withColumn("n_tokens", F.col("n_words") + 1).select(
         "doc_id",
