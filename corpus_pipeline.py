@@ -1,13 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Every stage applies one operator to all rows that its predecessor kept. Rows are told
+apart by a number given to them as they are read, not by doc_id, so repeated ids
+and columns of any name pass. All stages but the last return the columns they got.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from ledgerloom.llm.common import table, written
 
-STAGES = []
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that numbers the rows, and its name. ``docs`` is a read of files, so the numbers come out alike each time."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
+
+
+def _kept(docs: DataFrame, decide: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    numbered, row = _numbered(docs)
+    stay = decide(numbered, row).where("kept").select(F.col("row").alias(row))
+    return numbered.join(stay, row, "left_semi").select(*docs.columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from ``labels``, scores below 0.5."""
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer(lexicon)(F.col("text")) < 0.5)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _kept(docs, lambda rows, row: exact_dedup.exact_groups(rows, row))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return _kept(docs, lambda rows, row: near_dedup.near_duplicates(rows, row=row))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; the one at a source's cut once more if at least half of it is taken."""
+    numbered, row = _numbered(docs)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mixing.mix(numbered, row=row).where("size > 0").select(F.col("row").alias(row), F.explode(F.sequence(F.lit(0), copies)).alias("copy")).where("copy > 0")
+    return numbered.join(taken.select(row), row).select(*docs.columns)
+
+
+def pack_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_best_fit),
+]
+
+# SQL can't express the learned lexicon, the signatures or the packing; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,6 @@ def parts(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
-def documents(docs: DataFrame, *columns: str) -> DataFrame:
+def documents(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """Only ``columns`` of ``docs``, a null text as an empty one. Other columns, whatever their names, go."""
-    return docs.select(*(F.coalesce(F.col("text"), F.lit("")).alias("text") if c == "text" else F.col(c) for c in columns))
+    return docs.select(*(F.coalesce(F.col("text"), F.lit("")).alias("text") if isinstance(c, str) and c == "text" else c for c in columns))

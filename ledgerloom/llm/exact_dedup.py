@@ -30,7 +30,7 @@ WIDTH, GROWTH = 64, 4
 SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BYTES = 32 << 20
 
-LEADERS = "uid long, leader long, doc_id long, n long, size long, best_n long, best_id long, best_uid long, sha string, norm binary"
+LEADERS = "uid long, leader long, row long, doc_id long, n long, size long, best_n long, best_id long, best_uid long, sha string, norm binary"
 GROUPS = "leader long, keep_id long, keep_uid long, group_size long, sha string"
 
 
@@ -60,7 +60,7 @@ def _best(rows: list[tuple]) -> tuple:
 def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
-    base, ids, texts, lengths, held = TaskContext.get().partitionId() << 33, [], [], [], 0
+    base, ids, numbers, texts, lengths, held = TaskContext.get().partitionId() << 33, [], [], [], [], 0
 
     def flush() -> pd.DataFrame:
         nonlocal base
@@ -68,9 +68,9 @@ def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in radix_groups(texts):
             best, leader = _best([(lengths[i], ids[i], base + i) for i in own]), own[0]
             for i in own:
-                rows[i] = (base + i, base + leader, ids[i], lengths[i], None, None, None, None, None, None)
+                rows[i] = (base + i, base + leader, numbers[i], ids[i], lengths[i], None, None, None, None, None, None)
             norm = texts[leader]
-            rows[leader] = (base + leader, base + leader, ids[leader], lengths[leader], len(own), *best, hashlib.sha256(norm).hexdigest(), norm)
+            rows[leader] = (base + leader, base + leader, numbers[leader], ids[leader], lengths[leader], len(own), *best, hashlib.sha256(norm).hexdigest(), norm)
         base += len(ids)
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in LEADERS.split(", ")])
         for c in ("doc_id", "size", "best_n", "best_id", "best_uid"):
@@ -78,15 +78,16 @@ def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return out
 
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], strict=True):
+        for doc_id, number, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["row"].tolist(), batch["text"], strict=True):
             norm = text.encode().translate(None, SPACE)
             ids.append(None if doc_id is pd.NA else doc_id)
+            numbers.append(number)
             texts.append(norm)
             lengths.append(len(text))
             held += len(norm)
             if held >= BLOCK_BYTES:
                 yield flush()
-                ids, texts, lengths, held = [], [], [], 0
+                ids, numbers, texts, lengths, held = [], [], [], [], 0
     if ids:
         yield flush()
 
@@ -146,24 +147,27 @@ def radix_key(leaders: DataFrame, n: int):
     return key
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: row, doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``row``: the column that numbers the rows; without it they are numbered as read.
 
     Equal: the same text without white space (``SPACE``); null and empty texts
     are equal. The row with the most code points in the original text stays,
     then the smallest doc_id (null after all others); of wholly repeated rows exactly one stays.
     Empty table: no rows. Other columns are not read.
     """
-    found = written(documents(docs, "doc_id", "text").mapInPandas(_leaders, LEADERS), "radix-leaders")
+    rows = documents(docs, "doc_id", "text", F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"))
+    found = written(rows.mapInPandas(_leaders, LEADERS), "radix-leaders")
     n, leaders = parts(found), found.where("norm is not null")
     key = radix_key(leaders, n)
     groups = leaders.withColumn("key", key).repartition(n, "key").sortWithinPartitions("key").select("key", "norm", "uid", "size", "best_n", "best_id", "best_uid", "sha").mapInPandas(_groups, GROUPS)
-    return found.select("uid", "leader", "doc_id").join(groups, "leader").select("uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select("uid", "leader", "row", "doc_id").join(groups, "leader").select("row", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of equal texts of all ``documents``."""
-    return exact_groups(table(spark, sf_dir, "documents")).drop("uid")
+    return exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
 SQL = r"""

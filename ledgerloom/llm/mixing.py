@@ -19,9 +19,10 @@ from .common import table, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, ranges: int = 1024, seed: str = "mix-1:") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, ranges: int = 1024, seed: str = "mix-1:", row: str | None = None) -> DataFrame:
+    """One row per document: row, doc_id, source, size, source_size, target, taken.
 
+    ``row``: the column that numbers the rows; without it they are numbered as read.
     ``weights`` repeat over the sources in code point order, a null source last.
     The targets share the size of all sources; one stops at ``cap`` times its
     source's size and the rest is shared again. ``taken`` counts the words that
@@ -31,10 +32,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, ran
 
     Null text: size 0, taken 0. Null doc_id or source: a value like any other.
     Repeated rows are separate documents; rows with the same doc_id have the
-    same key and are ordered by size. Empty table: no rows. Other columns are not read.
+    same key and are ordered by size, then as numbered. Empty table: no rows. Other columns are not read.
     """
     sized = written(
         docs.select(
+            F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -65,10 +67,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, ran
     offset = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums, per = sums.withColumn("offset", offset).alias("s"), per.alias("p")
     dealt = sums.join(per, F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "s.range", "offset", "source_size", "target", "epochs", "rest").alias("r")
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     at = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
     cut = F.greatest(F.lit(0), F.least(F.col("d.size"), F.col("rest") - F.col("offset") - F.col("inside")))
-    return at.join(dealt, F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range"))).select("doc_id", "d.source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"))
+    return at.join(dealt, F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range"))).select("row", "doc_id", "d.source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

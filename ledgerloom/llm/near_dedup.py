@@ -134,7 +134,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in _chunks([texts[i] for i in new]):
             for i, row in zip(new[a:b], bands(signatures(*elements([texts[i] for i in new[a:b]]))), strict=True):
                 keys[i] = row
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "keys": keys})
+        yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "keys": keys})
 
 
 def _normals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,16 +233,18 @@ def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return reached
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, kept.
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: row, doc_id, class_id, kept.
 
+    ``row``: the column that numbers the rows; without it they are numbered as read.
     Classes are the connected texts: links are pairs of similarity ``similarity`` or more, and
-    texts with the same words. ``class_id`` is the least doc_id of the class (null last), whose row
-    is the one kept; of repeated rows with that doc_id all are of the same class and share the flag.
+    texts with the same words. ``class_id`` is the least doc_id of the class (null last); of the
+    rows with that doc_id in the class the first is the one kept.
     Null and empty texts, and all without words, are one class. Empty table: no rows. Other columns are not read.
     """
-    signed = written(documents(docs, "doc_id", "text").mapInPandas(_sign, "doc_id long, node binary, keys array<long>"), "near-signed")
-    label = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    rows = documents(docs, "doc_id", "text", F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"))
+    signed = written(rows.mapInPandas(_sign, "row long, doc_id long, node binary, keys array<long>"), "near-signed")
+    label = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = written(signed.groupBy("node").agg(F.min(label).alias("label")), "near-nodes")
     entries = signed.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
     # Of every bucket its size and its set of members, in two sums of hashes; of equal sets the first key.
@@ -259,11 +261,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     met = dealt.join(texts, "node").repartition(parts(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = written(met.select("key", "i", "j", "node", "words").mapInPandas(_link(similarity), "a binary, b binary"), "near-links")
     labels = classes(nodes.join(members, "node"), links)
-    final = nodes.alias("n").join(labels.alias("c"), F.col("n.node") == F.col("c.node"), "left").select("n.node", F.coalesce("c.label.doc_id", "n.label.doc_id").alias("class_id"))
+    final = nodes.alias("n").join(labels.alias("c"), F.col("n.node") == F.col("c.node"), "left").select("n.node", F.coalesce("c.label", "n.label").alias("label"))
     final = written(final, "near-classes")
-    return signed.select("doc_id", "node").join(final, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return signed.select("row", "doc_id", "node").join(final, "node").select("row", "doc_id", F.col("label.doc_id").alias("class_id"), (F.col("row") == F.col("label.row")).alias("kept"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of near duplicates of all ``documents``."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
