@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import documents, table
 
 #: Labelled rows that the lexicon is learned from, at most: those of the smallest hashed ids.
-SAMPLE = 8000
+SAMPLE = 5000
 
 # Letters that look like others, and digits and signs written for letters.
 HOMOGLYPHS = {
