@@ -48,16 +48,11 @@ def kwtopics(sents: DataFrame, topics: dict[str, list[str]], strict_words: bool
 
     All within a row: the dictionary is part of the expression, so nothing is joined or shuffled.
     """
-    lemma = lemmatize(F.col("text"))
-    found = [
-        F.struct(
-            (-F.size(words := F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(lemma, F.lit(p), F.lit(0)), strip))))).alias("less"),
-            F.lit(i).alias("ord"),
-            F.lit(t).alias("topic"),
-            words.alias("words"),
-        )
-        for i, (t, p) in enumerate(patterns(topics, strict_words))
-    ]
-    ranked = F.array_sort(F.filter(F.array(*found), lambda s: s["less"] < 0))
-    best = F.try_element_at(F.col("ranked"), F.lit(1))
-    return sents.withColumn("ranked", ranked).withColumns({"ntopics": F.size("ranked"), "kw_topic1": F.coalesce(best["topic"], F.lit("outofscope")), "keywords1": F.coalesce(best["words"], F.array().cast("array<string>"))}).drop("ranked")
+    # Step by step: each column is used more than once, and steps keep Spark from computing it for each use.
+    out, given = sents.withColumn("lemma", lemmatize(F.col("text"))), patterns(topics, strict_words)
+    out = out.withColumns({f"words{i}": F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("lemma", F.lit(p), F.lit(0)), lambda w: F.trim(w)))) for i, (_, p) in enumerate(given)})
+    found = [F.struct((-F.size(f"words{i}")).alias("less"), F.lit(i).alias("ord"), F.lit(t).alias("topic"), F.col(f"words{i}").alias("words")) for i, (t, _) in enumerate(given)]
+    out = out.withColumn("ranked", F.array_sort(F.filter(F.array(*found), lambda s: s["less"] < 0)))
+    best = F.try_element_at("ranked", F.lit(1))
+    out = out.withColumns({"ntopics": F.size("ranked"), "kw_topic1": F.coalesce(best["topic"], F.lit("outofscope")), "keywords1": F.coalesce(best["words"], F.array().cast("array<string>"))})
+    return out.select(*sents.columns, "ntopics", "kw_topic1", "keywords1")
