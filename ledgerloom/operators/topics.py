@@ -50,7 +50,9 @@ def kwtopics(sents: DataFrame, topics: dict[str, list[str]], strict_words: bool
     """
     # Step by step: each column is used more than once, and steps keep Spark from computing it for each use.
     out, given = sents.withColumn("lemma", lemmatize(F.col("text"))), patterns(topics, strict_words)
-    out = out.withColumns({f"words{i}": F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("lemma", F.lit(p), F.lit(0)), lambda w: F.trim(w)))) for i, (_, p) in enumerate(given)})
+    lists = F.struct(*(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("lemma", F.lit(p), F.lit(0)), lambda w: F.trim(w)))).alias(f"words{i}") for i, (_, p) in enumerate(given)))
+    # The one-row generator keeps later filters from being pushed below, where they would compute the lists again.
+    out = out.select(*sents.columns, F.explode(F.array(lists)).alias("lists")).select(*sents.columns, "lists.*")
     found = [F.struct((-F.size(f"words{i}")).alias("less"), F.lit(i).alias("ord"), F.lit(t).alias("topic"), F.col(f"words{i}").alias("words")) for i, (t, _) in enumerate(given)]
     out = out.withColumn("ranked", F.array_sort(F.filter(F.array(*found), lambda s: s["less"] < 0)))
     best = F.try_element_at("ranked", F.lit(1))
