@@ -253,7 +253,11 @@ COLUMNS = "doc_id long, trained boolean, n_words long, n_known long, known doubl
 
 
 def _score(depth: int):
-    """Rows sorted by unit, those with keys and values (no text) before those with texts."""
+    """Rows sorted by unit, those with keys and values (no text) before those with texts.
+
+    Of a text the value is 1 if it is learned from, and 2 more if its id is null (a null
+    among the ids would turn all of them, and the keys, into floating numbers).
+    """
 
     def look(places: Lookup, value: np.ndarray, own: np.ndarray) -> np.ndarray:
         i = places.find(own)
@@ -269,7 +273,7 @@ def _score(depth: int):
         return pd.DataFrame(
             {
                 "doc_id": ids,
-                "trained": trained > 0,
+                "trained": trained % 2 > 0,
                 "n_words": counts,
                 "n_known": np.bincount(of[known > 0], minlength=len(texts)),
                 "known": np.bincount(of, known, len(texts)),
@@ -294,7 +298,7 @@ def _score(depth: int):
                 if places is None:
                     places, value = Lookup(np.concatenate(keys)), np.concatenate(values)
                     keys, values = [], []
-                texts, ids, first = [normal(t) for t in docs["text"]], docs["id"].astype("Int64"), 0
+                texts, ids, first = [normal(t) for t in docs["text"]], docs["id"].astype("Int64").mask(docs["value"] >= 2), 0
                 while first < len(texts):
                     to, held = first, 0
                     while to < len(texts) and (to == first or held + len(texts[to]) < CHUNK_BYTES):
@@ -330,7 +334,7 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     tops = top_levels(tops.groupBy("bit", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas())  # 256 * 255 rows at most
     values = trees.mapInPandas(_lengths(depth, tops), "key long, value double").union(counts.where("key < 0").select("key", F.log10(F.col("n") + 1.0)))
     back = found.select("key", "unit").join(values, "key").select("unit", F.col("key").alias("id"), "value", F.lit(None).cast("string").alias("text"))
-    met = back.union(rows.select("unit", F.col("doc_id").cast("long"), F.col("trained").cast("double"), "text")).repartition(n, "unit")
+    met = back.union(rows.select("unit", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("trained").cast("double") + F.col("doc_id").isNull().cast("double") * 2, "text")).repartition(n, "unit")
     scored = met.sortWithinPartitions("unit", F.col("text").isNotNull()).mapInPandas(_score(depth), COLUMNS)
     base = F.col("known") + math.log10(learned + 1) - F.col("n_tokens") * math.log10(tokens + types + 1)
     return scored.withColumn("n_tokens", F.col("n_words") + 1).select(

@@ -28,15 +28,16 @@ SAMPLE = 5000
 # Letters that look like others, and digits and signs written for letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ƽ": "s",
-    **{chr(0xFF41 + i): chr(97 + i) for i in range(26)},
+    "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "i", "ƽ": "s",
+    **{chr(0xFF41 + i): chr(97 + i) for i in range(26)} | {chr(0xFF4C): "i"},
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 #: Characters that are not seen.
 HIDDEN = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
 
-_TABLE = str.maketrans(HOMOGLYPHS | DIGITS) | HIDDEN
+# A one stands for an i or an l, so both letters are folded to one.
+_TABLE = str.maketrans({**HOMOGLYPHS, **DIGITS, "l": "i"}) | HIDDEN
 _SIGN = re.compile(r"(?<=[^\W\d_])[@$!|€]+(?=[^\W\d_])")
 _REST = re.compile(r"[\W\d_]+")
 

@@ -1,0 +1,410 @@
+"""Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; and against brute force."""
+
+import collections
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import context_tree, exact_dedup, fingerprints, html_extract, licenses, mixing, near_dedup, packing, pii, toxicity
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def rows():
+    rng = random.Random(3)
+    base = prose(rng, 120)
+    near = base.split()
+    near[60] = "changed"
+    out = [(i, prose(rng, rng.randint(5, 60)), f"s{i % 3}") for i in range(20)]
+    out += [(20, None, "s0"), (21, "", "s1"), (22, " \n\t", None), (None, "no id here", "s2"), (None, None, None)]
+    out += [(30, base, "s0"), (31, base + "  ", "s1"), (32, " ".join(near), "s2"), (33, base.replace(" ", ""), "s0")]
+    out += [(40, "twice", "s1"), (40, "twice", "s1"), (40, "other text of the same id", "s1")]
+    out += [(50, "x" * 70_000 + " " + prose(rng, 3000), "s0"), (51, prose(rng, 5000), "s1")]
+    return out
+
+
+EXTRA = ("row", "key", "size", "kept", "node", "unit", "bucket", "guest", "range", "keys", "label", "unused")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, source string").repartition(3)
+    path = exact_dedup.written(df.withColumns({c: F.lit("clash") for c in EXTRA}), "test-docs")
+    return path
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def text_of(t):
+    return t or ""
+
+
+def test_fingerprints(docs, none):
+    order = sorted(((i, text_of(t)) for i, t, _ in rows()), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+    got = collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprints(docs).collect())
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        e = fingerprints.edited(t, after)
+        own, changed, next_ = (fingerprints.vectors([x]) for x in (t, e, after))
+        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.digest(*own)[0], round(float(fingerprints.likeness(own[1], changed[1])[0]), 9), round(float(fingerprints.likeness(own[1], next_[1])[0]), 9)] += 1
+    assert got == want
+    assert fingerprints.fingerprints(none).count() == 0
+
+
+def test_fingerprint_is_a_multiset_sum():
+    a, b, c = "first line of text\nsecond line here\nthird", "third\nfirst line of text\nsecond line here", "first line of text\nthird"
+    va, vb, vc, line = (fingerprints.vectors([t]) for t in (a, b, c, "second line here"))
+    assert fingerprints.digest(*va) == fingerprints.digest(*vb)
+    assert (vc[0] + line[0] == va[0]).all() and (vc[1] + line[1] == va[1]).all()
+    assert fingerprints.digest(*vc) != fingerprints.digest(*va)
+
+
+def test_pii_base_rules_and_field():
+    weights = pii.train()
+    text = "mail a.b+c@x-y.example.com, host 10.0.255.1 or 10.0.256.1; card 4111 1111 1111 1111 not 4111 1111 1111 1112; call +1 (555) 234-5678. é@é"
+    base, _ = pii.find(text, weights)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in base] == [("email", "a.b+c@x-y.example.com"), ("ip", "10.0.255.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 234-5678")]
+    for s, kind in (("write to john at example dot com today", "email"), ("call (555) 234-5678 now", "phone"), ("server 10[.]0[.]0[.]12 is down", "ip")):
+        assert kind in [pii.KINDS[k] for k, _, _ in pii.find(s, weights)[1]], s
+    for s in ("order 123456 of 2021-04-05", "we met at the station. Nothing", "version 1.2.3"):
+        assert pii.find(s, weights)[1] == [], s
+    good = sum(set(pii.decode(w, weights)) == g for w, g in pii.examples(300, 99))
+    assert good >= 285
+
+
+def test_pii_best_path_is_the_best_of_all_paths():
+    weights = pii.train(60, 3)
+    for window, _ in pii.examples(40, 5):
+        segments = pii.candidates(window)
+        if len(segments) > 12:
+            continue
+        score = {s: float(weights[s[0]] @ pii.span_features(window, *s)) for s in segments}
+        free = lambda own: all(x[2] <= y[1] or y[2] <= x[1] for x, y in itertools.combinations(own, 2))
+        best = max(sum(score[s] for s in own) for n in range(4) for own in itertools.combinations(segments, n) if free(own))
+        assert abs(sum(score[s] for s in pii.decode(window, weights)) - best) < 1e-9
+
+
+def test_pii_email_matches_the_pattern():
+    rng = random.Random(1)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab.@-+ é1") for _ in range(rng.randint(0, 14)))
+        assert pii._emails(t) == [m.span() for m in pii.EMAIL.finditer(t)], t
+
+
+def test_pii_table(docs, none):
+    assert pii.personal_data(docs).count() == len(rows())
+    assert pii.personal_data(none).count() == 0
+
+
+def test_context_tree_base_model(docs, none):
+    tokens = [(i, text_of(t).encode().lower().split() + [None]) for i, t, _ in rows()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
+    got = context_tree.scores(docs).collect()
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+    assert context_tree.scores(none).count() == 0
+
+
+def _slow_tree(train, depth):
+    """Counts of every context and the weighted probability of its subtree, by recursion."""
+    count = collections.defaultdict(lambda: [0, 0])
+    children = collections.defaultdict(set)
+    for t in train:
+        s = b"\xff" * depth + t + b"\xff"
+        for i in range(depth, len(s)):
+            for bit in range(8):
+                prefix = (bit, s[i] >> (8 - bit))
+                for d in range(depth + 1):
+                    ctx = s[i - d : i]
+                    count[ctx, prefix][s[i] >> (7 - bit) & 1] += 1
+                    if d:
+                        children[ctx[1:], prefix].add(ctx)
+    return count, children
+
+
+def test_context_tree_against_recursion(spark):
+    import math
+
+    train = [b"abra cadabra", b"abra abra", b"cad"]
+    depth = 3
+    count, children = _slow_tree(train, depth)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(ctx, prefix):
+        own = kt(*count[ctx, prefix])
+        if len(ctx) == depth:
+            return own
+        return np.logaddexp(own, sum(weighted(c, prefix) for c in children[ctx, prefix])) - math.log(2)
+
+    def bit(ctx_full, prefix, one, d=0):
+        ctx = ctx_full[depth - d :]
+        if (ctx, prefix) not in count:
+            return None
+        n = count[ctx, prefix]
+        own = (n[one] + 0.5) / (sum(n) + 1)
+        if d == depth or (below := bit(ctx_full, prefix, one, d + 1)) is None:
+            return own
+        k, s = kt(*n), sum(weighted(c, prefix) for c in children[ctx, prefix])
+        stop = 1 / (1 + math.exp(min(700, s - k)))
+        return stop * own + (1 - stop) * below
+
+    def score(t):
+        s, out = b"\xff" * depth + t + b"\xff", 0.0
+        for i in range(depth, len(s)):
+            for b in range(8):
+                out += math.log10(bit(s[i - depth : i], (b, s[i] >> (8 - b)), s[i] >> (7 - b) & 1) or 0.5)
+        return out
+
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:3] + [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = [*train, b"abra zzz", b""]
+    df = exact_dedup.written(spark.createDataFrame([(i, t.decode()) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string"), "ctw")
+    got = {r["doc_id"]: r["score"] for r in context_tree.scores(df, depth).collect()}
+    for i, t in zip(ids, texts, strict=True):
+        assert got[i] == pytest.approx(score(t), rel=1e-9), t
+
+
+def test_license_templates():
+    m = licenses.compile_template("licensed under [[the [[old]] terms of]] {{name:2}} license [[version {{n:1|[0-9]+}}]]")
+    accepts = lambda s: m.match(licenses.words_of(s), 0) == len(licenses.words_of(s))
+    for s in ("Licensed under Foo License", "licensed under the terms of foo bar license, version 2", "licensed under the old terms of foo license"):
+        assert accepts(s), s
+    for s in ("licensed under license", "licensed under a b c license", "licensed under the foo of bar license", "licensed under foo license version two"):
+        assert not accepts(s), s
+
+
+def test_licenses_table(spark, none):
+    texts = [(1, "All rights reserved. CC-BY cc  by"), (2, None), (3, "This is the GNU General Public License"), (4, "Released under the MIT License."), (5, "ccby")]
+    got = {r["doc_id"]: r for r in licenses.licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (3, 0, 5, "cc-by,reserved")
+    assert (got[2]["n_words"], got[2]["first_word"], got[2]["labels"], got[2]["score"]) == (0, None, "", 0.0)
+    assert got[3]["base_labels"] == "gpl" and got[4]["labels"] == "mit" and got[4]["score"] == 1.0 and got[5]["n_base"] == 0
+    assert licenses.licenses(none).count() == 0
+
+
+def _check_packing(got, docs, capacity=1024):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.vocabulary_path())
+    coder.encode_special_tokens = True
+    want = collections.Counter()
+    for i, t in docs:
+        ids = np.array([*coder.encode(text_of(t), add_special_tokens=False).ids, 2], "<u4")
+        bounds = [0, len(ids)] if len(ids) <= capacity else [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+        for k, (a, b) in enumerate(itertools.pairwise(bounds)):
+            want[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    used = collections.defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in used.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return used
+
+
+def test_packing(docs, none):
+    _check_packing(packing.pack(docs).collect(), [(i, t) for i, t, _ in rows()])
+    assert packing.pack(none).count() == 0
+
+
+def test_packing_is_best_fit_decreasing():
+    rng = random.Random(2)
+    for _ in range(60):
+        counts = {rng.randint(1, 40): rng.randint(1, 30) for _ in range(rng.randint(1, 15))}
+        gaps, opened = [], 0
+        for length in sorted(counts, reverse=True):
+            for _ in range(counts[length]):
+                fit = [g for g in gaps if g >= length]
+                if fit:
+                    gaps.remove(min(fit))
+                    gaps.append(min(fit) - length)
+                else:
+                    gaps.append(40 - length)
+                    opened += 1
+        steps = packing.supersteps(counts, 40)
+        assert sum(s[2] for s in steps) == sum(counts.values())
+        assert max(s[3] + -(-s[2] // s[4]) for s in steps) == opened
+
+
+def test_special_strings_are_text():
+    from tokenizers import Tokenizer
+
+    coder, rng = Tokenizer.from_file(packing.vocabulary_path()), random.Random(1)
+    coder.encode_special_tokens = True
+    ids = packing.Ids(packing.vocabulary_path())
+    parts = [" ", "  ", " \n", "\n", " a", "b", "'s", "12", "é", "\t", "ß.", "!!", "<|endoftext|>", "日本", "\r\n"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert ids(t).tolist() == coder.encode(t, add_special_tokens=False).ids
+
+
+def test_exact_dedup(docs, none):
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows():
+        groups[text_of(t).encode().translate(None, exact_dedup.SPACE)].append((-len(text_of(t)), i is None, i or 0, i))
+    want = collections.Counter((g[3], min(own)[3], len(own), hashlib.sha256(norm).hexdigest()) for norm, own in groups.items() for g in own)
+    got = exact_dedup.exact_groups(docs).collect()
+    assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    assert sum(r["kept"] for r in got) == len(groups)
+    assert exact_dedup.exact_groups(none).count() == 0
+
+
+def test_radix_splits_hot_prefixes(spark):
+    texts = ["p" * 64 + ("q" * 256 if i % 2 else "") + str(i % 700) for i in range(2100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = exact_dedup.exact_groups(df).collect()
+    want = collections.Counter(texts)
+    assert all(r["group_size"] == want[texts[r["doc_id"]]] for r in got) and sum(r["kept"] for r in got) == len(want)
+
+
+def test_html():
+    model = html_extract.train(500)
+    page = "<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>More</a></li></ul></nav><div class='cookie-notice'><p>We use cookies on this site, as all do.</p></div><article><h1>Head &amp; line</h1><p>One <b>bold</b>\n word.<p>Second<br>line, with more text in it.</article><section id=comments><div class=comment><p>Great article, thanks.</p></div></section><form><label>Name</label><input></form><footer>&copy; 2020 someone</footer></body></html>"
+    assert html_extract.extract([page], model) == ["Head & line One bold word. Second line, with more text in it."]
+    assert html_extract.extract(["", "no markup at all", "<p", "<div></p></div><![CDATA[x"], model)[0] == ""
+    rng = random.Random(77)
+    import re
+
+    good = 0
+    for _ in range(100):
+        source = html_extract._compose(rng)
+        parsed = html_extract.Page(source)
+        want = parsed.text([bool(re.search(r"\sy$", a)) for a in parsed.attrs])
+        good += want == html_extract.extract([re.sub(r" y>", ">", source)], model)[0]
+    assert good >= 85
+
+
+def test_html_table(spark):
+    df = spark.createDataFrame([(1, "u", None), (None, None, "<article><p>Some text, here it is.</p></article>"), (2, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = html_extract.main_text(df, html_extract.train(200)).collect()
+    assert len(got) == 3 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert html_extract.main_text(df.limit(0), html_extract.train(50)).count() == 0
+
+
+def test_toxicity(spark, docs, none):
+    assert toxicity.fold("You 1D10T!! Іdiоt wоrth1ess—x") == toxicity.fold("you idiot idiot worthless x") == " you idiot idiot worthiess x "
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(5, 80)) + (" foulword" if i % 4 == 0 else " foulwordless town" if i % 9 == 1 else "") for i in range(600)]
+    lexicon = toxicity.learn(texts, [int(i % 4 == 0) for i in range(600)])
+    score = lambda t: lexicon.score(toxicity.fold(t))
+    assert score("what a F0ulw0rd this is") > 0.5 > score("the town of foulwordless town") and score("") < 0.5
+    assert toxicity.toxicity(docs, lexicon).count() == len(rows()) and toxicity.toxicity(none, lexicon).count() == 0
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels.limit(0)).entries == {}
+    toxicity.train(docs, labels)
+
+
+def _multiset(t):
+    ws = text_of(t).encode().lower().split()
+    return collections.Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else collections.Counter()
+
+
+def test_near_dedup(docs, none):
+    got = near_dedup.near_duplicates(docs).collect()
+    all_rows = rows()
+    sets, parent = [_multiset(t) for _, t, _ in all_rows], list(range(len(all_rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(all_rows)), 2):
+        either = sum((sets[a] | sets[b]).values())
+        if (not either) or sum((sets[a] & sets[b]).values()) / either >= 0.8:
+            parent[root(a)] = root(b)
+    classes = collections.defaultdict(list)
+    for i, (doc_id, _, _) in enumerate(all_rows):
+        classes[root(i)].append(doc_id)
+    least = lambda ids: min(ids, key=lambda i: (i is None, i or 0))
+    assert collections.Counter((r["doc_id"], r["class_id"]) for r in got) == collections.Counter((i, least(ids)) for ids in classes.values() for i in ids)
+    assert sum(r["kept"] for r in got) == len(classes)
+    assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_near_dedup_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(1300):  # more than a group of two blocks holds
+        t = list(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += [prose(rng, 50) for _ in range(50)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(1300)} == {0} and len({got[i] for i in range(1300, 1350)}) == 50
+
+
+def test_linked_equals_pairs():
+    rng = np.random.default_rng(5)
+    units = [np.unique(rng.integers(0, 60, rng.integers(3, 50))) for _ in range(60)]
+    want = {(i, j) for i, j in itertools.combinations(range(60), 2) if len(np.intersect1d(units[i], units[j])) >= 0.5 * len(np.union1d(units[i], units[j]))}
+    parent = list(range(60))
+
+    def root(p, i):
+        while p[i] != i:
+            i = p[i]
+        return i
+
+    for i, j in want:
+        parent[root(parent, i)] = root(parent, j)
+    own = list(range(60))
+    for i, j in near_dedup.linked(units, 0.5):
+        own[root(own, i)] = root(own, j)
+    same = lambda p: {(i, j) for i, j in itertools.combinations(range(60), 2) if root(p, i) == root(p, j)}
+    assert same(own) == same(parent)
+
+
+def test_dart_signatures_estimate_weighted_jaccard():
+    rng = random.Random(6)
+    a = [rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(800)]
+    b = a[:700] + [f"z{i}" for i in range(100)]
+    units, bounds = near_dedup.elements([" ".join(a).encode(), " ".join(b).encode()])
+    signed = near_dedup.signatures(units, bounds, 2000)
+    true = near_dedup.similarities([" ".join(a).encode()], [" ".join(b).encode()])[0] if hasattr(near_dedup, "similarities") else sum((_multiset(" ".join(a)) & _multiset(" ".join(b))).values()) / sum((_multiset(" ".join(a)) | _multiset(" ".join(b))).values())
+    assert abs((signed[0] == signed[1]).mean() - true) < 0.05
+
+
+def test_mix(docs, none):
+    got = mixing.mix(docs).collect()
+    size = lambda t: len(text_of(t).encode().split())
+    per = collections.Counter()
+    for _, t, s in rows():
+        per[s] += size(t)
+    total, sources = sum(per.values()), sorted(per, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
+    full, target = set(), {}
+    while True:
+        rest = total - sum(3 * per[s] for s in full)
+        among = sum(weight[s] for s in sources if s not in full)
+        target = {s: 3 * per[s] if s in full else rest * weight[s] / among for s in sources}
+        if not (over := {s for s in sources if target[s] > 3 * per[s]}):
+            break
+        full |= over
+    taken = collections.Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == per[r["source"]] and 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sources) and len(got) == len(rows())
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
+    assert mixing.mix(none).count() == 0

@@ -1,0 +1,52 @@
+"""Registered queries against their SQL, and the pipeline against a plain version of its stages."""
+
+import collections
+import importlib
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from ledgerloom.llm import exact_dedup, registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_sql(spark, name):
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = registry.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    want = db.execute(f"select {', '.join(columns)} from ({registry.SQL[name]})").fetchall()
+    assert collections.Counter(map(repr, map(tuple, df.select(*columns).collect()))) == collections.Counter(map(repr, want))
+
+
+def test_entry_lists_all():
+    entry = importlib.import_module("__spark_entry__")
+    names = entry.queries()
+    assert set(registry.QUERIES) < set(names) and "pipeline" in names and [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 11))
+    assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = exact_dedup.written(stage(spark, docs, SF), f"test-{name}")
+        counts.append(docs.count())
+        if name != "best_fit_packing":
+            assert docs.columns == first.columns
+        rows = docs.collect()
+        if name == "exact_dedup":
+            norms = lambda df: {r["text"].encode().translate(None, exact_dedup.SPACE) for r in df.collect()}
+            assert norms(docs) == norms(before) and len(rows) == len(norms(before))
+        if name == "near_dedup":
+            kept = {r["doc_id"] for r in rows}
+            assert kept <= {r["doc_id"] for r in before.collect()} and len(kept) == len(rows)
+        if name == "mix_sources":
+            own = lambda df: sum(len(r["text"].encode().split()) for r in df.collect())
+            assert abs(own(docs) - own(before)) < 0.1 * own(before)
+    assert counts[0] > 150 and counts[0] >= counts[1] >= counts[2] > 0
