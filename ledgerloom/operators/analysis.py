@@ -42,9 +42,10 @@ def highlight(counts: DataFrame, row: str, column: str, name: str = "n") -> Data
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """A10: bin (from 0), n; equal widths between the least and greatest value, the last bin closed. One value: bin 0."""
     ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    at = F.least(F.floor(F.try_divide((F.col(column) - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(bins - 1))
+    part = F.coalesce(F.try_divide((F.col(column) - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))
+    at = F.least(F.floor(part), F.lit(bins - 1))
     # The ends are one row.
-    return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def shuffled(seed: int, *keys: str):

@@ -328,7 +328,7 @@ def missing_subtopics(s, d):
     return names.exceptAll(S.topics(s, d).select("kw_topic1").distinct())
 
 
-@query(f"WITH {S.TOPIC}, e AS (SELECT min(esg_score) AS lo, max(esg_score) AS hi FROM esg) SELECT coalesce(least(floor(CASE WHEN hi > lo THEN (esg_score - lo) * 10 / (hi - lo) END), 9), 0)::INT AS bin, count(*) AS n FROM esg, e WHERE esg_score IS NOT NULL GROUP BY 1")
+@query(f"WITH {S.TOPIC}, e AS (SELECT min(esg_score) AS lo, max(esg_score) AS hi FROM esg) SELECT least(floor(CASE WHEN hi > lo THEN (esg_score - lo) * 10 / (hi - lo) ELSE 0 END), 9)::INT AS bin, count(*) AS n FROM esg, e WHERE esg_score IS NOT NULL GROUP BY 1")
 def score_histogram(s, d):
     return A.histogram(S.esg(S.sents(s, d)), "esg_score")
 
