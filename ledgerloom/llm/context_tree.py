@@ -88,7 +88,7 @@ def _gather(depth: int):
                         k, n = _sum(keys)
                         sums.append((k, n if trained else np.zeros_like(n)))
             texts, flags, held = [], [], 0
-            if sum(len(k) for k, _ in sums[1:]) > max(1 << 20, len(sums[0][0])):
+            if sums and sum(len(k) for k, _ in sums[1:]) > max(1 << 20, len(sums[0][0])):
                 sums[:] = [_sum(np.concatenate([k for k, _ in sums]), np.concatenate([n for _, n in sums]))]
 
         def flush() -> pd.DataFrame:
