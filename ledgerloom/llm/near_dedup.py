@@ -221,16 +221,25 @@ def _link(similarity: float):
 def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (node, label) with the least label of the nodes that ``links`` (a, b) connect.
 
-    Every round each node takes the least label next to it; written after every round.
+    In every round each node takes the least label next to it; the node whose label it
+    gives up takes it as well (so what one member of a class learns, its head learns);
+    and then each takes the label that the node of its label has. Reach doubles, so that
+    chains of n links take some log2(n) rounds, not n. Written after every step.
     """
     ways = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-ways")
-    reached = written(nodes.join(ways.select(F.col("a").alias("node")).distinct(), "node"), "near-labels")
+    own = nodes.select("node", F.col("label").alias("own"))
+    reached = written(own.join(ways.select(F.col("a").alias("node")).distinct(), "node").withColumn("label", F.col("own")), "near-labels")
     while True:
         seen = ways.join(reached.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        after = written(reached.join(seen, reached["node"] == seen["a"]).select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")), "near-labels")
-        reached = after.select("node", "label")
-        if after.where("moved").isEmpty():
-            return reached
+        met = reached.join(seen, reached["node"] == seen["a"]).select("node", "own", F.col("label").alias("left"), F.least("label", "near").alias("label"))
+        met = written(met, "near-met")
+        if met.where("label < left").isEmpty():
+            return met.select("node", "label")
+        # A label is one node's own, so in both joins by label one side holds it once.
+        heads = met.where("label < left").groupBy(F.col("left").alias("own")).agg(F.min("label").alias("learned"))
+        led = written(met.join(heads, "own", "left").select("node", "own", F.least("label", "learned").alias("label")), "near-heads")
+        further = led.where("label < own").select(F.col("own").alias("label"), F.col("label").alias("beyond"))
+        reached = written(led.join(further, "label", "left").select("node", "own", F.coalesce("beyond", "label").alias("label")), "near-labels")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:

@@ -355,6 +355,19 @@ def test_near_dedup_large_group_of_near_copies(spark):
     assert {got[i] for i in range(1300)} == {0} and len({got[i] for i in range(1300, 1350)}) == 50
 
 
+def test_classes_of_chains_take_few_rounds(spark, monkeypatch):
+    rng, n = random.Random(8), 400
+    ids = list(range(n))
+    rng.shuffle(ids)
+    chains = [*itertools.pairwise(range(n)), *((n + a, n + b) for a, b in itertools.pairwise(ids))]
+    nodes = spark.createDataFrame([(str(i).encode(), (False, i, i)) for i in range(2 * n)], "node binary, label struct<none: boolean, doc_id: long, row: long>")
+    links = spark.createDataFrame([(str(a).encode(), str(b).encode()) for a, b in chains], "a binary, b binary")
+    steps = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: steps.append(name) or exact_dedup.written(df, name))
+    got = {int(r["node"]): r["label"]["doc_id"] for r in near_dedup.classes(nodes, links).collect()}
+    assert got == {i: i // n * n for i in range(2 * n)} and steps.count("near-labels") <= 12
+
+
 def test_linked_equals_pairs():
     rng = np.random.default_rng(5)
     units = [np.unique(rng.integers(0, 60, rng.integers(3, 50))) for _ in range(60)]
