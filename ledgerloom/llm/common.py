@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,13 @@ def parts(df: DataFrame) -> int:
 def documents(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """Only ``columns`` of ``docs``, a null text as an empty one. Other columns, whatever their names, go."""
     return docs.select(*(F.coalesce(F.col("text"), F.lit("")).alias("text") if isinstance(c, str) and c == "text" else c for c in columns))
+
+
+def exact_ids(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``df`` as pandas gets it: nulls of ``column`` as zeros and named by ``no_id``. (A null among whole numbers would turn all of them into floating ones.)"""
+    return df.withColumns({column: F.coalesce(F.col(column).cast("long"), F.lit(0)), "no_id": F.col(column).isNull()})
+
+
+def ids(batch: pd.DataFrame, column: str = "doc_id") -> pd.Series:
+    """The nullable whole numbers that ``exact_ids`` has passed."""
+    return batch[column].astype("Int64").mask(batch["no_id"])

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parts, table, written
+from .common import documents, exact_ids, ids, parts, table, written
 
 WIDTH, GROWTH = 64, 4
 #: White space that equality ignores.
@@ -60,35 +60,35 @@ def _best(rows: list[tuple]) -> tuple:
 def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
-    base, ids, numbers, texts, lengths, held = TaskContext.get().partitionId() << 33, [], [], [], [], 0
+    base, own_ids, numbers, texts, lengths, held = TaskContext.get().partitionId() << 33, [], [], [], [], 0
 
     def flush() -> pd.DataFrame:
         nonlocal base
-        rows: list = [None] * len(ids)
+        rows: list = [None] * len(own_ids)
         for own in radix_groups(texts):
-            best, leader = _best([(lengths[i], ids[i], base + i) for i in own]), own[0]
+            best, leader = _best([(lengths[i], own_ids[i], base + i) for i in own]), own[0]
             for i in own:
-                rows[i] = (base + i, base + leader, numbers[i], ids[i], lengths[i], None, None, None, None, None, None)
+                rows[i] = (base + i, base + leader, numbers[i], own_ids[i], lengths[i], None, None, None, None, None, None)
             norm = texts[leader]
-            rows[leader] = (base + leader, base + leader, numbers[leader], ids[leader], lengths[leader], len(own), *best, hashlib.sha256(norm).hexdigest(), norm)
-        base += len(ids)
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in LEADERS.split(", ")])
+            rows[leader] = (base + leader, base + leader, numbers[leader], own_ids[leader], lengths[leader], len(own), *best, hashlib.sha256(norm).hexdigest(), norm)
+        base += len(own_ids)
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in LEADERS.split(", ")], dtype=object)
         for c in ("doc_id", "size", "best_n", "best_id", "best_uid"):
             out[c] = out[c].astype("Int64")
         return out
 
     for batch in batches:
-        for doc_id, number, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["row"].tolist(), batch["text"], strict=True):
+        for doc_id, number, text in zip(ids(batch).tolist(), batch["row"].tolist(), batch["text"], strict=True):
             norm = text.encode().translate(None, SPACE)
-            ids.append(None if doc_id is pd.NA else doc_id)
+            own_ids.append(None if doc_id is pd.NA else doc_id)
             numbers.append(number)
             texts.append(norm)
             lengths.append(len(text))
             held += len(norm)
             if held >= BLOCK_BYTES:
                 yield flush()
-                ids, numbers, texts, lengths, held = [], [], [], [], 0
-    if ids:
+                own_ids, numbers, texts, lengths, held = [], [], [], [], 0
+    if own_ids:
         yield flush()
 
 
@@ -109,13 +109,13 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         distinct.clear()
 
     def out() -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=[c.split()[0] for c in GROUPS.split(", ")])
+        made = pd.DataFrame(rows, columns=[c.split()[0] for c in GROUPS.split(", ")], dtype=object)
         rows.clear()
         return made.assign(keep_id=made["keep_id"].astype("Int64"))
 
     for batch in batches:
-        ids = [None if i is pd.NA else i for i in batch["best_id"].astype("Int64").tolist()]
-        for k, norm, uid, size, n, i, u, sha in zip(batch["key"], batch["norm"], batch["uid"].tolist(), batch["size"].tolist(), batch["best_n"].tolist(), ids, batch["best_uid"].tolist(), batch["sha"], strict=True):
+        best_ids = [None if i is pd.NA else i for i in ids(batch, "best_id").tolist()]
+        for k, norm, uid, size, n, i, u, sha in zip(batch["key"], batch["norm"], batch["uid"].tolist(), batch["size"].tolist(), batch["best_n"].tolist(), best_ids, batch["best_uid"].tolist(), batch["sha"], strict=True):
             if k != key:
                 end()
                 key = k
@@ -158,10 +158,11 @@ def exact_groups(docs: DataFrame, row: str | None = None) -> DataFrame:
     Empty table: no rows. Other columns are not read.
     """
     rows = documents(docs, "doc_id", "text", F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"))
-    found = written(rows.mapInPandas(_leaders, LEADERS), "radix-leaders")
+    found = written(exact_ids(rows).mapInPandas(_leaders, LEADERS), "radix-leaders")
     n, leaders = parts(found), found.where("norm is not null")
     key = radix_key(leaders, n)
-    groups = leaders.withColumn("key", key).repartition(n, "key").sortWithinPartitions("key").select("key", "norm", "uid", "size", "best_n", "best_id", "best_uid", "sha").mapInPandas(_groups, GROUPS)
+    dealt = leaders.withColumn("key", key).repartition(n, "key").sortWithinPartitions("key").select("key", "norm", "uid", "size", "best_n", "best_id", "best_uid", "sha")
+    groups = exact_ids(dealt, "best_id").mapInPandas(_groups, GROUPS)
     return found.select("uid", "leader", "row", "doc_id").join(groups, "leader").select("row", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parts, table
+from .common import documents, exact_ids, ids, parts, table
 
 EXACT, ALIKE, WINDOW = 128, 512, 10
 #: Characters whose vectors are made at a time.
@@ -130,8 +130,8 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last = None  # bucket, doc_id, text of the row that still waits for its next
     for batch in batches:
         held = []
-        ids = [None if i is pd.NA else i for i in batch["doc_id"].astype("Int64").tolist()]
-        for bucket, guest, doc_id, text in zip(batch["bucket"].tolist(), batch["guest"].tolist(), ids, batch["text"], strict=True):
+        own = [None if i is pd.NA else i for i in ids(batch).tolist()]
+        for bucket, guest, doc_id, text in zip(batch["bucket"].tolist(), batch["guest"].tolist(), own, batch["text"], strict=True):
             if last is not None and last[0] == bucket:
                 held.append((last[1], last[2], text))
             last = None if guest else (bucket, doc_id, text)
@@ -170,7 +170,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     like any other. A single document is its own next. Empty table: no rows. Other columns are not read.
     """
     rows = chained(docs).repartition(parts(docs), "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "text")
-    return rows.select("bucket", "guest", "doc_id", "text").mapInPandas(_sweep, COLUMNS)
+    return exact_ids(rows.select("bucket", "guest", "doc_id", "text")).mapInPandas(_sweep, COLUMNS)
 
 
 def op1_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

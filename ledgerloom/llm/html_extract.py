@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import exact_ids, ids, table
 
 # HTML's own element lists.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -412,7 +412,7 @@ def _scan(model: Boosted):
             for at in range(0, len(batch), 200):
                 own = batch.iloc[at : at + 200]
                 texts = extract(own["html"].tolist(), model, known)
-                yield pd.DataFrame({"page_id": own["page_id"].astype("Int64"), "url": own["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+                yield pd.DataFrame({"page_id": ids(own, "page_id"), "url": own["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return run
 
@@ -425,7 +425,7 @@ def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     pass. Empty table: no rows. Other columns are not read.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInPandas(_scan(model or train()), COLUMNS)
+    return exact_ids(rows, "page_id").mapInPandas(_scan(model or train()), COLUMNS)
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

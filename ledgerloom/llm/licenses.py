@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, table
+from .common import documents, exact_ids, ids, table
 
 #: Bytes of words: digits, letters and all above ASCII; others part words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -213,7 +213,7 @@ def _scan(templates: dict[str, list[str]]):
         base = [(b" " + p.encode() + b" ", label) for p, label in BASE.items()]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], strict=True):
+            for doc_id, text in zip(ids(batch).tolist(), batch["text"], strict=True):
                 words = words_of(text)
                 line = b" " + b" ".join(words) + b" "
                 places = [(n, label) for phrase, label in base if phrase in line for n in _places(line, phrase)]
@@ -235,7 +235,7 @@ def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None) ->
     Null and empty texts have no words and no labels. Repeated rows and null ids
     pass. Empty table: no rows. Other columns are not read.
     """
-    return documents(docs, "doc_id", "text").mapInPandas(_scan(templates or TEMPLATES), COLUMNS)
+    return exact_ids(documents(docs, "doc_id", "text")).mapInPandas(_scan(templates or TEMPLATES), COLUMNS)
 
 
 def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parts, table, written
+from .common import documents, exact_ids, ids, parts, table, written
 from .hashing import MULT, STEP, mix, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -134,7 +134,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in _chunks([texts[i] for i in new]):
             for i, row in zip(new[a:b], bands(signatures(*elements([texts[i] for i in new[a:b]]))), strict=True):
                 keys[i] = row
-        yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "keys": keys})
+        yield pd.DataFrame({"row": batch["row"], "doc_id": ids(batch), "node": nodes, "keys": keys})
 
 
 def _normals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, row: str |
     Null and empty texts, and all without words, are one class. Empty table: no rows. Other columns are not read.
     """
     rows = documents(docs, "doc_id", "text", F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"))
-    signed = written(rows.mapInPandas(_sign, "row long, doc_id long, node binary, keys array<long>"), "near-signed")
+    signed = written(exact_ids(rows).mapInPandas(_sign, "row long, doc_id long, node binary, keys array<long>"), "near-signed")
     label = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = written(signed.groupBy("node").agg(F.min(label).alias("label")), "near-nodes")
     entries = signed.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, table, written
+from .common import documents, exact_ids, ids, table, written
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -71,11 +71,11 @@ def _pieces(capacity: int, end_id: int, path: str):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, block, seen = Ids(path), TaskContext.get().partitionId(), {}
+        code, block, seen = Ids(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], strict=True):
-                own = np.append(ids(text), np.array([end_id], "<u4")).astype("<u4").data
+            for doc_id, text in zip(ids(batch).tolist(), batch["text"], strict=True):
+                own = np.append(code(text), np.array([end_id], "<u4")).astype("<u4").data
                 n = len(own)
                 bounds = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -136,7 +136,7 @@ def _places(steps: list[tuple]):
                 inside = ranks[own] - step[:, 0]
                 sequence[own] = step[:, 2] + inside // step[:, 3]
                 offset[own] = step[:, 4] + inside % step[:, 3] * length
-            yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), sequence_id=sequence, offset=offset)[[c.split()[0] for c in PLACES.split(", ")]]
+            yield batch.assign(doc_id=ids(batch), sequence_id=sequence, offset=offset)[[c.split()[0] for c in PLACES.split(", ")]]
 
     return run
 
@@ -149,13 +149,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     Repeated rows and rows with the same or a null doc_id are separate documents.
     Empty table: no rows. Other columns are not read. ``path``: the vocabulary file.
     """
-    pieces = written(documents(docs, "doc_id", "text").mapInPandas(_pieces(capacity, end_id, path or vocabulary_path()), PIECES), "pack-pieces")
+    pieces = written(exact_ids(documents(docs, "doc_id", "text")).mapInPandas(_pieces(capacity, end_id, path or vocabulary_path()), PIECES), "pack-pieces")
     sums = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     counts = {int(r["length"]): int(r["n"]) for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before).drop("n")
     ranked = pieces.join(sums, ["length", "block"]).withColumn("rank", F.col("before") + F.col("nth"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(_places(supersteps(counts, capacity)), PLACES)
+    return exact_ids(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")).mapInPandas(_places(supersteps(counts, capacity)), PLACES)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

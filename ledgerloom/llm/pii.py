@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, table
+from .common import documents, exact_ids, ids, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -332,7 +332,7 @@ def _scan(weights: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"], strict=True):
+            for doc_id, text in zip(ids(batch).tolist(), batch["text"], strict=True):
                 base, added = find(text, weights)
                 counts = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
                 rows.append((doc_id, *counts, hashlib.sha256(_show(base).encode()).hexdigest(), _show(base + added), len(added)))
@@ -348,7 +348,7 @@ def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFra
     Spans are kind:start:end in code points, end exclusive. Null and empty texts have
     none. Repeated rows and null ids pass. Empty table: no rows. Other columns are not read.
     """
-    return documents(docs, "doc_id", "text").mapInPandas(_scan(train() if weights is None else weights), COLUMNS)
+    return exact_ids(documents(docs, "doc_id", "text")).mapInPandas(_scan(train() if weights is None else weights), COLUMNS)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,25 @@ def none(docs):
     return docs.limit(0)
 
 
+def test_large_ids_stay_whole_beside_null_ids(spark):
+    big = [(1 << 60) + i for i in range(4)] + [None]
+    df = exact_dedup.written(spark.createDataFrame([(i, "one same text of more than five words in all") for i in big], "doc_id long, text string").coalesce(1), "test-ids")
+    made = {
+        "fingerprints": fingerprints.fingerprints(df),
+        "pii": pii.personal_data(df, np.zeros((4, pii.FEATURES))),
+        "context_tree": context_tree.scores(df),
+        "licenses": licenses.licenses(df),
+        "packing": packing.pack(df),
+        "exact": exact_dedup.exact_groups(df),
+        "near": near_dedup.near_duplicates(df),
+        "pages": html_extract.main_text(df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>x</p>").alias("html")), html_extract.train(50)),
+    }
+    for name, out in made.items():
+        rows = out.collect()
+        assert {r["page_id" if name == "pages" else "doc_id"] for r in rows} == set(big) and len(rows) == len(big), name
+    assert {r["keep_id"] for r in made["exact"].collect()} == {big[0]} == {r["class_id"] for r in made["near"].collect()}
+
+
 def text_of(t):
     return t or ""
 
