@@ -162,10 +162,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> list[float]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0, ``sample`` rows at most."""
+    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0, ``sample`` rows at most; of an id given to several texts the least text."""
     ids = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) != 0)
     ids = ids.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "toxic").limit(sample)
-    rows = documents(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()  # `sample` rows, but for repeated ids
+    met = documents(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # `sample` rows at most
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return learn([r["text"] for r in rows], [r["toxic"] for r in rows])
 

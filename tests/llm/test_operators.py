@@ -319,7 +319,7 @@ def test_html_table(spark):
     assert html_extract.main_text(df.limit(0), html_extract.train(50)).count() == 0
 
 
-def test_toxicity(spark, docs, none):
+def test_toxicity(spark, docs, none, monkeypatch):
     assert toxicity.fold("You 1D10T!! Іdiоt wоrth1ess—x") == toxicity.fold("you idiot idiot worthless x") == " you idiot idiot worthiess x "
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(5, 80)) + (" foulword" if i % 4 == 0 else " foulwordless town" if i % 9 == 1 else "") for i in range(600)]
@@ -330,6 +330,10 @@ def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels.limit(0)).entries == {}
     toxicity.train(docs, labels)
+    sizes = []
+    monkeypatch.setattr(toxicity, "learn", lambda texts, toxic: sizes.append(len(texts)))
+    toxicity.train(docs.union(docs).union(docs.withColumn("text", F.lit("more"))), labels)
+    assert sizes == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))]
 
 
 def _multiset(t):
