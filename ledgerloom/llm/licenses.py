@@ -161,31 +161,40 @@ def compile_template(markup: str) -> Automaton:
     return m
 
 
+def _widest(parts: list) -> int:
+    """The most words that ``parts`` can take."""
+    return sum(1 if isinstance(p, bytes) else p[1] if p[0] == "var" else max(map(_widest, p[1])) for p in parts)
+
+
 class Templates:
-    """Compiled templates; each is tried only where its longest mandatory run of words stands."""
+    """Compiled templates; each is tried only where its longest mandatory run of words stands, from as far before it as the template can reach."""
 
     def __init__(self, templates: dict[str, list[str]]):
         self.all = []
         for label, markups in templates.items():
             for markup in markups:
-                runs, run = [], []
+                runs, run, reach = [], [], 0
                 for p in [*_parts(markup)[0], None]:
                     if isinstance(p, bytes):
                         run.append(p)
-                    elif run:
-                        runs.append(run)
+                        continue
+                    if run:
+                        runs.append((run, reach))
+                        reach += len(run)
                         run = []
-                self.all.append((label, compile_template(markup), b" " + b" ".join(max(runs, key=len)) + b" "))
+                    reach += _widest([p]) if p else 0
+                run, reach = max(runs, key=lambda x: len(x[0]))
+                self.all.append((label, compile_template(markup), b" " + b" ".join(run) + b" ", reach))
 
     def find(self, words: list[bytes], line: bytes) -> list[tuple[str, int, int]]:
         """(label, first word, end) of every match. ``line``: the words between single blanks."""
         out = []
-        for label, automaton, anchor in self.all:
+        for label, automaton, anchor, reach in self.all:
             if anchor not in line:
                 continue
             done = -1
             for place in _places(line, anchor):
-                for start in range(max(done, place - 24, 0), place + 1):
+                for start in range(max(done, place - reach, 0), place + 1):
                     if (end := automaton.match(words, start)) > place:
                         out.append((label, start, end))
                         done = end

@@ -207,6 +207,15 @@ def test_license_templates():
         assert not accepts(s), s
 
 
+def test_license_template_with_long_beginning():
+    found = licenses.Templates({"own": ["start {{holder:40}} [[of the [[very]] end|x]] with these fixed words here"]}).find
+    for n, tail in ((40, "of the very end"), (40, ""), (1, "x")):
+        words = licenses.words_of(f"before start {'w ' * n}{tail} with these fixed words here after")
+        assert found(words, b" " + b" ".join(words) + b" ") == [("own", 1, len(words) - 1)], (n, tail)
+    words = licenses.words_of(f"start {'w ' * 41} with these fixed words here")
+    assert found(words, b" " + b" ".join(words) + b" ") == []
+
+
 def test_licenses_table(spark, none):
     texts = [(1, "All rights reserved. CC-BY cc  by"), (2, None), (3, "This is the GNU General Public License"), (4, "Released under the MIT License."), (5, "ccby")]
     got = {r["doc_id"]: r for r in licenses.licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
