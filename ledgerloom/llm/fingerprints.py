@@ -15,11 +15,13 @@ subtracting its vector. The vector has two parts:
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, exact_ids, ids, parts, table
@@ -28,6 +30,8 @@ EXACT, ALIKE, WINDOW = 128, 512, 10
 #: Characters whose vectors are made at a time.
 CHUNK_CHARS = 1 << 20
 LOWEST = -(1 << 63)
+#: Ranges that ids are cut into, at most; their bounds and heads are what the driver holds.
+RANGES = 1 << 16
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -139,27 +143,38 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _rows(held)
 
 
+def _numbers(values: list[int | None]) -> Column:
+    """A constant array of longs."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are below ``key``: first among every ``step``-th of them, then among the ``step`` that follow."""
+    step = math.isqrt(len(bounds)) + 1
+    below = lambda of: F.aggregate(of, F.lit(0), lambda acc, x: acc + (key > x).cast("int"))
+    block = below(_numbers(bounds[step - 1 :: step])) * step
+    return block + below(F.slice(_numbers(bounds), block + 1, F.lit(step)))
+
+
 def chained(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, guest: documents in ranges of ids, each range with the first document of the next one as a guest.
 
-    Only bounds and heads of ranges reach the driver: four per partition.
+    Only bounds and heads of ranges reach the driver: four per partition, ``RANGES`` at most.
     """
     rows = documents(docs, "doc_id", "text").withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)))
-    n = 4 * parts(docs)
+    n = min(4 * parts(docs), RANGES)
     bounds = sorted(set(map(int, rows.where("doc_id is not null").select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))))
-    bucket = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda acc, x: acc + (F.col("key") > x).cast("int")) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", _place(F.col("key"), bounds) if bounds else F.lit(0))
     heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max("key").alias("head")).collect()}
-    order = sorted(heads, reverse=True)
+    if not heads:
+        return rows.withColumn("guest", F.lit(False))
     # The head of each range is a guest of the range above it, that of the highest one of the lowest.
-    hosts = {heads[b]: order[i - 1] for i, b in enumerate(order)}
-    pairs = [x for key, host in hosts.items() for x in (F.lit(key), F.lit(host))]
+    order = sorted(heads, reverse=True)
+    hosts = {b: order[i - 1] for i, b in enumerate(order)}
+    at = lambda of: F.get(_numbers([of.get(b) for b in range(order[0] + 1)]), F.col("bucket"))
     own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    if not pairs:
-        return rows.withColumn("guest", F.lit(False))
-    host = F.try_element_at(F.create_map(*pairs), F.col("key"))
-    guest = F.struct(host.alias("bucket"), F.lit(True).alias("guest"))
-    return rows.withColumn("at", F.explode(F.when(host.isNull(), F.array(own)).otherwise(F.array(own, guest)))).select("doc_id", "text", "key", "at.*")
+    guest = F.struct(at(hosts).cast("int").alias("bucket"), F.lit(True).alias("guest"))
+    return rows.withColumn("at", F.explode(F.when(F.col("key") == at(heads), F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", "text", "key", "at.*")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -83,6 +83,15 @@ def test_fingerprints(docs, none):
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_fingerprint_ranges(spark):
+    rng = random.Random(5)
+    for n in (1, 2, 3, 7, 50, 1000):
+        bounds = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)})
+        keys = [fingerprints.LOWEST, *bounds, *(b + 1 for b in bounds), *(b - 1 for b in bounds)]
+        got = spark.createDataFrame([(k,) for k in keys], "key long").select("key", fingerprints._place(F.col("key"), bounds).alias("b")).collect()
+        assert all(r["b"] == sum(b < r["key"] for b in bounds) for r in got)
+
+
 def test_fingerprint_is_a_multiset_sum():
     a, b, c = "first line of text\nsecond line here\nthird", "third\nfirst line of text\nsecond line here", "first line of text\nthird"
     va, vb, vc, line = (fingerprints.vectors([t]) for t in (a, b, c, "second line here"))
