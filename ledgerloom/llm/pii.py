@@ -8,8 +8,8 @@ learned here, by the gradient of the log-likelihood (forward-backward over the s
 segments), from sentences composed by rule with entities written in many ways and
 with look-alikes that are none (order numbers, dates, versions, hashes).
 
-What the rules find stays as it is; the field runs around digits and mail-like
-words elsewhere and adds what the rules can't see: mail written with "at" and
+What the rules find stays as it is; the field runs over every stretch between that
+holds digits or mail-like words and adds what the rules can't see: mail written with "at" and
 "dot", phone numbers without a plus sign, addresses with bracketed dots, cards
 with other separators.
 """
@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 LONGEST = 24
 _ATOM = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_|\s+")
 _TRIGGER = re.compile(r"@|\d[\d\s().\[\]/-]{4,}\d|(?i:[\[(]\s*at\s*[\])]|\bat\b.{1,40}\bdot\b)")
-_MAIL = re.compile(r"(?i)[a-z0-9][a-z0-9._%+-]*\s*(@|[\[(]\s*at\s*[\])]|\sat\s)\s*[a-z0-9-]+(\s*(\.|[\[(]\s*dot\s*[\])]|\sdot\s)\s*[a-z0-9-]+)+")
+_MAIL = re.compile(r"(?i)(?<![a-z0-9._%+-])[._%+-]*+([a-z0-9][a-z0-9._%+-]*+\s*+(?:@|[\[(]\s*at\s*[\])]|(?<=\s)at\s))\s*[a-z0-9-]+(\s*(\.|[\[(]\s*dot\s*[\])]|\sdot\s)\s*[a-z0-9-]+)+")
 _NUMBER = re.compile(r"[+(]?\d[\d\s().\[\]/-]*\d")
 _CUES = [
     re.compile(r"(?i)\b(e-?mail|mail|contact|write|reach)\b"),
@@ -104,10 +104,13 @@ FEATURES = 34
 def candidates(window: str) -> list[tuple[int, int, int]]:
     """(kind, start, end): every segment that could be an entity of the kind, before any is scored."""
     out = set()
-    for m in _MAIL.finditer(window):
+    m = _MAIL.search(window)
+    while m:
         parts = [x.end() for x in re.finditer(r"[A-Za-z0-9-]+", m[0])]
-        split = m.end(1) - m.start()
-        out.update((0, m.start(), m.start() + p) for p in parts[-6:] if p > split and re.search(r"\.|dot", m[0][split:p]))
+        first, split = m.start(1), m.end(1) - m.start()
+        out.update((0, first, m.start() + p) for p in parts[-6:] if p > split and re.search(r"\.|dot", m[0][split:p]))
+        # What follows an at-sign may be the name before the next one.
+        m = _MAIL.search(window, m.end(1))
     for m in _NUMBER.finditer(window):
         groups = [(g.start() + m.start(), g.end() + m.start()) for g in re.finditer(r"\d+", m[0])]
         if sum(b - a for a, b in groups) < 4 or (m.start() and window[m.start() - 1].isalnum()) or window[m.end() : m.end() + 1].isalnum():
@@ -175,9 +178,13 @@ def span_features(window: str, kind: int, start: int, end: int) -> np.ndarray:
 
 
 def _lattice(window: str, segments: list[tuple[int, int, int]]) -> tuple[list[int], list[list[int]]]:
-    """Atom bounds, and for every bound the segments that end there and span at most ``LONGEST`` atoms."""
-    bounds = [0, *(m.end() for m in _ATOM.finditer(window))]
-    bounds = sorted({*bounds, *(s[1] for s in segments), *(s[2] for s in segments)})
+    """Bounds of atoms that segments cover, and for every bound the segments that end there and span at most ``LONGEST`` atoms."""
+    edges, at = {0, *(s[1] for s in segments), *(s[2] for s in segments)}, 0
+    for _, a, b in sorted(segments, key=lambda s: s[1]):
+        for m in _ATOM.finditer(window, max(a, at), max(b, at)):
+            edges.add(m.end())
+        at = max(at, b)
+    bounds = sorted(edges)
     place = {b: i for i, b in enumerate(bounds)}
     ends: list[list[int]] = [[] for _ in bounds]
     for k, (_, a, b) in enumerate(segments):
@@ -298,26 +305,12 @@ def train(n: int = 900, rounds: int = 12, rate: float = 0.5, penalty: float = 1e
 def find(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The spans of the rules, and those of the field that overlap none of them."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    added, done = [], 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() < done or any(a < m.end() and m.start() < b for a, b in taken):
-            continue
-        start, end = max(done, m.start() - 60), min(len(text), m.end() + 60)
-        # Windows end at blanks, never inside a word, and never reach into what the rules have found.
-        for a, b in taken:
-            if b <= m.start():
-                start = max(start, b)
-            elif a >= m.end():
-                end = min(end, a)
-        while start > done and not text[start - 1].isspace() and not any(a <= start - 1 < b for a, b in taken):
-            start -= 1
-        while end < len(text) and not text[end].isspace() and not any(a <= end < b for a, b in taken):
-            end += 1
-        for kind, a, b in decode(text[start:end], weights):
-            added.append((kind, start + a, start + b))
-            done = max(done, start + b)
-        done = max(done, m.end())
+    added, at = [], 0
+    # Every stretch between what the rules have found is read whole, as a text of its own.
+    for start, end in [*sorted((a, b) for _, a, b in base), (len(text), len(text))]:
+        if at < start and _TRIGGER.search(stretch := text[at:start]):
+            added += [(kind, at + a, at + b) for kind, a, b in decode(stretch, weights)]
+        at = max(at, end)
     return base, added
 
 

@@ -113,6 +113,19 @@ def test_pii_base_rules_and_field():
     assert good >= 285
 
 
+def test_pii_field_reads_what_stands_beside_the_rules():
+    weights = pii.train()
+    shown = lambda text: [(pii.KINDS[k], text[a:b]) for own in pii.find(text, weights) for k, a, b in own]
+    assert shown("+1 555 123 4567\n555-987-6543") == [("phone", "+1 555 123 4567"), ("phone", "555-987-6543")]
+    assert shown("host 10.0.0.1 (555) 123-4567") == [("ip", "10.0.0.1"), ("phone", "(555) 123-4567")]
+    assert shown("10.0.0.1 - 192[.]168[.]0[.]1") == [("ip", "10.0.0.1"), ("ip", "192[.]168[.]0[.]1")]
+    column = "555-987-6543\n10.0.0.1\n555-222-3333\n10.0.0.2\n192[.]168[.]0[.]1"
+    assert shown(column) == [("ip", "10.0.0.1"), ("ip", "10.0.0.2"), ("phone", "555-987-6543"), ("phone", "555-222-3333"), ("ip", "192[.]168[.]0[.]1")]
+    # Every text is read as one: an entity is met wherever it stands.
+    far = "call (555) 234-5678 " + "now and " * 40 + "call (555) 234-5679 now"
+    assert len(shown(far)) == 2
+
+
 def test_pii_best_path_is_the_best_of_all_paths():
     weights = pii.train(60, 3)
     for window, _ in pii.examples(40, 5):
