@@ -17,6 +17,7 @@ with other separators.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -90,6 +91,7 @@ LONGEST = 24
 _ATOM = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_|\s+")
 _TRIGGER = re.compile(r"@|\d[\d\s().\[\]/-]{4,}\d|(?i:[\[(]\s*at\s*[\])]|\bat\b.{1,40}\bdot\b)")
 _MAIL = re.compile(r"(?i)(?<![a-z0-9._%+-])[._%+-]*+([a-z0-9][a-z0-9._%+-]*+\s*+(?:@|[\[(]\s*at\s*[\])]|(?<=\s)at\s))\s*[a-z0-9-]+(\s*(\.|[\[(]\s*dot\s*[\])]|\sdot\s)\s*[a-z0-9-]+)+")
+_PART = re.compile(r"[A-Za-z0-9-]+")
 _NUMBER = re.compile(r"[+(]?\d[\d\s().\[\]/-]*\d")
 _CUES = [
     re.compile(r"(?i)\b(e-?mail|mail|contact|write|reach)\b"),
@@ -106,9 +108,11 @@ def candidates(window: str) -> list[tuple[int, int, int]]:
     out = set()
     m = _MAIL.search(window)
     while m:
-        parts = [x.end() for x in re.finditer(r"[A-Za-z0-9-]+", m[0])]
-        first, split = m.start(1), m.end(1) - m.start()
-        out.update((0, first, m.start() + p) for p in parts[-6:] if p > split and re.search(r"\.|dot", m[0][split:p]))
+        first, split = m.start(1), m.end(1)
+        # Every word after the at-sign may be the last, as far as an entity reaches.
+        reach = max((x.end() for x in itertools.islice(_ATOM.finditer(window, first), 2 * LONGEST)), default=first)
+        parts = [x.end() for x in _PART.finditer(window, split, m.end()) if x.end() <= reach]
+        out.update((0, first, p) for p in parts if re.search(r"(?i)\.|dot", window[split:p]))
         # What follows an at-sign may be the name before the next one.
         m = _MAIL.search(window, m.end(1))
     for m in _NUMBER.finditer(window):

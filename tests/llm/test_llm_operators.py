@@ -126,6 +126,17 @@ def test_pii_field_reads_what_stands_beside_the_rules():
     assert len(shown(far)) == 2
 
 
+def test_pii_mail_may_end_at_every_word():
+    weights, mail = pii.train(), "bob [at] foo [dot] com"
+    for after in (". Yes. No. Fine. Ok. Good. Then", ". Yes. No. Fine. Ok. Good. Then. So. It. Goes. On. And. On" * 9):
+        assert (0, 0, len(mail)) in pii.candidates(mail + after)
+        assert pii.find(mail + after, weights)[1] == [(0, 0, len(mail))]
+    assert pii.find(mail.upper(), weights)[1] == [(0, 0, len(mail))]
+    # Ends are counted from the start of the address, and none lies inside a word.
+    own = pii.candidates("bob [at] " + "foo-bar. " * 500)
+    assert len(own) == 7 and all(b % 9 == 7 for _, _, b in own)
+
+
 def test_pii_best_path_is_the_best_of_all_paths():
     weights = pii.train(60, 3)
     for window, _ in pii.examples(40, 5):
