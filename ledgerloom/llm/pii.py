@@ -8,8 +8,8 @@ learned here, by the gradient of the log-likelihood (forward-backward over the s
 segments), from sentences composed by rule with entities written in many ways and
 with look-alikes that are none (order numbers, dates, versions, hashes).
 
-What the rules find stays as it is; the field runs over every stretch between that
-holds digits or mail-like words and adds what the rules can't see: mail written with "at" and
+What the rules find stays as it is; the field runs over every stretch between
+and adds what the rules can't see: mail written with "at" and
 "dot", phone numbers without a plus sign, addresses with bracketed dots, cards
 with other separators.
 """
@@ -89,7 +89,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Atoms that an entity has at most.
 LONGEST = 24
 _ATOM = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_|\s+")
-_TRIGGER = re.compile(r"@|\d[\d\s().\[\]/-]{4,}\d|(?i:[\[(]\s*at\s*[\])]|\bat\b.{1,40}\bdot\b)")
 _MAIL = re.compile(r"(?i)(?<![a-z0-9._%+-])[._%+-]*+([a-z0-9][a-z0-9._%+-]*+\s*+(?:@|[\[(]\s*at\s*[\])]|(?<=\s)at\s))\s*[a-z0-9-]+(\s*(\.|[\[(]\s*dot\s*[\])]|\sdot\s)\s*[a-z0-9-]+)+")
 _PART = re.compile(r"[A-Za-z0-9-]+")
 _NUMBER = re.compile(r"[+(]?\d[\d\s().\[\]/-]*\d")
@@ -100,7 +99,7 @@ _CUES = [
     re.compile(r"(?i)\b(phone|tel|call|fax|mobile|cell|dial)\b"),
     re.compile(r"(?i)\b(order|invoice|isbn|version|date|page|no|nr|id|ref|build|token|hash)\b"),
 ]
-FEATURES = 34
+FEATURES = 35
 
 
 def candidates(window: str) -> list[tuple[int, int, int]]:
@@ -174,9 +173,10 @@ def span_features(window: str, kind: int, start: int, end: int) -> np.ndarray:
         f[27] = "@" in s
         f[28] = bool(re.search(r"(?i)[\[(]\s*at\s*[\])]", s))
         f[29] = bool(re.search(r"(?i)[\[(]\s*dot\s*[\])]|\sdot\s", s))
-        f[30] = bool(re.search(r"(?i)(com|org|net|edu|io|de|fr|es|uk|info|eu)$", s))
+        f[30] = bool(re.search(r"(?i)(\.|dot\s*[\])]?)\s*(com|org|net|edu|io|de|fr|es|uk|info|eu)$", s))
         f[31] = len(re.split(r"\W+", s)[-1]) > 6 or bool(re.search(r"\d$", s))
         f[32] = bool(re.search(r"(?i)(\.|[\[(]?\s*dot\s*[\])]?)\s*(com|org|net|edu|io|de|fr|es|uk|info|eu)\b.+", s))
+        f[34] = bool(re.search(r"\w\.\s", s))  # a sentence ends
     f[33] = sum(len(g) for g in groups) == len(s)
     return f
 
@@ -264,7 +264,7 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, set[tuple[int, int, int]]
         kind, s = None, ""
         if what <= 1:
             kind, cue = 0, rng.choice(["mail", "contact", "write to", "", ""])
-            at, dot = rng.choice([("@", "."), ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", "."), (" at ", " dot "), ("(at)", "(dot)"), (" @ ", ".")])
+            at, dot = rng.choice([("@", "."), ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", "."), (" at ", " dot "), (" at ", "."), ("(at)", "(dot)"), (" @ ", ".")])
             s = f"{name()}{rng.choice(['', '.', '_'])}{name()}{at}{name()}{dot}{rng.choice(_ENDINGS)}"
         elif what <= 3:
             kind, cue = 1, rng.choice(["host", "ip", "server", "", "", ""])
@@ -278,7 +278,7 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, set[tuple[int, int, int]]
         else:
             cue = rng.choice(["order", "invoice", "isbn", "version", "date", "page", "ref", "", "", "", ""])
             s = rng.choice(
-                [num(rng.randint(4, 12)), f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/20{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(1)}.{num(2)}", f"{num(1)}.{num(1)}.{num(1)}.{num(2)}.{num(1)}", f"{num(3)} {num(3)}", f"{num(4)} - {num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(16)}", f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{num(3)}.{rng.randint(256, 999)}.{num(3)}.{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"{name()} at {name()}.", f"{name()} at the {name()}. {name()}", f"{num(2)}.{num(3)},{num(2)}", f"{num(1)} {num(2)} {num(3)} {num(1)}", f"{num(5)}.{num(6)}"]
+                [num(rng.randint(4, 12)), f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/20{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(1)}.{num(2)}", f"{num(1)}.{num(1)}.{num(1)}.{num(2)}.{num(1)}", f"{num(3)} {num(3)}", f"{num(4)} - {num(4)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(16)}", f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{num(3)}.{rng.randint(256, 999)}.{num(3)}.{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"{name()} at {name()}.", f"{name()} at the {name()}. {name()}", f"{name()} at {name()}. {rng.choice(_ENDINGS).title()}", f"{name()} at {name()}.{rng.choice(['html', 'txt', 'py', 'jpg'])}", f"{name()} at {num(2)}.{num(2)}", f"{num(2)}.{num(3)},{num(2)}", f"{num(1)} {num(2)} {num(3)} {num(1)}", f"{num(5)}.{num(6)}"]
             )
             d = _digits(s)
             if len(d) == 16 and luhn(d):
@@ -312,8 +312,8 @@ def find(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], li
     added, at = [], 0
     # Every stretch between what the rules have found is read whole, as a text of its own.
     for start, end in [*sorted((a, b) for _, a, b in base), (len(text), len(text))]:
-        if at < start and _TRIGGER.search(stretch := text[at:start]):
-            added += [(kind, at + a, at + b) for kind, a, b in decode(stretch, weights)]
+        if at < start:
+            added += [(kind, at + a, at + b) for kind, a, b in decode(text[at:start], weights)]
         at = max(at, end)
     return base, added
 

@@ -137,6 +137,14 @@ def test_pii_mail_may_end_at_every_word():
     assert len(own) == 7 and all(b % 9 == 7 for _, _, b in own)
 
 
+def test_pii_field_needs_no_trigger():
+    weights = pii.train()
+    for s in ("bob at example.com", "bob at mail.example.org", "bob at\nexample dot com"):
+        assert pii.find(f"write to {s} today", weights)[1] == [(0, 9, 9 + len(s))], s
+    for s in ("call me at home. Es ist", "we met at noon. Com", "was hend at anerhe. Eres this", "the file at index.html is", "go to x at 10.30 today"):
+        assert pii.find(s, weights)[1] == [], s
+
+
 def test_pii_best_path_is_the_best_of_all_paths():
     weights = pii.train(60, 3)
     for window, _ in pii.examples(40, 5):
