@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import documents, table
 
 #: Labelled rows that the lexicon is learned from, at most: those of the smallest hashed ids.
-SAMPLE = 5000
+SAMPLE = 8000
 
 # Letters that look like others, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -104,10 +104,9 @@ class Lexicon:
 def learn(texts: list[str], toxic: list[int], gain: float = 25.0, ratio: float = 3.0, support: int = 4) -> Lexicon:
     """The lexicon of labelled texts: entries are taken greedily by their gain in likelihood."""
     folded = [fold(t) for t in texts]
-    words = [set(f.split()) for f in folded]
     counts = [Counter(), Counter()]
-    for own, y in zip(words, toxic, strict=True):
-        counts[bool(y)].update(own)
+    for f, y in zip(folded, toxic, strict=True):
+        counts[bool(y)].update(set(f.split()))
     clean, bad = (sum(c.values()) + 1 for c in counts)
     of: dict[str, list[str]] = {}
     for w in counts[1]:

@@ -391,6 +391,15 @@ def _multiset(t):
     return collections.Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else collections.Counter()
 
 
+def test_toxicity_learns_from_all_of_several_thousand_labels(spark, monkeypatch):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    met = []
+    monkeypatch.setattr(toxicity, "learn", lambda texts, toxic: met.extend(texts))
+    toxicity.train(docs, labels)
+    assert collections.Counter(met) == collections.Counter(f"text {i}" for i in range(9000) if zlib.crc32(str(i).encode()) % 5) and len(met) > 5000
+
+
 def test_near_dedup(docs, none):
     got = near_dedup.near_duplicates(docs).collect()
     all_rows = rows()
