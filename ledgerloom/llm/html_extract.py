@@ -67,13 +67,17 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]  # open elements, each with its block
-        at, links = 0, 0
+        at, links, loose = 0, 0, 0
         find = _TOKEN.search
         while True:
             m = find(source, at)
             text = source[at : m.start()] if m else source[at:]
             if text:
-                self._text(stack[-1][1], text, links)
+                inside = stack[-1][1]
+                if not inside and not text.isspace():
+                    # Text in no block is in a paragraph of its own, up to the next block.
+                    loose = loose or self._block("p", 0, "")
+                self._text(inside or loose, text, links)
             if not m:
                 return
             at = m.end()
@@ -116,18 +120,21 @@ class Page:
                         break
                 elif t not in INLINE and (not closing or t in SCOPES[name]):
                     break
-            block = len(self.tags)
-            parent = stack[-1][1]
-            self.tags.append(name)
-            self.parents.append(parent)
-            self.attrs.append(m[3])
-            self.depths.append(self.depths[parent] + 1)
-            self.own.append(0)
-            self.linked.append(0)
-            self.stops.append(0)
-            self.pieces.append((block, " "))
+            block, loose = self._block(name, stack[-1][1], m[3]), 0
             stack.append((name, block))
 
+    def _block(self, name: str, parent: int, attrs: str) -> int:
+        block = len(self.tags)
+        self.tags.append(name)
+        self.parents.append(parent)
+        self.attrs.append(attrs)
+        self.depths.append(self.depths[parent] + 1)
+        self.own.append(0)
+        self.linked.append(0)
+        self.stops.append(0)
+        self.pieces.append((block, " "))
+        return block
+
     def _text(self, block: int, text: str, links: int) -> None:
         self.pieces.append((block, text))
         n = len(text) - text.count(" ") if len(text) < 200 else len(text) * 5 // 6
@@ -364,6 +371,11 @@ def _compose(rng: random.Random) -> str:
                 out += "<table y>" + "".join(f"<tr y><td y>{words(1, 3)}</td><td y>{words(1, 5)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
         return out
 
+    if rng.random() < 0.08:  # no box at all: text alone, in the body or in nothing, perhaps below a menu
+        own = "".join(f"<p y>{prose()}{maybe(' ' + link() + '.', 0.2)}</p>" for _ in range(rng.randint(1, 4)))
+        menu = maybe(f"<nav>{links()}</nav>", 0.2)
+        return rng.choice([menu + own, f"<html><body>{menu}{own}</body></html>", f"<body y>{rng.choice([prose(), words(1, 8)])}{maybe('<br>' + prose())}</body>", f"<p y>{words(1, 8)}</p>"])
+
     box = rng.choice(["article", "article", "article", "article", "main", 'div class="content"', 'div class="post-body"', 'div id="article"', 'section class="story"', 'div class="entry-content"', "div"])
     body = f"<{box} y>{content()}</{box.split()[0]}>"
     if rng.random() < 0.4:
@@ -375,7 +387,7 @@ def _compose(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{head}{body}{foot}</body></html>"
 
 
-def train(pages: int = 900, seed: int = 11) -> Boosted:
+def train(pages: int = 1000, seed: int = 11) -> Boosted:
     """Trees learned from ``pages`` composed pages."""
     rng, known = random.Random(seed), {}
     xs, ys = [], []
@@ -420,7 +432,10 @@ def _scan(model: Boosted):
 def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """One row per page: page_id, url, text (empty if there is none), n_chars.
 
-    Null and empty html give an empty text. Unclosed and unmatched tags, and html cut
+    Null and empty html give an empty text. Text that stands in no block element is
+    read as a paragraph of its own. The content of script, style, noscript, template,
+    textarea, title, iframe, svg, math, object, canvas, audio, video and select is
+    dropped wherever it stands, in articles as well, and so are comments and CDATA. Unclosed and unmatched tags, and html cut
     off anywhere, are parsed as far as they go. Repeated rows and null ids or urls
     pass. Empty table: no rows. Other columns are not read.
     """

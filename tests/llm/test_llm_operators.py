@@ -362,6 +362,15 @@ def test_html():
     assert good >= 85
 
 
+def test_html_text_in_no_block():
+    model = html_extract.train()
+    plain = "Plain text with no markup at all. It has two sentences, and some commas."
+    inline = "Some <b>bold</b> words and <a href=/x>a link</a>. More text follows<br>here, in no block."
+    mixed = "First text, in no block.<p>Then a paragraph, which is long enough.</p>Last text, in no block again."
+    want = [plain, "Some bold words and a link. More text follows here, in no block.", "First text, in no block. Then a paragraph, which is long enough. Last text, in no block again."]
+    assert html_extract.extract([plain, inline, mixed], model) == want
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<article><p>Some text, here it is.</p></article>"), (2, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_extract.main_text(df, html_extract.train(200)).collect()
