@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read from there.
 
@@ -39,9 +45,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that ``written`` has made and that nothing reads any more."""
+    for path in paths:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of all tables that ``written`` makes inside."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+
+
+def _plain(plan) -> bool:
+    """Whether a logical plan only picks columns and rows of one relation."""
+    name = plan.nodeName()
+    if name in ("Project", "Filter", "SubqueryAlias"):
+        return plan.deterministic() and _plain(plan.children().apply(0))
+    return name == "LogicalRelation"
+
+
+def on_files(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is a read of Parquet files, of which columns or rows are picked at most; else what it gives, written once.
+
+    Of the result ``place`` tells the rows apart, in every read alike.
+    """
+    if _plain(docs._jdf.queryExecution().analyzed()) and "_metadata" not in docs.columns:
+        try:
+            docs.select("_metadata.row_index")
+            return docs
+        except AnalysisException:
+            pass
+    return written(docs, "rows")
+
+
+def place() -> Column:
+    """16 bytes that stand for the row's file and its number there: the same however the files are split, so two reads agree."""
+    at = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    return F.unhex(F.md5(at.cast("binary")))
+
+
 def parts(df: DataFrame) -> int:
     """How many partitions a shuffle of the rows of ``df`` gets: as set, and at least as many as the scan has."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

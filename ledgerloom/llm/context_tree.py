@@ -9,10 +9,14 @@ that a prediction mixes the estimates of all depths. A context that training nev
 has no estimate: mixing then begins at the deepest one that it saw.
 
 Counts are gathered over all documents: each unit of rows sends every distinct (context,
-byte) once, a shuffle adds them up, trees are weighed in parallel below the last two
-bytes (the nodes above, 65,535 at most, are added up and handed to all), and each unit
-gets back the code length of its own (context, byte) pairs. Word counts of the base
-model travel with them. No table that grows with the corpus is broadcast or collected.
+byte) once, a shuffle adds them up, and trees are weighed in parallel below the last two
+bytes; a tree that holds over a ``SHARE``-th of all keys is dealt by one byte more, and so
+on. The nodes above what is dealt are added up and handed to all: those of one byte and
+none, 65,535, and of every further byte 255 of ``SHARE`` contexts, at most, however large
+the corpus. Each unit gets back the code length of its own (context, byte) pairs. Word
+counts of the base model travel with them. No table that grows with the corpus is
+broadcast or collected. A unit is a run of rows of a file, by their numbers there, so
+it doesn't matter how a read splits the files.
 """
 
 from __future__ import annotations
@@ -22,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parts, table, written
+from .common import documents, on_files, parts, table, written
 from .hashing import Lookup, word_hashes
 
 DEPTH = 5
-#: Rows of an input partition that form a unit, and bytes that are looked at together.
+#: Rows of a file that form a unit, and bytes that are looked at together.
 UNIT_ROWS, CHUNK_BYTES = 16384, 1 << 20
 #: Never a byte of UTF-8: stands before and after every text.
 END = b"\xff"
-SPLIT = 2  # bytes of context by which trees are dealt
+#: Bytes of context by which trees are dealt at least, and the share of all keys (one in so many) above which a tree is split by one more.
+SPLIT, SHARE = 2, 1024
 
 LN2 = math.log(2)
 
@@ -167,55 +172,59 @@ def level(keys: np.ndarray, counts: np.ndarray, depth: int, d: int, bit: int) ->
 
 
 def add_below(child: Level, parent: Level, bit: int) -> None:
+    """Weighs ``parent`` by its children; those that it doesn't hold are left to whoever holds theirs."""
     at = parent.find(_parent(child.nodes, bit))
-    parent.weigh(np.bincount(at, child.weighted, len(parent.nodes)))
+    parent.weigh(np.bincount(at[at >= 0], child.weighted[at >= 0], len(parent.nodes)))
 
 
-def levels(keys: np.ndarray, counts: np.ndarray, depth: int, bit: int, top: int = SPLIT) -> dict[int, Level]:
-    """Weighed nodes of one bit at all depths from ``top`` down."""
+def levels(keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray, depth: int, bit: int) -> dict[int, Level]:
+    """Weighed nodes of one bit at all depths, of each key from its cut down."""
     seen = counts > 0
-    keys, counts = keys[seen], counts[seen]
-    out = {d: level(keys, counts, depth, d, bit) for d in range(depth, top - 1, -1)}
-    for d in range(depth - 1, top - 1, -1):
+    keys, counts, cuts = keys[seen], counts[seen], cuts[seen]
+    out = {d: level(keys[cuts <= d], counts[cuts <= d], depth, d, bit) for d in range(depth, SPLIT - 1, -1)}
+    for d in range(depth - 1, SPLIT - 1, -1):
         add_below(out[d + 1], out[d], bit)
     return out
 
 
-def log_probability(keys: np.ndarray, found: dict[int, Level], depth: int, bit: int) -> np.ndarray:
+def log_probability(keys: np.ndarray, found: dict[int, list[Level]], depth: int, bit: int) -> np.ndarray:
     """log10 of each key's decision ``bit``, mixed over the depths in ``found``."""
     one = ((keys >> (7 - bit)) & 1).astype(bool)
     p, known = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
     for d in sorted(found, reverse=True):
-        nodes = found[d]
-        at = nodes.find(_at(keys, depth, d, bit))
-        hit = at >= 0
-        if not hit.any():
-            continue
-        i = at[hit]
-        own = (np.where(one[hit], nodes.ones[i], nodes.zeros[i]) + 0.5) / (nodes.zeros[i] + nodes.ones[i] + 1)
-        if nodes.below is not None:
-            stop = 1 / (1 + np.exp(np.clip(nodes.below[i] - nodes.own[i], -700, 700)))
-            own = np.where(known[hit], stop * own + (1 - stop) * p[hit], own)
-        p[hit] = own
-        known |= hit
+        for nodes in found[d]:
+            at = nodes.find(_at(keys, depth, d, bit))
+            hit = at >= 0
+            if not hit.any():
+                continue
+            i = at[hit]
+            own = (np.where(one[hit], nodes.ones[i], nodes.zeros[i]) + 0.5) / (nodes.zeros[i] + nodes.ones[i] + 1)
+            if nodes.below is not None:
+                stop = 1 / (1 + np.exp(np.clip(nodes.below[i] - nodes.own[i], -700, 700)))
+                own = np.where(known[hit], stop * own + (1 - stop) * p[hit], own)
+            p[hit] = own
+            known |= hit
     return np.log10(p)
 
 
-def _partition(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-    own = [(b["key"].to_numpy(np.int64), b["n"].to_numpy(np.int64)) for b in batches]
-    return (np.concatenate([k for k, _ in own]), np.concatenate([n for _, n in own])) if own else (np.zeros(0, np.int64),) * 2
+def _partition(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own = [tuple(b[c].to_numpy(np.int64) for c in ("key", "n", "cut")) for b in batches]
+    return tuple(map(np.concatenate, zip(*own, strict=True))) if own else (np.zeros(0, np.int64),) * 3
 
 
 def _tops(depth: int):
-    """Of every node one byte deep: its counts and what its children in this partition weigh."""
+    """Of every node just above the dealt trees: its counts and what its children in this partition weigh."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = _partition(batches)
+        keys, counts, cuts = _partition(batches)
         for bit in range(8):
-            own = levels(keys, counts, depth, bit)[SPLIT]
-            up = _parent(own.nodes, bit)
-            nodes, at = np.unique(up, return_inverse=True)
-            yield pd.DataFrame({"bit": np.full(len(nodes), bit), "node": nodes, "zeros": np.bincount(at, own.zeros, len(nodes)), "ones": np.bincount(at, own.ones, len(nodes)), "below": np.bincount(at, own.weighted, len(nodes))})
+            own = levels(keys, counts, cuts, depth, bit)
+            for d in range(SPLIT, depth + 1):
+                up = _parent(own[d].nodes, bit)
+                alone = own[d - 1].find(up) < 0 if d > SPLIT else np.ones(len(up), bool)
+                nodes, at = np.unique(up[alone], return_inverse=True)
+                zeros, ones, below = (np.bincount(at, x[alone], len(nodes)) for x in (own[d].zeros, own[d].ones, own[d].weighted))
+                yield pd.DataFrame({"bit": np.full(len(nodes), bit), "depth": np.full(len(nodes), d - 1), "node": nodes, "zeros": zeros, "ones": ones, "below": below})
 
     return run
 
@@ -224,31 +233,54 @@ def _lengths(depth: int, tops: dict[int, dict[int, Level]]):
     """The log10 probability of every key's byte."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = _partition(batches)
+        keys, counts, cuts = _partition(batches)
         value = np.zeros(len(keys))
         for bit in range(8):
-            value += log_probability(keys, levels(keys, counts, depth, bit) | tops[bit], depth, bit)
+            found = {d: [own] for d, own in levels(keys, counts, cuts, depth, bit).items()}
+            for d, own in tops[bit].items():
+                found.setdefault(d, []).append(own)
+            value += log_probability(keys, found, depth, bit)
         yield pd.DataFrame({"key": keys, "value": value})
 
     return run
 
 
 def top_levels(rows: pd.DataFrame) -> dict[int, dict[int, Level]]:
-    """Nodes of depth one and none, by bit, from the sums of all partitions."""
-    out = {}
+    """Nodes above the dealt trees, by bit and depth, from the sums of all partitions."""
+    out: dict[int, dict[int, Level]] = {bit: {} for bit in range(8)}
     for bit in range(8):
-        own = rows[rows["bit"] == bit].sort_values("node")
-        nodes = own["node"].to_numpy(np.int64)
-        one = Level(nodes, own["zeros"].to_numpy(), own["ones"].to_numpy())
-        one.weigh(own["below"].to_numpy())
-        up, at = np.unique(_parent(nodes, bit), return_inverse=True)
-        none = Level(up, np.bincount(at, one.zeros, len(up)), np.bincount(at, one.ones, len(up)))
-        if len(up):
-            add_below(one, none, bit)
-        out[bit] = {1: one, 0: none}
+        below = None
+        for d in range(int(rows["depth"].max()) if len(rows) else 0, -1, -1):
+            own = rows[(rows["bit"] == bit) & (rows["depth"] == d)]
+            given = [own[c].to_numpy() for c in ("node", "zeros", "ones", "below")]
+            if below is not None:  # nodes whose children are above as well
+                given = [np.concatenate(x) for x in zip(given, (_parent(below.nodes, bit), below.zeros, below.ones, below.weighted), strict=True)]
+            nodes, at = np.unique(given[0].astype(np.int64), return_inverse=True)
+            below = Level(nodes, *(np.bincount(at, x, len(nodes)) for x in given[1:3]))
+            below.weigh(np.bincount(at, given[3], len(nodes)))
+            out[bit][d] = below
     return out
 
 
+def _context(depth: int, d: int) -> Column:
+    return F.shiftright("key", 8 * (depth - d + 1))
+
+
+def dealt(counts: DataFrame, depth: int, total: int, share: int = SHARE) -> DataFrame:
+    """``counts`` (key, n) with ``cut``, the bytes of context by which the key is dealt, and ``tree``, that context.
+
+    ``SPLIT`` bytes, and one more for each context that holds over a ``share``-th of all ``total`` keys.
+    """
+    cut, same = F.lit(SPLIT), counts
+    for d in range(SPLIT, depth):
+        found = same.groupBy(_context(depth, d).alias("c")).count().where(F.col("count") > total / share).collect()  # `share` rows at most
+        if not found:
+            break
+        hot = _context(depth, d).isin([r["c"] for r in found])
+        cut, same = F.when(hot, F.lit(d + 1)).otherwise(cut) if d == SPLIT else F.when(hot & (cut == d), F.lit(d + 1)).otherwise(cut), same.where(hot)
+    return counts.withColumn("cut", cut).withColumn("tree", F.expr(f"shiftright(key, 8 * ({depth + 1} - cut))"))
+
+
 COLUMNS = "doc_id long, trained boolean, n_words long, n_known long, known double, score double, n_bytes long"
 
 
@@ -310,28 +342,29 @@ def _score(depth: int):
     return run
 
 
-def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learns from documents whose crc32(doc_id) mod 7 is not 2 (a null doc_id is learned from).
     Null and empty texts are the end symbol alone. Repeated rows count as often as they stand.
     Without documents to learn from every decision is even. Empty table: no rows. Other columns
-    are not read. ``docs`` must give its partitions alike twice, as a read of files does. ``depth``: 2 to 6.
+    are not read. ``depth``: 2 to 6. ``share`` bears on how trees are dealt, not on the scores.
     """
     held = F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) == 2, F.lit(False))
-    rows = documents(docs, "doc_id", "text").withColumns({"trained": ~held, "row": F.monotonically_increasing_id()})
-    unit = F.shiftright("row", 33) * (1 << 20) + F.floor(F.col("row").bitwiseAND((1 << 33) - 1) / UNIT_ROWS)
-    rows = rows.select(unit.cast("long").alias("unit"), "doc_id", "trained", "text")
+    docs = on_files(docs)
+    unit = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / UNIT_ROWS))
+    rows = documents(docs, unit.alias("unit"), "doc_id", (~held).alias("trained"), "text")
     n = parts(docs)
     found = written(rows.select("unit", "trained", "text").mapInPandas(_gather(depth), "key long, unit long, n long"), "ctw-found")
     counts = written(found.groupBy("key").agg(F.sum("n").alias("n")), "ctw-counts")
     learned = docs.select("doc_id").where(~held).count()
-    words, types = counts.where("key < 0 and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    word = F.col("key") < 0
+    words, types, grams = counts.agg(F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)), F.count_if(word & (F.col("n") > 0)), F.count_if(~word)).first()
     # The end is a token as well, once in every text.
     tokens, types = words + learned, types + (learned > 0)
-    trees = counts.where("key >= 0").repartition(n, F.shiftright("key", 8 * (depth - SPLIT + 1)))
-    tops = trees.mapInPandas(_tops(depth), "bit int, node long, zeros double, ones double, below double")
-    tops = top_levels(tops.groupBy("bit", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas())  # 256 * 255 rows at most
+    trees = dealt(counts.where("key >= 0"), depth, grams, share).repartition(n, "cut", "tree").drop("tree")
+    tops = trees.mapInPandas(_tops(depth), "bit int, depth int, node long, zeros double, ones double, below double")
+    tops = top_levels(tops.groupBy("bit", "depth", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas())  # 255 * (256 + share * (depth - SPLIT)) rows at most
     values = trees.mapInPandas(_lengths(depth, tops), "key long, value double").union(counts.where("key < 0").select("key", F.log10(F.col("n") + 1.0)))
     back = found.select("key", "unit").join(values, "key").select("unit", F.col("key").alias("id"), "value", F.lit(None).cast("string").alias("text"))
     met = back.union(rows.select("unit", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("trained").cast("double") + F.col("doc_id").isNull().cast("double") * 2, "text")).repartition(n, "unit")

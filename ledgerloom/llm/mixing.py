@@ -17,12 +17,14 @@ from .common import table, written
 
 #: White space of the contract, and what is left between it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Ranges of keys that a source is dealt to, at least.
+LEAST_RANGES = 1024
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, ranges: int = 1024, seed: str = "mix-1:", row: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, rows_per_range: int = 65536, seed: str = "mix-1:", row: str | None = None) -> DataFrame:
     """One row per document: row, doc_id, source, size, source_size, target, taken.
 
-    ``row``: the column that numbers the rows; without it they are numbered as read.
+    ``row``: the column that tells the rows apart; without it they are numbered as read.
     ``weights`` repeat over the sources in code point order, a null source last.
     The targets share the size of all sources; one stops at ``cap`` times its
     source's size and the rest is shared again. ``taken`` counts the words that
@@ -32,7 +34,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, ran
 
     Null text: size 0, taken 0. Null doc_id or source: a value like any other.
     Repeated rows are separate documents; rows with the same doc_id have the
-    same key and are ordered by size, then as numbered. Empty table: no rows. Other columns are not read.
+    same key and are ordered by size, then by ``row``. Empty table: no rows. Other columns are not read.
     """
     sized = written(
         docs.select(
@@ -41,9 +43,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, ran
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"),
-        ).withColumn("range", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")),
+        ),
         "mix-sizes",
     )
+    ranges = max(LEAST_RANGES, -(-sized.count() // rows_per_range))
+    sized = sized.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)))
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     per = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     # One row per source from here to `target`.

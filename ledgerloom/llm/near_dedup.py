@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, row: str |
     Null and empty texts, and all without words, are one class. Empty table: no rows. Other columns are not read.
     """
     rows = documents(docs, "doc_id", "text", F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"))
-    signed = written(exact_ids(rows).mapInPandas(_sign, "row long, doc_id long, node binary, keys array<long>"), "near-signed")
+    signed = written(exact_ids(rows).mapInPandas(_sign, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node binary, keys array<long>"), "near-signed")
     label = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = written(signed.groupBy("node").agg(F.min(label).alias("label")), "near-nodes")
     entries = signed.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()

@@ -512,3 +512,62 @@ def test_mix(docs, none):
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in sources) and len(got) == len(rows())
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
     assert mixing.mix(none).count() == 0
+
+
+def test_rows_keep_their_place_when_files_are_split_otherwise(spark, tmp_path):
+    """What decides on rows and what picks them read the files at different times, perhaps on different numbers of cores."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [prose(rng, 300) for _ in range(60)]
+    texts = [rng.choice(base) if i % 3 == 0 else prose(rng, 300) for i in range(900)]
+    made = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = str(tmp_path / "docs")
+    made.coalesce(2).write.option("parquet.block.size", 65536).parquet(path)
+    docs, few, many = spark.read.parquet(path), ("spark.sql.files.maxPartitionBytes", "128m"), ("spark.sql.files.maxPartitionBytes", "20k")
+    assert docs.rdd.getNumPartitions() <= 4
+    same = lambda df: collections.Counter(tuple(r) for r in df.collect())
+    try:
+        for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+            spark.conf.set(*few)
+            want = same(stage(spark, docs, ""))
+            lazy = stage(spark, spark.read.parquet(path), "")
+            spark.conf.set(*many)
+            assert spark.read.parquet(path).rdd.getNumPartitions() > 4
+            assert same(lazy) == want and sum(want.values()) > 500, stage.__name__
+        spark.conf.set(*few)
+        want = same(context_tree.scores(docs).select("doc_id", F.round("score", 6), F.round("base_score", 6)))
+        lazy = context_tree.scores(spark.read.parquet(path)).select("doc_id", F.round("score", 6), F.round("base_score", 6))
+        spark.conf.set(*many)
+        assert same(lazy) == want and len(want) == 900
+    finally:
+        spark.conf.unset(few[0])
+
+
+def test_on_files_writes_what_is_no_plain_read(docs, spark):
+    common = exact_dedup.written.__globals__
+    on_files, place = common["on_files"], common["place"]
+    assert on_files(docs) is docs and on_files(kept := docs.where("doc_id > 3").select("doc_id", "text")) is kept
+    for other in (docs.union(docs), docs.withColumn("n", F.monotonically_increasing_id()), docs.join(docs.select("doc_id").distinct(), "doc_id"), docs.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))):
+        made = on_files(other)
+        assert made is not other and made.count() == other.count() == made.select(place().alias("p")).distinct().count()
+
+
+def test_context_tree_splits_hot_trees(docs):
+    whole = {(r["doc_id"], r["n_tokens"], round(r["score"], 7)) for r in context_tree.scores(docs).collect()}
+    for share in (4, 40):
+        assert {(r["doc_id"], r["n_tokens"], round(r["score"], 7)) for r in context_tree.scores(docs, share=share).collect()} == whole
+
+
+def test_exact_dedup_merges_a_text_of_many_blocks_in_steps(spark, monkeypatch):
+    texts = ["hot" if i % 3 == 0 else f"own {i // 2}" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    names = []
+    monkeypatch.setattr(exact_dedup, "written", lambda d, name, f=exact_dedup.written: names.append(name) or f(d, name))
+    got = exact_dedup.exact_groups(df, limit=10).collect()
+    norms = [t.replace(" ", "") for t in texts]
+    want, least = collections.Counter(norms), {}
+    for i, t in enumerate(norms):
+        least.setdefault(t, i)
+    assert len(got) == 3000 and all(r["group_size"] == want[norms[r["doc_id"]]] and r["keep_id"] == least[norms[r["doc_id"]]] and r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+    assert "radix-merged" in names
