@@ -34,7 +34,7 @@ from .hashing import Lookup, word_hashes
 
 DEPTH = 5
 #: Rows of a file that form a unit, and bytes that are looked at together.
-UNIT_ROWS, CHUNK_BYTES = 16384, 1 << 20
+UNIT_ROWS, CHUNK_BYTES = 8192, 1 << 20
 #: Never a byte of UTF-8: stands before and after every text.
 END = b"\xff"
 #: Bytes of context by which trees are dealt at least, and the share of all keys (one in so many) above which a tree is split by one more.
