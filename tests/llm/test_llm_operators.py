@@ -270,7 +270,6 @@ def _check_packing(got, docs, capacity=1024):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(packing.vocabulary_path())
-    coder.encode_special_tokens = True
     want = collections.Counter()
     for i, t in docs:
         ids = np.array([*coder.encode(text_of(t), add_special_tokens=False).ids, 2], "<u4")
@@ -295,35 +294,83 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
-def test_packing_is_best_fit_decreasing():
+def _best_fit_decreasing(counts, capacity):
+    gaps, opened = [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fit = [g for g in gaps if g >= length]
+            if fit:
+                gaps.remove(min(fit))
+                gaps.append(min(fit) - length)
+            else:
+                gaps.append(capacity - length)
+                opened += 1
+    return opened
+
+
+def test_packing_sweep_takes_the_successor():
+    """Against one document at a time, from large to small, each with the smallest gap that was there before the sweep or what the same length has left of it."""
+    rng = random.Random(2)
+    for _ in range(300):
+        gaps = [(rng.randint(1, 40), 100 * i, rng.randint(1, 4)) for i in range(rng.randint(0, 8))]
+        pieces = [(size, 0, rng.randint(1, 12)) for size in rng.sample(range(1, 41), rng.randint(1, 8))]
+        placed, updated, free, left = packing.sweep(gaps, pieces, 40)
+        whole = {f + i: s for s, f, n in gaps for i in range(n)}
+        open_, want = dict(whole), collections.Counter()
+        for size, _, n in sorted(pieces, reverse=True):
+            own = {}
+            for k in range(n):
+                fits = [(g, s) for s, g in own.items() if g >= size] or [(g, s) for s, g in open_.items() if g >= size]
+                if not fits:
+                    want["left", size] += n - k
+                    break
+                g, at = min(fits)
+                open_.pop(at, None)
+                own[at] = g - size
+                want["placed", size, whole[at]] += 1
+        got = collections.Counter()
+        for size, _, n, _, _, offset in placed:
+            got["placed", size, 40 - offset] += n
+        for size, _, n in left:
+            got["left", size] += n
+        assert got == want
+        assert sum(n * s for s, _, n in updated) + sum(n * s for s, _, n in free) == sum(whole.values()) - sum(x[0] * x[2] for x in placed)
+
+
+def test_packing_supersteps(spark):
+    """Every document has one place, none overlap, and there are hardly more sequences than best-fit decreasing opens."""
     rng = random.Random(2)
-    for _ in range(60):
-        counts = {rng.randint(1, 40): rng.randint(1, 30) for _ in range(rng.randint(1, 15))}
-        gaps, opened = [], 0
-        for length in sorted(counts, reverse=True):
-            for _ in range(counts[length]):
-                fit = [g for g in gaps if g >= length]
-                if fit:
-                    gaps.remove(min(fit))
-                    gaps.append(min(fit) - length)
-                else:
-                    gaps.append(40 - length)
-                    opened += 1
-        steps = packing.supersteps(counts, 40)
-        assert sum(s[2] for s in steps) == sum(counts.values())
-        assert max(s[3] + -(-s[2] // s[4]) for s in steps) == opened
-
-
-def test_special_strings_are_text():
+    for gen in (lambda: rng.randint(1, 100), lambda: rng.choice([51, 49, 2, 1]), lambda: 1 + int(rng.expovariate(1 / 20)) % 100, lambda: 3):
+        counts = collections.Counter(gen() for _ in range(1500))
+        table = spark.createDataFrame([*counts.items()], "length long, n long")
+        steps = packing.supersteps(table, 100).collect()
+        ranks, fill = collections.defaultdict(list), collections.defaultdict(list)
+        for r in steps:
+            ranks[r["size"]] += range(r["first"], r["first"] + r["n"])
+            for k in range(r["n"]):
+                fill[r["sequence"] + k // r["each"]].append((r["offset"] + k % r["each"] * r["size"], r["size"]))
+        assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+        for own in fill.values():
+            assert [a for a, _ in sorted(own)] == [0, *itertools.accumulate(n for _, n in sorted(own))][:-1] and sum(n for _, n in own) <= 100
+        assert len(fill) <= _best_fit_decreasing(counts, 100) * 1.01 + 1
+    assert packing.supersteps(table.limit(0), 100).collect() == []
+
+
+def test_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     coder, rng = Tokenizer.from_file(packing.vocabulary_path()), random.Random(1)
-    coder.encode_special_tokens = True
     ids = packing.Ids(packing.vocabulary_path())
     parts = [" ", "  ", " \n", "\n", " a", "b", "'s", "12", "é", "\t", "ß.", "!!", "<|endoftext|>", "日本", "\r\n"]
     for _ in range(2000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
         assert ids(t).tolist() == coder.encode(t, add_special_tokens=False).ids
+    assert 50256 in ids("a <|endoftext|> b").tolist()
+
+
+def test_packing_of_texts_that_the_rank_coder_gives_up_on(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "x" * 1_000_000, None, "a <|endoftext|> b"]
+    _check_packing(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), list(enumerate(texts)))
 
 
 def test_exact_dedup(docs, none):
