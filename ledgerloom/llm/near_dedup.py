@@ -9,11 +9,16 @@ K (ln K + 3) of them, whatever its length, and of these the earliest of each of
 coordinates; a text that leaves a coordinate empty is thrown again with twice the rank.
 
 Bands of coordinates deal texts to buckets; of buckets with the same members one
-goes on. A bucket's members meet in groups of at most two blocks of ``BLOCK`` texts,
-every pair of blocks once; a group finds the exact similarity of all its pairs at
-once, as a product of its texts-by-shingles matrix with itself, and returns links
-that span its connected texts, fewer than it has members. Copies (texts with the same
-words) are one node throughout, gathered before any shuffle.
+goes on. A bucket is cut into blocks of some ``BLOCK`` texts or ``BLOCK_BYTES`` bytes; each block
+meets with the bucket's representatives, a few of its texts, in one group. A group
+finds the exact similarity of all its pairs at once, as a product of its texts-by-shingles
+matrix with itself, and returns links that span its connected texts, fewer than it has
+members and few for each. Classes are formed. Where a bucket's texts are then of one
+class, as those of near copies mostly are, nothing is left to compare; where not, all pairs
+of blocks that can hold texts of two classes meet, and classes are formed again.
+So no link is lost, and the work grows with a bucket's size rather than its square as
+long as its texts belong together. Copies (texts with the same words) are one node
+throughout, gathered before any shuffle.
 """
 
 from __future__ import annotations
@@ -24,18 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, exact_ids, ids, parts, table, written
+from .common import discard, documents, exact_ids, ids, parts, scope, table, written
 from .hashing import MULT, STEP, mix, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 20 = 0.00003.
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-#: Texts of a bucket that meet in one group: two blocks.
-BLOCK = 512
+#: Texts and bytes of a block, on the mean, and representatives of a bucket at most.
+BLOCK, BLOCK_BYTES, HEADS = 256, 4 << 20, 4
+#: Links that a text has below it where a group's texts are strung together.
+FAN = 32
 CHUNK_BYTES = 2 << 20
 
 
@@ -134,7 +141,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in _chunks([texts[i] for i in new]):
             for i, row in zip(new[a:b], bands(signatures(*elements([texts[i] for i in new[a:b]]))), strict=True):
                 keys[i] = row
-        yield pd.DataFrame({"row": batch["row"], "doc_id": ids(batch), "node": nodes, "keys": keys})
+        yield pd.DataFrame({"row": batch["row"], "doc_id": ids(batch), "node": nodes, "size": [len(t) for t in texts], "keys": keys})
 
 
 def _normals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,12 +182,14 @@ def linked(units: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
         if not free[root]:
             continue
         free[root] = False
-        todo = [root]
-        while todo:
-            more = np.flatnonzero(near[todo.pop()] & free)
+        own, seen = [root], 0
+        while seen < len(own):
+            more = np.flatnonzero(near[own[seen]] & free)
             free[more] = False
-            out += [(root, int(i)) for i in more]
-            todo += more.tolist()
+            own += more.tolist()
+            seen += 1
+        # Strung as a tree, so that no text has a link to all others.
+        out += [(own[(k - 1) // FAN], own[k]) for k in range(1, len(own))]
     return out
 
 
@@ -224,52 +233,102 @@ def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     In every round each node takes the least label next to it; the node whose label it
     gives up takes it as well (so what one member of a class learns, its head learns);
     and then each takes the label that the node of its label has. Reach doubles, so that
-    chains of n links take some log2(n) rounds, not n. Written after every step.
+    chains of n links take some log2(n) rounds, not n. Written after every step, and deleted once read.
     """
-    ways = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-ways")
-    own = nodes.select("node", F.col("label").alias("own"))
-    reached = written(own.join(ways.select(F.col("a").alias("node")).distinct(), "node").withColumn("label", F.col("own")), "near-labels")
-    while True:
-        seen = ways.join(reached.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        met = reached.join(seen, reached["node"] == seen["a"]).select("node", "own", F.col("label").alias("left"), F.least("label", "near").alias("label"))
-        met = written(met, "near-met")
-        if met.where("label < left").isEmpty():
-            return met.select("node", "label")
-        # A label is one node's own, so in both joins by label one side holds it once.
-        heads = met.where("label < left").groupBy(F.col("left").alias("own")).agg(F.min("label").alias("learned"))
-        led = written(met.join(heads, "own", "left").select("node", "own", F.least("label", "learned").alias("label")), "near-heads")
-        further = led.where("label < own").select(F.col("own").alias("label"), F.col("label").alias("beyond"))
-        reached = written(led.join(further, "label", "left").select("node", "own", F.coalesce("beyond", "label").alias("label")), "near-labels")
+    spark = nodes.sparkSession
+    with scope() as paths:
+        ways = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-ways")
+        own = nodes.select("node", F.col("label").alias("own"))
+        reached = written(own.join(ways.select(F.col("a").alias("node")).distinct(), "node").withColumn("label", F.col("own")), "near-labels")
+        while True:
+            seen = ways.join(reached.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+            met = reached.join(seen, reached["node"] == seen["a"]).select("node", "own", F.col("label").alias("left"), F.least("label", "near").alias("label"))
+            met = written(met, "near-met")
+            if met.where("label < left").isEmpty():
+                discard(spark, *paths[:-1])
+                return met.select("node", "label")
+            # A label is one node's own, so in both joins by label one side holds it once.
+            heads = met.where("label < left").groupBy(F.col("left").alias("own")).agg(F.min("label").alias("learned"))
+            led = written(met.join(heads, "own", "left").select("node", "own", F.least("label", "learned").alias("label")), "near-heads")
+            further = led.where("label < own").select(F.col("own").alias("label"), F.col("label").alias("beyond"))
+            reached = written(led.join(further, "label", "left").select("node", "own", F.coalesce("beyond", "label").alias("label")), "near-labels")
+            discard(spark, *paths[1:-1])
+            paths[1:-1] = []
+
+
+def _blocks(texts: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(texts) / BLOCK, F.col(size) / BLOCK_BYTES, F.lit(1.0))).cast("int")
+
+
+def with_heads(entries: DataFrame) -> DataFrame:
+    """key, i, j, node: every block of a bucket, and with each the representatives of the bucket that are not in it."""
+    own = F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int")
+    dealt = entries.select("key", own.alias("i"), "node", "blocks")
+    hashed = F.struct(F.xxhash64("node").alias("h"), "node", "i")
+    heads = dealt.where("blocks > 1").groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(HEADS)).alias("part")).agg(F.min(hashed).alias("head"), F.first("blocks").alias("blocks"))
+    guests = heads.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "head").where("i <> head.i").select("key", "i", "head.node")
+    return dealt.select("key", "i", "node").unionByName(guests).select("key", F.col("i").cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node")
+
+
+def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """key, i, j, node: groups that hold every pair of texts of a bucket of several blocks that are not of one class. None: there is no such pair.
+
+    A class with half a block's texts or bytes in a bucket has blocks of its own there, all others
+    share blocks; two blocks meet unless both are of the same class.
+    """
+    # A text without any link has no label; it is a class of its own.
+    at = entries.where("blocks > 1").drop("blocks").join(labels.select("node", F.col("label.row").alias("class")), "node", "left")
+    at = written(at.withColumn("alone", F.col("class").isNull()), "near-unsettled")
+    of = ["key", "alone", "class"]
+    sizes = at.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    several = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.when(F.col("alone"), F.col("n"))).alias("lone")).where((F.col("classes") > 1) | (F.col("lone") > 1)).select("key")
+    if several.isEmpty():
+        return None
+    large = ~F.col("alone") & ((F.col("n") >= BLOCK / 2) | (F.col("bytes") >= BLOCK_BYTES / 2))
+    sizes = sizes.join(several, "key", "left_semi").withColumn("own", F.when(large, F.col("class")))
+    blocks = sizes.groupBy("key", "own").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("key", "own", _blocks("n", "bytes").alias("blocks"))
+    others = blocks.groupBy("key").agg(F.collect_list(F.struct("own", "blocks")).alias("others"))  # at most one for half a block's texts or bytes, and one
+    of_class = sizes.select("key", "class", "own").join(blocks.withColumnRenamed("key", "k").withColumnRenamed("own", "o"), (F.col("key") == F.col("k")) & F.col("own").eqNullSafe(F.col("o"))).select(F.col("key").alias("k"), F.col("class").alias("c"), "own", "blocks")
+    placed = at.join(of_class, (F.col("key") == F.col("k")) & F.col("class").eqNullSafe(F.col("c"))).select("key", "node", "own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).alias("x"))
+    met = placed.join(others, "key").select("key", "node", "own", "x", F.explode("others").alias("o")).where(F.col("own").isNull() | ~F.col("own").eqNullSafe(F.col("o.own")))
+    met = met.select("key", "node", F.xxhash64("own", "x").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.col("o.blocks") - 1), lambda y: F.xxhash64("o.own", y.cast("long")))).alias("b"))
+    return met.select("key", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "node").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, class_id, kept.
 
-    ``row``: the column that numbers the rows; without it they are numbered as read.
+    ``row``: the column that tells the rows apart; without it they are numbered as read.
     Classes are the connected texts: links are pairs of similarity ``similarity`` or more, and
     texts with the same words. ``class_id`` is the least doc_id of the class (null last); of the
     rows with that doc_id in the class the first is the one kept.
     Null and empty texts, and all without words, are one class. Empty table: no rows. Other columns are not read.
     """
     rows = documents(docs, "doc_id", "text", F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"))
-    signed = written(exact_ids(rows).mapInPandas(_sign, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node binary, keys array<long>"), "near-signed")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node binary, size long, keys array<long>"
+    signed = written(exact_ids(rows).mapInPandas(_sign, schema), "near-signed")
     label = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = written(signed.groupBy("node").agg(F.min(label).alias("label")), "near-nodes")
-    entries = signed.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
+    entries = signed.where("keys is not null").select("node", "size", F.explode("keys").alias("key")).distinct()
     # Of every bucket its size and its set of members, in two sums of hashes; of equal sets the first key.
-    sums = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2))).where("n > 1")
-    buckets = written(sums.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-buckets")
+    hashes = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)]
+    sums = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *hashes).where("n > 1")
+    buckets = sums.groupBy("n", "bytes", "h1", "h2").agg(F.min("key").alias("key")).select("key", _blocks("n", "bytes").alias("blocks"))
     entries = written(entries.join(buckets, "key"), "near-entries")
     members = entries.select("node").distinct()
     texts = documents(docs, "text").mapInPandas(_normals, "node binary, words binary")
     texts = written(texts.join(members, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
-    # Block numbers i <= j name a group; a member of block x is in the groups of x and every other block.
-    own = F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = entries.select("key", "node", own.alias("x"), other.alias("y")).select("key", "node", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-    met = dealt.join(texts, "node").repartition(parts(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = written(met.select("key", "i", "j", "node", "words").mapInPandas(_link(similarity), "a binary, b binary"), "near-links")
-    labels = classes(nodes.join(members, "node"), links)
+    n = parts(docs)
+
+    def links(groups: DataFrame) -> DataFrame:
+        met = groups.join(texts, "node").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return written(met.select("key", "i", "j", "node", "words").mapInPandas(_link(similarity), "a binary, b binary"), "near-links")
+
+    own = nodes.join(members, "node")
+    found = links(with_heads(entries))
+    labels = classes(own, found)
+    if not entries.where("blocks > 1").isEmpty() and (more := unsettled(entries, labels)) is not None:
+        labels = classes(own, found.union(links(more)))
     final = nodes.alias("n").join(labels.alias("c"), F.col("n.node") == F.col("c.node"), "left").select("n.node", F.coalesce("c.label", "n.label").alias("label"))
     final = written(final, "near-classes")
     return signed.select("row", "doc_id", "node").join(final, "node").select("row", "doc_id", F.col("label.doc_id").alias("class_id"), (F.col("row") == F.col("label.row")).alias("kept"))

@@ -483,7 +483,7 @@ def test_near_dedup_large_group_of_near_copies(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
     texts = []
-    for _ in range(1300):  # more than a group of two blocks holds
+    for _ in range(1300):  # more than a block holds
         t = list(base)
         for _ in range(rng.randint(0, 3)):
             t[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
@@ -493,6 +493,39 @@ def test_near_dedup_large_group_of_near_copies(spark):
     assert {got[i] for i in range(1300)} == {0} and len({got[i] for i in range(1300, 1350)}) == 50
 
 
+def test_near_dedup_loses_no_link_of_large_buckets(spark, monkeypatch):
+    """Families of texts that share many bands without all being alike, in blocks of four; against all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng, texts = random.Random(10), []
+    for f in range(3):
+        heads = [[f"f{f}w{i}" for i in range(150)]]
+        for _ in range(3):  # a family's branches, between 0.5 and 0.9 alike
+            t = list(heads[0])
+            for i in rng.sample(range(0, 150, 5), rng.choice([2, 4, 6])):
+                t[i] = f"b{rng.randrange(10**6)}"
+            heads.append(t)
+        for _ in range(45):
+            t = list(rng.choice(heads))
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    met, of = [], near_dedup.unsettled
+    monkeypatch.setattr(near_dedup, "unsettled", lambda e, c: met.append(g := of(e, c)) or g)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets, head = [_multiset(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total():
+            head[max(root(a), root(b))] = min(root(a), root(b))
+    assert got == {i: root(i) for i in range(len(texts))} and met[0] is not None and met[0].count() > 0
+    assert len(set(got.values())) > 3
+
+
 def test_classes_of_chains_take_few_rounds(spark, monkeypatch):
     rng, n = random.Random(8), 400
     ids = list(range(n))
