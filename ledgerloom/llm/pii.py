@@ -36,6 +36,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# The same addresses as ``IP`` finds, each run of digits looked at once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
@@ -53,6 +55,12 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """As ``EMAIL`` finds them, looking only around each "@"."""
     out, done, at = [], 0, text.find("@")
@@ -72,8 +80,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, *x) for x in _emails(text)] if "@" in text else []
     if not any(c in text for c in "0123456789"):
         return out
-    for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+    for m in _IP.finditer(text):
+        if all(_byte(p) for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in CARD.finditer(text):
         d = _digits(m[0])
@@ -160,7 +168,7 @@ def span_features(window: str, kind: int, start: int, end: int) -> np.ndarray:
     f[13] = len(digits) == 16
     f[14] = 9 <= len(digits) <= 12
     f[15] = len(digits) < 9
-    f[16] = len(groups) == 4 and all(int(g) <= 255 and (g == "0" or g[0] != "0") for g in groups)
+    f[16] = len(groups) == 4 and all(_byte(g) and (g == "0" or g[0] != "0") for g in groups)
     f[17] = len(groups) == 4 and all(len(g) == 4 for g in groups)
     f[18] = bool(re.search(r"\b(19|20)\d\d\b", s)) and len(digits) == 8
     f[19] = bool(re.fullmatch(r"\D?\d{3}\D+\d{3}\D+\d{4}", s))
@@ -202,7 +210,13 @@ def decode(window: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
     segments = candidates(window)
     if not segments:
         return []
-    scores = [float(weights[s[0]] @ span_features(window, *s)) for s in segments]
+    seen: dict[tuple, float] = {}  # of spans that look alike, as in columns of numbers
+    scores = []
+    for kind, a, b in segments:
+        key = kind, window[max(0, a - 31) : a], window[a:b], window[b : b + 13]
+        if key not in seen:
+            seen[key] = float(weights[kind] @ span_features(window, kind, a, b))
+        scores.append(seen[key])
     bounds, ends = _lattice(window, segments)
     place = {b: i for i, b in enumerate(bounds)}
     best, back = [0.0] * len(bounds), [-1] * len(bounds)
