@@ -18,12 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, table
 
-#: Labelled rows that the lexicon is learned from, at most: those of the smallest hashed ids.
-SAMPLE = 8000
+#: Labelled rows that the lexicon is learned from, at most: those of the smallest hashed ids. And bytes of their texts, in the same order; a text beyond them is not learned from.
+SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
 
 # Letters that look like others, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -83,10 +84,15 @@ class Lexicon:
         if not self.automaton():
             return {}
         for end, (n, weight, _) in self.automaton().iter(folded):
-            (clear if weight is None else found).append((end - n + 1, end, weight))
+            (clear if weight is None else found).append((end - n + 1, end, weight or 0.0))
         out: dict[str, float] = {}
-        for start, end, weight in found:
-            if any(a <= start and end <= b for a, b, _ in clear):
+        # In order of their starts; of the exceptions that began by then the one that reaches farthest decides.
+        clear.sort(reverse=True)
+        reach = -1
+        for start, end, weight in sorted(found):
+            while clear and clear[-1][0] <= start:
+                reach = max(reach, clear.pop()[1])
+            if end <= reach:
                 continue
             word = folded[start + 1 : folded.index(" ", start + 1)]
             out[word] = max(weight, out.get(word, 0.0))
@@ -160,12 +166,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> list[float]
     return w.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0, ``sample`` rows at most; of an id given to several texts the least text."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Lexicon:
+    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0, ``sample`` rows and ``sample_bytes`` bytes at most.
+
+    Of an id given to several texts the least text is learned from; of one with both labels, its text twice, once with each.
+    """
+    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "toxic"]
     ids = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) != 0)
-    ids = ids.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "toxic").limit(sample)
+    ids = ids.orderBy(*order).limit(sample)
     met = documents(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # `sample` rows at most
+    rows = met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sofar = F.sum(F.octet_length("text").cast("long")).over(W.orderBy(*order))  # over `sample` rows at most
+    rows = rows.withColumn("sofar", sofar).where(F.col("sofar") <= sample_bytes).drop("sofar").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return learn([r["text"] for r in rows], [r["toxic"] for r in rows])
 

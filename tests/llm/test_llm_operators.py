@@ -4,6 +4,8 @@ import collections
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -70,34 +72,81 @@ def text_of(t):
     return t or ""
 
 
+def _slow_fingerprint(text):
+    """The two parts of a fingerprint by their definition, one paragraph and one run of bytes at a time, in whole numbers."""
+    exact, lanes, two = [0] * fingerprints.EXACT, [0] * fingerprints.ALIKE, 1 << 64
+    a, b, c = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+    for p in text.encode().split(b"\n") if text else []:
+        spread = hashlib.shake_128(p).digest(2 * fingerprints.EXACT)
+        for i in range(fingerprints.EXACT):
+            exact[i] = (exact[i] + int.from_bytes(spread[2 * i : 2 * i + 2], "little")) % (1 << 16)
+        runs = [(int.from_bytes(p[i : i + 8], "little") * a + (int.from_bytes(p[i + 2 : i + 10], "little") ^ b) * c) % two for i in range(len(p) - 9)]
+        for h in runs or [int.from_bytes(spread[:8], "little")]:
+            h = (h ^ h >> 32) * c % two >> 55
+            lanes[h >> 1] += -1 if h & 1 else 1
+    return exact, lanes
+
+
+def _slow_alike(x, y):
+    both, apart = sum(v * v for v in x + y), sum((v - w) ** 2 for v, w in zip(x, y, strict=True))
+    return min(1.0, max(0.0, 1 - apart / both)) if both else 1.0
+
+
 def test_fingerprints(docs, none):
-    order = sorted(((i, text_of(t)) for i, t, _ in rows()), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
-    got = collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprints(docs).collect())
-    want = collections.Counter()
+    """Against the definition, and the next document by the order of ids, then of places."""
+    order = [(r["doc_id"], text_of(r["text"])) for r in sorted(docs.select("doc_id", "text", fingerprints.tie().alias("t")).collect(), key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["t"]), reverse=True)]
+    got = fingerprints.fingerprints(docs).collect()
+    found, want = collections.Counter(), collections.Counter()
+    for r in got:
+        exact, lanes = fingerprints.parsed([r["fingerprint"], r["edited_fingerprint"]])
+        found[r["doc_id"], r["n_chars"], r["edited_sha256"], *(str((e.tolist(), x.tolist())) for e, x in zip(exact, lanes, strict=True)), round(r["near_edited"], 9), round(r["near_next"], 9)] += 1
     for k, (i, t) in enumerate(order):
-        after = order[(k + 1) % len(order)][1]
-        e = fingerprints.edited(t, after)
-        own, changed, next_ = (fingerprints.vectors([x]) for x in (t, e, after))
-        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.digest(*own)[0], round(float(fingerprints.likeness(own[1], changed[1])[0]), 9), round(float(fingerprints.likeness(own[1], next_[1])[0]), 9)] += 1
-    assert got == want
+        after, n = order[(k + 1) % len(order)][1], len(t) // 3
+        e = t[: len(t) - n] + after[:n]
+        own, changed, next_ = map(_slow_fingerprint, (t, e, after))
+        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), str(own), str(changed), round(_slow_alike(own[1], changed[1]), 9), round(_slow_alike(own[1], next_[1]), 9)] += 1
+    assert found == want
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_fingerprint_likeness_is_that_of_the_fingerprints(docs):
+    for r in fingerprints.fingerprints(docs).collect():
+        assert fingerprints.alike(r["fingerprint"], r["edited_fingerprint"]) == r["near_edited"]
+    assert len(fingerprints.of_paragraph("x")) < 1400
+
+
 def test_fingerprint_ranges(spark):
     rng = random.Random(5)
     for n in (1, 2, 3, 7, 50, 1000):
         bounds = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)})
         keys = [fingerprints.LOWEST, *bounds, *(b + 1 for b in bounds), *(b - 1 for b in bounds)]
-        got = spark.createDataFrame([(k,) for k in keys], "key long").select("key", fingerprints._place(F.col("key"), bounds).alias("b")).collect()
-        assert all(r["b"] == sum(b < r["key"] for b in bounds) for r in got)
+        got = spark.createDataFrame([(k,) for k in keys], "key long").select("key", fingerprints._place(F.col("key"), bounds).alias("b"), fingerprints._place(F.col("key"), bounds, True).alias("u")).collect()
+        assert all(r["b"] == sum(b < r["key"] for b in bounds) and r["u"] == sum(b <= r["key"] for b in bounds) for r in got)
 
 
-def test_fingerprint_is_a_multiset_sum():
-    a, b, c = "first line of text\nsecond line here\nthird", "third\nfirst line of text\nsecond line here", "first line of text\nthird"
-    va, vb, vc, line = (fingerprints.vectors([t]) for t in (a, b, c, "second line here"))
-    assert fingerprints.digest(*va) == fingerprints.digest(*vb)
-    assert (vc[0] + line[0] == va[0]).all() and (vc[1] + line[1] == va[1]).all()
-    assert fingerprints.digest(*vc) != fingerprints.digest(*va)
+def test_fingerprint_ranges_of_an_id_that_stands_often(spark):
+    """A third of all rows without an id, and an id that stands a thousand times: no range holds them alone, and the chain stays whole."""
+    rng = random.Random(6)
+    ids = [None] * 1200 + [7] * 1000 + [rng.randrange(10**6) for _ in range(1400)]
+    df = exact_dedup.written(spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(8), "test-ties")
+    sizes = [r["count"] for r in fingerprints.chained(df).where("not guest").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) < 4 * len(ids) / len(sizes)
+    order = [r["text"] for r in sorted(df.select("doc_id", "text", fingerprints.tie().alias("t")).collect(), key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["t"]), reverse=True)]
+    want = collections.Counter(hashlib.sha256((t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][: len(t) // 3]).encode()).hexdigest() for k, t in enumerate(order))
+    assert collections.Counter(r["edited_sha256"] for r in fingerprints.fingerprints(df).collect()) == want
+
+
+def test_fingerprint_is_edited_by_paragraphs():
+    a, b, c = "first line of text\nsecond line here\n\nthird", "third\nfirst line of text\n\nsecond line here", "first line of text\n\nthird"
+    of = lambda t: fingerprints.shown(*fingerprints.vectors([t]))[0]
+    line = fingerprints.of_paragraph("second line here")
+    assert of(a) == of(b) != of(c)
+    assert fingerprints.combined(of(c), line) == of(a) and fingerprints.combined(of(a), line, -1) == of(c)
+    assert fingerprints.combined(of(a), fingerprints.of_paragraph(""), -1) == of(a.replace("\n\n", "\n"))
+    made = of("")
+    for p in b.split("\n"):
+        made = fingerprints.combined(made, fingerprints.of_paragraph(p))
+    assert made == of(a)
 
 
 def test_pii_base_rules_and_field():
@@ -164,11 +213,63 @@ def test_pii_email_matches_the_pattern():
         assert pii._emails(t) == [m.span() for m in pii.EMAIL.finditer(t)], t
 
 
-def test_pii_table(docs, none):
+def _plain_base(text):
+    """The rules as they are stated: each pattern as it stands, failing matches dropped."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(s):
+        own = [int(c) for c in digits(s)[::-1]]
+        return 13 <= len(own) <= 19 and (sum(own[::2]) + sum(sum(divmod(2 * d, 10)) for d in own[1::2])) % 10 == 0
+
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", luhn),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    return [(kind, *m.span()) for kind, pattern, good in rules for m in re.finditer(pattern, text) if good(m[0])]
+
+
+def test_pii_base_against_the_patterns():
+    rng = random.Random(7)
+    parts = ["1", "12", "255", "256", "0001", ".", " ", "-", "+", "(", ")", "4111111111111111", "4111 1111 1111 1111", "a", "@", "b.c", "\n", "é", "192.168.0.1", "+49 170 1234567"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 16)))
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] == _plain_base(t), t
+
+
+def test_pii_table(spark, docs, none):
+    texts = [t for _, t, _ in rows()] + ["mail a.b@c.example, host 10.0.0.1, 010.1.1.255 and 1.2.3.256", "card 4111-1111 11111111 +1 (555) 234-5678 +12 3", "é@é x@y.z é1.2.3.4é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.personal_data(df).collect():
+        base = _plain_base(text_of(texts[r["doc_id"]]))
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        shown = [f"{k}:{a}:{b}" for k, a, b in sorted(base, key=lambda x: (pii.KINDS.index(x[0]), x[1]))]
+        assert r["base_sha256"] == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(shown) <= set(spans) and len(spans) == len(base) + r["n_added"]
+        assert spans == sorted(spans, key=lambda x: (pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])))
     assert pii.personal_data(docs).count() == len(rows())
     assert pii.personal_data(none).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["1", "5.1.2.3 ", " ", "\n", "x", "a.", "a@b.c ", "x at ", "1 ", "1(", "+1", "bob [at] foo. ", "a@b."])
+def test_pii_takes_time_in_proportion(piece):
+    weights = pii.train(60, 2)
+    seconds = []
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        pii.find((piece * n)[:n] + "@x.com", weights)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 20 * seconds[0] + 0.5
+
+
+def test_pii_numbers_of_any_length(spark):
+    texts = ["5" * 5000 + ".1.2.3", "0" * 5000 + "1.2.3.4", "1" * 1_000_000, "1." * 500_000, " " * 1_000_000, "\n" * 1_000_000, "x" * 1_000_000 + "@y.com"]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["n_ip"] for i in range(7)] == [0, 1, 0, 125_000, 0, 0, 0] and got[6]["n_email"] == 1
+
+
 def test_context_tree_base_model(docs, none):
     tokens = [(i, text_of(t).encode().lower().split() + [None]) for i, t, _ in rows()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -442,6 +543,50 @@ def test_toxicity(spark, docs, none, monkeypatch):
     assert sizes == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))]
 
 
+def test_toxicity_exceptions_against_every_pair():
+    rng = random.Random(3)
+    lexicon = toxicity.Lexicon({" foo": 1.5, " foobar ": 2.5, " bar ": 1.0}, {" foob ", " foo bar ", " bar ", " bar foo "}, [0.0] * 4)
+    for _ in range(500):
+        folded = " " + " ".join(rng.choice(["foo", "foob", "foobar", "bar", "x"]) for _ in range(rng.randint(0, 12))) + " "
+        at = lambda e, t=folded: [i for i in range(len(t)) if t.startswith(e, i)]
+        clear = [(i, i + len(e)) for e in lexicon.exceptions for i in at(e)]
+        want = {}
+        for e, w in lexicon.entries.items():
+            if e in lexicon.exceptions:
+                continue
+            for i in at(e):
+                if not any(a <= i and i + len(e) <= b for a, b in clear):
+                    word = folded[i + 1 : folded.index(" ", i + 1)]
+                    want[word] = max(w, want.get(word, 0))
+        assert lexicon.hits(folded) == want
+    seconds = []
+    for n in (4000, 32000):
+        began = time.perf_counter()
+        lexicon.hits(" foob foobar" * n + " ")
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 20 * seconds[0] + 0.3
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"))
+    met = []
+    monkeypatch.setattr(toxicity, "learn", lambda texts, toxic: met.extend(texts))
+    toxicity.train(docs, docs.select("doc_id", F.lit(1).alias("toxic")), sample_bytes=4250)
+    assert len(met) == 42
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Held-out accuracy on the supplied labels, by a tally of its own."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    got = {r["doc_id"]: r for r in toxicity.op8_toxicity(spark, sf).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(got) == docs.count() and {i for i, r in got.items() if r["held_out"]} == {i for i in got if zlib.crc32(str(i).encode()) % 5 == 0}
+    right = sum(got[i]["predicted"] == truth[i] for i in held)
+    assert right >= 0.95 * len(held) and all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got.values())
+
+
 def _multiset(t):
     ws = text_of(t).encode().lower().split()
     return collections.Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else collections.Counter()
