@@ -24,22 +24,69 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 # Phrases and labels of the base.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# The wording of public licence notices, with regions that may be left out or replaced.
+# The wording of public licences and notices, with regions that may be left out or replaced.
+_AS_IS_BSD = """
+this software is provided by {{owner:12}} as is and any express or implied warranties including but not limited to
+the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+in no event shall {{owner:12}} be liable for any direct indirect incidental special exemplary or consequential damages
+including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption
+however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_BSD_2 = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+[[{{number:1|[1a]}}]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+[[{{number:1|[2b]}}]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+in the documentation and or other materials provided with the distribution"""
 TEMPLATES = {
+    # Whole licences: every mandatory word must stand.
+    "mit": [
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and [[noninfringement|non infringement]] in no event shall {{owner:12}} be liable for any claim damages or other liability
+whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+    ],
+    "isc": [
+        """permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted
+provided that the above copyright notice and this permission notice appear in all copies
+the software is provided as is and {{owner:12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+in no event shall {{owner:12}} be liable for any special direct indirect or consequential damages or any damages whatsoever
+resulting from loss of use data or profits whether in an action of contract negligence or other tortious action
+arising out of or in connection with the use or performance of this software"""
+    ],
+    "bsd-2-clause": [_BSD_2 + _AS_IS_BSD],
+    "bsd-3-clause": [
+        _BSD_2
+        + """ [[{{number:1|[3c]}}]] neither the name of {{owner:12}} nor the names of [[its|any|the]] [[other]] contributors may be used
+to endorse or promote products derived from this software without specific prior written permission"""
+        + _AS_IS_BSD
+    ],
     "apache-2.0": [
+        """licensed under the apache license version 2.0 the license you may not use [[this file|{{work:4}}]] except in compliance with the license
+you may obtain a copy of the license at [[http|https]] [[www]] apache org licenses license 2.0 [[txt]]
+unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+without warranties or conditions of any kind either express or implied
+see the license for the specific language governing permissions and limitations under the license"""
+    ],
+    "gpl-3.0-or-later": [
+        """{{program:6}} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
+either version 3 of the license or at your option any later version {{program:6}} is distributed in the hope that it will be useful
+but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"""
+    ],
+    # Notices of one line, under labels of their own.
+    "apache-2.0-notice": [
         "licensed under [[the terms of]] the apache license [[,]] version 2.0",
         "licensed under [[the terms of]] apache [[license]] [[version]] 2.0",
     ],
-    "mit": [
-        "[[released|licensed|distributed|available]] under [[the terms of]] the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this {{subject:4}} and associated documentation files",
-    ],
-    "gpl-3.0": [
+    "mit-notice": ["[[released|licensed|distributed|available]] under [[the terms of]] the mit license"],
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this {{subject:4}} and associated documentation files"],
+    "gpl-3.0-notice": [
         "licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version 3",
         "licensed under [[the terms of]] the [[gnu]] gpl [[version|v]] 3",
     ],
-    "gpl-2.0": ["licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version 2"],
-    "lgpl": ["licensed under [[the terms of]] the gnu lesser general public license [[version {{number:2|[0-9]+}}]]", "licensed under [[the terms of]] the gnu library general public license [[version {{number:2|[0-9]+}}]]"],
+    "gpl-2.0-notice": ["licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version 2"],
+    "lgpl-notice": [f"licensed under [[the terms of]] the gnu {kind} general public license [[version {{{{number:2|[0-9]+}}}}]]" for kind in ("lesser", "library")],
     "cc-by-nc-4.0": ["[[licensed|available|released]] under [[a|the]] [[creative commons]] cc by nc 4.0 [[international]] [[license]]"],
     "cc-by-sa-4.0": ["[[licensed|available|released]] under [[a|the]] [[creative commons]] cc by sa 4.0 [[international]] [[license]]"],
     "cc-by-4.0": [
@@ -47,9 +94,11 @@ TEMPLATES = {
         "licensed under [[a|the]] creative commons attribution 4.0 [[international]] [[license]]",
     ],
     "cc0": ["[[licensed|released]] under [[the]] [[creative commons]] cc0 [[1.0]] [[universal]]", "dedicated to the public domain [[under cc0]]"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "under [[the terms of]] [[a|the]] [[{{clauses:1|[0-9]}} clause|new|modified|simplified]] bsd license"],
-    "isc": ["permission to use copy modify and or distribute this {{subject:2}} for any purpose with or without fee is hereby granted", "under [[the terms of]] the isc license"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v 2.0", "under [[the terms of]] the mozilla public license [[version]] 2.0"],
+    "bsd-notice": ["under [[the terms of]] [[a|the]] [[{{clauses:1|[0-9]}} clause|new|modified|simplified]] bsd license"],
+    "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "isc-notice": ["under [[the terms of]] the isc license"],
+    "isc-grant": ["permission to use copy modify and [[or]] distribute this {{subject:2}} for any purpose with or without fee is hereby granted"],
+    "mpl-2.0-notice": ["subject to the terms of the mozilla public license v 2.0", "under [[the terms of]] the mozilla public license [[version]] 2.0"],
     "copyright": ["copyright [[c]] {{year:2|[0-9][0-9][0-9][0-9]}} {{holder:6}} all rights reserved"],
 }
 

@@ -363,7 +363,7 @@ def test_licenses_table(spark, none):
     got = {r["doc_id"]: r for r in licenses.licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (3, 0, 5, "cc-by,reserved")
     assert (got[2]["n_words"], got[2]["first_word"], got[2]["labels"], got[2]["score"]) == (0, None, "", 0.0)
-    assert got[3]["base_labels"] == "gpl" and got[4]["labels"] == "mit" and got[4]["score"] == 1.0 and got[5]["n_base"] == 0
+    assert got[3]["base_labels"] == "gpl" and got[4]["labels"] == "mit-notice" and got[4]["score"] == 1.0 and got[5]["n_base"] == 0
     assert licenses.licenses(none).count() == 0
 
 
@@ -395,6 +395,73 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+MIT = """Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_whole_licences(spark):
+    clause = BSD[BSD.index("3. Neither") : BSD.index("THIS SOFTWARE")]
+    texts = {
+        MIT: "mit,mit-grant",
+        "before\n# " + MIT.replace("\n", "\n# ").replace("THE\n# AUTHORS OR COPYRIGHT HOLDERS", "Some Body") + " after": "mit,mit-grant",
+        MIT.replace("without restriction", "without restriction, if you must,"): "mit-grant",
+        MIT.replace("sell\ncopies of", "NOT sell\ncopies of"): "mit-grant",
+        MIT[: MIT.index("The above")] + "You may NOT sell it.": "mit-grant",
+        BSD: "bsd-3-clause,bsd-grant",
+        BSD.replace("1. ", "").replace("2. ", "").replace("3. ", "").replace("of its", "of any"): "bsd-3-clause,bsd-grant",
+        BSD.replace(clause, ""): "bsd-2-clause,bsd-grant",
+        BSD.replace("not limited to, the\nimplied", "limited to the\nimplied").replace("DISCLAIMED", "GIVEN"): "bsd-grant",
+    }
+    got = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        text, want = list(texts.items())[r["doc_id"]]
+        assert r["labels"] == want, (text, r["labels"])
+
+
+def test_license_table_with_repeated_rows(spark):
+    one = [(1, "Released under the MIT License. All rights reserved.", "x")]
+    df = spark.createDataFrame(one * 5 + [(None, None, None), (None, "cc by", "y")], "doc_id long, text string, labels string")
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_base"], r["labels"]) for r in licenses.licenses(df).collect())
+    assert got == {(1, 8, 1, "mit-notice,reserved"): 5, (None, 0, 0, ""): 1, (None, 2, 1, "cc-by"): 1}
+
+
 def _best_fit_decreasing(counts, capacity):
     gaps, opened = [], 0
     for length in sorted(counts, reverse=True):
