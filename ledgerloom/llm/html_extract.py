@@ -29,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+#: Blocks that text doesn't stand in by itself (the first is the page).
+BARE = frozenset(["#", "html", "body"])
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 #: Groups of tags and of attribute words, each a feature.
@@ -51,7 +53,8 @@ _WORD = {w: i for i, group in enumerate(WORDS) for w in group.split()}
 HANDED = [*(TAGS.index(t) for t in ("nav", "header", "footer", "aside", "article", "main", "form fieldset button label")), *range(len(TAGS), len(TAGS) + len(WORDS))]
 N_FEATURES = len(TAGS) + len(WORDS) + 14 + len(HANDED)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# A quote opens a value only right after the equals sign; anywhere else it is a character like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _LETTERS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -74,10 +77,12 @@ class Page:
             text = source[at : m.start()] if m else source[at:]
             if text:
                 inside = stack[-1][1]
-                if not inside and not text.isspace():
-                    # Text in no block is in a paragraph of its own, up to the next block.
-                    loose = loose or self._block("p", 0, "")
-                self._text(inside or loose, text, links)
+                if self.tags[inside] in BARE and not text.isspace():
+                    # Text in no block, or straight in a body, is in a paragraph of its own, up to the next block.
+                    if not loose or self.parents[loose] != inside:
+                        loose = self._block("p", inside, "")
+                    inside = loose
+                self._text(inside, text, links)
             if not m:
                 return
             at = m.end()
@@ -371,10 +376,11 @@ def _compose(rng: random.Random) -> str:
                 out += "<table y>" + "".join(f"<tr y><td y>{words(1, 3)}</td><td y>{words(1, 5)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
         return out
 
-    if rng.random() < 0.08:  # no box at all: text alone, in the body or in nothing, perhaps below a menu
-        own = "".join(f"<p y>{prose()}{maybe(' ' + link() + '.', 0.2)}</p>" for _ in range(rng.randint(1, 4)))
-        menu = maybe(f"<nav>{links()}</nav>", 0.2)
-        return rng.choice([menu + own, f"<html><body>{menu}{own}</body></html>", f"<body y>{rng.choice([prose(), words(1, 8)])}{maybe('<br>' + prose())}</body>", f"<p y>{words(1, 8)}</p>"])
+    if rng.random() < 0.12:  # no box at all: text alone, in the body or in nothing, perhaps below a menu
+        own = rng.choice(["".join(f"<p y>{prose()}{maybe(' ' + link() + '.', 0.2)}</p>" for _ in range(rng.randint(1, 4))), f"<p y>{rng.choice([prose(), words(1, 8)])}{maybe('<br>' + prose())}</p>"])
+        menu = maybe(f"<nav>{rng.choice([links(), link() + ' ' + link()])}</nav>", 0.3)
+        foot = maybe(f"<footer>&copy; {words(1, 4)}</footer>", 0.2)
+        return rng.choice([f"{menu}{own}", f"<body>{menu}{own}{foot}</body>", f"<html><body>{menu}{own}{foot}</body></html>", f"<html><head><title>{words(2, 6)}</title></head><body>{menu}{own}{foot}</body></html>"])
 
     box = rng.choice(["article", "article", "article", "article", "main", 'div class="content"', 'div class="post-body"', 'div id="article"', 'section class="story"', 'div class="entry-content"', "div"])
     body = f"<{box} y>{content()}</{box.split()[0]}>"
@@ -384,11 +390,13 @@ def _compose(rng: random.Random) -> str:
     head = maybe(f'<header{maybe(" class=masthead")}>{maybe(f"<h1>{words(1, 3)}</h1>", 0.4)}{maybe(links())}<p>{words(2, 9)}</p></header>', 0.5) + maybe(f"<nav>{links()}</nav>", 0.7)
     head += "".join(noise() for _ in range(rng.randint(0, 2)))
     foot = "".join(noise() for _ in range(rng.randint(0, 3))) + maybe(rng.choice([f"<footer>&copy; {words(1, 3)} {prose(1, 3)}</footer>", f"<div class=footer><p>&copy; {words(2, 8)}</p>{links()}</div>", f"<footer><p>{prose(1, 2)}</p>{links()}</footer>"]), 0.8)
+    if rng.random() < 0.06:  # the article has no box: it stands in the body, between what else does
+        body = "".join(rng.choice([f"<p y>{prose()}</p>", f"<p y>{prose(2, 6)}{maybe('<br>' + prose())}</p>", f"<h1 y>{words(2, 8)}</h1><p y>{prose()}</p>"]) for _ in range(rng.choice([1, 1, 2, 3])))
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{head}{body}{foot}</body></html>"
 
 
 def train(pages: int = 1000, seed: int = 11) -> Boosted:
-    """Trees learned from ``pages`` composed pages."""
+    """Trees learned from ``pages`` composed pages; the blocks of small pages weigh more, up to five times."""
     rng, known = random.Random(seed), {}
     xs, ys = [], []
     for _ in range(pages):
@@ -396,7 +404,7 @@ def train(pages: int = 1000, seed: int = 11) -> Boosted:
         ys.append(np.array([bool(re.search(r"\sy$", a)) for a in page.attrs], float))
         page.attrs = [re.sub(r"\sy$", "", a) for a in page.attrs]
         xs.append(features(page, known))
-    return Boosted().fit(np.concatenate(xs), np.concatenate(ys), np.concatenate([np.full(len(y), 1.0) for y in ys]))
+    return Boosted().fit(np.concatenate(xs), np.concatenate(ys), np.concatenate([np.full(len(y), min(5.0, max(1.0, 25 / len(y)))) for y in ys]))
 
 
 def extract(sources: list[str], model: Boosted, known: dict | None = None) -> list[str]:
@@ -432,8 +440,8 @@ def _scan(model: Boosted):
 def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """One row per page: page_id, url, text (empty if there is none), n_chars.
 
-    Null and empty html give an empty text. Text that stands in no block element is
-    read as a paragraph of its own. The content of script, style, noscript, template,
+    Null and empty html give an empty text. Text that stands in no block element, or
+    in a body by itself, is read as a paragraph of its own. The content of script, style, noscript, template,
     textarea, title, iframe, svg, math, object, canvas, audio, video and select is
     dropped wherever it stands, in articles as well, and so are comments and CDATA. Unclosed and unmatched tags, and html cut
     off anywhere, are parsed as far as they go. Repeated rows and null ids or urls

@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -586,10 +587,70 @@ def test_html_text_in_no_block():
     assert html_extract.extract([plain, inline, mixed], model) == want
 
 
+def test_html_attributes_and_text_in_a_body():
+    model = html_extract.train()
+    long = "One two three four five, six seven. More text of the page, as it goes on."
+    pages = {
+        f"<title>Title here</title><p title=it's>{long}</p>": long,
+        f"<p class = \"a>b\">{long} <p data-x=>Second one, with text.": f"{long} Second one, with text.",
+        f"{long} <b class=a'b\"c>bold</b> words, and so on.": f"{long} bold words, and so on.",
+        f"<html><body>{long}</body></html>": long,
+        f"<body>{long}<br>And a line more.</body>": f"{long} And a line more.",
+        f"<body><nav><a href=/>Home</a> <a href=/b>News</a></nav>{long}<footer>&copy; 2020 someone</footer></body>": long,
+    }
+    assert html_extract.extract(list(pages), model) == list(pages.values())
+    began = time.perf_counter()
+    html_extract.extract(["<a =" + '="' * 100_000, "<p " + "='x " * 100_000, "<" * 200_000, '<a="' * 100_000, "<!--" * 50_000], model)
+    assert time.perf_counter() - began < 5
+
+
+class _Article(HTMLParser):
+    """The text inside article elements without what an article holds that is none; by the standard library's parser."""
+
+    APART = ("script", "style", "aside", "form", "nav", "footer", "noscript")
+    BLOCKS = ("p", "div", "br", "li", "h1", "h2", "h3", "ul", "section", "blockquote")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open = self.apart = 0
+        self.out = []
+
+    def handle_starttag(self, tag, attrs):
+        self.open += tag == "article"
+        self.apart += bool(self.open) and tag in self.APART
+        if tag in self.BLOCKS:
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        self.open -= tag == "article"
+        self.apart -= bool(self.open) and tag in self.APART
+        if tag in self.BLOCKS:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.open and not self.apart:
+            self.out.append(data)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_html_of_whole_tables_against_another_parser(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in html_extract.op7_html_main_text(spark, f"/root/testdata/{sf}").collect()}
+    assert len(got) == len(pages)
+    for r in pages:
+        article = _Article()
+        article.feed(r["html"] or "")
+        article.close()
+        want = " ".join("".join(article.out).split())
+        assert (got[r["page_id"]]["url"], got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (r["url"], want, len(want))
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<article><p>Some text, here it is.</p></article>"), (2, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_extract.main_text(df, html_extract.train(200)).collect()
-    assert len(got) == 3 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in got} == {1: ("u", "", 0), None: (None, "Some text, here it is.", 23), 2: ("v", "", 0)}
+    again = html_extract.main_text(df.union(df).repartition(3), html_extract.train(200)).collect()
+    assert collections.Counter((r["page_id"], r["text"]) for r in again) == {(1, ""): 2, (None, "Some text, here it is."): 2, (2, ""): 2}
     assert html_extract.main_text(df.limit(0), html_extract.train(50)).count() == 0
 
 
