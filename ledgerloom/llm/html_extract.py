@@ -378,8 +378,8 @@ def _compose(rng: random.Random) -> str:
 
     if rng.random() < 0.12:  # no box at all: text alone, in the body or in nothing, perhaps below a menu
         own = rng.choice(["".join(f"<p y>{prose()}{maybe(' ' + link() + '.', 0.2)}</p>" for _ in range(rng.randint(1, 4))), f"<p y>{rng.choice([prose(), words(1, 8)])}{maybe('<br>' + prose())}</p>"])
-        menu = maybe(f"<nav>{rng.choice([links(), link() + ' ' + link()])}</nav>", 0.3)
-        foot = maybe(f"<footer>&copy; {words(1, 4)}</footer>", 0.2)
+        menu = maybe(f"<nav>{rng.choice([links(), link() + ' ' + link()])}</nav>", 0.5)
+        foot = maybe(f"<footer>&copy; {words(1, 4)}</footer>", 0.4)
         return rng.choice([f"{menu}{own}", f"<body>{menu}{own}{foot}</body>", f"<html><body>{menu}{own}{foot}</body></html>", f"<html><head><title>{words(2, 6)}</title></head><body>{menu}{own}{foot}</body></html>"])
 
     box = rng.choice(["article", "article", "article", "article", "main", 'div class="content"', 'div class="post-body"', 'div id="article"', 'section class="story"', 'div class="entry-content"', "div"])
@@ -390,12 +390,12 @@ def _compose(rng: random.Random) -> str:
     head = maybe(f'<header{maybe(" class=masthead")}>{maybe(f"<h1>{words(1, 3)}</h1>", 0.4)}{maybe(links())}<p>{words(2, 9)}</p></header>', 0.5) + maybe(f"<nav>{links()}</nav>", 0.7)
     head += "".join(noise() for _ in range(rng.randint(0, 2)))
     foot = "".join(noise() for _ in range(rng.randint(0, 3))) + maybe(rng.choice([f"<footer>&copy; {words(1, 3)} {prose(1, 3)}</footer>", f"<div class=footer><p>&copy; {words(2, 8)}</p>{links()}</div>", f"<footer><p>{prose(1, 2)}</p>{links()}</footer>"]), 0.8)
-    if rng.random() < 0.06:  # the article has no box: it stands in the body, between what else does
+    if rng.random() < 0.08:  # the article has no box: it stands in the body, between what else does
         body = "".join(rng.choice([f"<p y>{prose()}</p>", f"<p y>{prose(2, 6)}{maybe('<br>' + prose())}</p>", f"<h1 y>{words(2, 8)}</h1><p y>{prose()}</p>"]) for _ in range(rng.choice([1, 1, 2, 3])))
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{head}{body}{foot}</body></html>"
 
 
-def train(pages: int = 1000, seed: int = 11) -> Boosted:
+def train(pages: int = 1300, seed: int = 11) -> Boosted:
     """Trees learned from ``pages`` composed pages; the blocks of small pages weigh more, up to five times."""
     rng, known = random.Random(seed), {}
     xs, ys = [], []
