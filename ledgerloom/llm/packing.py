@@ -213,8 +213,8 @@ def _merge_ranges(capacity: int):
 def superstep(runs: DataFrame, capacity: int) -> DataFrame:
     """Runs after one more superstep: ranges swept in parallel, then what they leave over."""
     dealt = runs.withColumn("range", F.floor((F.col("size") - 1) * RANGES / capacity).cast("int"))
-    swept = dealt.repartition(RANGES, "range").drop("range").mapInPandas(_sweep_range(capacity), RUNS)
-    return swept.coalesce(1).mapInPandas(_merge_ranges(capacity), RUNS)
+    swept = dealt.repartition(RANGES, "range").coalesce(RANGES).drop("range").mapInPandas(_sweep_range(capacity), RUNS)
+    return swept.repartition(1).mapInPandas(_merge_ranges(capacity), RUNS)
 
 
 def supersteps(counts: DataFrame, capacity: int) -> DataFrame:
