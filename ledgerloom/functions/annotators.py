@@ -1,4 +1,4 @@
-"""Where models plug in: an annotator adds columns to a table of sentences.
+"""Where models plug in: an annotator adds columns to a table of sentences (those of tokens and of layouts make rows).
 
 The defaults are rules in place of models, so that everything around them can
 run and be tested; they don't claim a model's results.
@@ -6,7 +6,9 @@ run and be tested; they don't claim a model's results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
@@ -43,3 +45,72 @@ def model_annotator(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
         return sents.mapInPandas(run, f"{own}, {schema}")
 
     return annotate
+
+
+#: Tokens that models of text take at most.
+TOKENS = 512
+
+
+def _cut(text: str, tokens: int | None, chars: int | None) -> str:
+    """The beginning of ``text``, up to so many words and characters."""
+    text = (text or "")[:chars]
+    if tokens is None:
+        return text
+    end = 0
+    for n, m in enumerate(re.finditer(r"\S+", text), 1):
+        if n > tokens:
+            return text[:end]
+        end = m.end()
+    return text
+
+
+def classifier_annotator(load: Callable[[], Callable[[list[str]], list[list[tuple[str, float]]]]], tokens: int | None = TOKENS, chars: int | None = None) -> Annotator:
+    """esg_topic, esg_score: the label with the highest score, the first of equals.
+
+    The model gives, for a batch of texts, each one's labels with scores; it is loaded once per task. It sees at most ``tokens``
+    words of a text (what a model's own tokens are is up to it: it must not take more of them than it can), and ``chars`` characters.
+    A text that it gives no label has nulls.
+    """
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        model = load()
+
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            results = model([_cut(t, tokens, chars) for t in batch["text"]]) if len(batch) else []
+            best = [max(r, key=lambda x: x[1]) if r else (None, None) for r in results]
+            return pd.DataFrame(best, columns=["esg_topic", "esg_score"]).astype({"esg_score": "Float64"})
+
+        return run
+
+    return model_annotator(start, "esg_topic string, esg_score double")
+
+
+def token_annotator(load: Callable[[], Callable[[str], list[tuple[str, list[float]]]]], limit: int = TOKENS) -> Annotator:
+    """Rows of sent_id, pos, token, v for the first ``limit`` tokens of every sentence, by a model of one text."""
+
+    def annotate(sents: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = load()
+            for batch in batches:
+                rows = [(i, pos, token, list(v)) for i, text in zip(batch["sent_id"], batch["text"], strict=True) for pos, (token, v) in enumerate(islice(model(text or ""), limit))]
+                yield pd.DataFrame(rows, columns=["sent_id", "pos", "token", "v"])
+
+        own = sents.schema["sent_id"].dataType.simpleString()
+        return sents.select("sent_id", "text").mapInPandas(run, f"sent_id {own}, pos int, token string, v array<double>")
+
+    return annotate
+
+
+def entity_annotator(load: Callable[[], Callable[[str], list[tuple[str, str, int, int]]]]) -> Annotator:
+    """``entities``, an array of (text, label, start, end) by a model of one text, and ``ent_labels`` for the filter of sentences."""
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        model = load()
+
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            found = [[dict(zip(("text", "label", "start", "end"), e, strict=True)) for e in model(t or "")] for t in batch["text"]]
+            return pd.DataFrame({"entities": found, "ent_labels": [[e["label"] for e in own] for own in found]})
+
+        return run
+
+    return model_annotator(start, "entities array<struct<text: string, label: string, start: int, end: int>>, ent_labels array<string>")

@@ -9,31 +9,36 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+# Runs of white space are entered at their beginning only (or where the last match has ended),
+# so that a text takes time in proportion to its length.
+_RUN = rf"(?:\G|(?<!{SPACE}))"
+
+
 def text_filter(text: Column) -> Column:
     """Joins words hyphenated over a line end, drops blank lines, and turns line ends into blanks."""
-    text = F.regexp_replace(text, rf"{SPACE}*-{SPACE}*\n", "")
+    text = F.regexp_replace(text, rf"{_RUN}{SPACE}*+-{SPACE}*\n", "")
     text = F.regexp_replace(text, rf"\n{SPACE}*\n", "\n")
-    return F.regexp_replace(text, rf"{SPACE}*\n{SPACE}*", " ")
+    return F.regexp_replace(text, rf"{_RUN}{SPACE}*\n{SPACE}*+", " ")
 
 
 def block_rtrim(text: Column) -> Column:
     """Without white space at the end."""
-    return F.regexp_replace(text, rf"{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"(?<!{SPACE}){SPACE}++\z", "")
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def split_sentences(text: Column) -> Column:
     """P3's default: an array of sentences, cut after runs of ``.!?`` that white space follows."""
-    return F.split(F.regexp_replace(F.trim(text), r"([.!?]+)\s+", "$1\n"), "\n")
+    return F.split(F.regexp_replace(F.trim(text), r"(?<![.!?])([.!?]++)\s++", "$1\n"), "\n")
 
 
 def lemmatize(text: Column) -> Column:
     """T3's default in place of a model: lower case, single blanks, no blanks around hyphens."""
-    return F.replace(F.regexp_replace(strip(F.lower(text)), rf"{SPACE}+", " "), F.lit(" - "), F.lit("-"))
+    return F.replace(F.trim(F.regexp_replace(F.lower(text), rf"{SPACE}++", " ")), F.lit(" - "), F.lit("-"))
 
 
 def spaced(text: Column) -> Column:
@@ -51,6 +56,20 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[0-9]+(?:[.,][0-9]+)*%?"), F.lit(0))
 
 
+#: An entity of the service's reply. Offsets count characters; a percentage is a number with its unit apart.
+ENTITY = "array<struct<text: string, label: string, start: int, end: int, value: string, unit: string>>"
+
+
+def entity_reply(reply: Column, schema: str = ENTITY) -> Column:
+    """The entities of the service's JSON reply; fields that it lacks are null, and so is all of a broken reply."""
+    return F.from_json(reply, schema, {"mode": "PERMISSIVE"})
+
+
+def entity_texts(entities: Column) -> Column:
+    """The texts of entities in order, one string."""
+    return F.array_join(F.transform(entities, lambda e: e["text"]), "|")
+
+
 def split_distinct(text: Column) -> Column:
     """How many distinct comma-parted items; a null has none."""
     return F.coalesce(F.size(F.array_distinct(F.split(text, ","))), F.lit(0))

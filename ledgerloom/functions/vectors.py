@@ -10,9 +10,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; a zero vector is like nothing. Rounded, so that ties are ties on every engine."""
-    return F.round(F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)), 12)
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def cosine(a: Column, b: Column, a_norm: Column | None = None, b_norm: Column | None = None) -> Column:
+    """Cosine similarity; a zero vector is like nothing. Rounded, so that ties are ties on every engine. Norms that are known needn't be computed."""
+    both = (norm(a) if a_norm is None else a_norm) * (norm(b) if b_norm is None else b_norm)
+    return F.round(F.coalesce(F.try_divide(dot(a, b), both), F.lit(0.0)), 12)
 
 
 def mean(vectors: Column) -> Column:

@@ -1,23 +1,41 @@
 """Sentences and their n-grams against a list of indicators (KPIs), by embedding similarity.
 
-The indicators are a small stated list; they go to every task while there are at most
-``LISTED`` of them, and beyond that Spark pairs both sides block by block.
+The indicators are a small stated list. They travel as one row that holds them all in an array,
+and every sentence finds its best one within its own row: no pair of the two becomes a row, and nothing is sorted
+or shuffled. A list of more than ``LISTED`` indicators, or ``NUMBERS`` vector elements in all, goes in several
+such arrays, one after the other.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, mean
+from ..functions.vectors import cosine, mean, norm
+
+#: What one array of indicators holds at most (32 MB of numbers).
+LISTED, NUMBERS = 10_000, 4_000_000
+
+
+def indicator_blocks(kpis: DataFrame, listed: int = LISTED, numbers: int = NUMBERS) -> list[DataFrame]:
+    """Tables of one row with an array ``listed`` of (kpi_id, kpi, v, norm), sorted by kpi_id. Their sizes are counted first."""
+    n, total = kpis.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / listed), math.ceil(total / numbers))
+    rows = kpis.select(F.struct("kpi_id", "kpi", F.col("v"), norm(F.col("v")).alias("norm")).alias("k"), F.pmod(F.xxhash64("kpi_id"), F.lit(blocks)).alias("block"))
+    array = F.array_sort(F.collect_list("k")).alias("listed")
+    return [(rows.where(F.col("block") == i) if blocks > 1 else rows).agg(array) for i in range(blocks)]
+
 
-LISTED = 10_000
+def _with(rows: DataFrame, block: DataFrame) -> DataFrame:
+    """J-8: every row with the array of indicators. The block is one row of a checked size."""
+    return rows.crossJoin(F.broadcast(block))
 
 
-def against(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """J-8: every row with every listed one."""
-    few = len(listed.limit(LISTED + 1).select(F.lit(1)).take(LISTED + 1)) <= LISTED
-    return rows.crossJoin(F.broadcast(listed) if few else listed)
+def _scores(v: Column, length: Column) -> Column:
+    return F.transform("listed", lambda k: cosine(v, k["v"], length, k["norm"]))
 
 
 def sentence_tokens(token_feats: DataFrame) -> DataFrame:
@@ -32,14 +50,27 @@ def sent_feats(token_feats: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(sents: DataFrame, kpis: DataFrame) -> DataFrame:
-    """E3, long: sent_id, kpi_id, kpi, score."""
-    return against(sents, kpis.select("kpi_id", "kpi", F.col("v").alias("kv"))).select("sent_id", "kpi_id", "kpi", cosine(F.col("v"), F.col("kv")).alias("score"))
+    """E3, long: sent_id, kpi_id, kpi, score; every pair, by definition."""
+    rows = sents.withColumn("length", norm(F.col("v")))
+    pairs = [_with(rows, block).select("sent_id", "v", "length", F.explode("listed").alias("k")) for block in indicator_blocks(kpis)]
+    return reduce(DataFrame.unionByName, (p.select("sent_id", "k.kpi_id", "k.kpi", cosine(F.col("v"), F.col("k.v"), F.col("length"), F.col("k.norm")).alias("score")) for p in pairs))
+
+
+def _best_sentence(rows: DataFrame, kpis: DataFrame, v: str = "v") -> DataFrame:
+    """``rows`` with ``sent``: (less, kpi_id, kpi) of the most similar indicator, the first of equals; ``less`` is the score with its sign turned."""
+    columns, rows = rows.columns, rows.withColumns({"length": norm(F.col(v)), "sent": F.lit(None).cast("struct<less: double, kpi_id: bigint, kpi: string>")})
+    for block in indicator_blocks(kpis):
+        scored = _with(rows, block).withColumn("scores", _scores(F.col(v), F.col("length"))).withColumn("top", F.array_max("scores"))
+        k = F.try_element_at("listed", F.array_position("scores", F.col("top")).cast("int"))
+        found = F.when(F.size("listed") > 0, F.struct((-F.col("top")).alias("less"), k["kpi_id"].cast("long").alias("kpi_id"), k["kpi"].alias("kpi")))
+        rows = scored.withColumn("sent", F.least("sent", found)).select(*columns, "length", "sent")
+    return rows.drop("length")
 
 
 def compare_sents(sents: DataFrame, kpis: DataFrame) -> DataFrame:
-    """sent_id, kpi_sent, score_sent: the most similar indicator, the first of equals."""
-    best = F.max_by(F.struct("kpi", "score"), F.struct("score", -F.col("kpi_id")))
-    return cosine_pairs(sents, kpis).groupBy("sent_id").agg(best.alias("b")).select("sent_id", F.col("b.kpi").alias("kpi_sent"), F.col("b.score").alias("score_sent"))
+    """sent_id, kpi_sent, score_sent: the most similar indicator, the first of equals. Without indicators no rows."""
+    found = _best_sentence(sents.select("sent_id", "v"), kpis).where(F.col("sent").isNotNull())
+    return found.select("sent_id", F.col("sent.kpi").alias("kpi_sent"), (-F.col("sent.less")).alias("score_sent"))
 
 
 def ngram_spans(length: Column, limit: int = 999) -> Column:
@@ -52,14 +83,53 @@ def ngram_scores(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> Dat
     """E6 and E8 before the choice: sent_id, x, y, ngram, kpi_id, kpi, score for every span of at most ``limit`` tokens."""
     spans = sentence_tokens(token_feats).select("sent_id", "tokens", "vectors", F.explode(ngram_spans(F.size("vectors"), limit)).alias("s"))
     part = lambda c: F.slice(c, F.col("s.x") + 1, F.col("s.y") - F.col("s.x"))
-    pooled = spans.select("sent_id", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.array_join(part("tokens"), " ").alias("ngram"), mean(part("vectors")).alias("v"))
-    return against(pooled, kpis.select("kpi_id", "kpi", F.col("v").alias("kv"))).select("sent_id", "x", "y", "ngram", "kpi_id", "kpi", cosine(F.col("v"), F.col("kv")).alias("score"))
+    pooled = spans.select("sent_id", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.array_join(part("tokens"), " ").alias("ngram"), mean(part("vectors")).alias("v")).withColumn("length", norm(F.col("v")))
+    pairs = [_with(pooled, block).select("sent_id", "x", "y", "ngram", "v", "length", F.explode("listed").alias("k")) for block in indicator_blocks(kpis)]
+    return reduce(DataFrame.unionByName, (p.select("sent_id", "x", "y", "ngram", "k.kpi_id", "k.kpi", cosine(F.col("v"), F.col("k.v"), F.col("length"), F.col("k.norm")).alias("score")) for p in pairs))
+
+
+def _best_ngram(rows: DataFrame, kpis: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (with tokens and vectors) with ``gram``: (less, x, y, kpi_id, kpi) of the best span and indicator, the first of equals by span, then indicator."""
+    columns = rows.columns
+    part = lambda c, s: F.slice(c, s["x"] + 1, s["y"] - s["x"])
+    spans = F.transform(ngram_spans(F.size("vectors"), limit), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), mean(part("vectors", s)).alias("v")))
+    spans = F.transform(spans, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["v"].alias("v"), norm(s["v"]).alias("length")))
+    rows = rows.withColumns({"spans": spans, "gram": F.lit(None).cast("struct<less: double, x: int, y: int, kpi_id: bigint, kpi: string>")})
+    for block in indicator_blocks(kpis):
+
+        def top(s: Column) -> Column:
+            # The scores of a span are an array of one array, so that the lambda names them once.
+            best = F.transform(F.array(_scores(s["v"], s["length"])), lambda scores: F.struct((-F.array_max(scores)).alias("less"), s["x"].alias("x"), s["y"].alias("y"), F.array_position(scores, F.array_max(scores)).cast("int").alias("at")))
+            return F.element_at(best, 1)
+
+        scored = _with(rows, block).withColumn("best", F.when(F.size("listed") > 0, F.array_min(F.transform("spans", top))))
+        k = F.try_element_at("listed", F.col("best.at"))
+        found = F.when(F.col("best").isNotNull(), F.struct("best.less", "best.x", "best.y", k["kpi_id"].cast("long").alias("kpi_id"), k["kpi"].alias("kpi")))
+        rows = scored.withColumn("gram", F.least("gram", found)).select(*columns, "spans", "gram")
+    return rows.drop("spans")
 
 
 def compare_ngrams(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> DataFrame:
     """sent_id, ngram, kpi_ngram, score_ngram: the best span and indicator, the first of equals by span, then indicator."""
-    best = F.max_by(F.struct("ngram", "kpi", "score"), F.struct("score", -F.col("x"), -F.col("y"), -F.col("kpi_id")))
-    return ngram_scores(token_feats, kpis, limit).groupBy("sent_id").agg(best.alias("b")).select("sent_id", F.col("b.ngram").alias("ngram"), F.col("b.kpi").alias("kpi_ngram"), F.col("b.score").alias("score_ngram"))
+    found = _best_ngram(sentence_tokens(token_feats), kpis, limit).where(F.col("gram").isNotNull())
+    return found.select("sent_id", _ngram().alias("ngram"), F.col("gram.kpi").alias("kpi_ngram"), (-F.col("gram.less")).alias("score_ngram"))
+
+
+def _ngram() -> Column:
+    return F.array_join(F.slice("tokens", F.col("gram.x") + 1, F.col("gram.y") - F.col("gram.x")), " ")
+
+
+def compare_both(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> DataFrame:
+    """E4 and E7 from one grouping of the tokens: sent_id, kpi_sent, score_sent, ngram, kpi_ngram, score_ngram."""
+    rows = sentence_tokens(token_feats).withColumn("v", mean(F.col("vectors")))
+    found = _best_ngram(_best_sentence(rows, kpis), kpis, limit).where(F.col("sent").isNotNull())
+    sent = F.col("sent.kpi").alias("kpi_sent"), (-F.col("sent.less")).alias("score_sent")
+    return found.select("sent_id", *sent, _ngram().alias("ngram"), F.col("gram.kpi").alias("kpi_ngram"), (-F.col("gram.less")).alias("score_ngram"))
+
+
+def unpivot(matrix: DataFrame, key: str, names: str = "kpi", values: str = "score") -> DataFrame:
+    """U-5: from a wide matrix, one column per indicator, to one row per cell."""
+    return matrix.unpivot([key], [c for c in matrix.columns if c != key], names, values)
 
 
 def ngram_debug(scores: DataFrame, least: float = 0.5) -> DataFrame:

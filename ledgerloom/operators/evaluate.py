@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The columns of the table of features.
 FEATURES = ("kpi_ngram", "kpi_sent", "kw_topic1", "esg_topic", "ducks", "ngram", "ntopics", "keywords1", "score_sent", "score_ngram", "esg_score")
 
 
-def aggregate(scope: DataFrame, sents: DataFrame, ngrams: DataFrame, entities: DataFrame) -> DataFrame:
-    """J-2: the eleven features of every sentence in scope; what a stage lacks is null."""
-    joined = reduce(lambda a, b: a.join(b, "sent_id", "left"), (sents, ngrams, entities), scope)
+def aggregate(scope: DataFrame, *stages: DataFrame) -> DataFrame:
+    """J-2: the eleven features of every sentence in scope, from its own columns and those of the stages; what a stage lacks is null."""
+    joined = reduce(lambda a, b: a.join(b, "sent_id", "left"), stages, scope)
     return joined.select("sent_id", *FEATURES)
 
 

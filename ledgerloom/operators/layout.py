@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 PAGE = ("doc_id", "page")
 
 
+# The classes of the layout model, the score that a block needs, and the pixels added around it for reading.
+CLASSES = {0: "Text", 1: "Title", 2: "List", 3: "Table", 4: "Figure"}
+THRESHOLD, PAD = 0.8, 5.0
+
+
+def layout_rows(detected: DataFrame, threshold: float = THRESHOLD, pad: float = PAD) -> DataFrame:
+    """From a model's detections (class, score, x0 to y1) the blocks above ``threshold``: with their ``type``, and crop_x0 to crop_y1, the part of the page to read."""
+    names = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
+    kept = detected.where(F.col("score") > threshold).withColumn("type", F.try_element_at(names, F.col("class").cast("int"))).where("type is not null")
+    crops = {f"crop_{c}": F.greatest(F.col(c) - pad, F.lit(0.0)) if c in ("x0", "y0") else F.col(c) + pad for c in ("x0", "y0", "x1", "y1")}
+    return kept.withColumns(crops).drop("class", "score")
+
+
 def text_not_in_figure(blocks: DataFrame) -> DataFrame:
     """L1: Text blocks that lie inside no Figure of their page."""
     t, f = blocks.where("type = 'Text'").alias("t"), blocks.where("type = 'Figure'").alias("f")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences, text_filter
@@ -16,10 +16,16 @@ def pages_to_text(pages: DataFrame, limit: int = 9_999_999, least: int = 100) ->
     return pages.where(F.col("page") < limit).groupBy("doc_id").agg(joined.alias("text")).withColumn("ok", F.length("text") >= least)
 
 
+def sentence_id(doc_id: Column | str = "doc_id", sent_pos: Column | str = "sent_pos") -> Column:
+    """The key of a sentence: document and place, as text, so that ids of any kind and size and documents of any length pass."""
+    as_text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.concat(F.coalesce(as_text(doc_id), F.lit("")), F.lit(":"), as_text(sent_pos))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, sent_pos, sent_id, text."""
     parts = docs.select("doc_id", F.posexplode(split_sentences(text_filter(F.col("text")))).alias("sent_pos", "text"))
-    return parts.withColumn("sent_id", F.col("doc_id") * 1_000_000 + F.col("sent_pos"))
+    return parts.withColumn("sent_id", sentence_id())
 
 
 def sentence_filter(annotated: DataFrame, require_digit: bool = True) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,12 @@ def topic_keywords(sheet: DataFrame) -> DataFrame:
     return rows.groupBy("topic").agg(F.min("ord").alias("ord"), F.max_by("keywords", "ord").alias("keywords")).select("ord", "topic", "keywords")
 
 
+def append_constant(topics: DataFrame, **row: object) -> DataFrame:
+    """U-2: the topic table with one more row of constants; columns not given are null."""
+    values = [F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in topics.schema]
+    return topics.unionByName(topics.sparkSession.range(1).select(*values))
+
+
 def without_overlap(keywords: Column) -> Column:
     """Without keywords that another one begins a word of."""
     return F.filter(keywords, lambda b: ~F.exists(keywords, lambda a: (a != b) & F.contains(F.concat(F.lit(" "), b), F.concat(F.lit(" "), a))))
@@ -50,7 +59,16 @@ def kwtopics(sents: DataFrame, topics: dict[str, list[str]], strict_words: bool
     """
     # Step by step: each column is used more than once, and steps keep Spark from computing it for each use.
     out, given = sents.withColumn("lemma", lemmatize(F.col("text"))), patterns(topics, strict_words)
-    lists = F.struct(*(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("lemma", F.lit(p), F.lit(0)), lambda w: F.trim(w)))).alias(f"words{i}") for i, (_, p) in enumerate(given)))
+
+    def words(pattern: str, plain: list[str]) -> Column:
+        found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("lemma", F.lit(pattern), F.lit(0)), lambda w: F.trim(w))))
+        # The pattern is tried only where one of the words stands at all; that is a plain search for bytes.
+        stands = reduce(lambda a, b: a | b, (F.contains(F.col("lemma"), F.lit(w)) for w in plain)) if plain else F.lit(True)
+        return F.when(stands, found).otherwise(F.array().cast("array<string>"))
+
+    # A keyword is part of a pattern, so only one without signs of patterns can be looked for as it stands.
+    plain = [ws if all(re.fullmatch(r"[\w -]+", w) for w in ws) else [] for ws in topics.values()]
+    lists = F.struct(*(words(p, plain[i]).alias(f"words{i}") for i, (_, p) in enumerate(given)))
     # The one-row generator keeps later filters from being pushed below, where they would compute the lists again.
     out = out.select(*sents.columns, F.explode(F.array(lists)).alias("lists")).select(*sents.columns, "lists.*")
     found = [F.struct((-F.size(f"words{i}")).alias("less"), F.lit(i).alias("ord"), F.lit(t).alias("topic"), F.col(f"words{i}").alias("words")) for i, (t, _) in enumerate(given)]

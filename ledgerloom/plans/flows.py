@@ -1,4 +1,7 @@
-"""The three flows: report to scoped sentences, sentences to features, features against labels."""
+"""The flows: pages to flagged sentences, report to scoped sentences, sentences to features, features against labels.
+
+A classifier is an annotator: it adds esg_topic and esg_score to the rows it is given, so nothing is joined.
+"""
 
 from __future__ import annotations
 
@@ -10,20 +13,23 @@ from ..functions.text import numbers
 from ..operators import embed, evaluate, layout, scope, text, topics
 
 
+def preprocess(pages: DataFrame, annotate: Annotator = rule_annotator, limit: int = 9_999_999) -> DataFrame:
+    """Pages with a text layer to sentences, each flagged; documents whose text is too short to be one are left out."""
+    docs = text.pages_to_text(pages, limit).where("ok").select("doc_id", "text")
+    return text.sentence_filter(annotate(text.sentences(docs)))
+
+
 def report_flow(blocks: DataFrame, dictionary: dict[str, list[str]], classify: Annotator, annotate: Annotator = rule_annotator) -> DataFrame:
     """Entry A: layout blocks to text in reading order, its numeric sentences, and those in scope."""
     ordered = layout.reading_order(layout.column_clusters(layout.text_not_in_figure(blocks)))
     kept = text.accepted(text.sentence_filter(annotate(text.sentences(layout.merge_pages(ordered)))))
-    found = topics.kwtopics(kept, dictionary)
-    return scope.inscope(found, classify(kept))
+    return scope.inscope(classify(topics.kwtopics(kept, dictionary)))
 
 
 def create_features(sents: DataFrame, token_feats: DataFrame, kpis: DataFrame, dictionary: dict[str, list[str]], classify: Annotator) -> DataFrame:
     """Entry B: topics, scope, entities and best indicators of sentences, in one table."""
-    scoped = scope.inscope(topics.kwtopics(sents, dictionary), classify(sents))
-    best = embed.compare_sents(embed.sent_feats(token_feats), kpis)
-    ducks = sents.select("sent_id", F.array_join(numbers(F.col("text")), "|").alias("ducks"))
-    return evaluate.aggregate(scoped, best, embed.compare_ngrams(token_feats, kpis), ducks)
+    scoped = scope.inscope(classify(topics.kwtopics(sents, dictionary))).withColumn("ducks", F.array_join(numbers(F.col("text")), "|"))
+    return evaluate.aggregate(scoped, embed.compare_both(token_feats, kpis))
 
 
 def evaluate_labels(labels: DataFrame, token_feats: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:

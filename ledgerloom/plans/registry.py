@@ -35,9 +35,8 @@ def _words(df: DataFrame) -> DataFrame:
     return df.withColumn("keywords1", F.array_join("keywords1", "|"))
 
 
-def _scoped(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = S.topics(s, d)
-    return t, S.esg(t)
+def _classified(s: SparkSession, d: str) -> DataFrame:
+    return S.classify(S.topics(s, d))
 
 
 # Text -----------------------------------------------------------------------
@@ -84,6 +83,15 @@ def accepted_rejected(s, d):
     return text.accepted(rows).select("sent_id", F.lit("accepted").alias("part")).unionByName(text.accepted(rows, False).select("sent_id", F.lit("rejected").alias("part")))
 
 
+_PAGES = "documents AS (SELECT * FROM (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id) WHERE length(text) >= 100)"
+
+
+@query(f"WITH {_PAGES}, {S.ANN} SELECT sent_id, text, accepted FROM flagged")
+def preprocess_flow(s, d):
+    pages = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    return flows.preprocess(pages).select("sent_id", "text", "accepted")
+
+
 @query("SELECT doc_id, substr(text, 1, 512) AS head FROM documents")
 def truncate_text(s, d):
     return table(s, d, "documents").select("doc_id", F.substring("text", 1, 512).alias("head"))
@@ -142,7 +150,8 @@ def merge_pages(s, d):
 
 _CELL = "(" + "), (".join(f"{o}, '{t}', '{u}', {'NULL' if a is None else repr(a)}, {'NULL' if b is None else repr(b)}" for o, t, u, a, b in S.SHEET) + ")"
 _SPELLED = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in K.SPELLING.items()) + " ELSE w END"
-_KEYWORDS = f"""sheet(ord, field, subtopic, unigrams, bigrams) AS (VALUES {_CELL}),
+_KEYWORDS = f"""fixed(ord, field, subtopic, unigrams, bigrams) AS (VALUES {_CELL}),
+sheet AS (SELECT * FROM fixed UNION ALL SELECT (item_id + 100)::INT, 'T' || (item_id % 3), 'item ' || (item_id % 29), replace(text, ' ', ','), CASE WHEN item_id % 5 <> 0 THEN replace(substr(text, 1, 60), ' ', '_') END FROM benchmark),
 split AS (SELECT ord, subtopic, list_transform(string_split(coalesce(unigrams, 'nan') || ',' || coalesce(bigrams, 'nan'), ','), lambda w: trim(replace(w, '_', ' '))) AS ws FROM sheet),
 lemma AS (SELECT ord, subtopic, list_transform(list_transform(ws, lambda w: {_SPELLED}), lambda w: {S.lemma_sql('w')}) AS ws FROM split),
 clean AS (SELECT ord, subtopic, list_sort(list_distinct(list_filter(ws, lambda w: w NOT IN {K.STOP!r}))) AS ws FROM lemma),
@@ -151,12 +160,12 @@ words AS (SELECT min(ord)::INT AS ord, subtopic AS topic, arg_max(ws, ord) AS ws
 
 @query(f"WITH {_KEYWORDS} SELECT ord, topic, array_to_string(ws, '|') AS keywords FROM words")
 def topic_keywords(s, d):
-    return K.topic_keywords(S.sheet(s)).withColumn("keywords", F.array_join("keywords", "|"))
+    return K.topic_keywords(S.sheet(s, d)).withColumn("keywords", F.array_join("keywords", "|"))
 
 
 @query(f"WITH {_KEYWORDS} SELECT ord, topic, array_to_string(list_filter(ws, lambda b: len(list_filter(ws, lambda a: a <> b AND contains(' ' || b, ' ' || a))) = 0), '|') AS keywords FROM words")
 def keyword_overlap(s, d):
-    return K.topic_keywords(S.sheet(s)).withColumn("keywords", F.array_join(K.without_overlap(F.col("keywords")), "|"))
+    return K.topic_keywords(S.sheet(s, d)).withColumn("keywords", F.array_join(K.without_overlap(F.col("keywords")), "|"))
 
 
 @query(f"WITH {S.TOPIC} SELECT sent_id, ntopics, kw_topic1, keywords1 FROM topics")
@@ -166,17 +175,17 @@ def kwtopics(s, d):
 
 @query(f"WITH {S.TOPIC} SELECT sent_id, ntopics, kw_topic1, esg2 AS esg_topic, esg_score FROM both_ WHERE esg2 <> 'outofscope'")
 def inscope(s, d):
-    return scope.inscope(*_scoped(s, d)).select("sent_id", "ntopics", "kw_topic1", "esg_topic", "esg_score")
+    return scope.inscope(_classified(s, d)).select("sent_id", "ntopics", "kw_topic1", "esg_topic", "esg_score")
 
 
 @query(f"WITH {S.TOPIC} SELECT sent_id, esg_topic, esg2 FROM both_")
 def esg2_relabel(s, d):
-    return scope.relabel(*_scoped(s, d)).select("sent_id", "esg_topic", "esg2")
+    return scope.relabel(_classified(s, d)).select("sent_id", "esg_topic", "esg2")
 
 
 @query(f"WITH {S.TOPIC} SELECT count(*) AS n, count(*) FILTER (esg2 <> 'outofscope') AS inscope, count(*) FILTER (ntopics > 0) AS with_topic FROM both_")
 def scope_counts(s, d):
-    return scope.relabel(*_scoped(s, d)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("esg2") != "outofscope").alias("inscope"), F.count_if(F.col("ntopics") > 0).alias("with_topic"))
+    return scope.relabel(_classified(s, d)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("esg2") != "outofscope").alias("inscope"), F.count_if(F.col("ntopics") > 0).alias("with_topic"))
 
 
 # Embeddings -----------------------------------------------------------------
@@ -207,6 +216,13 @@ def compare_ngrams(s, d):
     return E.compare_ngrams(S.tokens(s, d), S.kpis(s, d)).withColumn("score_ngram", F.round("score_ngram", 6))
 
 
+@query(f"WITH {S.VEC} SELECT sent_id, kpi, round(score, 6) AS score FROM pairs")
+def unpivot_scores(s, d):
+    pairs = E.cosine_pairs(E.sent_feats(S.tokens(s, d)), S.kpis(s, d))
+    wide = pairs.groupBy("sent_id").pivot("kpi", [f"kpi_{i}" for i in range(10)]).agg(F.first("score"))
+    return E.unpivot(wide, "sent_id").where("score is not null").withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {S.VEC} SELECT sent_id, x::INT AS x, y::INT AS y, ngram, kpi, round(score, 6) AS score FROM grams WHERE score > 0.2")
 def ngram_debug(s, d):
     return E.ngram_debug(E.ngram_scores(S.tokens(s, d), S.kpis(s, d)), 0.2).select("sent_id", "x", "y", "ngram", "kpi", F.round("score", 6).alias("score"))
@@ -226,7 +242,7 @@ def top10_ngrams(s, d):
     "FROM both_ b LEFT JOIN best USING (sent_id) LEFT JOIN bestgram USING (sent_id) WHERE esg2 <> 'outofscope'"
 )
 def aggregate_features(s, d):
-    made = flows.create_features(S.sents(s, d), S.tokens(s, d), S.kpis(s, d), S.TOPICS, S.esg)
+    made = flows.create_features(S.sents(s, d), S.tokens(s, d), S.kpis(s, d), S.TOPICS, S.classify)
     return _words(made).withColumns({c: F.round(c, 6) for c in ("score_sent", "score_ngram")})
 
 
@@ -252,13 +268,13 @@ def match_accuracy(s, d):
 
 
 def _matches(s, d):
-    t, k = S.tokens(s, d), S.kpis(s, d)
-    return V.ngram_vs_sent(E.compare_ngrams(t, k), E.compare_sents(E.sent_feats(t), k))
+    return E.compare_both(S.tokens(s, d), S.kpis(s, d))
 
 
 @query(f"WITH {S.VEC} SELECT sent_id, ngram, kpi_ngram, round(score_ngram, 6) AS score_ngram, kpi_sent, round(score_sent, 6) AS score_sent FROM bestgram LEFT JOIN best USING (sent_id)")
 def ngram_vs_sent(s, d):
-    return _matches(s, d).withColumns({c: F.round(c, 6) for c in ("score_sent", "score_ngram")})
+    t, k = S.tokens(s, d), S.kpis(s, d)
+    return V.ngram_vs_sent(E.compare_ngrams(t, k), E.compare_sents(E.sent_feats(t), k)).withColumns({c: F.round(c, 6) for c in ("score_sent", "score_ngram")})
 
 
 @query(f"WITH {S.VEC} SELECT sent_id, kpi_ngram, kpi_sent FROM bestgram LEFT JOIN best USING (sent_id) WHERE (kpi_ngram IS DISTINCT FROM kpi_sent OR kpi_ngram IS NULL) AND score_ngram > 0.2 AND score_sent < 0.8")
@@ -291,7 +307,7 @@ def subtopic_pct(s, d):
 
 
 def _cross(s, d):
-    return scope.relabel(*_scoped(s, d)).groupBy("kw_topic1", "esg2").agg(F.count(F.lit(1)).alias("n"))
+    return scope.relabel(_classified(s, d)).groupBy("kw_topic1", "esg2").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CROSS = f"{S.TOPIC}, cross_ AS (SELECT kw_topic1, esg2, count(*) AS n FROM both_ GROUP BY 1, 2)"
@@ -300,7 +316,7 @@ _COLUMNS = (*S.ESG, "missing")
 
 @query(f"WITH {S.TOPIC} SELECT kw_topic1, {', '.join(f"count(*) FILTER (esg2 = '{c}') AS {c}" for c in _COLUMNS)} FROM both_ GROUP BY 1")
 def crosstab(s, d):
-    return A.crosstab(scope.relabel(*_scoped(s, d)), "kw_topic1", "esg2", list(_COLUMNS))
+    return A.crosstab(scope.relabel(_classified(s, d)), "kw_topic1", "esg2", list(_COLUMNS))
 
 
 @query(f"WITH {_CROSS}, b AS (SELECT kw_topic1, esg2 FROM cross_ WHERE esg2 <> 'outofscope' QUALIFY row_number() OVER (PARTITION BY kw_topic1 ORDER BY n DESC, esg2) = 1) SELECT DISTINCT c.kw_topic1, CASE WHEN c.kw_topic1 = 'outofscope' THEN 'outofscope' ELSE coalesce(b.esg2, 'outofscope') END AS top FROM cross_ c LEFT JOIN b ON b.kw_topic1 = c.kw_topic1")
@@ -322,6 +338,12 @@ def crosstab_topics(s, d):
     return _cross(s, d).join(fields, "kw_topic1", "left")
 
 
+@query(f"WITH {_CROSS}, f(kw_topic1, field) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in {**_FIELDS, 'outofscope': 'outofscope'}.items())}) SELECT f.field, f.kw_topic1, esg2, n FROM f LEFT JOIN cross_ c ON f.kw_topic1 = c.kw_topic1")
+def topic_rows(s, d):
+    fields = K.append_constant(s.createDataFrame([*_FIELDS.items()], "kw_topic1 string, field string"), kw_topic1="outofscope", field="outofscope")
+    return fields.join(_cross(s, d), "kw_topic1", "left").select("field", "kw_topic1", "esg2", "n")
+
+
 @query(f"WITH {S.TOPIC}, f(kw_topic1) AS (VALUES {', '.join(f"('{k}')" for k in _FIELDS)}) SELECT kw_topic1 FROM f WHERE kw_topic1 NOT IN (SELECT kw_topic1 FROM topics)")
 def missing_subtopics(s, d):
     names = s.createDataFrame([(k,) for k in _FIELDS], "kw_topic1 string")
@@ -347,4 +369,4 @@ def stratified_sample(s, d):
 def flagship(s, d):
     """Documents to numeric sentences, topics, scope and counts."""
     found = K.kwtopics(text.accepted(S.filtered(s, d)), S.TOPICS)
-    return scope.inscope(found, S.esg(found)).groupBy("kw_topic1", "esg_topic").agg(F.count(F.lit(1)).alias("n"))
+    return scope.inscope(S.classify(found)).groupBy("kw_topic1", "esg_topic").agg(F.count(F.lit(1)).alias("n"))

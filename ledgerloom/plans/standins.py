@@ -6,7 +6,7 @@ blocks, classifier results and labels are arithmetic on ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.annotators import NUMBERS, rule_annotator
@@ -37,21 +37,42 @@ def filtered(spark: SparkSession, d: str, require_digit: bool = True) -> DataFra
     return T.sentence_filter(rule_annotator(sents(spark, d)), require_digit)
 
 
+def number() -> Column:
+    """A number for each sentence of the supplied documents, from which stand-ins are made; the library's own key is ``sent_id``."""
+    return F.col("doc_id") * 1_000_000 + F.col("sent_pos")
+
+
+def classify(rows: DataFrame) -> DataFrame:
+    """A classifier's columns, as an annotator adds them."""
+    i = number()
+    return rows.withColumns({"esg_topic": F.element_at(F.array(*map(F.lit, ESG)), (i % 5 + 1).cast("int")), "esg_score": F.when(i % 11 != 0, (i % 101) / 100)})
+
+
 def esg(rows: DataFrame) -> DataFrame:
-    score = F.when(F.col("sent_id") % 11 != 0, (F.col("sent_id") % 101) / 100)
-    return rows.select("sent_id", F.element_at(F.array(*map(F.lit, ESG)), (F.col("sent_id") % 5 + 1).cast("int")).alias("esg_topic"), score.alias("esg_score"))
+    """The same as a table by itself."""
+    return classify(rows).select("sent_id", "esg_topic", "esg_score")
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
     return K.kwtopics(sents(spark, d), TOPICS)
 
 
-def sheet(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SHEET, "ord int, topic string, subtopic string, unigrams string, bigrams string")
+def sheet(spark: SparkSession, d: str) -> DataFrame:
+    """A topic table: rows that hold every special case, and one for each text of ``benchmark``, some of them of the same subtopic."""
+    fixed = spark.createDataFrame(SHEET, "ord int, topic string, subtopic string, unigrams string, bigrams string")
+    item, text = F.col("item_id"), F.col("text")
+    made = table(spark, d, "benchmark").select(
+        (item + 100).cast("int").alias("ord"),
+        F.concat(F.lit("T"), item % 3).alias("topic"),
+        F.concat(F.lit("item "), item % 29).alias("subtopic"),
+        F.replace(text, F.lit(" "), F.lit(",")).alias("unigrams"),
+        F.when(item % 5 != 0, F.replace(F.substring(text, 1, 60), F.lit(" "), F.lit("_"))).alias("bigrams"),
+    )
+    return fixed.unionByName(made)
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    i, figure = F.col("sent_id"), F.col("sent_id") % 7 == 0
+    i, figure = number(), number() % 7 == 0
     x0, y0 = (i * 37 % 600).cast("double"), (i * 53 % 800).cast("double")
     return sents(spark, d).select(
         "doc_id",
@@ -68,7 +89,7 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("vec_id")
-    return table(spark, d, "embeddings").select(F.floor(i / 10).alias("sent_id"), (i % 10).cast("int").alias("pos"), F.concat(F.lit("t"), i % 97).alias("token"), F.col("embedding").cast("array<double>").alias("v"))
+    return table(spark, d, "embeddings").select(F.concat(F.lit("0:"), F.floor(i / 10)).alias("sent_id"), (i % 10).cast("int").alias("pos"), F.concat(F.lit("t"), i % 97).alias("token"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def kpis(spark: SparkSession, d: str, groups: int = 10) -> DataFrame:
@@ -81,7 +102,7 @@ def kpis(spark: SparkSession, d: str, groups: int = 10) -> DataFrame:
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
     """True labels of the embedded sentences; some unknown."""
-    i = F.col("sent_id")
+    i = F.substring_index("sent_id", ":", -1).cast("long")
     name = lambda m: F.when(i % 7 != 0, F.concat(F.lit("kpi_"), i % m))
     return tokens(spark, d).select("sent_id").distinct().select("sent_id", name(10).alias("Akpi"), name(3).alias("Atopic"), name(2).alias("Avalue"))
 
@@ -99,7 +120,7 @@ FILT = rf"""filt AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace
 SENTS = FILT + r""",
 parts AS (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?]+)[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), chr(10)) AS p FROM filt),
 pos AS (SELECT doc_id, unnest(range(0, len(p)))::INT AS sent_pos, unnest(p) AS text FROM parts),
-sents AS (SELECT *, doc_id * 1000000 + sent_pos AS sent_id FROM pos)"""
+sents AS (SELECT *, doc_id || ':' || sent_pos AS sent_id, doc_id * 1000000 + sent_pos AS i FROM pos)"""
 ANN = SENTS + rf""",
 ann AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z]{{5,}}')) AS n_nouns, len(regexp_extract_all(text, '(?:ed|ing|en)(?:[^A-Za-z]|$)')) AS n_verbs,
   regexp_matches(text, '[0-9]|(?:^| )(?:{NUMBERS})(?: |$)') AS has_number, regexp_matches(text, '[0-9]') AS has_digit FROM sents),
@@ -109,16 +130,16 @@ _FOUND = ", ".join(
 )
 _LISTS = ", ".join(f"list_sort(list_distinct(list_transform(regexp_extract_all(lemma, '{p}'), lambda w: trim(w)))) AS w{i}" for i, (_, p) in enumerate(K.patterns(TOPICS)))
 TOPIC = SENTS + f""",
-lemmas AS (SELECT doc_id, sent_id, text, {lemma_sql('text')} AS lemma FROM sents),
+lemmas AS (SELECT doc_id, sent_id, i, text, {lemma_sql('text')} AS lemma FROM sents),
 lists AS (SELECT *, {_LISTS} FROM lemmas),
-ranked AS (SELECT doc_id, sent_id, text, list_sort(list_filter([{_FOUND}], lambda s: s.less < 0)) AS r FROM lists),
-topics AS (SELECT doc_id, sent_id, text, len(r)::INT AS ntopics, coalesce(r[1].topic, 'outofscope') AS kw_topic1, coalesce(array_to_string(r[1].words, '|'), '') AS keywords1 FROM ranked),
-esg AS (SELECT sent_id, {list(ESG)!r}[(sent_id % 5 + 1)::INT] AS esg_topic, CASE WHEN sent_id % 11 <> 0 THEN (sent_id % 101) / 100.0 END::DOUBLE AS esg_score FROM sents),
+ranked AS (SELECT doc_id, sent_id, i, text, list_sort(list_filter([{_FOUND}], lambda s: s.less < 0)) AS r FROM lists),
+topics AS (SELECT doc_id, sent_id, i, text, len(r)::INT AS ntopics, coalesce(r[1].topic, 'outofscope') AS kw_topic1, coalesce(array_to_string(r[1].words, '|'), '') AS keywords1 FROM ranked),
+esg AS (SELECT sent_id, {list(ESG)!r}[(i % 5 + 1)::INT] AS esg_topic, CASE WHEN i % 11 <> 0 THEN (i % 101) / 100.0 END::DOUBLE AS esg_score FROM sents),
 both_ AS (SELECT t.*, e.esg_topic, e.esg_score, CASE WHEN e.esg_score < 0.5 AND t.ntopics = 0 THEN 'outofscope' ELSE e.esg_topic END AS esg2 FROM topics t JOIN esg e USING (sent_id))"""
 BLOCKS = SENTS + """,
-xy AS (SELECT *, (sent_id * 37 % 600)::DOUBLE AS x0, (sent_id * 53 % 800)::DOUBLE AS y0, sent_id % 7 = 0 AS figure FROM sents),
-blocks AS (SELECT doc_id, (sent_pos // 12)::INT AS page, (sent_pos % 12)::INT AS block, CASE WHEN figure THEN 'Figure' WHEN sent_id % 5 = 0 THEN 'Title' ELSE 'Text' END AS type, text,
-  x0, y0, x0 + CASE WHEN figure THEN 400 ELSE 40 + sent_id % 100 END AS x1, y0 + CASE WHEN figure THEN 500 ELSE 20 + sent_id % 60 END AS y1 FROM xy),
+xy AS (SELECT *, (i * 37 % 600)::DOUBLE AS x0, (i * 53 % 800)::DOUBLE AS y0, i % 7 = 0 AS figure FROM sents),
+blocks AS (SELECT doc_id, (sent_pos // 12)::INT AS page, (sent_pos % 12)::INT AS block, CASE WHEN figure THEN 'Figure' WHEN i % 5 = 0 THEN 'Title' ELSE 'Text' END AS type, text,
+  x0, y0, x0 + CASE WHEN figure THEN 400 ELSE 40 + i % 100 END AS x1, y0 + CASE WHEN figure THEN 500 ELSE 20 + i % 60 END AS y1 FROM xy),
 gaps AS (SELECT *, CASE WHEN x0 - lag(x0) OVER w > 15 THEN 1 ELSE 0 END AS gap FROM blocks WINDOW w AS (PARTITION BY doc_id, page ORDER BY x0, block)),
 clusters AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page ORDER BY x0, block)::INT AS cluster FROM gaps),
 grouped AS (SELECT *, trunc(median(x0) OVER (PARTITION BY doc_id, page, cluster))::INT AS x0group FROM clusters),
@@ -131,7 +152,7 @@ def kpi_sql(name: str, groups: int) -> str:
 
 
 _COS = "round(CASE WHEN isnan(list_cosine_similarity(v, kv)) THEN 0 ELSE coalesce(list_cosine_similarity(v, kv), 0) END, 12)"
-VEC = f"""tok AS (SELECT vec_id // 10 AS sent_id, vec_id % 10 AS pos, 't' || (vec_id % 97) AS token, embedding::DOUBLE[] AS v FROM embeddings),
+VEC = f"""tok AS (SELECT '0:' || (vec_id // 10) AS sent_id, vec_id // 10 AS n, vec_id % 10 AS pos, 't' || (vec_id % 97) AS token, embedding::DOUBLE[] AS v FROM embeddings),
 idx AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY pos, token) - 1 AS i FROM tok),
 {kpi_sql('kpi', 10)},
 pooled AS (SELECT sent_id, list(a ORDER BY j) AS v FROM (SELECT sent_id, j, avg(x) AS a FROM (SELECT sent_id, unnest(v) AS x, unnest(range(len(v))) AS j FROM tok) GROUP BY 1, 2) GROUP BY sent_id),
@@ -144,4 +165,4 @@ gramv AS (SELECT sent_id, x, y, list(a ORDER BY j) AS v FROM (SELECT sent_id, x,
   FROM short s JOIN idx t ON t.sent_id = s.sent_id AND t.i >= x AND t.i < y) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
 grams AS (SELECT sent_id, x, y, ngram, kpi_id, kpi, {_COS} AS score FROM gramv JOIN gram USING (sent_id, x, y), kpi),
 bestgram AS (SELECT sent_id, ngram, kpi AS kpi_ngram, score AS score_ngram FROM grams QUALIFY row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, x, y, kpi_id) = 1),
-labels_ AS (SELECT DISTINCT sent_id, CASE WHEN sent_id % 7 <> 0 THEN 'kpi_' || (sent_id % 10) END AS Akpi, CASE WHEN sent_id % 7 <> 0 THEN 'kpi_' || (sent_id % 3) END AS Atopic, CASE WHEN sent_id % 7 <> 0 THEN 'kpi_' || (sent_id % 2) END AS Avalue FROM tok)"""
+labels_ AS (SELECT DISTINCT sent_id, CASE WHEN n % 7 <> 0 THEN 'kpi_' || (n % 10) END AS Akpi, CASE WHEN n % 7 <> 0 THEN 'kpi_' || (n % 3) END AS Atopic, CASE WHEN n % 7 <> 0 THEN 'kpi_' || (n % 2) END AS Avalue FROM tok)"""

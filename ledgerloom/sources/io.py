@@ -26,6 +26,18 @@ def read_text_files(spark: SparkSession, path: str, pattern: str = "*.txt", enco
     return files.select(basename(F.col("path")).alias("doc_id"), F.decode("content", encoding).alias("text"))
 
 
+def decrypted(files: DataFrame, is_encrypted: Callable[[bytes], bool], decrypt: Callable[[bytes], bytes]) -> DataFrame:
+    """Binary documents in the clear: what is not encrypted stays as it is. ``was_encrypted`` tells which were; the source is left alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            locked = [bool(is_encrypted(c)) for c in batch["content"]]
+            yield batch.assign(content=[decrypt(c) if k else c for c, k in zip(batch["content"], locked, strict=True)], was_encrypted=locked)
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInPandas(run, f"{own}, was_encrypted boolean")
+
+
 def read_documents(spark: SparkSession, path: str, pages: Callable[[bytes], Iterator[bytes | str]], pattern: str = "*.pdf", first: int | None = None, last: int | None = None, schema: str = "doc_id string, page int, content binary") -> DataFrame:
     """One row per page of binary documents, by a reader for the format (decryption included).
 

@@ -2,12 +2,13 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.functions.annotators import model_annotator, rule_annotator
+from ledgerloom.functions.annotators import classifier_annotator, entity_annotator, model_annotator, rule_annotator, token_annotator
 from ledgerloom.functions.vectors import cosine, mean
 from ledgerloom.operators import analysis as A
 from ledgerloom.operators import embed as E
@@ -44,7 +45,27 @@ def test_sentences(spark):
     values = ["Up 3.5% in 2020. Next one! End", "no end", "A.B. c?! d."]
     assert one(spark, values, X.split_sentences) == [["Up 3.5% in 2020.", "Next one!", "End"], ["no end"], ["A.B.", "c?!", "d."]]
     df = text.sentences(spark.createDataFrame([(7, "One.\nTwo 2."), (8, None)], "doc_id long, text string"))
-    assert [tuple(r) for r in df.orderBy("sent_id").select("sent_id", "sent_pos", "text").collect()] == [(7_000_000, 0, "One."), (7_000_001, 1, "Two 2.")]
+    assert [tuple(r) for r in df.orderBy("sent_id").select("sent_id", "sent_pos", "text").collect()] == [("7:0", 0, "One."), ("7:1", 1, "Two 2.")]
+
+
+def test_sentence_ids_of_any_document(spark):
+    """Ids that no arithmetic on longs could hold, text ids, and documents of so many sentences that they would run into the next one's."""
+    big = spark.createDataFrame([(2**63 - 1, "A. B."), (10**13, "C."), (None, "D.")], "doc_id long, text string")
+    assert {r["sent_id"]: r["text"] for r in text.sentences(big).collect()} == {f"{2**63 - 1}:0": "A.", f"{2**63 - 1}:1": "B.", f"{10**13}:0": "C.", ":0": "D."}
+    named = spark.createDataFrame([("report", "A."), ("report:0", "B.")], "doc_id string, text string")
+    assert {r["sent_id"] for r in text.sentences(named).collect()} == {"report:0", "report:0:0"}
+    many = text.sentences(spark.range(2).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a. "), 1_000_001).alias("text")))
+    assert many.select("sent_id").distinct().count() == many.count() > 2_000_000
+
+
+def test_text_rules_take_time_in_proportion(spark):
+    """Twice the text, twice the time: runs of white space, of line ends, of hyphens and of full stops."""
+    rules = F.struct(X.text_filter(F.col("x")), X.block_rtrim(F.col("x")), X.strip(F.col("x")), F.size(X.split_sentences(F.col("x"))), F.length(X.lemmatize(F.col("x"))))
+    spark.createDataFrame([(" a.",)], "x string").select(rules.alias("y")).collect()
+    for piece in (" ", "\n", " \n", "-", " -", "- \n", ".", ". ", "a", "\xa0", "\t -\n"):
+        began = time.perf_counter()
+        spark.range(1).select(F.concat(F.repeat(F.lit(piece), 500_000 // len(piece)), F.lit("b")).alias("x")).select(rules.alias("y")).collect()
+        assert time.perf_counter() - began < 6, piece
 
 
 @pytest.mark.parametrize(
@@ -159,8 +180,18 @@ def test_kwtopics_against_the_rule(spark):
 def test_inscope(spark):
     t = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 0), (4, 2)], "sent_id long, ntopics int")
     e = spark.createDataFrame([(0, "E", 0.4), (1, "E", 0.5), (2, "E", 0.4), (3, "E", None), (4, "outofscope", 0.4)], "sent_id long, esg_topic string, esg_score double")
-    assert sorted(r["sent_id"] for r in scope.inscope(t, e).collect()) == [1, 2, 3]
-    assert scope.relabel(t, e).count() == 5
+    both = scope.classified(t, e)
+    assert sorted(r["sent_id"] for r in scope.inscope(both).collect()) == [1, 2, 3]
+    assert scope.relabel(both).count() == 5
+
+
+def test_classifier_is_no_join(spark):
+    """Topics and classifier in one pass: one scan, one shuffle at most for what follows, and no join."""
+    from ledgerloom.plans import registry
+
+    for name in ("inscope", "esg2_relabel", "scope_counts", "crosstab"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Join" not in plan and plan.count("Exchange") <= 2, name
 
 
 def test_vectors(spark):
@@ -174,6 +205,9 @@ def test_compare_ties_and_spans(spark):
     tokens = spark.createDataFrame([(0, 0, "a", [1.0, 0.0]), (0, 1, "b", [0.0, 1.0]), (1, 0, "c", [-1.0, -0.5])], "sent_id long, pos int, token string, v array<double>")
     assert {r["sent_id"]: r["kpi_sent"] for r in E.compare_sents(E.sent_feats(tokens), kpis).collect()} == {0: "k0", 1: "k2"}
     assert {(r["sent_id"], r["ngram"], r["kpi_ngram"]) for r in E.compare_ngrams(tokens, kpis).collect()} == {(0, "a", "k0"), (1, "c", "k2")}
+    both = {r["sent_id"]: tuple(r) for r in E.compare_both(tokens, kpis).collect()}
+    assert both[0][1] == "k0" and both[0][3:5] == ("a", "k0") and both[1][1] == "k2" and both[1][3:5] == ("c", "k2")
+    assert E.compare_ngrams(tokens, kpis.limit(0)).count() == E.compare_sents(E.sent_feats(tokens), kpis.limit(0)).count() == 0
     for n in (0, 1, 5, 6):
         got = spark.range(1).select(E.ngram_spans(F.lit(n), 5).alias("s")).first()["s"]
         assert [tuple(x) for x in got] == [(x, y) for x in range(n) for y in range(x + 1, min(n, x + 5) + 1)]
@@ -195,6 +229,51 @@ def test_analysis(spark):
     assert one(spark, ["a,b,a", "", None, "a, a"], X.split_distinct) == [2, 1, 0, 2]
 
 
+def test_best_indicator_against_all_pairs(spark, monkeypatch):
+    """In one array and in many; scores that tie go to the first span, then to the lowest indicator. No pair becomes a row and nothing is sorted by it."""
+    rng = random.Random(4)
+    vector = lambda: [float(rng.randint(-1, 1)) for _ in range(3)]
+    kpis = spark.createDataFrame([(i, f"k{i}", vector()) for i in range(11)], "kpi_id int, kpi string, v array<double>")
+    tokens = spark.createDataFrame([(i // 4, i % 4, f"t{i}", vector()) for i in range(80)], "sent_id long, pos int, token string, v array<double>")
+    pairs = E.cosine_pairs(E.sent_feats(tokens), kpis).collect()
+    grams = E.ngram_scores(tokens, kpis, 3).collect()
+    best = {i: min((-r["score"], r["kpi_id"], r["kpi"]) for r in pairs if r["sent_id"] == i) for i in range(20)}
+    gram = {i: min((-r["score"], r["x"], r["y"], r["kpi_id"], r["kpi"], r["ngram"]) for r in grams if r["sent_id"] == i) for i in range(20)}
+    assert len(pairs) == 220
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = E.compare_ngrams(tokens, kpis, 3)
+    assert "SortAggregate" not in plan(made) and "ObjectHashAggregate" in plan(made)
+    for listed in (E.LISTED, 3):
+        blocks = E.indicator_blocks(kpis, listed)
+        assert sum(len(b.first()["listed"]) for b in blocks) == 11 and (len(blocks) > 1) == (listed == 3)
+        monkeypatch.setattr(E, "indicator_blocks", lambda k, n=listed, f=E.indicator_blocks: f(k, n))
+        assert {r["sent_id"]: (-r["score_sent"], r["kpi_sent"]) for r in E.compare_sents(E.sent_feats(tokens), kpis).collect()} == {i: (b[0], b[2]) for i, b in best.items()}
+        assert {r["sent_id"]: (-r["score_ngram"], r["kpi_ngram"], r["ngram"]) for r in E.compare_ngrams(tokens, kpis, 3).collect()} == {i: (g[0], g[4], g[5]) for i, g in gram.items()}
+        assert len(E.cosine_pairs(E.sent_feats(tokens), kpis).collect()) == 220
+        monkeypatch.undo()
+
+
+def test_unpivot_and_constant_row(spark):
+    wide = spark.createDataFrame([("a", 0.1, None), ("b", 0.2, 0.3)], "ngram string, k0 double, k1 double")
+    assert sorted(map(tuple, E.unpivot(wide, "ngram").where("score is not null").collect())) == [("a", "k0", 0.1), ("b", "k0", 0.2), ("b", "k1", 0.3)]
+    rows = K.append_constant(spark.createDataFrame([("t", "s", 1)], "topic string, subtopic string, n int"), topic="outofscope", subtopic="outofscope")
+    assert sorted(map(tuple, rows.collect())) == [("outofscope", "outofscope", None), ("t", "s", 1)]
+
+
+def test_layout_rows(spark):
+    found = spark.createDataFrame([(0, 0.9, 3.0, 20.0, 50.0, 60.0), (4, 0.81, 0.0, 0.0, 9.0, 9.0), (1, 0.8, 1.0, 1.0, 2.0, 2.0), (9, 0.99, 1.0, 1.0, 2.0, 2.0), (3, None, 1.0, 1.0, 2.0, 2.0)], "class int, score double, x0 double, y0 double, x1 double, y1 double")
+    got = {r["type"]: tuple(r[c] for c in ("x0", "crop_x0", "crop_y0", "crop_x1", "crop_y1")) for r in L.layout_rows(found).collect()}
+    assert got == {"Text": (3.0, 0.0, 15.0, 55.0, 65.0), "Figure": (0.0, 0.0, 0.0, 14.0, 14.0)}
+
+
+def test_entity_reply(spark):
+    reply = '[{"text": "5 %", "label": "PERCENT", "start": 3, "end": 6, "value": "5", "unit": "%", "more": 1}, {"text": "two", "label": "CARDINAL"}]'
+    got = one(spark, [reply, "[]", "no json", None], X.entity_reply)
+    assert [tuple(e) for e in got[0]] == [("5 %", "PERCENT", 3, 6, "5", "%"), ("two", "CARDINAL", None, None, None, None)]
+    assert got[1] == [] and not got[2] and got[3] is None
+    assert one(spark, [reply], lambda x: X.entity_texts(X.entity_reply(x))) == ["5 %|two"]
+
+
 def test_match_flags_treat_null_as_wrong(spark):
     df = spark.createDataFrame([("a", "a"), ("a", None), (None, None), ("a", "b")], "x string, y string")
     assert [r[0] for r in df.select(V.same(F.col("x"), F.col("y"))).collect()] == [True, False, False, False]
@@ -228,9 +307,40 @@ def test_model_annotator(spark):
     assert {r["sent_id"]: r["n"] for r in got.collect()} == {0: 3, 1: 1}
 
 
+def test_classifier_annotator(spark):
+    seen = lambda texts: [[("energy", 0.2), (t.split()[-1], 0.7), ("late", 0.7)] if t else [] for t in texts]
+    sents = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(600))), (1, "short one"), (2, None), (3, "")], "sent_id long, text string")
+    got = {r["sent_id"]: (r["esg_topic"], r["esg_score"]) for r in classifier_annotator(lambda: seen)(sents).collect()}
+    assert got == {0: ("w511", 0.7), 1: ("one", 0.7), 2: (None, None), 3: (None, None)}
+    assert {r["sent_id"]: r["esg_topic"] for r in classifier_annotator(lambda: seen, chars=7)(sents).collect()}[1] == "o"
+    assert classifier_annotator(lambda: seen)(sents.limit(0)).count() == 0
+
+
+def test_token_and_entity_annotators(spark):
+    sents = spark.createDataFrame([("1:0", "a b c"), ("1:1", None)], "sent_id string, text string")
+    got = token_annotator(lambda: lambda t: [(w, [float(len(w))]) for w in t.split()], limit=2)(sents).collect()
+    assert [tuple(r) for r in got] == [("1:0", 0, "a", [1.0]), ("1:0", 1, "b", [1.0])]
+    got = {r["sent_id"]: r for r in entity_annotator(lambda: lambda t: [(m[0], "CARDINAL", *m.span()) for m in re.finditer("[ab]", t)])(sents).collect()}
+    assert [tuple(e) for e in got["1:0"]["entities"]] == [("a", "CARDINAL", 0, 1), ("b", "CARDINAL", 2, 3)] and got["1:0"]["ent_labels"] == ["CARDINAL", "CARDINAL"] and got["1:1"]["entities"] == []
+
+
+def test_decrypted(spark):
+    files = spark.createDataFrame([("a", bytearray(b"lock:x")), ("b", bytearray(b"y"))], "doc_id string, content binary")
+    got = {r["doc_id"]: (bytes(r["content"]), r["was_encrypted"]) for r in io.decrypted(files, lambda c: c.startswith(b"lock:"), lambda c: c[5:]).collect()}
+    assert got == {"a": (b"x", True), "b": (b"y", False)}
+
+
+def test_preprocess_flow(spark):
+    long = "Using 12 boxes needed often. Nothing was " + "x" * 80 + "."
+    pages = spark.createDataFrame([("r", 0, long), ("r", 1, "And\nmore."), ("short", 0, "Using 12 boxes needed.")], "doc_id string, page int, text string")
+    got = {r["sent_id"]: (r["text"], r["accepted"]) for r in flows.preprocess(pages).collect()}
+    assert got == {"r:0": ("Using 12 boxes needed often.", True), "r:1": ("Nothing was " + "x" * 80 + ".", False), "r:2": ("And more.", False)}
+    assert flows.preprocess(pages, limit=1).count() == 2
+
+
 def test_report_flow(spark):
     rows = [(1, 0, i, "Text", t, 0.0, float(i), 1.0, i + 1.0) for i, t in enumerate(["Report of using water then", "12 things needed often.", "Nothing here."])]
-    got = flows.report_flow(blocks(spark, rows), standins.TOPICS, lambda s: s.select("sent_id", F.lit("energy").alias("esg_topic"), F.lit(0.9).alias("esg_score"))).collect()
+    got = flows.report_flow(blocks(spark, rows), standins.TOPICS, lambda s: s.withColumns({"esg_topic": F.lit("energy"), "esg_score": F.lit(0.9)})).collect()
     assert [r["kw_topic1"] for r in got] == ["alpha"]
 
 
