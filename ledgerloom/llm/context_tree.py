@@ -33,8 +33,8 @@ from .common import documents, on_files, parts, table, written
 from .hashing import Lookup, word_hashes
 
 DEPTH = 5
-#: Rows of a file that form a unit, and bytes that are looked at together.
-UNIT_ROWS, CHUNK_BYTES = 8192, 1 << 20
+#: Rows of a file that form a unit, bytes that are looked at together, and rows that leave a worker together.
+UNIT_ROWS, CHUNK_BYTES, FRAME_ROWS = 8192, 1 << 18, 1 << 16
 #: Never a byte of UTF-8: stands before and after every text.
 END = b"\xff"
 #: Bytes of context by which trees are dealt at least, and the share of all keys (one in so many) above which a tree is split by one more.
@@ -93,27 +93,29 @@ def _gather(depth: int):
                         k, n = _sum(keys)
                         sums.append((k, n if trained else np.zeros_like(n)))
             texts, flags, held = [], [], 0
-            if sums and sum(len(k) for k, _ in sums[1:]) > max(1 << 20, len(sums[0][0])):
+            if sums and sum(len(k) for k, _ in sums[1:]) > max(1 << 18, len(sums[0][0]) // 2):
                 sums[:] = [_sum(np.concatenate([k for k, _ in sums]), np.concatenate([n for _, n in sums]))]
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             chunk()
             k, n = _sum(np.concatenate([k for k, _ in sums]), np.concatenate([n for _, n in sums])) if sums else (np.zeros(0, np.int64),) * 2
             sums.clear()
-            return pd.DataFrame({"key": k, "unit": np.full(len(k), unit or 0, np.int64), "n": n})
+            for at in range(0, len(k), FRAME_ROWS):
+                own = slice(at, at + FRAME_ROWS)
+                yield pd.DataFrame({"key": k[own], "unit": np.full(len(k[own]), unit, np.int64), "n": n[own]})
 
         for batch in batches:
             for at, trained, text in zip(batch["unit"].tolist(), batch["trained"].tolist(), batch["text"], strict=True):
                 if at != unit:
                     if unit is not None:
-                        yield flush()
+                        yield from flush()
                     unit = at
                 texts.append(normal(text))
                 flags.append(bool(trained))
                 held += len(texts[-1]) + 1
                 if held >= CHUNK_BYTES:
                     chunk()
-        yield flush()
+        yield from flush()
 
     return run
 
@@ -317,9 +319,9 @@ def _score(depth: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, keys, values, places, value = None, [], [], None, None
         for batch in batches:
-            for at, own in batch.groupby("unit", sort=False):
-                if at != unit:
-                    unit, keys, values, places = at, [], [], None
+            for number, own in batch.groupby("unit", sort=False):
+                if number != unit:
+                    unit, keys, values, places, value = number, [], [], None, None
                 new = own[own["text"].isna()]
                 if len(new):
                     keys.append(new["id"].to_numpy(np.int64))
@@ -330,14 +332,14 @@ def _score(depth: int):
                 if places is None:
                     places, value = Lookup(np.concatenate(keys)), np.concatenate(values)
                     keys, values = [], []
-                texts, ids, first = [normal(t) for t in docs["text"]], docs["id"].astype("Int64").mask(docs["value"] >= 2), 0
-                while first < len(texts):
-                    to, held = first, 0
-                    while to < len(texts) and (to == first or held + len(texts[to]) < CHUNK_BYTES):
-                        held += len(texts[to])
-                        to += 1
-                    yield rows(texts[first:to], ids.iloc[first:to], docs["value"].iloc[first:to], places, value)
-                    first = to
+                ids, flags, first = docs["id"].astype("Int64").mask(docs["value"] >= 2), docs["value"], 0
+                texts, held = [], 0
+                for at, text in enumerate(docs["text"], 1):
+                    texts.append(normal(text))
+                    held += len(texts[-1])
+                    if held >= CHUNK_BYTES or at == len(docs):
+                        yield rows(texts, ids.iloc[first:at], flags.iloc[first:at], places, value)
+                        texts, held, first = [], 0, at
 
     return run
 
@@ -367,7 +369,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame
     tops = top_levels(tops.groupBy("bit", "depth", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas())  # 255 * (256 + share * (depth - SPLIT)) rows at most
     values = trees.mapInPandas(_lengths(depth, tops), "key long, value double").union(counts.where("key < 0").select("key", F.log10(F.col("n") + 1.0)))
     back = found.select("key", "unit").join(values, "key").select("unit", F.col("key").alias("id"), "value", F.lit(None).cast("string").alias("text"))
-    met = back.union(rows.select("unit", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("trained").cast("double") + F.col("doc_id").isNull().cast("double") * 2, "text")).repartition(n, "unit")
+    met = back.union(rows.select("unit", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("trained").cast("double") + F.col("doc_id").isNull().cast("double") * 2, "text")).repartition(4 * n, "unit")  # so many that hardly two units fall together
     scored = met.sortWithinPartitions("unit", F.col("text").isNotNull()).mapInPandas(_score(depth), COLUMNS)
     base = F.col("known") + math.log10(learned + 1) - F.col("n_tokens") * math.log10(tokens + types + 1)
     return scored.withColumn("n_tokens", F.col("n_words") + 1).select(
