@@ -41,7 +41,7 @@ BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 #: Texts and bytes of a block, on the mean, and representatives of a bucket at most.
 BLOCK, BLOCK_BYTES, HEADS = 256, 4 << 20, 4
-#: Links that a text has below it where a group's texts are strung together.
+#: Links that a text has on the mean below it where a group's texts are strung together.
 FAN = 32
 CHUNK_BYTES = 2 << 20
 
@@ -155,8 +155,27 @@ def _normals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["node", "words"])
 
 
-def linked(units: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def strung(own: list[int], marks: list[int]) -> list[tuple[int, int]]:
+    """Links that span ``own``, few for each: to the first one with the same end of its mark, and from there to the first of all.
+
+    Marks are the texts' own, and as many of their ends are told apart as a power of two: so nearly the same
+    texts are strung in nearly the same way, wherever they meet, and most links are the same ones.
+    """
+    ends = 1
+    while ends * FAN < len(own):
+        ends *= 2
+    heads: dict[int, int] = {}
+    out = []
+    for i in sorted(own):
+        if (head := heads.setdefault(marks[i] % ends, i)) != i:
+            out.append((head, i))
+    first, *others = heads.values()
+    return out + [(first, i) for i in others]
+
+
+def linked(units: list[np.ndarray], similarity: float, marks: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that span the texts (sorted units each) connected by pairs of ``similarity`` or more."""
+    marks = marks or list(range(len(units)))
     n, sizes = len(units), np.array([len(u) for u in units], np.int64)
     if n == 2:
         both = len(np.intersect1d(*units, assume_unique=True))
@@ -188,8 +207,7 @@ def linked(units: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
             free[more] = False
             own += more.tolist()
             seen += 1
-        # Strung as a tree, so that no text has a link to all others.
-        out += [(own[(k - 1) // FAN], own[k]) for k in range(1, len(own))]
+        out += strung(own, marks)
     return out
 
 
@@ -198,21 +216,25 @@ def _link(similarity: float):
         group, nodes, texts, held = None, [], [], 0
         ready: list[tuple[list[bytes], list[bytes]]] = []
 
+        def done() -> None:
+            if len(nodes) > 1:
+                order = sorted(range(len(nodes)), key=nodes.__getitem__)
+                ready.append(([nodes[i] for i in order], [texts[i] for i in order]))
+
         def flush() -> pd.DataFrame:
             distinct = dict.fromkeys(t for _, own in ready for t in own)
             order, units = list(distinct), {}
             for a, b in _chunks(order):
                 own, bounds = elements(order[a:b])
                 units.update((t, np.sort(own[bounds[k] : bounds[k + 1]])) for k, t in enumerate(order[a:b]))
-            rows = [(ids[i], ids[j]) for ids, own in ready for i, j in linked([units[t] for t in own], similarity)]
+            rows = [(ids[i], ids[j]) for ids, own in ready for i, j in linked([units[t] for t in own], similarity, [int.from_bytes(x[:4]) for x in ids])]
             ready.clear()
             return pd.DataFrame(rows, columns=["a", "b"])
 
         for batch in batches:
             for at, node, words in zip(zip(batch["key"], batch["i"], batch["j"], strict=True), batch["node"], batch["words"], strict=True):
                 if at != group:
-                    if len(nodes) > 1:
-                        ready.append((nodes, texts))
+                    done()
                     if held > 8 * CHUNK_BYTES:
                         yield flush()
                         held = 0
@@ -220,8 +242,7 @@ def _link(similarity: float):
                 nodes.append(node)
                 texts.append(words)
                 held += len(words)
-        if len(nodes) > 1:
-            ready.append((nodes, texts))
+        done()
         yield flush()
 
     return run
@@ -257,15 +278,16 @@ def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(texts: str, size: str) -> Column:
-    return F.ceil(F.greatest(F.col(texts) / BLOCK, F.col(size) / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    """Blocks of so many texts and bytes: a power of two, so that buckets of nearly the same texts are cut alike."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col(texts) / BLOCK, F.col(size) / BLOCK_BYTES, F.lit(1.0))))).cast("int")
 
 
 def with_heads(entries: DataFrame) -> DataFrame:
     """key, i, j, node: every block of a bucket, and with each the representatives of the bucket that are not in it."""
-    own = F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = entries.select("key", own.alias("i"), "node", "blocks")
     hashed = F.struct(F.xxhash64("node").alias("h"), "node", "i")
-    heads = dealt.where("blocks > 1").groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(HEADS)).alias("part")).agg(F.min(hashed).alias("head"), F.first("blocks").alias("blocks"))
+    heads = dealt.where("blocks > 1").groupBy("key", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HEADS)).alias("part")).agg(F.min(hashed).alias("head"), F.first("blocks").alias("blocks"))
     guests = heads.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "head").where("i <> head.i").select("key", "i", "head.node")
     return dealt.select("key", "i", "node").unionByName(guests).select("key", F.col("i").cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node")
 
@@ -289,7 +311,7 @@ def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame | None:
     blocks = sizes.groupBy("key", "own").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("key", "own", _blocks("n", "bytes").alias("blocks"))
     others = blocks.groupBy("key").agg(F.collect_list(F.struct("own", "blocks")).alias("others"))  # at most one for half a block's texts or bytes, and one
     of_class = sizes.select("key", "class", "own").join(blocks.withColumnRenamed("key", "k").withColumnRenamed("own", "o"), (F.col("key") == F.col("k")) & F.col("own").eqNullSafe(F.col("o"))).select(F.col("key").alias("k"), F.col("class").alias("c"), "own", "blocks")
-    placed = at.join(of_class, (F.col("key") == F.col("k")) & F.col("class").eqNullSafe(F.col("c"))).select("key", "node", "own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).alias("x"))
+    placed = at.join(of_class, (F.col("key") == F.col("k")) & F.col("class").eqNullSafe(F.col("c"))).select("key", "node", "own", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("x"))
     met = placed.join(others, "key").select("key", "node", "own", "x", F.explode("others").alias("o")).where(F.col("own").isNull() | ~F.col("own").eqNullSafe(F.col("o.own")))
     met = met.select("key", "node", F.xxhash64("own", "x").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.col("o.blocks") - 1), lambda y: F.xxhash64("o.own", y.cast("long")))).alias("b"))
     return met.select("key", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "node").distinct()
@@ -307,6 +329,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, row: str |
     rows = documents(docs, "doc_id", "text", F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node binary, size long, keys array<long>"
     signed = written(exact_ids(rows).mapInPandas(_sign, schema), "near-signed")
+    with scope() as paths:
+        final = written(_classes_of(docs, signed, similarity), "near-classes")
+    discard(docs.sparkSession, *paths[:-1])
+    return signed.select("row", "doc_id", "node").join(final, "node").select("row", "doc_id", F.col("label.doc_id").alias("class_id"), (F.col("row") == F.col("label.row")).alias("kept"))
+
+
+def _classes_of(docs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """node, label: of every text the least label of its class."""
     label = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = written(signed.groupBy("node").agg(F.min(label).alias("label")), "near-nodes")
     entries = signed.where("keys is not null").select("node", "size", F.explode("keys").alias("key")).distinct()
@@ -329,11 +359,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, row: str |
     labels = classes(own, found)
     if not entries.where("blocks > 1").isEmpty() and (more := unsettled(entries, labels)) is not None:
         labels = classes(own, found.union(links(more)))
-    final = nodes.alias("n").join(labels.alias("c"), F.col("n.node") == F.col("c.node"), "left").select("n.node", F.coalesce("c.label", "n.label").alias("label"))
-    final = written(final, "near-classes")
-    return signed.select("row", "doc_id", "node").join(final, "node").select("row", "doc_id", F.col("label.doc_id").alias("class_id"), (F.col("row") == F.col("label.row")).alias("kept"))
+    return nodes.alias("n").join(labels.alias("c"), F.col("n.node") == F.col("c.node"), "left").select("n.node", F.coalesce("c.label", "n.label").alias("label"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of near duplicates of all ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
+# Pairs by the exact similarity, and classes as what they connect.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+every AS (SELECT rid, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM w),
+s AS (SELECT rid, x, count(*) AS c FROM every GROUP BY 1, 2),
+t AS (SELECT rid, sum(c) AS n FROM s GROUP BY 1),
+both_ AS (SELECT a.rid AS i, b.rid AS j, sum(least(a.c, b.c)) AS n FROM s a JOIN s b ON a.x = b.x AND a.rid < b.rid GROUP BY 1, 2),
+near AS (SELECT i, j FROM both_ b JOIN t p ON p.rid = b.i JOIN t q ON q.rid = b.j WHERE b.n >= 0.8 * (p.n + q.n - b.n) - 1e-9
+         UNION ALL SELECT (SELECT min(rid) FROM w WHERE len(ws) = 0), rid FROM w WHERE len(ws) = 0),
+ways AS (SELECT i, j FROM near UNION SELECT j, i FROM near),
+reach(i, j) AS (SELECT rid, rid FROM w UNION SELECT r.i, v.j FROM reach r JOIN ways v ON v.i = r.j),
+heads AS (SELECT r.i AS rid, min_by(w.rid, (w.doc_id IS NULL, w.doc_id, w.rid)) AS head FROM reach r JOIN w ON w.rid = r.j GROUP BY 1)
+SELECT w.doc_id, h.doc_id AS class_id, w.rid = heads.head AS kept FROM heads JOIN w ON w.rid = heads.rid JOIN w h ON h.rid = heads.head
+"""

@@ -17,5 +17,6 @@ QUERIES = {
 SQL = {
     "op4_license_templates": licenses.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op9_near_dedup": near_dedup.SQL,
     "op10_source_mix": mixing.SQL,
 }

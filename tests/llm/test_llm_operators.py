@@ -783,7 +783,7 @@ def test_near_dedup_loses_no_link_of_large_buckets(spark, monkeypatch):
                 t[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(t))
     met, of = [], near_dedup.unsettled
-    monkeypatch.setattr(near_dedup, "unsettled", lambda e, c: met.append(g := of(e, c)) or g)
+    monkeypatch.setattr(near_dedup, "unsettled", lambda e, c: met.append((g := of(e, c)) is not None and g.count()) or g)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     sets, head = [_multiset(t) for t in texts], list(range(len(texts)))
 
@@ -795,7 +795,7 @@ def test_near_dedup_loses_no_link_of_large_buckets(spark, monkeypatch):
     for a, b in itertools.combinations(range(len(texts)), 2):
         if (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total():
             head[max(root(a), root(b))] = min(root(a), root(b))
-    assert got == {i: root(i) for i in range(len(texts))} and met[0] is not None and met[0].count() > 0
+    assert got == {i: root(i) for i in range(len(texts))} and met[0] > 0
     assert len(set(got.values())) > 3
 
 
@@ -832,6 +832,17 @@ def test_linked_equals_pairs():
     assert same(own) == same(parent)
 
 
+def test_strung_texts_are_connected_by_few_links_each():
+    rng = random.Random(2)
+    marks = [rng.randrange(1 << 32) for _ in range(1000)]
+    links = near_dedup.strung(list(range(1000)), marks)
+    degree = collections.Counter(i for pair in links for i in pair)
+    assert len(links) == 999 and len({i for pair in links for i in pair}) == 1000 and max(degree.values()) < 100
+    # Without a few of them nearly all links are the same.
+    fewer = near_dedup.strung(rng.sample(range(1000), 980), marks)
+    assert len(set(fewer) & set(links)) > 850
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = random.Random(6)
     a = [rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(800)]
