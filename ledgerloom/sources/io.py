@@ -59,15 +59,6 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A workbook's sheet, where pandas has a reader for it; CSV and Parquet need none."""
-    try:
-        found = pd.read_excel(path, sheet_name=sheet)
-    except ImportError as e:
-        raise RuntimeError("no workbook reader is installed; save the sheet as CSV") from e
-    return spark.createDataFrame(found)
-
-
 def union_sources(*tables: DataFrame) -> DataFrame:
     """S7, U-1: all rows of all tables, by column name."""
     first, *rest = tables

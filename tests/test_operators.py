@@ -1,8 +1,10 @@
 """Operators on hand-written rows, with every rule that the supplied tables don't show, and against brute force."""
 
+import io as io_
 import random
 import re
 import time
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from ledgerloom.operators import layout as L
 from ledgerloom.operators import scope, text
 from ledgerloom.operators import topics as K
 from ledgerloom.plans import flows, standins
-from ledgerloom.sources import io
+from ledgerloom.sources import io, workbook
 
 SPACES = " \t\n\r\x0b\x1c\x85\xa0  "
 
@@ -301,6 +303,31 @@ def test_sources(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_workbooks(spark, tmp_path):
+    path = str(tmp_path / "book.xlsx")
+    one = spark.createDataFrame([("a & <b>\n", 1.5, True, ["x", "y"], 3), (None, None, None, None, None), (" é\x01", -2.0, False, [], 10**15)], "text string, `Level 3 KPI` double, ok boolean, items array<string>, n long")
+    workbook.write_sheets(path, {"Labled Sentences": one, "KPIs & more": one.select("text")})
+    got = workbook.read_sheet(spark, path, "Labled Sentences")
+    assert got.dtypes == [("text", "string"), ("Level 3 KPI", "double"), ("ok", "boolean"), ("items", "string"), ("n", "double")]
+    assert [tuple(r) for r in got.collect()] == [("a & <b>\n", 1.5, True, "[x, y]", 3.0), (" é", -2.0, False, "[]", 1e15)]
+    assert [r["text"] for r in workbook.read_sheet(spark, path, 1).collect()] == ["a & <b>\n", " é"]
+    assert workbook.read_sheet(spark, path).columns == got.columns
+    with pytest.raises(KeyError):
+        workbook.read_sheet(spark, path, "none")
+
+
+def test_cells_of_other_writers():
+    """Shared strings, rich text, gaps, errors and formulas as other programs write them."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    made = io_.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="7" r:id="rId9"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId9" Target="/xl/worksheets/x.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>plain</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>")
+        z.writestr("xl/worksheets/x.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1" t="s"><v>1</v></c></row><row r="3"><c r="B3"><f>1+1</f><v>2</v></c><c r="C3" t="e"><v>#N/A</v></c><c r="D3" t="str"><v>f</v></c><c r="E3" t="b"><v>0</v></c></row></sheetData></worksheet>')
+    assert workbook.cells(made.getvalue(), "S") == [["plain", *[None] * 26, "rich"], [], [None, 2.0, None, "f", False]]
+
+
 def test_model_annotator(spark):
     sents = spark.createDataFrame([(0, "a b"), (1, "c")], "sent_id long, text string")
     got = model_annotator(lambda: lambda batch: batch[["text"]].assign(n=batch["text"].str.len())[["n"]], "n long")(sents)
