@@ -332,7 +332,7 @@ def find(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], li
     return base, added
 
 
-COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def _show(spans: list[tuple[int, int, int]]) -> str:
@@ -346,7 +346,7 @@ def _scan(weights: np.ndarray):
             for doc_id, text in zip(ids(batch).tolist(), batch["text"], strict=True):
                 base, added = find(text, weights)
                 counts = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
-                rows.append((doc_id, *counts, hashlib.sha256(_show(base).encode()).hexdigest(), _show(base + added), len(added)))
+                rows.append((doc_id, *counts, hashlib.sha256(_show(base).encode()).hexdigest(), _show(base + added), len(added), len(base) + len(added)))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
@@ -354,7 +354,7 @@ def _scan(weights: np.ndarray):
 
 
 def personal_data(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """One row per document: counts and digest of the rules' spans, all spans, and how many the field added.
+    """One row per document: counts and digest of the rules' spans, all spans, how many the field added, and how many there are.
 
     Spans are kind:start:end in code points, end exclusive. Null and empty texts have
     none. Repeated rows and null ids pass. Empty table: no rows. Other columns are not read.

@@ -248,7 +248,7 @@ def test_pii_table(spark, docs, none):
         shown = [f"{k}:{a}:{b}" for k, a, b in sorted(base, key=lambda x: (pii.KINDS.index(x[0]), x[1]))]
         assert r["base_sha256"] == hashlib.sha256(",".join(shown).encode()).hexdigest()
         spans = r["spans"].split(",") if r["spans"] else []
-        assert set(shown) <= set(spans) and len(spans) == len(base) + r["n_added"]
+        assert set(shown) <= set(spans) and len(spans) == len(base) + r["n_added"] == r["n_spans"]
         assert spans == sorted(spans, key=lambda x: (pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])))
     assert pii.personal_data(docs).count() == len(rows())
     assert pii.personal_data(none).count() == 0
@@ -853,7 +853,7 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert abs((signed[0] == signed[1]).mean() - true) < 0.05
 
 
-def test_mix(docs, none):
+def test_mix(docs, none, monkeypatch):
     got = mixing.mix(docs).collect()
     size = lambda t: len(text_of(t).encode().split())
     per = collections.Counter()
@@ -875,6 +875,9 @@ def test_mix(docs, none):
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in sources) and len(got) == len(rows())
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
+    shown = lambda df: sorted(str((r["doc_id"], r["source"], r["size"], r["taken"])) for r in df.collect())
+    monkeypatch.setattr(mixing, "LEAST_RANGES", 1)
+    assert shown(mixing.mix(docs, rows_per_range=3)) == shown(mixing.mix(docs))
     assert mixing.mix(none).count() == 0
 
 
