@@ -249,32 +249,40 @@ def _link(similarity: float):
 
 
 def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (node, label) with the least label of the nodes that ``links`` (a, b) connect.
+    """node, label: of every node of ``nodes`` (node, label) that has links (a, b), the least label of those that they connect.
 
-    In every round each node takes the least label next to it; the node whose label it
-    gives up takes it as well (so what one member of a class learns, its head learns);
-    and then each takes the label that the node of its label has. Reach doubles, so that
-    chains of n links take some log2(n) rounds, not n. Written after every step, and deleted once read.
+    In a round each label takes the least one next to it and, by doubling, what that one leads to; links then
+    join what their ends lead to, once each, and those within one label go. So every round leaves half the labels at
+    most, and mostly far fewer. Written after every step, and deleted once read.
     """
-    spark = nodes.sparkSession
+    ends = links.select("a", "b").distinct()
+    for end, name in (("a", "x"), ("b", "y")):
+        ends = ends.join(nodes.select(F.col("node").alias(end), F.col("label").alias(name)), end)
+    both = lambda df: df.select("x", "y").where("x <> y").unionByName(df.select(F.col("y").alias("x"), F.col("x").alias("y")).where("x <> y")).distinct()
+    leads: list[DataFrame] = []
     with scope() as paths:
-        ways = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-ways")
-        own = nodes.select("node", F.col("label").alias("own"))
-        reached = written(own.join(ways.select(F.col("a").alias("node")).distinct(), "node").withColumn("label", F.col("own")), "near-labels")
-        while True:
-            seen = ways.join(reached.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-            met = reached.join(seen, reached["node"] == seen["a"]).select("node", "own", F.col("label").alias("left"), F.least("label", "near").alias("label"))
-            met = written(met, "near-met")
-            if met.where("label < left").isEmpty():
-                discard(spark, *paths[:-1])
-                return met.select("node", "label")
-            # A label is one node's own, so in both joins by label one side holds it once.
-            heads = met.where("label < left").groupBy(F.col("left").alias("own")).agg(F.min("label").alias("learned"))
-            led = written(met.join(heads, "own", "left").select("node", "own", F.least("label", "learned").alias("label")), "near-heads")
-            further = led.where("label < own").select(F.col("own").alias("label"), F.col("label").alias("beyond"))
-            reached = written(led.join(further, "label", "left").select("node", "own", F.coalesce("beyond", "label").alias("label")), "near-labels")
-            discard(spark, *paths[1:-1])
-            paths[1:-1] = []
+        ways = written(both(ends), "near-ways")
+        while not ways.isEmpty():
+            lead = written(ways.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("lead")), "near-leads")
+            while True:
+                far = lead.select(F.col("x").alias("lead"), F.col("lead").alias("far"))
+                lead = written(lead.join(far, "lead").select("x", F.col("far").alias("lead"), (F.col("far") < F.col("lead")).alias("on")), "near-leads")
+                if lead.where("on").isEmpty():
+                    break
+            lead = lead.drop("on")
+            leads.append(lead)
+            met = ways.join(lead.withColumnRenamed("lead", "p"), "x").join(lead.select(F.col("x").alias("y"), F.col("lead").alias("q")), "y")
+            ways = written(both(met.select(F.col("p").alias("x"), F.col("q").alias("y"))), "near-ways")
+        if not leads:
+            return nodes.select("node", "label").limit(0)
+        # What a label leads to in the end: round by round, from the last one, of the fewest labels, back.
+        last = leads.pop()
+        while leads:
+            beyond = last.select(F.col("x").alias("lead"), F.col("lead").alias("beyond"))
+            last = leads.pop().join(beyond, "lead", "left").select("x", F.coalesce("beyond", "lead").alias("lead"))
+        found = written(nodes.join(last, nodes["label"] == last["x"]).select("node", F.col("lead").alias("label")), "near-labels")
+    discard(nodes.sparkSession, *paths[:-1])
+    return found
 
 
 def _blocks(texts: str, size: str) -> Column:

@@ -809,7 +809,29 @@ def test_classes_of_chains_take_few_rounds(spark, monkeypatch):
     steps = []
     monkeypatch.setattr(near_dedup, "written", lambda df, name: steps.append(name) or exact_dedup.written(df, name))
     got = {int(r["node"]): r["label"]["doc_id"] for r in near_dedup.classes(nodes, links).collect()}
-    assert got == {i: i // n * n for i in range(2 * n)} and steps.count("near-labels") <= 12
+    assert got == {i: i // n * n for i in range(2 * n)} and steps.count("near-ways") <= 8 and len(steps) <= 40
+    assert near_dedup.classes(nodes, links.limit(0)).collect() == []
+
+
+def test_classes_of_random_graphs(spark):
+    rng = random.Random(11)
+    for n, m in ((300, 200), (300, 290), (200, 900)):
+        pairs, head = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)], list(range(n))
+
+        def root(i, head=head):
+            while head[i] != i:
+                i = head[i]
+            return i
+
+        for a, b in pairs:
+            x, y = root(a), root(b)
+            head[max(x, y)] = min(x, y)
+        nodes = spark.createDataFrame([(str(i).encode(), (i < 3, None if i < 3 else i, i)) for i in range(n)], "node binary, label struct<none: boolean, doc_id: long, row: long>")
+        links = spark.createDataFrame([(str(a).encode(), str(b).encode()) for a, b in pairs], "a binary, b binary")
+        got = {int(r["node"]): r["label"]["row"] for r in near_dedup.classes(nodes, links).collect()}
+        linked = {i for a, b in pairs for i in (a, b) if a != b}
+        order = lambda i: (i < 3, i)
+        assert got == {i: min((j for j in range(n) if root(j) == root(i)), key=order) for i in linked}
 
 
 def test_linked_equals_pairs():
