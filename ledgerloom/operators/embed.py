@@ -56,10 +56,10 @@ def cosine_pairs(sents: DataFrame, kpis: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (p.select("sent_id", "k.kpi_id", "k.kpi", cosine(F.col("v"), F.col("k.v"), F.col("length"), F.col("k.norm")).alias("score")) for p in pairs))
 
 
-def _best_sentence(rows: DataFrame, kpis: DataFrame, v: str = "v") -> DataFrame:
+def _best_sentence(rows: DataFrame, blocks: list[DataFrame], v: str = "v") -> DataFrame:
     """``rows`` with ``sent``: (less, kpi_id, kpi) of the most similar indicator, the first of equals; ``less`` is the score with its sign turned."""
     columns, rows = rows.columns, rows.withColumns({"length": norm(F.col(v)), "sent": F.lit(None).cast("struct<less: double, kpi_id: bigint, kpi: string>")})
-    for block in indicator_blocks(kpis):
+    for block in blocks:
         scored = _with(rows, block).withColumn("scores", _scores(F.col(v), F.col("length"))).withColumn("top", F.array_max("scores"))
         k = F.try_element_at("listed", F.array_position("scores", F.col("top")).cast("int"))
         found = F.when(F.size("listed") > 0, F.struct((-F.col("top")).alias("less"), k["kpi_id"].cast("long").alias("kpi_id"), k["kpi"].alias("kpi")))
@@ -69,7 +69,7 @@ def _best_sentence(rows: DataFrame, kpis: DataFrame, v: str = "v") -> DataFrame:
 
 def compare_sents(sents: DataFrame, kpis: DataFrame) -> DataFrame:
     """sent_id, kpi_sent, score_sent: the most similar indicator, the first of equals. Without indicators no rows."""
-    found = _best_sentence(sents.select("sent_id", "v"), kpis).where(F.col("sent").isNotNull())
+    found = _best_sentence(sents.select("sent_id", "v"), indicator_blocks(kpis)).where(F.col("sent").isNotNull())
     return found.select("sent_id", F.col("sent.kpi").alias("kpi_sent"), (-F.col("sent.less")).alias("score_sent"))
 
 
@@ -88,14 +88,14 @@ def ngram_scores(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> Dat
     return reduce(DataFrame.unionByName, (p.select("sent_id", "x", "y", "ngram", "k.kpi_id", "k.kpi", cosine(F.col("v"), F.col("k.v"), F.col("length"), F.col("k.norm")).alias("score")) for p in pairs))
 
 
-def _best_ngram(rows: DataFrame, kpis: DataFrame, limit: int) -> DataFrame:
+def _best_ngram(rows: DataFrame, blocks: list[DataFrame], limit: int) -> DataFrame:
     """``rows`` (with tokens and vectors) with ``gram``: (less, x, y, kpi_id, kpi) of the best span and indicator, the first of equals by span, then indicator."""
     columns = rows.columns
     part = lambda c, s: F.slice(c, s["x"] + 1, s["y"] - s["x"])
     spans = F.transform(ngram_spans(F.size("vectors"), limit), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), mean(part("vectors", s)).alias("v")))
     spans = F.transform(spans, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["v"].alias("v"), norm(s["v"]).alias("length")))
     rows = rows.withColumns({"spans": spans, "gram": F.lit(None).cast("struct<less: double, x: int, y: int, kpi_id: bigint, kpi: string>")})
-    for block in indicator_blocks(kpis):
+    for block in blocks:
 
         def top(s: Column) -> Column:
             # The scores of a span are an array of one array, so that the lambda names them once.
@@ -111,7 +111,7 @@ def _best_ngram(rows: DataFrame, kpis: DataFrame, limit: int) -> DataFrame:
 
 def compare_ngrams(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> DataFrame:
     """sent_id, ngram, kpi_ngram, score_ngram: the best span and indicator, the first of equals by span, then indicator."""
-    found = _best_ngram(sentence_tokens(token_feats), kpis, limit).where(F.col("gram").isNotNull())
+    found = _best_ngram(sentence_tokens(token_feats), indicator_blocks(kpis), limit).where(F.col("gram").isNotNull())
     return found.select("sent_id", _ngram().alias("ngram"), F.col("gram.kpi").alias("kpi_ngram"), (-F.col("gram.less")).alias("score_ngram"))
 
 
@@ -121,8 +121,8 @@ def _ngram() -> Column:
 
 def compare_both(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> DataFrame:
     """E4 and E7 from one grouping of the tokens: sent_id, kpi_sent, score_sent, ngram, kpi_ngram, score_ngram."""
-    rows = sentence_tokens(token_feats).withColumn("v", mean(F.col("vectors")))
-    found = _best_ngram(_best_sentence(rows, kpis), kpis, limit).where(F.col("sent").isNotNull())
+    rows, blocks = sentence_tokens(token_feats).withColumn("v", mean(F.col("vectors"))), indicator_blocks(kpis)
+    found = _best_ngram(_best_sentence(rows, blocks), blocks, limit).where(F.col("sent").isNotNull())
     sent = F.col("sent.kpi").alias("kpi_sent"), (-F.col("sent.less")).alias("score_sent")
     return found.select("sent_id", *sent, _ngram().alias("ngram"), F.col("gram.kpi").alias("kpi_ngram"), (-F.col("gram.less")).alias("score_ngram"))
 
