@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-# Runs of white space are entered at their beginning only (or where the last match has ended),
-# so that a text takes time in proportion to its length.
-_RUN = rf"(?:\G|(?<!{SPACE}))"
+_BLANK = SPACE.replace(r"\t-\r", r"\t\x0b-\r")  # white space but the line end
+# A run of white space is entered at its beginning only, so that a text takes time in proportion to its length:
+# the character matched first must not have white space before it, or stand where the last match has ended.
+_RUN = rf"(?:\G{SPACE}++|{SPACE}(?<!{SPACE}{{2}}){SPACE}*+)?+"
+_BLANKS = rf"(?:{_BLANK}(?<!{SPACE}{{2}}){_BLANK}*+)?+"
 
 
 def text_filter(text: Column) -> Column:
     """Joins words hyphenated over a line end, drops blank lines, and turns line ends into blanks."""
-    text = F.regexp_replace(text, rf"{_RUN}{SPACE}*+-{SPACE}*\n", "")
+    text = F.regexp_replace(text, rf"{_RUN}-{SPACE}*\n", "")
     text = F.regexp_replace(text, rf"\n{SPACE}*\n", "\n")
-    return F.regexp_replace(text, rf"{_RUN}{SPACE}*\n{SPACE}*+", " ")
+    return F.regexp_replace(text, rf"{_BLANKS}\n{SPACE}*+", " ")
 
 
 def block_rtrim(text: Column) -> Column:
