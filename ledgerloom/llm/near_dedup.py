@@ -43,7 +43,7 @@ K = BANDS * ROWS
 BLOCK, BLOCK_BYTES, HEADS = 256, 4 << 20, 4
 #: Links that a text has on the mean below it where a group's texts are strung together.
 FAN = 32
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def normal(text: str) -> bytes:
