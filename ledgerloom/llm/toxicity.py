@@ -177,9 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     met = documents(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sofar = F.sum(F.octet_length("text").cast("long")).over(W.orderBy(*order))  # over `sample` rows at most
-    rows = rows.withColumn("sofar", sofar).where(F.col("sofar") <= sample_bytes).drop("sofar").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return learn([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = rows.withColumn("sofar", sofar).where(F.col("sofar") <= sample_bytes).orderBy(F.desc("doc_id"), F.desc("text")).drop("sofar").collect()
+    texts, toxic = [], []
+    while rows:  # and let go of each
+        r = rows.pop()
+        texts.append(r["text"])
+        toxic.append(r["toxic"])
+    return learn(texts, toxic)
 
 
 def scorer(lexicon: Lexicon):
