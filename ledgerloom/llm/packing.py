@@ -5,7 +5,7 @@ documents and of gaps are kept as runs: documents of one length with successive
 ranks, sequences of one gap with successive numbers. Runs don't grow in number with
 the corpus; documents learn their rank by distributed prefix sums over (length, block).
 
-A superstep deals both lists to ranges of sizes. Every range sweeps its runs from large
+A superstep deals both lists, sorted by size, to ranges of equally many runs. Every range sweeps its runs from large
 to small: a run of documents takes the successor among the gaps met so far, the
 smallest that holds it, as many of its documents as fit into each sequence. Who
 gets which gap is resolved by rank (the k-th document of the run gets the k-th place).
@@ -19,6 +19,7 @@ ones take no place that a larger one could still fill.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -54,12 +55,9 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        plain = Tokenizer.from_file(path)
-        self.plain = lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, "<u4")
-        self.special = [t.content for t in plain.get_added_tokens_decoder().values()]
-        self.ranked = None
+        self.path, self.coder, self.ranked = path, None, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         ranked = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranked):
             import public_tokenizers
@@ -70,6 +68,13 @@ class Ids:
             coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.ranked = lambda text: coder.encode_to_numpy(text, disallowed_special=())
 
+    def plain(self, text: str) -> np.ndarray:
+        if self.coder is None:  # most workers never need it
+            from tokenizers import Tokenizer
+
+            self.coder = Tokenizer.from_file(self.path)
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4")
+
     def __call__(self, text: str) -> np.ndarray:
         if self.ranked and not any(s in text for s in self.special):
             try:
@@ -102,7 +107,7 @@ def _pieces(capacity: int, end_id: int, path: str):
 
 #: Kinds of runs: sequences with a gap, documents with a length, documents placed, and the number of sequences opened.
 GAP, PIECE, PLACED, OPENED = range(4)
-RUNS = "kind int, size long, first long, n long, sequence long, each long, offset long, live boolean"
+RUNS = "kind int, size long, first long, n long, sequence long, each long, offset long, live boolean, range int"
 RANGES, STEPS_AT_ONCE, SMALL = 8, 4, 64
 
 
@@ -150,12 +155,16 @@ def _split(batches: Iterator[pd.DataFrame]) -> tuple[dict[int, list[tuple]], lis
     live, rest = {GAP: [], PIECE: []}, []
     for batch in batches:
         for row in batch[[c.split()[0] for c in RUNS.split(", ")]].itertuples(index=False, name=None):
-            (live[row[0]].append(row[1:4]) if row[7] else rest.append(row))
+            (live[row[0]].append(row[1:4]) if row[7] else rest.append(row[:8]))
     return live, rest
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RUNS.split(", ")]).astype({"live": bool})
+    """Rows with their range in the next superstep: sorted by size, in as many ranges of equally many rows, those that take part apart from all others."""
+    rows = sorted(rows, key=lambda r: (r[7], r[1]))
+    first = sum(not r[7] for r in rows)
+    ranges = [i * RANGES // max(first, 1) if i < first else (i - first) * RANGES // (len(rows) - first) for i in range(len(rows))]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in RUNS.split(", ")][:8]).astype({"live": bool}).assign(range=np.array(ranges, np.int32))
 
 
 def _sweep_range(capacity: int):
@@ -212,8 +221,7 @@ def _merge_ranges(capacity: int):
 
 def superstep(runs: DataFrame, capacity: int) -> DataFrame:
     """Runs after one more superstep: ranges swept in parallel, then what they leave over."""
-    dealt = runs.withColumn("range", F.floor((F.col("size") - 1) * RANGES / capacity).cast("int"))
-    swept = dealt.repartition(RANGES, "range").coalesce(RANGES).drop("range").mapInPandas(_sweep_range(capacity), RUNS)
+    swept = runs.repartition(RANGES, "range").coalesce(RANGES).mapInPandas(_sweep_range(capacity), RUNS)
     return swept.repartition(1).mapInPandas(_merge_ranges(capacity), RUNS)
 
 
@@ -224,7 +232,7 @@ def supersteps(counts: DataFrame, capacity: int) -> DataFrame:
     thousand runs at most, of which no number grows with the corpus.
     """
     zero = [F.lit(0).cast("long").alias(c) for c in ("sequence", "each", "offset")]
-    runs = counts.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", *zero, F.lit(False).alias("live"))
+    runs = counts.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", *zero, F.lit(False).alias("live"), F.lit(0).alias("range"))
     done = []
     while True:
         for _ in range(STEPS_AT_ONCE):

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import importlib
 import itertools
+import os
 import zlib
 
 import duckdb
@@ -11,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from ledgerloom.llm import exact_dedup, packing, registry, toxicity
+from ledgerloom.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
 #: Enough labels for the lexicon to learn entries.
@@ -144,4 +146,7 @@ def test_pipeline_stages_against_plain_versions(spark):
             assert 0 < len(rows) and (name == "mix_sources" or len(rows) < len(before)), name
     key = ("doc_id", "piece", "start", "length", "ids_crc32")
     count = lambda df: collections.Counter(tuple(r[c] for c in key) for r in df.collect())
+    before = set(os.listdir(shared_dir(spark)))
     assert count(corpus_pipeline.run(spark, LARGER)) == count(docs)
+    # Of the tables on the way only the last one stays.
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(shared_dir(spark))) - before] == ["pipeline-best_fit_packing"]
