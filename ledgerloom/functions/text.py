@@ -25,12 +25,12 @@ def text_filter(text: Column) -> Column:
 
 def block_rtrim(text: Column) -> Column:
     """Without white space at the end."""
-    return F.regexp_replace(text, rf"(?<!{SPACE}){SPACE}++\z", "")
+    return F.regexp_replace(text, rf"{SPACE}(?<!{SPACE}{{2}}){SPACE}*+\z", "")
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    return F.regexp_replace(text, rf"\A{SPACE}++|{SPACE}(?<!{SPACE}{{2}}){SPACE}*+\z", "")
 
 
 def split_sentences(text: Column) -> Column:

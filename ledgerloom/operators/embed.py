@@ -21,19 +21,30 @@ LISTED, NUMBERS = 10_000, 4_000_000
 
 
 def indicator_blocks(kpis: DataFrame, listed: int = LISTED, numbers: int = NUMBERS) -> list[DataFrame]:
-    """Tables of one row with an array ``listed`` of (kpi_id, kpi, v, norm), sorted by kpi_id. Their sizes are counted first."""
+    """Tables of one row with an array ``listed`` of (kpi_id, kpi, v, norm), sorted by kpi_id; none, if there are no indicators. Their sizes are counted first."""
     n, total = kpis.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n / listed), math.ceil(total / numbers))
+    blocks = max(math.ceil(n / listed), math.ceil(total / numbers))
+    if not n:
+        return []
     rows = kpis.select(F.struct("kpi_id", "kpi", F.col("v"), norm(F.col("v")).alias("norm")).alias("k"), F.pmod(F.xxhash64("kpi_id"), F.lit(blocks)).alias("block"))
     array = F.array_sort(F.collect_list("k")).alias("listed")
     return [(rows.where(F.col("block") == i) if blocks > 1 else rows).agg(array) for i in range(blocks)]
 
 
+def _nothing(kpis: DataFrame) -> DataFrame:
+    return kpis.limit(0).select(F.array(F.struct("kpi_id", "kpi", "v", F.lit(0.0).alias("norm"))).alias("listed"))
+
+
 def _with(rows: DataFrame, block: DataFrame) -> DataFrame:
     """J-8: every row with the array of indicators. The block is one row of a checked size."""
     return rows.crossJoin(F.broadcast(block))
 
 
+def _once(c: Column) -> Column:
+    """``c`` by a generator of one row: filters on it stay above it, and don't compute it over again below."""
+    return F.explode(F.array(c))
+
+
 def _scores(v: Column, length: Column) -> Column:
     return F.transform("listed", lambda k: cosine(v, k["v"], length, k["norm"]))
 
@@ -52,7 +63,7 @@ def sent_feats(token_feats: DataFrame) -> DataFrame:
 def cosine_pairs(sents: DataFrame, kpis: DataFrame) -> DataFrame:
     """E3, long: sent_id, kpi_id, kpi, score; every pair, by definition."""
     rows = sents.withColumn("length", norm(F.col("v")))
-    pairs = [_with(rows, block).select("sent_id", "v", "length", F.explode("listed").alias("k")) for block in indicator_blocks(kpis)]
+    pairs = [_with(rows, block).select("sent_id", "v", "length", F.explode("listed").alias("k")) for block in indicator_blocks(kpis) or [_nothing(kpis)]]
     return reduce(DataFrame.unionByName, (p.select("sent_id", "k.kpi_id", "k.kpi", cosine(F.col("v"), F.col("k.v"), F.col("length"), F.col("k.norm")).alias("score")) for p in pairs))
 
 
@@ -63,13 +74,14 @@ def _best_sentence(rows: DataFrame, blocks: list[DataFrame], v: str = "v") -> Da
         scored = _with(rows, block).withColumn("scores", _scores(F.col(v), F.col("length"))).withColumn("top", F.array_max("scores"))
         k = F.try_element_at("listed", F.array_position("scores", F.col("top")).cast("int"))
         found = F.when(F.size("listed") > 0, F.struct((-F.col("top")).alias("less"), k["kpi_id"].cast("long").alias("kpi_id"), k["kpi"].alias("kpi")))
-        rows = scored.withColumn("sent", F.least("sent", found)).select(*columns, "length", "sent")
+        rows = scored.select(*columns, "length", _once(F.least("sent", found)).alias("sent"))
     return rows.drop("length")
 
 
 def compare_sents(sents: DataFrame, kpis: DataFrame) -> DataFrame:
     """sent_id, kpi_sent, score_sent: the most similar indicator, the first of equals. Without indicators no rows."""
-    found = _best_sentence(sents.select("sent_id", "v"), indicator_blocks(kpis)).where(F.col("sent").isNotNull())
+    blocks = indicator_blocks(kpis)
+    found = _best_sentence(sents.select("sent_id", "v") if blocks else sents.select("sent_id", "v").limit(0), blocks)
     return found.select("sent_id", F.col("sent.kpi").alias("kpi_sent"), (-F.col("sent.less")).alias("score_sent"))
 
 
@@ -84,7 +96,7 @@ def ngram_scores(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> Dat
     spans = sentence_tokens(token_feats).select("sent_id", "tokens", "vectors", F.explode(ngram_spans(F.size("vectors"), limit)).alias("s"))
     part = lambda c: F.slice(c, F.col("s.x") + 1, F.col("s.y") - F.col("s.x"))
     pooled = spans.select("sent_id", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.array_join(part("tokens"), " ").alias("ngram"), mean(part("vectors")).alias("v")).withColumn("length", norm(F.col("v")))
-    pairs = [_with(pooled, block).select("sent_id", "x", "y", "ngram", "v", "length", F.explode("listed").alias("k")) for block in indicator_blocks(kpis)]
+    pairs = [_with(pooled, block).select("sent_id", "x", "y", "ngram", "v", "length", F.explode("listed").alias("k")) for block in indicator_blocks(kpis) or [_nothing(kpis)]]
     return reduce(DataFrame.unionByName, (p.select("sent_id", "x", "y", "ngram", "k.kpi_id", "k.kpi", cosine(F.col("v"), F.col("k.v"), F.col("length"), F.col("k.norm")).alias("score")) for p in pairs))
 
 
@@ -105,13 +117,19 @@ def _best_ngram(rows: DataFrame, blocks: list[DataFrame], limit: int) -> DataFra
         scored = _with(rows, block).withColumn("best", F.when(F.size("listed") > 0, F.array_min(F.transform("spans", top))))
         k = F.try_element_at("listed", F.col("best.at"))
         found = F.when(F.col("best").isNotNull(), F.struct("best.less", "best.x", "best.y", k["kpi_id"].cast("long").alias("kpi_id"), k["kpi"].alias("kpi")))
-        rows = scored.withColumn("gram", F.least("gram", found)).select(*columns, "spans", "gram")
+        rows = scored.select(*columns, "spans", _once(F.least("gram", found)).alias("gram"))
     return rows.drop("spans")
 
 
+def _tokens(token_feats: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """The tokens of sentences; without indicators none."""
+    return sentence_tokens(token_feats if blocks else token_feats.limit(0))
+
+
 def compare_ngrams(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> DataFrame:
     """sent_id, ngram, kpi_ngram, score_ngram: the best span and indicator, the first of equals by span, then indicator."""
-    found = _best_ngram(sentence_tokens(token_feats), indicator_blocks(kpis), limit).where(F.col("gram").isNotNull())
+    blocks = indicator_blocks(kpis)
+    found = _best_ngram(_tokens(token_feats, blocks), blocks, limit)
     return found.select("sent_id", _ngram().alias("ngram"), F.col("gram.kpi").alias("kpi_ngram"), (-F.col("gram.less")).alias("score_ngram"))
 
 
@@ -121,8 +139,9 @@ def _ngram() -> Column:
 
 def compare_both(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> DataFrame:
     """E4 and E7 from one grouping of the tokens: sent_id, kpi_sent, score_sent, ngram, kpi_ngram, score_ngram."""
-    rows, blocks = sentence_tokens(token_feats).withColumn("v", mean(F.col("vectors"))), indicator_blocks(kpis)
-    found = _best_ngram(_best_sentence(rows, blocks), blocks, limit).where(F.col("sent").isNotNull())
+    blocks = indicator_blocks(kpis)
+    rows = _tokens(token_feats, blocks).withColumn("v", mean(F.col("vectors")))
+    found = _best_ngram(_best_sentence(rows, blocks), blocks, limit)
     sent = F.col("sent.kpi").alias("kpi_sent"), (-F.col("sent.less")).alias("score_sent")
     return found.select("sent_id", *sent, _ngram().alias("ngram"), F.col("gram.kpi").alias("kpi_ngram"), (-F.col("gram.less")).alias("score_ngram"))
 
