@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -33,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
 
 
-_SCOPES: list[list[str]] = []
+#: The lists that tables written in this thread (or context) add their paths to, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,32 +61,35 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 @contextmanager
 def scope() -> Iterator[list[str]]:
-    """The paths of all tables that ``written`` makes inside."""
+    """The paths of all tables that ``written`` makes inside, in order; those that other threads write meanwhile are not among them."""
     paths: list[str] = []
-    _SCOPES.append(paths)
+    token = _SCOPES.set((*_SCOPES.get(), paths))
     try:
         yield paths
     finally:
-        _SCOPES.remove(paths)
+        _SCOPES.reset(token)
 
 
-def _plain(plan) -> bool:
-    """Whether a logical plan only picks columns and rows of one relation."""
+def _relation(plan):
+    """The one relation of which a logical plan only picks columns and rows, if it is such a plan."""
     name = plan.nodeName()
     if name in ("Project", "Filter", "SubqueryAlias"):
-        return plan.deterministic() and _plain(plan.children().apply(0))
-    return name == "LogicalRelation"
+        return _relation(plan.children().apply(0)) if plan.deterministic() else None
+    return plan.relation() if name == "LogicalRelation" else None
 
 
 def on_files(docs: DataFrame) -> DataFrame:
     """``docs`` itself if it is a read of Parquet files, of which columns or rows are picked at most; else what it gives, written once.
 
-    Of the result ``place`` tells the rows apart, in every read alike.
+    Of the result ``place`` tells the rows apart, in every read alike. A read that lists a file
+    twice has two rows for each place; such a one is written, too.
     """
-    if _plain(docs._jdf.queryExecution().analyzed()) and "_metadata" not in docs.columns:
+    relation = _relation(docs._jdf.queryExecution().analyzed())
+    if relation is not None and "_metadata" not in docs.columns:
         try:
             docs.select("_metadata.row_index")
-            return docs
+            if len(relation.location().inputFiles()) == len(docs._jdf.inputFiles()):  # with repeats, and without
+                return docs
         except AnalysisException:
             pass
     return written(docs, "rows")
