@@ -20,7 +20,11 @@ def cosine(a: Column, b: Column, a_norm: Column | None = None, b_norm: Column |
     return F.round(F.coalesce(F.try_divide(dot(a, b), both), F.lit(0.0)), 12)
 
 
+def total(vectors: Column) -> Column:
+    """The sum of an array of vectors, element by element."""
+    return F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))), F.element_at(vectors, 1), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+
+
 def mean(vectors: Column) -> Column:
     """The mean of an array of vectors, element by element."""
-    total = F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))), F.element_at(vectors, 1), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-    return F.transform(total, lambda x: x / F.size(vectors))
+    return F.transform(total(vectors), lambda x: x / F.size(vectors))

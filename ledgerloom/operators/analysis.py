@@ -24,6 +24,31 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0, values)
 
 
+def crosstab_wide(df: DataFrame, row: str, column: str, headers: DataFrame, most: int = 10_000) -> DataFrame:
+    """J-6, J-7, A5: a count per row and each of the subtopics that ``headers`` (topic, subtopic) list, under two-level names ``topic__subtopic``, sorted.
+
+    The columns come from the table: one that never stands is zeros. ``__other`` counts values that the table doesn't
+    list, and nulls. Of a subtopic listed twice the last topic by name counts. The names are read first; more than ``most`` are no table to look at, and an error.
+    """
+    named = headers.groupBy("subtopic").agg(F.max("topic").alias("topic")).limit(most + 1).collect()
+    if len(named) > most:
+        raise ValueError(f"more than {most} columns")
+    pairs = sorted((r["topic"], r["subtopic"]) for r in named)
+    # Counted by position, so that no value can be taken for a name.
+    known = headers.sparkSession.createDataFrame([(s, i) for i, (_, s) in enumerate(pairs)], "subtopic string, nth int")
+    counts = df.groupBy(row, F.col(column).alias("subtopic")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "subtopic", "left")
+    cells = [F.coalesce(F.sum(F.when(F.col("nth") == i, F.col("n"))), F.lit(0)).alias(f"{t}__{s}") for i, (t, s) in enumerate(pairs)]
+    return counts.groupBy(row).agg(*cells, F.coalesce(F.sum(F.when(F.col("nth").isNull(), F.col("n"))), F.lit(0)).alias("__other"))
+
+
+def crosstab_report(df: DataFrame, row: str, column: str, headers: DataFrame) -> DataFrame:
+    """J-6 in full: topic, subtopic, ``row`` and the wide counts: every listed subtopic with the rows in which it is dominant (A4); with none, one row of zeros."""
+    wide = crosstab_wide(df, row, column, headers)
+    top = dominant(df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n")), row, column).withColumnRenamed("top", "subtopic")
+    cells = [c for c in wide.columns if c != row]
+    return headers.select("topic", "subtopic").join(top.join(wide, row), "subtopic", "left").na.fill(0, cells).select("topic", "subtopic", row, *cells)
+
+
 def dominant(counts: DataFrame, row: str, column: str, name: str = "n") -> DataFrame:
     """A4: the column with the highest count of each row, the first by name of equals; ``outofscope`` only for its own row."""
     best = F.max_by(column, F.struct(F.col(name), F.col("less")))
@@ -53,8 +78,32 @@ def shuffled(seed: int, *keys: str):
     return [F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)).cast("binary")), *map(F.col, keys)]
 
 
+def numbered(df: DataFrame, seed: int, key: str, rows: int = 65_536) -> DataFrame:
+    """``df`` with ``rank``, from 0 in the order of ``shuffled``: prefix sums over ranges of the hash, so that no task holds more than a range. (The ranges are as many as powers of 16, of at most ``rows`` rows on the mean.)"""
+    digits, n = 0, df.count()
+    while n > rows * 16**digits:
+        digits += 1
+    hashed = df.withColumn("hashed", shuffled(seed, key)[0]).withColumns({"part": F.substring("hashed", 1, digits), "one": F.lit(1)})
+    before = F.coalesce(F.sum("m").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = hashed.groupBy("part").agg(F.count(F.lit(1)).alias("m")).select("part", before.alias("before"))
+    own = F.row_number().over(W.partitionBy("part").orderBy("hashed", key)) - 1
+    return hashed.withColumn("own", own).join(offsets, "part").select(*df.columns, (F.col("before") + F.col("own")).alias("rank"))
+
+
+def sample_with_replacement(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` draws with replacement: ``draw`` (from 0) and a row of ``df`` each. Reruns agree, and so do other engines. No rows: no draws.
+
+    A draw's hash picks a rank; ranks are the places in hashed order of ``key``, which must tell rows apart.
+    """
+    ranked = numbered(df, seed, key)
+    size = ranked.agg(F.count(F.lit(1)).alias("size"))
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(size)).where("size > 0").select(F.col("id").alias("draw"), (hashed % F.col("size")).alias("rank"))
+    return draws.join(ranked, "rank").select("draw", *df.columns)
+
+
 def sample(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement (all, if there are fewer); a filter after it stays after it."""
+    """``n`` rows without replacement (all, if there are fewer); a filter after it stays after it."""
     return df.orderBy(*shuffled(seed, *keys)).limit(n)
 
 

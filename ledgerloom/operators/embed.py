@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, mean, norm
+from ..functions.vectors import cosine, dot, mean, norm, total
 
 #: What one array of indicators holds at most (32 MB of numbers).
 LISTED, NUMBERS = 10_000, 4_000_000
@@ -91,30 +91,55 @@ def ngram_spans(length: Column, limit: int = 999) -> Column:
     return F.flatten(F.transform(starts, lambda x: F.transform(F.sequence(x + 1, F.least(length, x + limit)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
+def _products(block: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with vectors) and the block's indicators, with ``products``: per token, its dot product with every indicator."""
+    return _with(rows, block).withColumn("products", _once(F.transform("vectors", lambda v: F.transform("listed", lambda k: dot(v, k["v"])))))
+
+
+def _part(c: Column | str, s: Column) -> Column:
+    return F.slice(c, s["x"] + 1, s["y"] - s["x"])
+
+
+def _span_scores(s: Column) -> Column:
+    """The similarity of span ``s`` (x, y, length) to each indicator.
+
+    The span's mean needs no products of its own: its dot product with an indicator is the sum of its tokens', so a
+    token meets every indicator once, however many spans hold it. ``length`` is the norm of the span's sum.
+    Sums run from the span's first token (differences of running totals would leave rounding where vectors cancel out).
+    """
+    products = _part("products", s)
+    total = F.aggregate(F.slice(products, F.lit(2), F.size(products) - 1), F.element_at(products, 1), lambda acc, p: F.zip_with(acc, p, lambda a, b: a + b))
+    return F.zip_with(total, F.transform("listed", lambda k: k["norm"]), lambda p, n: F.round(F.coalesce(F.try_divide(p, s["length"] * n), F.lit(0.0)), 12))
+
+
+def _spans(limit: int) -> Column:
+    """Spans of ``vectors``: x, y, and the norm of their vectors' sum."""
+    return F.transform(ngram_spans(F.size("vectors"), limit), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), norm(total(_part("vectors", s))).alias("length")))
+
+
 def ngram_scores(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> DataFrame:
     """E6 and E8 before the choice: sent_id, x, y, ngram, kpi_id, kpi, score for every span of at most ``limit`` tokens."""
-    spans = sentence_tokens(token_feats).select("sent_id", "tokens", "vectors", F.explode(ngram_spans(F.size("vectors"), limit)).alias("s"))
-    part = lambda c: F.slice(c, F.col("s.x") + 1, F.col("s.y") - F.col("s.x"))
-    pooled = spans.select("sent_id", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.array_join(part("tokens"), " ").alias("ngram"), mean(part("vectors")).alias("v")).withColumn("length", norm(F.col("v")))
-    pairs = [_with(pooled, block).select("sent_id", "x", "y", "ngram", "v", "length", F.explode("listed").alias("k")) for block in indicator_blocks(kpis) or [_nothing(kpis)]]
-    return reduce(DataFrame.unionByName, (p.select("sent_id", "x", "y", "ngram", "k.kpi_id", "k.kpi", cosine(F.col("v"), F.col("k.v"), F.col("length"), F.col("k.norm")).alias("score")) for p in pairs))
+    rows = sentence_tokens(token_feats).withColumn("spans", _once(_spans(limit)))
+    out = []
+    for block in indicator_blocks(kpis) or [_nothing(kpis)]:
+        spans = _products(block, rows).select("sent_id", "tokens", "products", "listed", F.explode("spans").alias("s")).withColumn("scores", _span_scores(F.col("s")))
+        pairs = spans.select("sent_id", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.array_join(_part("tokens", F.col("s")), " ").alias("ngram"), F.explode(F.arrays_zip("listed", "scores")).alias("k"))
+        out.append(pairs.select("sent_id", "x", "y", "ngram", "k.listed.kpi_id", "k.listed.kpi", F.col("k.scores").alias("score")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _best_ngram(rows: DataFrame, blocks: list[DataFrame], limit: int) -> DataFrame:
     """``rows`` (with tokens and vectors) with ``gram``: (less, x, y, kpi_id, kpi) of the best span and indicator, the first of equals by span, then indicator."""
     columns = rows.columns
-    part = lambda c, s: F.slice(c, s["x"] + 1, s["y"] - s["x"])
-    spans = F.transform(ngram_spans(F.size("vectors"), limit), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), mean(part("vectors", s)).alias("v")))
-    spans = F.transform(spans, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["v"].alias("v"), norm(s["v"]).alias("length")))
-    rows = rows.withColumns({"spans": spans, "gram": F.lit(None).cast("struct<less: double, x: int, y: int, kpi_id: bigint, kpi: string>")})
+    rows = rows.withColumns({"spans": _spans(limit), "gram": F.lit(None).cast("struct<less: double, x: int, y: int, kpi_id: bigint, kpi: string>")})
     for block in blocks:
 
         def top(s: Column) -> Column:
             # The scores of a span are an array of one array, so that the lambda names them once.
-            best = F.transform(F.array(_scores(s["v"], s["length"])), lambda scores: F.struct((-F.array_max(scores)).alias("less"), s["x"].alias("x"), s["y"].alias("y"), F.array_position(scores, F.array_max(scores)).cast("int").alias("at")))
+            best = F.transform(F.array(_span_scores(s)), lambda scores: F.struct((-F.array_max(scores)).alias("less"), s["x"].alias("x"), s["y"].alias("y"), F.array_position(scores, F.array_max(scores)).cast("int").alias("at")))
             return F.element_at(best, 1)
 
-        scored = _with(rows, block).withColumn("best", F.when(F.size("listed") > 0, F.array_min(F.transform("spans", top))))
+        scored = _products(block, rows).withColumn("best", F.when(F.size("listed") > 0, F.array_min(F.transform("spans", top))))
         k = F.try_element_at("listed", F.col("best.at"))
         found = F.when(F.col("best").isNotNull(), F.struct("best.less", "best.x", "best.y", k["kpi_id"].cast("long").alias("kpi_id"), k["kpi"].alias("kpi")))
         rows = scored.select(*columns, "spans", _once(F.least("gram", found)).alias("gram"))
@@ -146,6 +171,16 @@ def compare_both(token_feats: DataFrame, kpis: DataFrame, limit: int = 5) -> Dat
     return found.select("sent_id", *sent, _ngram().alias("ngram"), F.col("gram.kpi").alias("kpi_ngram"), (-F.col("gram.less")).alias("score_ngram"))
 
 
+def compare_lists(token_feats: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """E4 against several lists from one grouping of the tokens: sent_id, and per list its name (the best indicator) and ``score_`` with it. A list without indicators: no rows, as with E4."""
+    blocks = {name: indicator_blocks(kpis) for name, kpis in lists.items()}
+    rows = sent_feats(token_feats if all(blocks.values()) else token_feats.limit(0))
+    for name, own in blocks.items():
+        found = _best_sentence(rows, own)
+        rows = found.withColumns({name: F.col("sent.kpi"), f"score_{name}": -F.col("sent.less")}).drop("sent")
+    return rows.drop("v")
+
+
 def unpivot(matrix: DataFrame, key: str, names: str = "kpi", values: str = "score") -> DataFrame:
     """U-5: from a wide matrix, one column per indicator, to one row per cell."""
     return matrix.unpivot([key], [c for c in matrix.columns if c != key], names, values)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,9 @@ def same(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.expr(a) == F.expr(b) if isinstance(a, str) else a == b, F.lit(False))
 
 
-def compare_clean(labels: DataFrame, matches: dict[str, DataFrame]) -> DataFrame:
-    """J-3: labels with the match of each field (kpi, topic, value), its score under a name of its own, and a flag for each."""
-    for name, found in matches.items():
-        labels = labels.join(found.select("sent_id", F.col("kpi_sent").alias(name), F.col("score_sent").alias(f"score_{name}")), "sent_id")
-    return labels.withColumns({f"{name}_match": same(F.col(name), F.col(f"A{name}")) for name in matches})
+def compare_clean(labels: DataFrame, matches: DataFrame, names: Iterable[str]) -> DataFrame:
+    """J-3: labels with the match of each field (kpi, topic, value), its score under a name of its own, and a flag for each, from one table of matches (``embed.compare_lists``)."""
+    return labels.join(matches, "sent_id").withColumns({f"{name}_match": same(F.col(name), F.col(f"A{name}")) for name in names})
 
 
 def ngram_vs_sent(ngrams: DataFrame, sents: DataFrame) -> DataFrame:

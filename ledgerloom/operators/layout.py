@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, split_sentences, text_filter
+from .text import sentence_id
+
 PAGE = ("doc_id", "page")
 
 
@@ -43,16 +48,58 @@ def reading_order(clustered: DataFrame) -> DataFrame:
     return clustered.withColumn("pos", F.row_number().over(W.partitionBy(*PAGE).orderBy("x0group", "y0", "block")))
 
 
-def merge_pages(blocks: DataFrame) -> DataFrame:
-    """One text per document: blocks run on (over pages too) until one ends a sentence.
+#: Pages of a range, and runs of one: what a task numbers by itself.
+PAGES, RUNS = 64, 4096
+
 
-    A finished run is joined by line ends, the unfinished one at the end by nothing; in each run two line
-    ends in a row become one; runs are joined by two.
+def segmented(rows: DataFrame, part: Column, order: list[str], value: Column, name: str, how=F.sum, inclusive: bool = False, key: str = "doc_id") -> DataFrame:
+    """``rows`` with ``name``: ``how`` (F.sum, F.max) of ``value`` over the rows of their ``key`` before them in ``order`` (and their own, if ``inclusive``).
+
+    By prefix sums over segments: ``part`` must rise with ``order``. A segment is summed by itself, the totals of a
+    key's segments give each one what stands before it, and rows add both. So no task holds more of a key than one segment, or one row for each.
+    """
+    within, columns = W.partitionBy(key, "part"), rows.columns
+    rows = rows.withColumns({"part": part, "value": value})
+    rows = rows.withColumns({"inside": how("value").over(within.orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)), "whole": how("value").over(within)})
+    # The counts make this read all columns of the exchange that the windows need, so that Spark uses that one again.
+    totals = rows.groupBy(key, "part").agg(F.first("whole").alias("whole"), *(F.count(c).alias(f"n_{c}") for c in columns if c != key))
+    before = how("whole").over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = totals.withColumn("before", before).where(F.coalesce(*(F.col(f"n_{c}") for c in columns if c != key)) >= 0).select(key, "part", "before").alias("o")
+    joined = rows.alias("r").join(offsets, F.col(f"r.{key}").eqNullSafe(F.col(f"o.{key}")) & F.col("r.part").eqNullSafe(F.col("o.part")))
+    added = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0)) if how is F.sum else F.greatest("before", "inside")
+    return joined.select(*(F.col(f"r.{c}") for c in columns), added.alias(name))
+
+
+def merge_runs(blocks: DataFrame, pages: int = PAGES) -> DataFrame:
+    """L6 before the last step: doc_id, run, text: blocks run on (over pages too) until one ends a sentence.
+
+    A finished run is joined by line ends, the unfinished one at the end by nothing; in each run two line ends in a row become one.
+    A document of any length is numbered in ranges of ``pages``; only a run itself is held whole.
     """
-    order = W.partitionBy("doc_id").orderBy("page", "pos")
     ends = F.coalesce(F.col("text").rlike(r"[.!?]\z"), F.lit(False)).cast("int")
-    runs = blocks.withColumn("ends", ends).withColumn("run", F.coalesce(F.sum("ends").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    runs = segmented(blocks.select("doc_id", "page", "pos", "text").withColumn("ends", ends), F.floor(F.col("page") / pages), ["page", "pos"], F.col("ends"), "run")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "text"))), lambda x: x["text"])
     joined = F.when(F.max("ends") == 1, F.array_join(parts, "\n")).otherwise(F.array_join(parts, ""))
-    groups = runs.groupBy("doc_id", "run").agg(F.replace(joined, F.lit("\n\n"), F.lit("\n")).alias("text"))
-    return groups.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return runs.groupBy("doc_id", "run").agg(F.replace(joined, F.lit("\n\n"), F.lit("\n")).alias("text"))
+
+
+def merge_pages(blocks: DataFrame) -> DataFrame:
+    """One text per document: its runs (``merge_runs``) in order, joined by two line ends."""
+    return merge_runs(blocks).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def sentences_of_runs(runs: DataFrame, split: Callable[[Column], Column] = split_sentences, size: int = RUNS) -> DataFrame:
+    """P1, P3 over ``merge_runs``: the sentences that ``text.sentences`` gives for the merged text of each document, without a row that holds a document.
+
+    A run ends a sentence, so sentences don't cross runs; but a hyphen alone on the first line of a run takes
+    away the line ends before it, so such a run goes with the one before. Places are counted over ranges of ``size`` runs.
+    """
+    hyphen = F.col("text").rlike(rf"\A{SPACE}*-{SPACE}*(?:\n|\z)")
+    units = segmented(runs, F.floor(F.col("run") / size), ["run"], F.when(~hyphen | (F.col("run") == 0), F.col("run")), "unit", F.max, inclusive=True)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n\n")
+    # An empty unit, as a document's last run may be, is a sentence only where the document holds nothing else.
+    found = units.groupBy("doc_id", "unit").agg(text.alias("text")).select("doc_id", "unit", split(text_filter(F.col("text"))).alias("found"))
+    found = found.where((F.col("unit") == 0) | (F.array_join("found", "") != ""))
+    placed = segmented(found, F.floor(F.col("unit") / size), ["unit"], F.size("found").cast("long"), "first")
+    rows = placed.select("doc_id", "first", F.posexplode("found").alias("nth", "text"))
+    return rows.select("doc_id", (F.col("first") + F.col("nth")).cast("int").alias("sent_pos"), "text").withColumn("sent_id", sentence_id()).select("doc_id", "sent_pos", "text", "sent_id")

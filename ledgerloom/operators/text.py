@@ -39,3 +39,8 @@ def sentence_filter(annotated: DataFrame, require_digit: bool = True) -> DataFra
 def accepted(sents: DataFrame, keep: bool = True) -> DataFrame:
     """P5: the accepted sentences, or the others."""
     return sents.where(F.col("accepted") if keep else ~F.col("accepted"))
+
+
+def parted(sents: DataFrame) -> DataFrame:
+    """P5, both at once: ``part`` is accepted or rejected. One pass; rows whose flag is null are neither, as in both filters."""
+    return sents.withColumn("part", F.when(F.col("accepted"), "accepted").when(~F.col("accepted"), "rejected")).where(F.col("part").isNotNull())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,12 +11,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lemmatize, strip
 
+#: A plug for lemmas: from an array of texts to their lemmas.
+Lemmas = Callable[[Column], Column]
+
 # Words that are no keywords, and spellings put right.
 STOP = ("", "nan", "good", "material", "right", "cycle")
 SPELLING = {"abseteeism": "absenteeism", "laeble": "label", "_emissions": "emissions"}
 
 
-def topic_keywords(sheet: DataFrame) -> DataFrame:
+def rule_lemmas(texts: Column) -> Column:
+    """T3's default: the rule, text by text."""
+    return F.transform(texts, lemmatize)
+
+
+def topic_keywords(sheet: DataFrame, lemmas: Lemmas = rule_lemmas) -> DataFrame:
     """Ord, topic, keywords from rows (ord, subtopic, unigrams, bigrams) of comma lists.
 
     An empty cell reads "nan", a stop word. Of a topic given twice the last row counts, at the first one's place.
@@ -23,7 +32,7 @@ def topic_keywords(sheet: DataFrame) -> DataFrame:
     cell = lambda c: F.coalesce(F.col(c), F.lit("nan"))
     words = F.transform(F.split(F.concat(cell("unigrams"), F.lit(","), cell("bigrams")), ","), lambda w: strip(F.replace(w, F.lit("_"), F.lit(" "))))
     spelled = F.create_map(*(F.lit(x) for pair in SPELLING.items() for x in pair))
-    words = F.transform(words, lambda w: lemmatize(F.coalesce(F.try_element_at(spelled, w), w)))
+    words = lemmas(F.transform(words, lambda w: F.coalesce(F.try_element_at(spelled, w), w)))
     words = F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP))))
     rows = sheet.select("ord", F.col("subtopic").alias("topic"), words.alias("keywords"))
     return rows.groupBy("topic").agg(F.min("ord").alias("ord"), F.max_by("keywords", "ord").alias("keywords")).select("ord", "topic", "keywords")
@@ -52,13 +61,18 @@ def patterns(topics: dict[str, list[str]], strict_words: bool = False) -> list[t
     return [(t, " |".join(f" {w}" for w in ws) or " ") for t, ws in topics.items()]
 
 
-def kwtopics(sents: DataFrame, topics: dict[str, list[str]], strict_words: bool = False) -> DataFrame:
+def kwtopics(sents: DataFrame, topics: dict[str, list[str]] | DataFrame, strict_words: bool = False, lemmas: Lemmas = rule_lemmas) -> DataFrame:
     """T5: adds ntopics, kw_topic1 (most distinct keywords, then dictionary order; ``outofscope`` if none) and keywords1, sorted.
 
-    All within a row: the dictionary is part of the expression, so nothing is joined or shuffled.
+    A dictionary as a dict is part of the expression: all within a row, nothing is joined or shuffled. One as a
+    table (ord, topic, keywords), as ``topic_keywords`` makes it, may hold any number of topics: see ``kwtopics_by_table``.
     """
+    if isinstance(topics, DataFrame):
+        if strict_words:
+            raise ValueError("whole words need the dictionary as a dict")
+        return kwtopics_by_table(sents, topics, lemmas)
     # Step by step: each column is used more than once, and steps keep Spark from computing it for each use.
-    out, given = sents.withColumn("lemma", lemmatize(F.col("text"))), patterns(topics, strict_words)
+    out, given = sents.withColumn("lemma", F.element_at(lemmas(F.array("text")), 1)), patterns(topics, strict_words)
 
     def words(pattern: str, plain: list[str]) -> Column:
         found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("lemma", F.lit(pattern), F.lit(0)), lambda w: F.trim(w))))
@@ -76,3 +90,69 @@ def kwtopics(sents: DataFrame, topics: dict[str, list[str]], strict_words: bool
     best = F.try_element_at("ranked", F.lit(1))
     out = out.withColumns({"ntopics": F.size("ranked"), "kw_topic1": F.coalesce(best["topic"], F.lit("outofscope")), "keywords1": F.coalesce(best["words"], F.array().cast("array<string>"))})
     return out.select(*sents.columns, "ntopics", "kw_topic1", "keywords1")
+
+
+#: Words of a keyword that is looked up whole, at most; characters by which any other one is looked up.
+WORDS, HEAD = 5, 16
+# Signs that make more of a regular expression than its own text, and those that reach beyond the character before them.
+_SIGN, _FAR = r"\\^$.|?*+()\[\]{}", r"[\\|()\[\]{}]"
+
+
+def _pattern(words: Column) -> Column:
+    """The pattern of a topic from (place, keyword, last), sorted: see ``patterns``."""
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit(" "), w["keyword"], F.when(w["last"], "").otherwise(" "))), "|")
+
+
+def keyword_keys(topics: DataFrame) -> DataFrame:
+    """ord, topic, place, keyword, last, key of every keyword: where ``key`` stands at no word's beginning of a sentence, the keyword can't match.
+
+    The key of a plain keyword, unless it is its topic's last, is the keyword and a blank. All others may match part of a word, or
+    are patterns: their key is what they begin with as plain text. Null: it may match anywhere.
+    """
+    each = topics.select("ord", "topic", F.size("keywords").alias("n"), F.posexplode("keywords").alias("place", "keyword")).withColumn("last", F.col("place") == F.col("n") - 1)
+    head = F.regexp_extract("keyword", rf"\A(?:[^{_SIGN}](?![*?{{]))*", 0)
+    whole = ~F.col("last") & ~F.col("keyword").rlike(f"[{_SIGN}]") & (F.size(F.split("keyword", " ")) <= WORDS)
+    key = F.when(whole, F.concat("keyword", F.lit(" "))).when(~F.col("keyword").rlike(_FAR) & (head != ""), F.substring(head, 1, HEAD))
+    return each.select("ord", "topic", "place", "keyword", "last", key.alias("key"))
+
+
+def kwtopics_by_table(sents: DataFrame, topics: DataFrame, lemmas: Lemmas = rule_lemmas) -> DataFrame:
+    """T5 with the dictionary as a table (ord, topic, keywords), however many topics it has.
+
+    What may begin a keyword, the word n-grams and the beginnings of a sentence's words, meets the keywords' keys in a
+    hash join. The exact pattern is tried only for the topics found so, made of the keywords found so: others can't match, so they
+    change nothing. Topics with a keyword that has no key, and those without any keyword, are tried on every sentence. Rows that share a sent_id
+    share their candidates, which changes nothing either.
+    """
+    keys = keyword_keys(topics)
+    free = keys.where("key is null").select("ord").distinct()
+    keyed = keys.join(free, "ord", "left_anti")
+    sizes = F.collect_set(F.when(~F.col("key").endswith(" "), F.length("key")))
+    words, heads = keyed.agg(F.coalesce(F.max(F.when(F.col("key").endswith(" "), F.size(F.split("keyword", " ")))), F.lit(0)), sizes).first()
+    listed = F.array_sort(F.collect_list(F.struct("place", "keyword", "last")))
+    # Few by nature: they go to every sentence, as one row.
+    patterned = keys.join(free, "ord", "left_semi").groupBy("ord", "topic").agg(listed.alias("w")).select("ord", "topic", _pattern(F.col("w")).alias("pattern"))
+    always = patterned.unionByName(topics.where(F.size("keywords") == 0).select("ord", "topic", F.lit(" ").alias("pattern"))).agg(F.collect_list(F.struct("ord", "topic", "pattern")).alias("always"))
+
+    # The lemma by a one-row generator, as in `kwtopics`.
+    rows = sents.withColumn("lemma", F.explode(F.array(F.element_at(lemmas(F.array("text")), 1))))
+    split = rows.select("sent_id", F.split("lemma", " ").alias("w")).where(F.size("w") > 1)
+    starts, size = F.sequence(F.lit(2), F.size("w")), F.size("w")
+    # A whole keyword has a blank after it, so it doesn't end the sentence; none stands at its beginning.
+    grams = F.flatten(F.transform(F.filter(starts, lambda i: i < size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max(words, 1)), size - i)), lambda n: F.concat(F.array_join(F.slice("w", i, n), " "), F.lit(" ")))))
+    begun = lambda i: F.array_join(F.slice("w", i, F.lit(HEAD // 2)), " ")
+    cut = F.array(*map(F.lit, sorted(heads))).cast("array<int>")
+    begins = F.flatten(F.transform(starts, lambda i: F.flatten(F.transform(F.array(begun(i)), lambda b: F.transform(F.filter(cut, lambda n: n <= F.length(b)), lambda n: F.substring(b, F.lit(1), n))))))
+    candidates = F.array_distinct(F.concat(*([grams] if words else []), *([begins] if heads else []), F.array().cast("array<string>")))
+    hits = split.select("sent_id", F.explode(candidates).alias("key")).join(keyed, "key")
+    # By sentence once: both groupings find their rows together.
+    found = hits.repartition("sent_id").groupBy("sent_id", "ord", "topic").agg(F.array_sort(F.collect_set(F.struct("place", "keyword", "last"))).alias("w"))
+    found = found.select("sent_id", F.struct("ord", "topic", _pattern(F.col("w")).alias("pattern")).alias("p")).groupBy("sent_id").agg(F.collect_list("p").alias("found"))
+
+    out = rows.join(found, "sent_id", "left").crossJoin(F.broadcast(always)).withColumn("tried", F.concat(F.coalesce("found", F.array().cast("array<struct<ord: int, topic: string, pattern: string>>")), "always"))
+    matched = lambda p: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("lemma", p["pattern"], F.lit(0)), lambda w: F.trim(w))))
+    ranked = F.transform("tried", lambda p: F.transform(F.array(matched(p)), lambda w: F.struct((-F.size(w)).alias("less"), p["ord"].alias("ord"), p["topic"].alias("topic"), w.alias("words")))[0])
+    out = out.select(*sents.columns, F.explode(F.array(F.array_sort(F.filter(ranked, lambda s: s["less"] < 0)))).alias("ranked"))
+    best = F.try_element_at("ranked", F.lit(1))
+    out = out.withColumns({"ntopics": F.size("ranked"), "kw_topic1": F.coalesce(best["topic"], F.lit("outofscope")), "keywords1": F.coalesce(best["words"], F.array().cast("array<string>"))})
+    return out.select(*sents.columns, "ntopics", "kw_topic1", "keywords1")

@@ -34,5 +34,4 @@ def create_features(sents: DataFrame, token_feats: DataFrame, kpis: DataFrame, d
 
 def evaluate_labels(labels: DataFrame, token_feats: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
     """Entry C: labels with the best match in each list of indicators, and whether it is right."""
-    feats = embed.sent_feats(token_feats)
-    return evaluate.compare_clean(labels, {name: embed.compare_sents(feats, kpis) for name, kpis in lists.items()})
+    return evaluate.compare_clean(labels, embed.compare_lists(token_feats, lists), lists)

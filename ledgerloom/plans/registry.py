@@ -79,8 +79,7 @@ def sentence_filter_nodigit(s, d):
 
 @query(f"WITH {S.ANN} SELECT sent_id, 'accepted' AS part FROM flagged WHERE accepted UNION ALL SELECT sent_id, 'rejected' FROM flagged WHERE NOT accepted")
 def accepted_rejected(s, d):
-    rows = S.filtered(s, d)
-    return text.accepted(rows).select("sent_id", F.lit("accepted").alias("part")).unionByName(text.accepted(rows, False).select("sent_id", F.lit("rejected").alias("part")))
+    return text.parted(S.filtered(s, d)).select("sent_id", "part")
 
 
 _PAGES = "documents AS (SELECT * FROM (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id) WHERE length(text) >= 100)"
@@ -173,6 +172,23 @@ def kwtopics(s, d):
     return _words(S.topics(s, d)).select("sent_id", "ntopics", "kw_topic1", "keywords1")
 
 
+_SHEET_TOPICS = f"""{S.TOPIC}, {_KEYWORDS},
+dictionary AS (SELECT ord, topic, list_filter(ws, lambda b: len(list_filter(ws, lambda a: a <> b AND contains(' ' || b, ' ' || a))) = 0) AS ws FROM words),
+listed AS (SELECT ord, topic, len(ws) AS n, unnest(ws) AS kw, unnest(range(len(ws))) AS place FROM dictionary),
+tried AS (SELECT sent_id, any_value(lemma) AS lemma, ord, topic, string_agg(' ' || kw || CASE WHEN place = n - 1 THEN '' ELSE ' ' END, '|' ORDER BY place) AS p
+  FROM lemmas JOIN listed ON lemma LIKE '% ' || replace(kw, '.', '_') || '%' GROUP BY sent_id, ord, topic
+  UNION ALL SELECT sent_id, lemma, ord, topic, ' ' FROM lemmas, dictionary WHERE len(ws) = 0),
+matched AS (SELECT sent_id, ord, topic, list_sort(list_distinct(list_transform(regexp_extract_all(lemma, p), lambda w: trim(w)))) AS ws FROM tried),
+bests AS (SELECT sent_id, count(*) AS ntopics, arg_min(topic, {{'less': -len(ws), 'ord': ord}}) AS topic, arg_min(ws, {{'less': -len(ws), 'ord': ord}}) AS ws FROM matched WHERE len(ws) > 0 GROUP BY sent_id)"""
+
+
+@query(f"WITH {_SHEET_TOPICS} SELECT l.sent_id, coalesce(b.ntopics, 0)::INT AS ntopics, coalesce(b.topic, 'outofscope') AS kw_topic1, coalesce(array_to_string(b.ws, '|'), '') AS keywords1 FROM lemmas l LEFT JOIN bests b ON b.sent_id = l.sent_id")
+def kwtopics_from_sheet(s, d):
+    """The dictionary that the topic sheet gives, over all sentences."""
+    dictionary = K.topic_keywords(S.sheet(s, d)).withColumn("keywords", K.without_overlap(F.col("keywords")))
+    return _words(K.kwtopics(S.sents(s, d), dictionary)).select("sent_id", "ntopics", "kw_topic1", "keywords1")
+
+
 @query(f"WITH {S.TOPIC} SELECT sent_id, ntopics, kw_topic1, esg2 AS esg_topic, esg_score FROM both_ WHERE esg2 <> 'outofscope'")
 def inscope(s, d):
     return scope.inscope(_classified(s, d)).select("sent_id", "ntopics", "kw_topic1", "esg_topic", "esg_score")
@@ -338,6 +354,32 @@ def crosstab_topics(s, d):
     return _cross(s, d).join(fields, "kw_topic1", "left")
 
 
+_HEADERS = sorted((v, k) for k, v in {**_FIELDS, "outofscope": "outofscope"}.items())
+_CELLS = ", ".join([*(f"""(count(*) FILTER (kw_topic1 = '{k}'))::BIGINT AS "{v}__{k}\"""" for v, k in _HEADERS), f"""(count(*) FILTER (kw_topic1 NOT IN ({', '.join(repr(k) for _, k in _HEADERS)})))::BIGINT AS "__other\""""])
+_WIDE = ", ".join(f'"{c}"' for c in [*(f"{v}__{k}" for v, k in _HEADERS), "__other"])
+
+
+def _headers(s):
+    return K.append_constant(s.createDataFrame([(v, k) for k, v in _FIELDS.items()], "topic string, subtopic string"), topic="outofscope", subtopic="outofscope")
+
+
+@query(f"WITH {S.TOPIC} SELECT esg2, {_CELLS} FROM both_ GROUP BY esg2")
+def crosstab_wide(s, d):
+    return A.crosstab_wide(scope.relabel(_classified(s, d)), "esg2", "kw_topic1", _headers(s))
+
+
+@query(
+    f"WITH {S.TOPIC}, wide AS (SELECT esg2, {_CELLS} FROM both_ GROUP BY esg2), c AS (SELECT esg2, kw_topic1, count(*) AS n FROM both_ GROUP BY 1, 2), "
+    "t AS (SELECT esg2, kw_topic1 FROM c WHERE kw_topic1 <> 'outofscope' QUALIFY row_number() OVER (PARTITION BY esg2 ORDER BY n DESC, kw_topic1) = 1), "
+    "d AS (SELECT DISTINCT c.esg2, CASE WHEN c.esg2 = 'outofscope' THEN 'outofscope' ELSE coalesce(t.kw_topic1, 'outofscope') END AS subtopic FROM c LEFT JOIN t ON t.esg2 = c.esg2), "
+    f"h(topic, subtopic) AS (VALUES {', '.join(map(repr, _HEADERS))}) SELECT h.topic, h.subtopic, wide.esg2, "
+    + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in _WIDE.split(", "))
+    + " FROM h LEFT JOIN (d JOIN wide USING (esg2)) ON h.subtopic = d.subtopic"
+)
+def crosstab_report(s, d):
+    return A.crosstab_report(scope.relabel(_classified(s, d)), "esg2", "kw_topic1", _headers(s))
+
+
 @query(f"WITH {_CROSS}, f(kw_topic1, field) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in {**_FIELDS, 'outofscope': 'outofscope'}.items())}) SELECT f.field, f.kw_topic1, esg2, n FROM f LEFT JOIN cross_ c ON f.kw_topic1 = c.kw_topic1")
 def topic_rows(s, d):
     fields = K.append_constant(s.createDataFrame([*_FIELDS.items()], "kw_topic1 string, field string"), kw_topic1="outofscope", field="outofscope")
@@ -360,6 +402,11 @@ def sample_filter(s, d):
     return text.accepted(A.sample(S.filtered(s, d, False), 1000, "sent_id")).select("sent_id", "text")
 
 
+@query(f"WITH {S.SENTS}, r AS (SELECT sent_id, text, row_number() OVER (ORDER BY md5('0:' || sent_id), sent_id) - 1 AS rank, count(*) OVER () AS size FROM sents) SELECT draw, sent_id, text FROM range(2000) g(draw) JOIN r ON rank = ('0x' || substr(md5('0:draw:' || draw), 1, 15))::BIGINT % size")
+def sample_replaced(s, d):
+    return A.sample_with_replacement(S.sents(s, d).select("sent_id", "text"), 2000, "sent_id")
+
+
 @query(f"WITH {S.TOPIC} SELECT kw_topic1, sent_id FROM topics QUALIFY row_number() OVER (PARTITION BY kw_topic1 ORDER BY md5('0:' || sent_id), sent_id) <= 5")
 def stratified_sample(s, d):
     return A.stratified_sample(S.topics(s, d), "kw_topic1", 5, "sent_id").select("kw_topic1", "sent_id")
