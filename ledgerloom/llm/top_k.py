@@ -1,11 +1,10 @@
 """Exact top-k search by inner product, without random access: sorted lists are read from their best ends, under bounds.
 
-Vectors meet queries in blocks. A block of vectors has a sorted list for each dimension; a query reads
-the lists of its dimensions downwards (those of negative weights upwards), a band of each at a time. What has
-been read of a vector, and what the lists can still give it at best and at worst, bounds its score from both sides. A
-query stops when only few vectors can still reach its k-th lower bound, and no vector unseen so far can; the
-scores of these few are then resolved exactly. A task hands the k-th score on from block to block, so later
-blocks stop sooner. Spark merges what tasks have found, query by query.
+Vectors meet queries in blocks. A block of vectors has a sorted list for each dimension, which is read from its ends,
+a band at a time, once for all queries. What has been read of a vector, and what the lists can still give it at best
+and at worst, bounds its score from both sides. A query stops when only few vectors, unread ones among them, can still
+reach its k-th lower bound; the scores of these few are then resolved exactly. A task hands the k-th score on
+from block to block, so later blocks stop sooner. Spark merges what tasks have found, query by query.
 """
 
 from __future__ import annotations
@@ -21,54 +20,65 @@ from pyspark.sql import functions as F
 from .common import scope, table, written
 from .vectors import matrix, whole_vectors
 
-#: Vectors of a block; the bytes of queries that are handed to all tasks at once.
-BLOCK, QUERY_BYTES = 4096, 8 << 20
+#: Vectors of a block, queries that meet it at once, and the bytes of queries that are handed to all tasks at once.
+BLOCK, AT_ONCE, QUERY_BYTES = 4096, 1024, 8 << 20
 #: Where reading pauses to look at the bounds, as parts of the lists.
-BANDS = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1)
-#: Sums below this are exact as doubles.
-EXACT = 1 << 52
+BANDS = (1 / 4, 1 / 2, 1)
+#: Sums below these are exact as floats of 32 and 64 bits.
+EXACT = ((1 << 24, np.float32), (1 << 53, np.float64))
 LONG = (1 << 63) - 1
 FOUND = "query long, query_id long, row long, vec_id long, score long"
 
 
 class Lists:
-    """A block of vectors, and for each dimension their order by that component, ascending."""
+    """A block of vectors, and for each dimension the list of them sorted by that component, ascending: it is read from both ends."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
-        self.order = np.argsort(x.T, axis=1, kind="stable")
-        self.values = np.take_along_axis(x.T, self.order, 1)
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.order, 0)
         self.largest = int(np.abs(x).max(initial=0))
 
-    def survivors(self, q: np.ndarray, k: int, floor: float, own: np.ndarray) -> np.ndarray:
-        """The vectors that may be among the ``k`` best of ``q`` and reach ``floor``; ``own`` marks those that take no part."""
-        m, dims = len(self.x), np.flatnonzero(q)
-        if not len(dims) or m <= 4 * k:
-            return np.flatnonzero(~own)
-        # Every list from its best end: ascending ones are read backwards.
-        up, weight = q[dims] < 0, q[dims].astype(np.float64)[:, None]
-        down, rise = dims[~up], dims[up]
-        known, seen, read = np.zeros(m), np.zeros((m, len(dims))), 0
-        worst = np.where(up, self.values[dims, m - 1], self.values[dims, 0]) * weight[:, 0]
-        column = np.concatenate([np.flatnonzero(~up), np.flatnonzero(up)])[:, None]
+    def exact(self, q: np.ndarray) -> type | None:
+        """The smallest kind of float that holds all sums of products with ``q`` exactly, if any does."""
+        most = self.largest * int(np.abs(q).max(initial=0)) * max(1, q.shape[1])
+        return next((kind for bound, kind in EXACT if most < bound), None)
+
+    def survivors(self, q: np.ndarray, k: int, floor: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """For each query (a row of ``q``) the vectors that may be among its ``k`` best and reach its ``floor``; ``own`` has the vector that takes no part in it (-1: none).
+
+        Positive weights read lists from their upper ends, negative ones from their lower ends. A vector's score is at most what it
+        would have if all its unread components were the last one read of their list, and at least what it would have if they
+        were the list's other end. A query is done when few vectors can still reach its k-th lower bound; unread ones are among those counted.
+        """
+        (m, dims), kind = self.x.shape, self.exact(q)
+        if kind is None or not dims or m <= 4 * k:
+            return [np.delete(np.arange(m), [i] if i >= 0 else []) for i in own.tolist()]
+        weights = np.hstack([np.maximum(q, 0), np.minimum(q, 0)]).astype(kind).T
+        column, read, out = np.arange(dims), 0, [np.empty(0, int)] * len(q)
+        # Upper ends and lower ends side by side: components as read, and which they are.
+        known, seen, todo = np.zeros((m, 2 * dims), kind), np.zeros((m, 2 * dims), bool), np.arange(len(q))
+        worst = np.concatenate([self.values[0], self.values[-1]]).astype(kind)
         for band in BANDS:
             end = max(read + 1, int(m * band))
-            rows = np.concatenate([self.order[down, m - end : m - read], self.order[rise, read:end]])
-            parts = np.concatenate([self.values[down, m - end : m - read], self.values[rise, read:end]]) * weight[column[:, 0]]
-            known += np.bincount(rows.ravel(), parts.ravel(), m)
-            seen[rows, column] = 1
-            best = np.where(up, self.values[dims, end - 1], self.values[dims, m - end]) * weight[:, 0]
-            upper, lower = (known[:, None] + np.stack([best, worst], 1).sum(0) - seen @ np.stack([best, worst], 1)).T
-            lower[own] = -np.inf
-            least = max(floor, np.partition(lower, m - k)[m - k])
-            alive = np.flatnonzero((upper >= least) & ~own)
-            if len(alive) <= max(4 * k, m // 16):
+            for at, part in ((column, slice(m - end, m - read)), (column + dims, slice(read, end))):
+                known[self.order[part], at], seen[self.order[part], at] = self.values[part], True
+            read, last = end, np.concatenate([self.values[m - end], self.values[end - 1]]).astype(kind)
+            upper, lower = (np.where(seen, known, rest) @ weights[:, todo] for rest in (last, worst))
+            mine = np.flatnonzero(own[todo] >= 0)
+            upper[own[todo[mine]], mine] = lower[own[todo[mine]], mine] = -np.inf
+            least = np.maximum(floor[todo], np.partition(lower, m - k, 0)[m - k])
+            alive = (upper >= least) & (upper > -np.inf)
+            done = (alive.sum(0) <= max(4 * k, m // 16)) | (end == m)
+            for i in np.flatnonzero(done):
+                out[todo[i]] = np.flatnonzero(alive[:, i])
+            todo = todo[~done]
+            if not len(todo):
                 break
-            read = end
-        return alive
+        return out
 
-    def scores(self, q: np.ndarray, rows: np.ndarray) -> list[int] | np.ndarray:
-        """Exact inner products with ``rows``; as many as fit in longs at once, else whole numbers of any size, given as the nearest long."""
+    def scores(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact inner products with ``rows``, as longs, or as whole numbers of any size where longs could overflow."""
         if self.largest * int(np.abs(q).max(initial=0)) * len(q) < LONG:
             return self.x[rows] @ q
         return np.array([sum(a * b for a, b in zip(row, q.tolist(), strict=True)) for row in self.x[rows].tolist()], object)
@@ -82,20 +92,21 @@ def _search(uids: np.ndarray, ids: list[int], queries, dims: int, k: int):
         best: list[list[tuple]] = [[] for _ in uids]  # (-score, no id, id, row)
 
         def meet(rows: np.ndarray, names: np.ndarray, unnamed: np.ndarray, x: np.ndarray) -> None:
-            lists = Lists(x)
-            largest = int(np.abs(q).max(initial=0)) * lists.largest * dims
-            for i in range(len(uids)):
-                own = rows == uids[i]
-                if largest < EXACT:
-                    alive = lists.survivors(q[i], k, -best[i][-1][0] if len(best[i]) == k else -np.inf, own)
-                else:  # bounds would be rounded: every score is resolved
-                    alive = np.flatnonzero(~own)
-                scores = lists.scores(q[i], alive)
-                if len(alive) > k and scores.dtype != object:
-                    alive, scores = alive[keep := scores >= np.partition(scores, len(scores) - k)[len(scores) - k]], scores[keep]
-                    if len(alive) > k:
-                        alive, scores = alive[nth := np.lexsort((rows[alive], names[alive], unnamed[alive], -scores))[:k]], scores[nth]
-                best[i] = sorted([*best[i], *zip((-scores).tolist(), unnamed[alive].tolist(), names[alive].tolist(), rows[alive].tolist(), strict=True)])[:k]
+            lists, at = Lists(x), {row: i for i, row in enumerate(rows.tolist())}
+            own = np.array([at.get(u, -1) for u in uids.tolist()], int)
+            for start in range(0, len(uids), AT_ONCE):
+                some = slice(start, start + AT_ONCE)
+                floor = np.array([float(-b[-1][0]) if len(b) == k else -np.inf for b in best[some]])
+                for i, alive in enumerate(lists.survivors(q[some], k, floor, own[some]), start):
+                    if not len(alive):
+                        continue
+                    scores = lists.scores(q[i], alive)
+                    if len(alive) > k and scores.dtype != object:
+                        # The k best, and of equal ones those that stand first.
+                        alive, scores = alive[keep := scores >= np.partition(scores, len(scores) - k)[len(scores) - k]], scores[keep]
+                        if len(alive) > k:
+                            alive, scores = alive[nth := np.lexsort((rows[alive], names[alive], unnamed[alive], -scores))[:k]], scores[nth]
+                    best[i] = sorted([*best[i], *zip((-scores).tolist(), unnamed[alive].tolist(), names[alive].tolist(), rows[alive].tolist(), strict=True)])[:k]
 
         held: list[pa.RecordBatch] = []
         for batch in batches:

@@ -22,7 +22,8 @@ LARGER = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     want = db.execute(f"select {', '.join(columns)} from ({registry.SQL[name]})").fetchall()
@@ -32,7 +33,7 @@ def test_sql(spark, name):
 def test_entry_lists_all():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert set(registry.QUERIES) < set(names) and "pipeline" in names and [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 11))
+    assert set(registry.QUERIES) < set(names) and "pipeline" in names and [int(n[2:].split("_")[0]) for n in registry.QUERIES] == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
 
 
