@@ -6,14 +6,22 @@ run and be tested; they don't claim a model's results.
 
 from __future__ import annotations
 
+import http.client
 import re
+import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 
 #: Number words that the rules know.
@@ -114,3 +122,89 @@ def entity_annotator(load: Callable[[], Callable[[str], list[tuple[str, str, int
         return run
 
     return model_annotator(start, "entities array<struct<text: string, label: string, start: int, end: int>>, ent_labels array<string>")
+
+
+def segmenter(load: Callable[[], Callable[[str], list[str]]]) -> Callable[[DataFrame], DataFrame]:
+    """P3's plug: sentences of documents by a model of one text, as a table function that is joined laterally to the rows (doc_id, text).
+
+    Gives doc_id, sent_pos, text; the model is loaded once per task. ``text.sentences`` takes it as ``split``.
+    """
+
+    class Segments:
+        def __init__(self):
+            self.model = load()
+
+        def eval(self, text: str):
+            yield from enumerate(self.model(text or ""))
+
+    cut = udtf(Segments, returnType="sent_pos: int, sentence: string")
+
+    def split(docs: DataFrame) -> DataFrame:
+        return docs.lateralJoin(cut(F.col("text").outer())).select("doc_id", "sent_pos", F.col("sentence").alias("text"))
+
+    return split
+
+
+def lemma_annotator(load: Callable[[], Callable[[list[str]], list[str]]]) -> Callable[[Column], Column]:
+    """T3's plug: from an array of texts to their lemmas, by a model of many texts at once, loaded once per task.
+
+    A batch's arrays go to the model as one list. A null text keeps a null lemma. ``topics.kwtopics`` and ``topics.topic_keywords`` take it as ``lemmas``.
+    """
+
+    @F.pandas_udf("array<string>")
+    def lemmas(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            flat = [t for own in batch if own is not None for t in own if t is not None]
+            made = iter(model(flat) if flat else [])
+            yield pd.Series([None if own is None else [None if t is None else next(made) for t in own] for own in batch], dtype=object)
+
+    return lemmas
+
+
+def form_text(text: str) -> bytes:
+    """A form of one field, ``text``."""
+    return urllib.parse.urlencode({"text": text}).encode()
+
+
+def service_annotator(url: str, form: Callable[[str], bytes] = form_text, timeout: float = 10.0, retries: int = 2, wait: float = 0.2, at_once: int = 8, batch: int = 256) -> Annotator:
+    """``reply`` (the service's JSON, for ``text.entity_reply``) and ``error`` of every text, by POST requests.
+
+    A task has at most ``at_once`` requests open and holds ``batch`` rows. A request that takes over ``timeout`` seconds or fails is tried
+    again ``retries`` times, after ``wait`` seconds, twice as long each time; a text that the service refuses (a status of the
+    400s) is not. What fails for good has a null reply and its error; no row is lost, and no other row waits for it beyond the batch.
+    """
+
+    def annotate(sents: DataFrame) -> DataFrame:
+        places = [f.name for f in sents.schema].index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with ThreadPoolExecutor(at_once) as pool:
+                for whole in batches:
+                    for start in range(0, whole.num_rows, batch):
+                        part = whole.slice(start, batch)
+                        found = [*pool.map(lambda t: _ask(url, form(t or ""), timeout, retries, wait), part.column(places).to_pylist())]
+                        columns = [*part.columns, pa.array([r for r, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "reply", "error"])
+
+        own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sents.schema)
+        return sents.mapInArrow(run, f"{own}, reply string, error string")
+
+    return annotate
+
+
+def _ask(url: str, body: bytes, timeout: float, retries: int, wait: float) -> tuple[str | None, str | None]:
+    error = None
+    for k in range(retries + 1):
+        if k:
+            time.sleep(wait * 2 ** (k - 1))
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, method="POST"), timeout=timeout) as reply:
+                return reply.read().decode(), None
+        except urllib.error.HTTPError as e:
+            error = f"HTTP {e.code}"
+            if e.code < 500:
+                break
+        except (OSError, http.client.HTTPException, UnicodeDecodeError) as e:
+            error = f"{type(e).__name__}: {e}"
+    return None, error

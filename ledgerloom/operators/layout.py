@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, split_sentences, text_filter
-from .text import sentence_id
+from ..functions.text import SPACE, text_filter
+from .text import rule_segments, sentence_id
 
 PAGE = ("doc_id", "page")
 
@@ -88,7 +88,7 @@ def merge_pages(blocks: DataFrame) -> DataFrame:
     return merge_runs(blocks).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def sentences_of_runs(runs: DataFrame, split: Callable[[Column], Column] = split_sentences, size: int = RUNS) -> DataFrame:
+def sentences_of_runs(runs: DataFrame, split: Callable[[DataFrame], DataFrame] = rule_segments, size: int = RUNS) -> DataFrame:
     """P1, P3 over ``merge_runs``: the sentences that ``text.sentences`` gives for the merged text of each document, without a row that holds a document.
 
     A run ends a sentence, so sentences don't cross runs; but a hyphen alone on the first line of a run takes
@@ -97,9 +97,12 @@ def sentences_of_runs(runs: DataFrame, split: Callable[[Column], Column] = split
     hyphen = F.col("text").rlike(rf"\A{SPACE}*-{SPACE}*(?:\n|\z)")
     units = segmented(runs, F.floor(F.col("run") / size), ["run"], F.when(~hyphen | (F.col("run") == 0), F.col("run")), "unit", F.max, inclusive=True)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n\n")
+    joined = units.groupBy("doc_id", "unit").agg(text_filter(text).alias("text"))
+    # A segmenter knows documents: a unit is one to it.
+    found = split(joined.select(F.struct("doc_id", "unit").alias("doc_id"), "text")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_pos", "text"))).alias("found"))
+    found = found.select("doc_id.doc_id", "doc_id.unit", F.transform("found", lambda s: s["text"]).alias("found"))
     # An empty unit, as a document's last run may be, is a sentence only where the document holds nothing else.
-    found = units.groupBy("doc_id", "unit").agg(text.alias("text")).select("doc_id", "unit", split(text_filter(F.col("text"))).alias("found"))
     found = found.where((F.col("unit") == 0) | (F.array_join("found", "") != ""))
     placed = segmented(found, F.floor(F.col("unit") / size), ["unit"], F.size("found").cast("long"), "first")
     rows = placed.select("doc_id", "first", F.posexplode("found").alias("nth", "text"))
-    return rows.select("doc_id", (F.col("first") + F.col("nth")).cast("int").alias("sent_pos"), "text").withColumn("sent_id", sentence_id()).select("doc_id", "sent_pos", "text", "sent_id")
+    return rows.select("doc_id", (F.col("first") + F.col("nth")).cast("int").alias("sent_pos"), "text").withColumn("sent_id", sentence_id())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,14 @@ def sentence_id(doc_id: Column | str = "doc_id", sent_pos: Column | str = "sent_
     return F.concat(F.coalesce(as_text(doc_id), F.lit("")), F.lit(":"), as_text(sent_pos))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, sent_pos, sent_id, text."""
-    parts = docs.select("doc_id", F.posexplode(split_sentences(text_filter(F.col("text")))).alias("sent_pos", "text"))
-    return parts.withColumn("sent_id", sentence_id())
+def rule_segments(docs: DataFrame) -> DataFrame:
+    """P3's default: doc_id, sent_pos, text by the rule."""
+    return docs.select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("sent_pos", "text"))
+
+
+def sentences(docs: DataFrame, split: Callable[[DataFrame], DataFrame] = rule_segments) -> DataFrame:
+    """doc_id, sent_pos, sent_id, text. ``split``: from (doc_id, text) to (doc_id, sent_pos, text), as ``annotators.segmenter`` gives one."""
+    return split(docs.select("doc_id", text_filter(F.col("text")).alias("text"))).withColumn("sent_id", sentence_id())
 
 
 def sentence_filter(annotated: DataFrame, require_digit: bool = True) -> DataFrame:
