@@ -93,7 +93,7 @@ def kwtopics(sents: DataFrame, topics: dict[str, list[str]] | DataFrame, strict_
 
 
 #: Words of a keyword that is looked up whole, at most; characters by which any other one is looked up.
-WORDS, HEAD = 5, 16
+WORDS, HEAD = 5, 6
 # Signs that make more of a regular expression than its own text, and those that reach beyond the character before them.
 _SIGN, _FAR = r"\\^$.|?*+()\[\]{}", r"[\\|()\[\]{}]"
 
@@ -134,8 +134,10 @@ def kwtopics_by_table(sents: DataFrame, topics: DataFrame, lemmas: Lemmas = rule
     patterned = keys.join(free, "ord", "left_semi").groupBy("ord", "topic").agg(listed.alias("w")).select("ord", "topic", _pattern(F.col("w")).alias("pattern"))
     always = patterned.unionByName(topics.where(F.size("keywords") == 0).select("ord", "topic", F.lit(" ").alias("pattern"))).agg(F.collect_list(F.struct("ord", "topic", "pattern")).alias("always"))
 
-    # The lemma by a one-row generator, as in `kwtopics`.
-    rows = sents.withColumn("lemma", F.explode(F.array(F.element_at(lemmas(F.array("text")), 1))))
+    # Dealt by sentence once, before the work: candidates, both groupings and the join find their rows together. As many parts as set, and
+    # not fewer by their bytes: what follows is work, not bytes. The lemma by a one-row generator, as in `kwtopics`.
+    parts = int(sents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sents.repartition(parts, "sent_id").withColumn("lemma", F.explode(F.array(F.element_at(lemmas(F.array("text")), 1))))
     split = rows.select("sent_id", F.split("lemma", " ").alias("w")).where(F.size("w") > 1)
     starts, size = F.sequence(F.lit(2), F.size("w")), F.size("w")
     # A whole keyword has a blank after it, so it doesn't end the sentence; none stands at its beginning.
@@ -145,8 +147,7 @@ def kwtopics_by_table(sents: DataFrame, topics: DataFrame, lemmas: Lemmas = rule
     begins = F.flatten(F.transform(starts, lambda i: F.flatten(F.transform(F.array(begun(i)), lambda b: F.transform(F.filter(cut, lambda n: n <= F.length(b)), lambda n: F.substring(b, F.lit(1), n))))))
     candidates = F.array_distinct(F.concat(*([grams] if words else []), *([begins] if heads else []), F.array().cast("array<string>")))
     hits = split.select("sent_id", F.explode(candidates).alias("key")).join(keyed, "key")
-    # By sentence once: both groupings find their rows together.
-    found = hits.repartition("sent_id").groupBy("sent_id", "ord", "topic").agg(F.array_sort(F.collect_set(F.struct("place", "keyword", "last"))).alias("w"))
+    found = hits.groupBy("sent_id", "ord", "topic").agg(F.array_sort(F.collect_set(F.struct("place", "keyword", "last"))).alias("w"))
     found = found.select("sent_id", F.struct("ord", "topic", _pattern(F.col("w")).alias("pattern")).alias("p")).groupBy("sent_id").agg(F.collect_list("p").alias("found"))
 
     out = rows.join(found, "sent_id", "left").crossJoin(F.broadcast(always)).withColumn("tried", F.concat(F.coalesce("found", F.array().cast("array<struct<ord: int, topic: string, pattern: string>>")), "always"))
