@@ -15,6 +15,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,8 +72,29 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]  # open elements, each with its block
+        # Places in the stack: of open elements by name, and of those that are blocks; so that nothing searches the stack.
+        opened: dict[str, list[int]] = defaultdict(list)
+        blocks = [0]
         at, links, loose = 0, 0, 0
         find = _TOKEN.search
+
+        def put(name: str, block: int) -> None:
+            opened[name].append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
+            stack.append((name, block))
+
+        def cut(k: int) -> int:
+            """Closes what is open from place ``k`` on; gives the number of links among it."""
+            gone = 0
+            while len(stack) > k:
+                name, _ = stack.pop()
+                opened[name].pop()
+                if blocks[-1] == len(stack):
+                    blocks.pop()
+                gone += name == "a"
+            return gone
+
         while True:
             m = find(source, at)
             text = source[at : m.start()] if m else source[at:]
@@ -91,15 +114,11 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                if name in VOID:
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        if stack[k][1] != stack[k - 1][1]:
-                            self.pieces.append((stack[k][1], " "))
-                        del stack[k:]
-                        break
+                if name not in VOID and opened[name]:
+                    k = opened[name][-1]
+                    if stack[k][1] != stack[k - 1][1]:
+                        self.pieces.append((stack[k][1], " "))
+                    links -= cut(k)
                 continue
             if name in VOID:
                 if name == "br" or name == "hr":
@@ -111,22 +130,19 @@ class Page:
                     at = end.end() if end else len(source)
                 continue
             if name in INLINE:
-                stack.append((name, stack[-1][1]))
+                put(name, stack[-1][1])
                 links += name == "a"
                 continue
-            # A block ends an open paragraph and, by its name, open items of its list or cells of its row.
-            closing = CLOSED_BY.get(name)
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t == "p" or (closing and t in closing):
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    if not closing:
-                        break
-                elif t not in INLINE and (not closing or t in SCOPES[name]):
-                    break
+            # A block ends an open paragraph that it stands in, and by its name open items of its list or cells of its row.
+            if closing := CLOSED_BY.get(name):
+                scope = max((opened[t][-1] for t in SCOPES[name] if opened[t]), default=0)
+                ends = [own[i] for t in ("p", *closing) if (own := opened[t]) and (i := bisect_right(own, scope)) < len(own)]
+                if ends:
+                    links -= cut(min(ends))
+            elif stack[blocks[-1]][0] == "p":
+                links -= cut(blocks[-1])
             block, loose = self._block(name, stack[-1][1], m[3]), 0
-            stack.append((name, block))
+            put(name, block)
 
     def _block(self, name: str, parent: int, attrs: str) -> int:
         block = len(self.tags)
@@ -287,8 +303,8 @@ class Boosted:
         return out
 
 
-#: What it costs to begin an article, and to drop a block inside one.
-BEGIN, DROP = 1.0, 2.0
+#: What it costs to begin an article, and to drop a block inside one (nothing: the trees have learned from such blocks).
+BEGIN, DROP = 1.0, 0.0
 
 
 def decode(page: Page, odds: np.ndarray) -> list[bool]:
@@ -316,8 +332,8 @@ def decode(page: Page, odds: np.ndarray) -> list[bool]:
 # --- pages to learn from ---------------------------------------------------
 
 
-def _compose(rng: random.Random) -> str:
-    """A page in a random layout; blocks that are article carry the attribute ``y``."""
+def _compose(rng: random.Random, inside: float = 0.1) -> str:
+    """A page in a random layout; blocks that are article carry the attribute ``y``. ``inside``: the share of pages whose article has boxes of other things among its blocks."""
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     style = rng.random()  # of a page: mostly sentences, some without punctuation, some one word again and again, some of signs
@@ -335,8 +351,15 @@ def _compose(rng: random.Random) -> str:
     maybe = lambda s, p=0.5: s if rng.random() < p else ""
     links = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + "</ul>"
 
+    def boxed(name: str, kind: str) -> str:
+        """A box that names itself by one of the words of group ``kind``, of any shape."""
+        own = rng.choice([prose(1, 1), prose(1, 2), f"<p>{prose(1, 2)}</p>", f"<p>{prose(1, 1)}</p><p>{prose(1, 2)}</p>", words(2, 12), f"<h3>{words(1, 4)}</h3><p>{prose(1, 2)}</p>", f"<h3>{words(1, 3)}</h3>{links()}", f"{link()} {link()}", f"<p>{prose(1, 1)} {link()}</p>", f"<div><p>{prose(1, 3)}</p></div>", f"{words(2, 8)} <button>{word()}</button>"])
+        return f'<{name} {rng.choice(["class", "class", "id"])}="{maybe(word() + " ", 0.15)}{rng.choice(WORDS[int(kind)].split())}{maybe(rng.choice(["-box", " box", "-1", "_inner", "-wrapper"]), 0.4)}">{own}</{name}>'
+
     def noise(inside: bool = False) -> str:
-        kind = rng.randrange(9 if not inside else 5)
+        if rng.random() < (0.75 if inside else 0.35):
+            return boxed(rng.choice(["div", "div", "div", "aside", "section", "p" if inside and rng.random() < 0.2 else "div"]), rng.choice("11145555666777888"))
+        kind = rng.randrange(9)
         if kind == 0:
             return f'<div class="{rng.choice(["ad", "ads", "advert banner", "sponsored", "promo-box", "ad-slot"])}">{rng.choice([prose(1, 2), link(), words(3, 12)])}</div>'
         if kind == 1:
@@ -357,11 +380,14 @@ def _compose(rng: random.Random) -> str:
         return f'<div class="{rng.choice(["sidebar", "side", "widget"])}">{"".join(f"<p>{prose(1, 2)}</p>" for _ in range(rng.randint(1, 3)))}</div>'
 
     def content() -> str:
-        out = maybe(f"<h1 y>{rng.choice([words(1, 10), prose(1, 1)])}</h1>", 0.8)
+        out, mixed = maybe(f"<h1 y>{rng.choice([words(1, 10), prose(1, 1)])}</h1>", 0.8), rng.random() < inside
         for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9])):
-            kind = rng.randrange(12)
+            if mixed and rng.random() < 0.4:  # what is no article stands among its blocks
+                out += noise(True)
+            kind = rng.randrange(14)
             if kind <= 6:
-                out += f"<p y>{maybe('<b>' + words(1, 4) + '</b> ', 0.2)}{prose()}{maybe(' ' + link() + '.', 0.2)}{maybe('<br>' + prose(1, 2), 0.2)}" + maybe("</p>", 0.85)
+                own = rng.choice(["lead", "text", "paragraph", "intro", "body-text", "dropcap", "summary", word()])
+                out += f"<p{maybe(f' class={own}', 0.1)} y>{maybe('<b>' + words(1, 4) + '</b> ', 0.2)}{prose()}{maybe(' ' + link() + '.', 0.2)}{maybe('<br>' + prose(1, 2), 0.2)}" + maybe("</p>", 0.85)
             elif kind == 7:
                 out += f"<h2 y>{words(2, 6)}</h2><p y>{prose()}</p>"
             elif kind == 8:
@@ -369,9 +395,11 @@ def _compose(rng: random.Random) -> str:
             elif kind == 9:
                 out += f"<blockquote y><p y>{prose(1, 2)}</p></blockquote>"
             elif kind == 10:
-                out += f"<div y><p y>{prose()}</p></div>" if rng.random() < 0.5 else f"<p y>{words(1, 6)}.</p>"
-            elif rng.random() < 0.5:
-                out += noise(True)
+                out += f"<div y><p y>{prose()}</p></div>" if rng.random() < 0.4 else f"<p y>{words(1, 6)}.</p>"
+            elif kind == 11:  # a box of the article, under a name that says nothing about it
+                own = rng.choice([word(), word(), "lead", "text", "body", "row", "col", "quote", "section", "part-" + word(), "intro", "highlight"])
+                inner = rng.choice([lambda: prose(1, 2), lambda: f"<p y>{prose(1, 2)}</p>", lambda: f"<p y>{prose(1, 2)}</p><p y>{prose(1, 1)}</p>", lambda: f"<h3 y>{words(1, 4)}</h3><p y>{prose(1, 2)}</p>"])()
+                out += f'<{(t := rng.choice(["div", "div", "section"]))}{maybe(f""" {rng.choice(["class", "id"])}="{own}" """, 0.85)} y>{inner}</{t}>'
             else:
                 out += "<table y>" + "".join(f"<tr y><td y>{words(1, 3)}</td><td y>{words(1, 5)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
         return out
@@ -395,12 +423,12 @@ def _compose(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{head}{body}{foot}</body></html>"
 
 
-def train(pages: int = 1300, seed: int = 11) -> Boosted:
+def train(pages: int = 1200, seed: int = 11) -> Boosted:
     """Trees learned from ``pages`` composed pages; the blocks of small pages weigh more, up to five times."""
     rng, known = random.Random(seed), {}
     xs, ys = [], []
     for _ in range(pages):
-        page = Page(_compose(rng))
+        page = Page(_compose(rng, 0.45))
         ys.append(np.array([bool(re.search(r"\sy$", a)) for a in page.attrs], float))
         page.attrs = [re.sub(r"\sy$", "", a) for a in page.attrs]
         xs.append(features(page, known))
