@@ -134,17 +134,38 @@ def reading_order(s, d):
     return L.reading_order(L.column_clusters(S.blocks(s, d))).select("doc_id", "page", "block", "pos")
 
 
-@query(
-    f"WITH {S.BLOCKS}, "
+_MERGED = (
     r"""ended AS (SELECT *, CASE WHEN regexp_matches(text, '[.!?]$') THEN 1 ELSE 0 END AS e FROM ordered),
 runs AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY page, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM ended),
 joined AS (SELECT doc_id, run, replace(string_agg(text, CASE WHEN true THEN chr(10) END ORDER BY page, pos), chr(10) || chr(10), chr(10)) AS whole, replace(string_agg(text, '' ORDER BY page, pos), chr(10) || chr(10), chr(10)) AS tail, max(e) AS e FROM runs GROUP BY 1, 2)
 SELECT doc_id, string_agg(CASE WHEN e = 1 THEN whole ELSE tail END, chr(10) || chr(10) ORDER BY run) AS text FROM joined GROUP BY doc_id""".replace("CASE WHEN true THEN chr(10) END", "chr(10)")
 )
+
+
+@query(f"WITH {S.BLOCKS}, {_MERGED}")
 def merge_pages(s, d):
     return L.merge_pages(L.reading_order(L.column_clusters(S.blocks(s, d))))
 
 
+# Merged texts in place of the table ``documents``: of all blocks, and of text blocks outside figures.
+_BLOCKS = S.BLOCKS.replace("FROM documents", "FROM main.documents")
+_REPORTS = f"documents AS (WITH {_BLOCKS}, {_MERGED})"
+_KEPT = "kept AS (SELECT * FROM blocks t WHERE type = 'Text' AND NOT EXISTS (SELECT 1 FROM blocks f WHERE f.type = 'Figure' AND f.doc_id = t.doc_id AND f.page = t.page AND t.x0 >= f.x0 AND t.y0 >= f.y0 AND t.x1 <= f.x1 AND t.y1 <= f.y1)),\ngaps AS"
+_TEXTS = f"documents AS (WITH {_BLOCKS.replace('gaps AS', _KEPT).replace('FROM blocks WINDOW', 'FROM kept WINDOW')}, {_MERGED})"
+
+
+@query(f"WITH {_REPORTS}, {S.SENTS} SELECT doc_id, sent_pos, sent_id, text FROM sents")
+def report_sentences(s, d):
+    """The sentences of merged pages, run by run."""
+    return L.sentences_of_runs(L.merge_runs(L.reading_order(L.column_clusters(S.blocks(s, d))))).select("doc_id", "sent_pos", "sent_id", "text")
+
+
+@query(f"WITH {_TEXTS}, {S.TOPIC} SELECT sent_id, text, ntopics, kw_topic1, keywords1, esg2 AS esg_topic, esg_score FROM both_ JOIN (WITH {S.ANN} SELECT sent_id FROM flagged WHERE accepted) a USING (sent_id) WHERE esg2 <> 'outofscope'")
+def report_flow(s, d):
+    """Entry A: blocks to numeric sentences in scope."""
+    return _words(flows.report_flow(S.blocks(s, d), S.TOPICS, S.classify)).select("sent_id", "text", "ntopics", "kw_topic1", "keywords1", "esg_topic", "esg_score")
+
+
 # Topics and scope -----------------------------------------------------------
 
 _CELL = "(" + "), (".join(f"{o}, '{t}', '{u}', {'NULL' if a is None else repr(a)}, {'NULL' if b is None else repr(b)}" for o, t, u, a, b in S.SHEET) + ")"
