@@ -23,6 +23,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from .common import documents, exact_ids, ids, parts, table, written
 WIDTH, GROWTH = 64, 4
 #: White space that equality ignores.
 SPACE = b" \t\n\x0b\x0c\r"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 LEADERS = "uid long, leader long, row {row}, doc_id long, n long, size long, best_n long, best_id long, best_uid long, sha string, norm binary"
 MERGED = "key long, uid long, rep long, size long, best_n long, best_id long, best_uid long, sha string, norm binary"
@@ -67,18 +68,19 @@ def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     base, own_ids, numbers, texts, lengths, held = TaskContext.get().partitionId() << 33, [], [], [], [], 0
 
     def flush() -> pd.DataFrame:
+        """A frame by columns; of the texts only those of leaders are in it."""
         nonlocal base
-        rows: list = [None] * len(own_ids)
+        n = len(own_ids)
+        leaders, sizes, bests, shas, norms = np.empty(n, np.int64), [None] * n, [(None, None, None)] * n, [None] * n, [None] * n
         for own in radix_groups(texts):
-            best, leader = _best([(lengths[i], own_ids[i], base + i) for i in own]), own[0]
-            for i in own:
-                rows[i] = (base + i, base + leader, numbers[i], own_ids[i], lengths[i], None, None, None, None, None, None)
-            norm = texts[leader]
-            rows[leader] = (base + leader, base + leader, numbers[leader], own_ids[leader], lengths[leader], len(own), *best, hashlib.sha256(norm).hexdigest(), norm)
-        base += len(own_ids)
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in LEADERS.split(", ")], dtype=object)
-        for c in ("doc_id", "size", "best_n", "best_id", "best_uid"):
-            out[c] = out[c].astype("Int64")
+            leader = own[0]
+            leaders[own] = base + leader
+            sizes[leader], bests[leader] = len(own), _best([(lengths[i], own_ids[i], base + i) for i in own])
+            shas[leader], norms[leader] = hashlib.sha256(texts[leader]).hexdigest(), texts[leader]
+        whole = lambda values: pd.array(values, dtype="Int64")
+        best_n, best_id, best_uid = zip(*bests, strict=True)
+        out = pd.DataFrame({"uid": np.arange(base, base + n), "leader": leaders, "row": pd.Series(numbers, dtype=object), "doc_id": whole(own_ids), "n": lengths, "size": whole(sizes), "best_n": whole(best_n), "best_id": whole(best_id), "best_uid": whole(best_uid), "sha": pd.Series(shas, dtype=object), "norm": pd.Series(norms, dtype=object)})
+        base += n
         return out
 
     for batch in batches:
@@ -88,7 +90,7 @@ def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             numbers.append(number)
             texts.append(norm)
             lengths.append(len(text))
-            held += len(norm)
+            held += len(norm) + 64  # a row takes memory even without a text
             if held >= BLOCK_BYTES:
                 yield flush()
                 own_ids, numbers, texts, lengths, held = [], [], [], [], 0
