@@ -9,7 +9,7 @@ at exactly its budget; a budget above the source's size is whole epochs and a cu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +34,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, row
 
     Null text: size 0, taken 0. Null doc_id or source: a value like any other.
     Repeated rows are separate documents; rows with the same doc_id have the
-    same key and are ordered by size, then by ``row``. Empty table: no rows. Other columns are not read.
+    same key and are ordered by size, then by ``row`` (in parts, where more than ``rows_per_range`` share a range; either order gives the same
+    documents the same words, but for which of equal rows the cut falls in). Empty table: no rows. Other columns are not read.
     """
     sized = written(
         docs.select(
@@ -48,7 +49,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, row
     )
     ranges = max(LEAST_RANGES, -(-sized.count() // rows_per_range))
     sized = sized.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)))
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    crowded = sums.where(F.col("rows") > rows_per_range).select("source", "range", F.ceil(F.col("rows") / rows_per_range).alias("parts"))
     per = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     # One row per source from here to `target`.
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -69,14 +71,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, row
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     )
     offset = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums, per = sums.withColumn("offset", offset).alias("s"), per.alias("p")
+    sums, per = sums.drop("rows").withColumn("offset", offset).alias("s"), per.alias("p")
     dealt = sums.join(per, F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "s.range", "offset", "source_size", "target", "epochs", "rest").alias("r")
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
-    at = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
+    at = _inside(sized) if crowded.isEmpty() else _inside(_joined(sized, crowded, "left_anti", "source", "range")).unionByName(_inside_crowded(sized, crowded))
+    at = at.alias("d")
     cut = F.greatest(F.lit(0), F.least(F.col("d.size"), F.col("rest") - F.col("offset") - F.col("inside")))
     return at.join(dealt, F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range"))).select("row", "doc_id", "d.source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"))
 
 
+def _joined(rows: DataFrame, other: DataFrame, how: str, *keys: str) -> DataFrame:
+    """``rows`` with what else ``other`` has for the same keys; nulls are keys like any other."""
+    a, b = rows.alias("a"), other.alias("b")
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    more = [] if how == "left_anti" else [F.col(f"b.{c}") for c in other.columns if c not in keys]
+    return a.join(b, on, how).select("a.*", *more)
+
+
+def _before(by: list[str], order: list[str], words: str = "size") -> Column:
+    return F.coalesce(F.sum(words).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def _inside(sized: DataFrame) -> DataFrame:
+    """``sized`` with the words ``inside`` its range before each row."""
+    return sized.withColumn("inside", _before(["source", "range"], ["key", "doc_id", "size", "row"]))
+
+
+def _inside_crowded(sized: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The same for ranges with too many rows for a task, as when a doc_id stands in a third of all rows.
+
+    Rows of one doc_id are ordered by size, and those of one size are dealt to parts by a hash of ``row``: the order of
+    equal rows is all that this changes. Sums of the parts of a range give each its offset, as those of ranges do.
+    """
+    by = ["source", "range", "key", "doc_id", "size", "part"]
+    rows = _joined(sized, crowded, "inner", "source", "range").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts")
+    parts = rows.groupBy(*by).agg(F.sum("size").alias("words")).withColumn("earlier", _before(["source", "range"], ["key", "doc_id", "size", "part"], "words")).drop("words")
+    found = _joined(rows.withColumn("within", _before(by, ["row"])), parts, "inner", *by)
+    return found.withColumn("inside", F.col("earlier") + F.col("within")).select(*sized.columns, "inside")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents``."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

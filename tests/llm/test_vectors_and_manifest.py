@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import common, exact_dedup, merkle, top_k, vectors, whitening
+from ledgerloom.llm import common, exact_dedup, merkle, mixing, top_k, vectors, whitening
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
@@ -238,3 +238,14 @@ def test_a_file_listed_twice_gives_rows_of_their_own(spark):
     assert rows.count() == rows.distinct().count() == 2 * once.count()
     kept = exact_dedup.exact_groups(common.on_files(twice)).where("kept").count()
     assert kept == exact_dedup.exact_groups(once).where("kept").count()
+
+
+def test_mix_where_one_id_is_a_third_of_all_rows(spark):
+    """Ranges with more rows than a task should hold are cut into parts, and the mix is the same."""
+    rng = random.Random(8)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 and i < 600 else i, "a" if i % 4 else rng.choice(["b", None]), " ".join("w" * rng.choice([0, 1, 3, 3, 9]))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    mixed = lambda **k: collections.Counter(map(repr, mixing.mix(df, **k).select("doc_id", "source", "size", "source_size", "target", "taken").collect()))
+    whole = mixed()
+    assert whole == mixed(rows_per_range=20) == mixed(rows_per_range=3)
+    assert whole.total() == 1500
