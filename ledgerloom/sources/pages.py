@@ -67,7 +67,7 @@ class _Reader(DataSourceReader):
         if infos[0].type == fs.FileType.Directory:
             infos = store.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((i.path, i.size) for i in infos if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, self.pattern))
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
+        scheme = self.path.rstrip("/").removesuffix(root.rstrip("/"))  # and the host, where the store's own paths lack it
         out, own, held = [], [], 0
         for path, size in files:
             if size > self.split:

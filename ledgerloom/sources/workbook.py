@@ -1,13 +1,15 @@
-"""Workbooks (xlsx: zipped XML) with what the standard library has. A sheet holds 1,048,576 rows at most by its format, so one process reads it."""
+"""Workbooks (xlsx: zipped XML) with what the standard library has. A sheet holds 1,048,576 rows at most by its format, so one task reads it."""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,22 +62,55 @@ def cells(content: bytes, sheet: str | int = 0) -> list[list[object]]:
     return rows
 
 
+#: Rows of a sheet that leave a task together.
+FRAME = 4096
+
+
+def _kind(value: object) -> str:
+    return "-" if value is None else "b" if isinstance(value, bool) else "n" if isinstance(value, float) else "s"
+
+
+def _shown(value: object) -> str | None:
+    """A value as text; whole numbers without a point."""
+    return None if value is None else str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
+
+
+def _rows(sheet: str | int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of every workbook: its path, the row's number (-1: there is no such sheet), cells as text, and a letter for the kind of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    found = cells(bytes(content), sheet)
+                except KeyError as e:
+                    yield pd.DataFrame([(path, -1, [e.args[0]], "")], columns=["path", "nth", "cells", "kinds"])
+                    continue
+                for at in range(0, len(found), FRAME):
+                    own = found[at : at + FRAME]
+                    yield pd.DataFrame({"path": path, "nth": range(at, at + len(own)), "cells": [[*map(_shown, r)] for r in own], "kinds": ["".join(map(_kind, r)) for r in own]})
+
+    return run
+
+
 def read_sheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A sheet with a header row. A column of numbers only is double, of truths only boolean, any other text (whole numbers without a point)."""
-    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    header, *rows = cells(bytes(content), sheet) or [[]]
-    names = [str(h) if h is not None else f"column{i}" for i, h in enumerate(header)]
-    rows = [(r + [None] * len(names))[: len(names)] for r in rows if any(v is not None for v in r)]
-    kinds = []
-    for i in range(len(names)):
-        met = {type(r[i]) for r in rows if r[i] is not None}
-        kinds.append("boolean" if met == {bool} else "double" if met == {float} else "string")
-        if kinds[-1] == "string":
-            for r in rows:
-                if r[i] is not None:
-                    r[i] = str(int(r[i])) if isinstance(r[i], float) and r[i].is_integer() else str(r[i])
-    schema = ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(names, kinds, strict=True))
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+    """A sheet with a header row, of one workbook or of all that ``path`` (a folder or pattern) names; these must have the same header.
+
+    A column of numbers only is double, of truths only boolean, any other text (whole numbers without a point); rows without a
+    value are left out. Workbooks are read by tasks, one each; the driver learns the header and the kinds of columns.
+    """
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_rows(sheet), "path string, nth long, cells array<string>, kinds string")
+    heads = rows.where("nth <= 0").select(F.col("nth") < 0, "cells").distinct().limit(2).collect()
+    if missing := next((r for r in heads if r[0]), None):
+        raise KeyError(missing["cells"][0])
+    if len(heads) > 1:
+        raise ValueError("the workbooks have different headers")
+    names = [h if h is not None else f"column{i}" for i, h in enumerate(heads[0]["cells"])] if heads else []
+    body = rows.where((F.col("nth") > 0) & F.col("kinds").rlike("[^-]"))
+    met = body.select(F.posexplode(F.split("kinds", "")).alias("i", "kind")).where("kind not in ('-', '')").groupBy("i").agg(F.collect_set("kind").alias("kinds")).collect()
+    kinds = {r["i"]: r["kinds"] for r in met}
+    cast = lambda i: {"b": "boolean", "n": "double"}.get("".join(kinds.get(i, [])), "string")
+    return body.select(*(F.get("cells", F.lit(i)).cast(cast(i)).alias(n) for i, n in enumerate(names)))
 
 
 def _cell(value: object) -> str:

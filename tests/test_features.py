@@ -21,7 +21,7 @@ from ledgerloom.operators import layout as L
 from ledgerloom.operators import scope, text
 from ledgerloom.operators import topics as K
 from ledgerloom.plans import flows, registry, standins
-from ledgerloom.sources import io
+from ledgerloom.sources import io, workbook
 from ledgerloom.sources.pages import read_pages
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +223,21 @@ def test_wide_cross_tables(spark):
         A.crosstab_wide(df, "r", "c", headers, most=2)
 
 
+def test_workbooks_of_a_folder_are_read_by_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "kpi string, value double, ok boolean"
+    for i in range(3):
+        workbook.write_sheets(str(tmp_path / "in" / f"b{i}.xlsx"), {"KPIs": spark.createDataFrame([(f"k{i}", i + 0.5, True), (None, None, None), ("5", 3.0, False)], schema)})
+    got = workbook.read_sheet(spark, str(tmp_path / "in" / "*.xlsx"), "KPIs")
+    assert got.dtypes == [("kpi", "string"), ("value", "double"), ("ok", "boolean")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(f"k{i}", i + 0.5, True) for i in range(3)] + [("5", 3.0, False)] * 3))
+    workbook.write_sheets(str(tmp_path / "in" / "c.xlsx"), {"KPIs": spark.createDataFrame([("x",)], "other string")})
+    with pytest.raises(ValueError):
+        workbook.read_sheet(spark, str(tmp_path / "in"), "KPIs")
+    workbook.write_sheets(str(tmp_path / "mixed.xlsx"), {"S": spark.createDataFrame([("1e3", 1.0), ("y", None)], "a string, b double").select("a", "b"), "empty": spark.createDataFrame([], "a string")})
+    assert workbook.read_sheet(spark, str(tmp_path / "mixed.xlsx"), "empty").columns == ["a"]
+
+
 class Stalling(http.server.BaseHTTPRequestHandler):
     calls: collections.Counter = collections.Counter()
     open = most = 0
