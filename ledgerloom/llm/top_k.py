@@ -23,7 +23,7 @@ from .vectors import matrix, whole_vectors
 #: Vectors of a block, queries that meet it at once, and the bytes of queries that are handed to all tasks at once.
 BLOCK, AT_ONCE, QUERY_BYTES = 4096, 1024, 8 << 20
 #: Where reading pauses to look at the bounds, as parts of the lists.
-BANDS = (1 / 4, 1 / 2, 1)
+BANDS = (1 / 4, 5 / 8, 3 / 4, 1)
 #: Sums below these are exact as floats of 32 and 64 bits.
 EXACT = ((1 << 24, np.float32), (1 << 53, np.float64))
 LONG = (1 << 63) - 1
