@@ -61,10 +61,13 @@ def segmented(rows: DataFrame, part: Column, order: list[str], value: Column, na
     within, columns = W.partitionBy(key, "part"), rows.columns
     rows = rows.withColumns({"part": part, "value": value})
     rows = rows.withColumns({"inside": how("value").over(within.orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)), "whole": how("value").over(within)})
-    # The counts make this read all columns of the exchange that the windows need, so that Spark uses that one again.
-    totals = rows.groupBy(key, "part").agg(F.first("whole").alias("whole"), *(F.count(c).alias(f"n_{c}") for c in columns if c != key))
+    # The totals come from the exchange that the windows need. Spark uses it again only if both read the same columns of it, so one row's
+    # columns are asked for here, too, in a condition that always holds.
+    firsts = [c for c in columns if c != key]
+    totals = rows.groupBy(key, "part").agg(F.first("whole").alias("whole"), *(F.first(c).alias(f"first_{c}") for c in firsts))
     before = how("whole").over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = totals.withColumn("before", before).where(F.coalesce(*(F.col(f"n_{c}") for c in columns if c != key)) >= 0).select(key, "part", "before").alias("o")
+    kept = totals.where(F.xxhash64(*(f"first_{c}" for c in firsts)) % 2 >= -1).select(key, "part", "whole")
+    offsets = kept.select(key, "part", before.alias("before")).alias("o")
     joined = rows.alias("r").join(offsets, F.col(f"r.{key}").eqNullSafe(F.col(f"o.{key}")) & F.col("r.part").eqNullSafe(F.col("o.part")))
     added = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0)) if how is F.sum else F.greatest("before", "inside")
     return joined.select(*(F.col(f"r.{c}") for c in columns), added.alias(name))
@@ -77,9 +80,9 @@ def merge_runs(blocks: DataFrame, pages: int = PAGES) -> DataFrame:
     A document of any length is numbered in ranges of ``pages``; only a run itself is held whole.
     """
     ends = F.coalesce(F.col("text").rlike(r"[.!?]\z"), F.lit(False)).cast("int")
-    runs = segmented(blocks.select("doc_id", "page", "pos", "text").withColumn("ends", ends), F.floor(F.col("page") / pages), ["page", "pos"], F.col("ends"), "run")
+    runs = segmented(blocks.select("doc_id", "page", "pos", "text"), F.floor(F.col("page") / pages), ["page", "pos"], ends, "run")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "text"))), lambda x: x["text"])
-    joined = F.when(F.max("ends") == 1, F.array_join(parts, "\n")).otherwise(F.array_join(parts, ""))
+    joined = F.when(F.max(ends) == 1, F.array_join(parts, "\n")).otherwise(F.array_join(parts, ""))
     return runs.groupBy("doc_id", "run").agg(F.replace(joined, F.lit("\n\n"), F.lit("\n")).alias("text"))
 
 
