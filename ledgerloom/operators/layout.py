@@ -100,7 +100,7 @@ def sentences_of_runs(runs: DataFrame, split: Callable[[DataFrame], DataFrame] =
     hyphen = F.col("text").rlike(rf"\A{SPACE}*-{SPACE}*(?:\n|\z)")
     units = segmented(runs, F.floor(F.col("run") / size), ["run"], F.when(~hyphen | (F.col("run") == 0), F.col("run")), "unit", F.max, inclusive=True)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n\n")
-    joined = units.groupBy("doc_id", "unit").agg(text_filter(text).alias("text"))
+    joined = units.groupBy("doc_id", "unit").agg(text.alias("text")).withColumn("text", text_filter(F.col("text")))
     # A segmenter knows documents: a unit is one to it.
     found = split(joined.select(F.struct("doc_id", "unit").alias("doc_id"), "text")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_pos", "text"))).alias("found"))
     found = found.select("doc_id.doc_id", "doc_id.unit", F.transform("found", lambda s: s["text"]).alias("found"))
