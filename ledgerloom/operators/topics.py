@@ -61,6 +61,11 @@ def patterns(topics: dict[str, list[str]], strict_words: bool = False) -> list[t
     return [(t, " |".join(f" {w}" for w in ws) or " ") for t, ws in topics.items()]
 
 
+def _plain(words: list[str]) -> bool:
+    """Whether none of the words holds signs of a pattern."""
+    return all(re.fullmatch(r"[\w -]+", w) for w in words)
+
+
 def kwtopics(sents: DataFrame, topics: dict[str, list[str]] | DataFrame, strict_words: bool = False, lemmas: Lemmas = rule_lemmas) -> DataFrame:
     """T5: adds ntopics, kw_topic1 (most distinct keywords, then dictionary order; ``outofscope`` if none) and keywords1, sorted.
 
@@ -73,6 +78,8 @@ def kwtopics(sents: DataFrame, topics: dict[str, list[str]] | DataFrame, strict_
         return kwtopics_by_table(sents, topics, lemmas)
     # Step by step: each column is used more than once, and steps keep Spark from computing it for each use.
     out, given = sents.withColumn("lemma", F.element_at(lemmas(F.array("text")), 1)), patterns(topics, strict_words)
+    # Plain keywords share the blank in front: a text is looked through for it, not for each keyword at every place.
+    given = [(t, f" (?:{' |'.join(topics[t])})" if not strict_words and len(topics[t]) > 1 and _plain(topics[t]) else p) for t, p in given]
 
     def words(pattern: str, plain: list[str]) -> Column:
         found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("lemma", F.lit(pattern), F.lit(0)), lambda w: F.trim(w))))
@@ -81,7 +88,7 @@ def kwtopics(sents: DataFrame, topics: dict[str, list[str]] | DataFrame, strict_
         return F.when(stands, found).otherwise(F.array().cast("array<string>"))
 
     # A keyword is part of a pattern, so only one without signs of patterns can be looked for as it stands.
-    plain = [ws if all(re.fullmatch(r"[\w -]+", w) for w in ws) else [] for ws in topics.values()]
+    plain = [ws if _plain(ws) else [] for ws in topics.values()]
     lists = F.struct(*(words(p, plain[i]).alias(f"words{i}") for i, (_, p) in enumerate(given)))
     # The one-row generator keeps later filters from being pushed below, where they would compute the lists again.
     out = out.select(*sents.columns, F.explode(F.array(lists)).alias("lists")).select(*sents.columns, "lists.*")
