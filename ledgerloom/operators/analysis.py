@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,13 +49,18 @@ def crosstab_report(df: DataFrame, row: str, column: str, headers: DataFrame) ->
     return headers.select("topic", "subtopic").join(top.join(wide, row), "subtopic", "left").na.fill(0, cells).select("topic", "subtopic", row, *cells)
 
 
+def _best(column: str, name: str) -> Column:
+    """The ``column`` with the highest count, the first by name of equals; ``outofscope`` and null apart."""
+    return F.min_by(column, F.when(F.col(column) != OUT, F.struct((-F.col(name)).alias("less"), F.col(column).alias("by"))))
+
+
+def _top(row: str, best: str) -> Column:
+    return F.when(F.col(row) == OUT, F.lit(OUT)).when(F.col(row).isNull(), F.lit(OUT)).otherwise(F.coalesce(best, F.lit(OUT)))
+
+
 def dominant(counts: DataFrame, row: str, column: str, name: str = "n") -> DataFrame:
-    """A4: the column with the highest count of each row, the first by name of equals; ``outofscope`` only for its own row."""
-    best = F.max_by(column, F.struct(F.col(name), F.col("less")))
-    ranked = counts.where(F.col(column) != OUT).withColumn("less", -F.rank().over(W.partitionBy(row).orderBy(column)))
-    rows = counts.select(row).distinct()
-    found = ranked.groupBy(row).agg(best.alias("top"))
-    return rows.join(found, row, "left").select(row, F.when(F.col(row) == OUT, F.lit(OUT)).otherwise(F.coalesce("top", F.lit(OUT))).alias("top"))
+    """A4: the column with the highest count of each row, the first by name of equals; ``outofscope`` only for its own row (and a null one). ``counts`` is read once."""
+    return counts.groupBy(row).agg(_best(column, name).alias("top")).select(row, _top(row, "top").alias("top"))
 
 
 def highlight(counts: DataFrame, row: str, column: str, name: str = "n") -> DataFrame:
