@@ -30,6 +30,11 @@ def crosstab_wide(df: DataFrame, row: str, column: str, headers: DataFrame, most
     The columns come from the table: one that never stands is zeros. ``__other`` counts values that the table doesn't
     list, and nulls. Of a subtopic listed twice the last topic by name counts. The names are read first; more than ``most`` are no table to look at, and an error.
     """
+    return _wide(df, row, column, headers, most)
+
+
+def _wide(df: DataFrame, row: str, column: str, headers: DataFrame, most: int = 10_000, *more: Column) -> DataFrame:
+    """``crosstab_wide``, with ``more`` aggregates of the counts (``row``, subtopic, n): one pass over ``df`` for all of them."""
     named = headers.groupBy("subtopic").agg(F.max("topic").alias("topic")).limit(most + 1).collect()
     if len(named) > most:
         raise ValueError(f"more than {most} columns")
@@ -38,15 +43,15 @@ def crosstab_wide(df: DataFrame, row: str, column: str, headers: DataFrame, most
     known = headers.sparkSession.createDataFrame([(s, i) for i, (_, s) in enumerate(pairs)], "subtopic string, nth int")
     counts = df.groupBy(row, F.col(column).alias("subtopic")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "subtopic", "left")
     cells = [F.coalesce(F.sum(F.when(F.col("nth") == i, F.col("n"))), F.lit(0)).alias(f"{t}__{s}") for i, (t, s) in enumerate(pairs)]
-    return counts.groupBy(row).agg(*cells, F.coalesce(F.sum(F.when(F.col("nth").isNull(), F.col("n"))), F.lit(0)).alias("__other"))
+    return counts.groupBy(row).agg(*cells, F.coalesce(F.sum(F.when(F.col("nth").isNull(), F.col("n"))), F.lit(0)).alias("__other"), *more)
 
 
 def crosstab_report(df: DataFrame, row: str, column: str, headers: DataFrame) -> DataFrame:
     """J-6 in full: topic, subtopic, ``row`` and the wide counts: every listed subtopic with the rows in which it is dominant (A4); with none, one row of zeros."""
-    wide = crosstab_wide(df, row, column, headers)
-    top = dominant(df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n")), row, column).withColumnRenamed("top", "subtopic")
-    cells = [c for c in wide.columns if c != row]
-    return headers.select("topic", "subtopic").join(top.join(wide, row), "subtopic", "left").na.fill(0, cells).select("topic", "subtopic", row, *cells)
+    wide = _wide(df, row, column, headers, 10_000, _best("subtopic", "n").alias("__top")).where(F.col(row).isNotNull())
+    cells = [c for c in wide.columns if c not in (row, "__top")]
+    top = wide.select(_top(row, "__top").alias("subtopic"), row, *cells)
+    return headers.select("topic", "subtopic").join(top, "subtopic", "left").na.fill(0, cells).select("topic", "subtopic", row, *cells)
 
 
 def _best(column: str, name: str) -> Column:
