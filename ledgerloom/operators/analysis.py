@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,16 +102,31 @@ def numbered(df: DataFrame, seed: int, key: str, rows: int = 65_536) -> DataFram
     return hashed.withColumn("own", own).join(offsets, "part").select(*df.columns, (F.col("before") + F.col("own")).alias("rank"))
 
 
+#: Hexadecimal digits of a hash that tell its ranges apart.
+DIGITS = 4
+
+
 def sample_with_replacement(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` draws with replacement: ``draw`` (from 0) and a row of ``df`` each. Reruns agree, and so do other engines. No rows: no draws.
 
     A draw's hash picks a rank; ranks are the places in hashed order of ``key``, which must tell rows apart.
     """
-    ranked = numbered(df, seed, key)
-    size = ranked.agg(F.count(F.lit(1)).alias("size"))
-    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    draws = df.sparkSession.range(n).crossJoin(F.broadcast(size)).where("size > 0").select(F.col("id").alias("draw"), (hashed % F.col("size")).alias("rank"))
-    return draws.join(ranked, "rank").select("draw", *df.columns)
+    # First the counts of ranges of the hash: they give the size, and the range of each draw. Then only rows of ranges
+    # that were drawn are dealt out and numbered. Ranges are told by ``DIGITS`` digits of the hash: 65,536 short rows, whatever the table.
+    hashed = df.select(shuffled(seed, key)[0].alias("hashed"), F.col(key).alias("key"), F.struct(*df.columns).alias("row")).withColumn("part", F.substring("hashed", 1, DIGITS))
+    counts = hashed.groupBy("part").agg(F.count(F.lit(1)).alias("m")).orderBy("part").collect()
+    ends = [*accumulate(r["m"] for r in counts)]
+    size = ends[-1] if ends else 0
+    ranges = df.sparkSession.createDataFrame([(r["part"], end - r["m"], end) for r, end in zip(counts, ends, strict=True)], "part string, first long, end long")
+    # A draw finds its range by a slice of all ranks: a range lies in few, and few lie in one, on the mean.
+    width = size // 16**DIGITS + 1
+    sliced = ranges.withColumn("slice", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("end") - 1) / width))))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(n if size else 0).select(F.col("id").alias("draw"), (number % max(size, 1)).alias("rank")).withColumn("slice", F.floor(F.col("rank") / width))
+    placed = draws.join(F.broadcast(sliced), "slice").where("rank >= first and rank < end").select("draw", "part", (F.col("rank") - F.col("first")).alias("own"))
+    drawn = hashed.join(F.broadcast(placed.select("part").distinct()), "part", "left_semi")
+    ranked = drawn.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy("hashed", "key")) - 1)
+    return placed.join(ranked, ["part", "own"]).select("draw", "row.*")
 
 
 def sample(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
