@@ -58,19 +58,18 @@ def segmented(rows: DataFrame, part: Column, order: list[str], value: Column, na
     By prefix sums over segments: ``part`` must rise with ``order``. A segment is summed by itself, the totals of a
     key's segments give each one what stands before it, and rows add both. So no task holds more of a key than one segment, or one row for each.
     """
-    within, columns = W.partitionBy(key, "part"), rows.columns
-    rows = rows.withColumns({"part": part, "value": value})
+    columns = rows.columns
+    # As structs, keys are equal where both are null, too, and the join finds the rows where the windows have dealt them.
+    rows, within = rows.withColumns({"kid": F.struct(key), "part": F.struct(part.alias("part"))}).withColumn("value", value), W.partitionBy("kid", "part")
     rows = rows.withColumns({"inside": how("value").over(within.orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)), "whole": how("value").over(within)})
     # The totals come from the exchange that the windows need. Spark uses it again only if both read the same columns of it, so one row's
     # columns are asked for here, too, in a condition that always holds.
-    firsts = [c for c in columns if c != key]
-    totals = rows.groupBy(key, "part").agg(F.first("whole").alias("whole"), *(F.first(c).alias(f"first_{c}") for c in firsts))
-    before = how("whole").over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    kept = totals.where(F.xxhash64(*(f"first_{c}" for c in firsts)) % 2 >= -1).select(key, "part", "whole")
-    offsets = kept.select(key, "part", before.alias("before")).alias("o")
-    joined = rows.alias("r").join(offsets, F.col(f"r.{key}").eqNullSafe(F.col(f"o.{key}")) & F.col("r.part").eqNullSafe(F.col("o.part")))
+    totals = rows.groupBy("kid", "part").agg(F.first("whole").alias("whole"), *(F.first(c).alias(f"first_{c}") for c in columns))
+    before = how("whole").over(W.partitionBy("kid").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    kept = totals.where(F.xxhash64(*(f"first_{c}" for c in columns)) % 2 >= -1).select("kid", "part", "whole")
+    offsets = kept.select("kid", "part", before.alias("before"))
     added = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0)) if how is F.sum else F.greatest("before", "inside")
-    return joined.select(*(F.col(f"r.{c}") for c in columns), added.alias(name))
+    return rows.join(offsets, ["kid", "part"]).select(*columns, added.alias(name))
 
 
 def merge_runs(blocks: DataFrame, pages: int = PAGES) -> DataFrame:
@@ -86,9 +85,53 @@ def merge_runs(blocks: DataFrame, pages: int = PAGES) -> DataFrame:
     return runs.groupBy("doc_id", "run").agg(F.replace(joined, F.lit("\n\n"), F.lit("\n")).alias("text"))
 
 
+_ENDS = r"[.!?]\z"
+
+
+def _gathered(blocks: DataFrame, *by: Column | str) -> DataFrame:
+    """``by`` and the text of each group's blocks: the runs of ``merge_runs``, in order, joined by two line ends."""
+    ended = F.coalesce(F.col("text").rlike(_ENDS), F.lit(False)).alias("e")
+    rows = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page", "pos", "text", ended))).alias("parts"))
+    at = F.filter(F.transform("parts", lambda x, i: F.when(x["e"], i + 1)), lambda i: i.isNotNull())
+    rows = rows.withColumn("parts", F.explode(F.array("parts"))).withColumn("at", F.explode(F.array(at)))
+    joined = lambda parts, by: F.replace(F.array_join(F.transform(parts, lambda x: x["text"]), by), F.lit("\n\n"), F.lit("\n"))
+    first = lambda k: F.coalesce(F.get("at", k - 1), F.lit(0))
+    runs = F.transform("at", lambda end, k: joined(F.slice("parts", first(k) + 1, end - first(k)), "\n"))
+    last = F.coalesce(F.try_element_at("at", F.lit(-1)), F.lit(0))
+    rest = joined(F.slice("parts", last + 1, F.size("parts")), "")
+    whole = F.when(F.size("parts") > last, F.concat(runs, F.array(rest))).otherwise(runs)
+    return rows.select(*(F.col(c) for c in rows.columns[: len(by)]), F.array_join(whole, "\n\n").alias("text"))
+
+
 def merge_pages(blocks: DataFrame) -> DataFrame:
-    """One text per document: its runs (``merge_runs``) in order, joined by two line ends."""
-    return merge_runs(blocks).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    """One text per document: its runs (``merge_runs``) in order, joined by two line ends.
+
+    Since a document is one row in the end, it is gathered at once. Blocks dealt by ``doc_id`` before their pages were put in order stay where they are.
+    """
+    return _gathered(blocks.select("doc_id", "page", "pos", "text"), "doc_id")
+
+
+def sentences_of_blocks(blocks: DataFrame, split: Callable[[DataFrame], DataFrame] = rule_segments, pages: int = PAGES, size: int = RUNS) -> DataFrame:
+    """The sentences that ``text.sentences`` gives for the merged text of each document, without a row that holds a document.
+
+    As ``sentences_of_runs`` over ``merge_runs``, but blocks are dealt by unit at once. Any runs in a row may be one unit. One begins with a block
+    after a run's end, unless its text may begin a run with a hyphen alone on the first line, or it is the first one of its range of ``pages``.
+    """
+    after = F.lag(F.coalesce(F.col("text").rlike(_ENDS), F.lit(False)), 1, False).over(W.partitionBy("kid", "part").orderBy("page", "pos"))
+    hyphen = F.coalesce(F.col("text").rlike(rf"\A{SPACE}*+(?:-{SPACE}*(?:\n|\z)|\z)"), F.lit(True))
+    rows = blocks.select("doc_id", "page", "pos", "text")
+    units = segmented(rows, F.floor(F.col("page") / pages), ["page", "pos"], (after & ~hyphen).cast("int"), "unit", inclusive=True)
+    # A segmenter knows documents: a unit is one to it.
+    joined = _gathered(units, F.struct("doc_id", "unit").alias("doc_id")).withColumn("text", text_filter(F.col("text")))
+    found = split(joined).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_pos", "text"))).alias("found"))
+    found = found.withColumn("found", F.transform("found", lambda s: s["text"]))
+    # An empty unit, as a document's last run may be, is a sentence only where the document holds nothing else.
+    found = found.where((F.col("doc_id.unit") == 0) | (F.array_join("found", "") != "")).withColumnRenamed("doc_id", "of")
+    counts = found.select("of.doc_id", "of.unit", F.size("found").cast("long").alias("n"))
+    # The places are counted without the texts, which stay where they are.
+    placed = segmented(counts, F.floor(F.col("unit") / size), ["unit"], F.col("n"), "first").select(F.struct("doc_id", "unit").alias("of"), "first")
+    out = found.join(placed, "of").select("of.doc_id", "first", F.posexplode("found").alias("nth", "text"))
+    return out.select("doc_id", (F.col("first") + F.col("nth")).cast("int").alias("sent_pos"), "text").withColumn("sent_id", sentence_id())
 
 
 def sentences_of_runs(runs: DataFrame, split: Callable[[DataFrame], DataFrame] = rule_segments, size: int = RUNS) -> DataFrame:

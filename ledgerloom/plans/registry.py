@@ -144,7 +144,8 @@ SELECT doc_id, string_agg(CASE WHEN e = 1 THEN whole ELSE tail END, chr(10) || c
 
 @query(f"WITH {S.BLOCKS}, {_MERGED}")
 def merge_pages(s, d):
-    return L.merge_pages(L.reading_order(L.column_clusters(S.blocks(s, d))))
+    # Dealt by document at once: pages are put in order, and documents gathered, where they are.
+    return L.merge_pages(L.reading_order(L.column_clusters(S.blocks(s, d).repartition("doc_id"))))
 
 
 # Merged texts in place of the table ``documents``: of all blocks, and of text blocks outside figures.
@@ -157,7 +158,7 @@ _TEXTS = f"documents AS (WITH {_BLOCKS.replace('gaps AS', _KEPT).replace('FROM b
 @query(f"WITH {_REPORTS}, {S.SENTS} SELECT doc_id, sent_pos, sent_id, text FROM sents")
 def report_sentences(s, d):
     """The sentences of merged pages, run by run."""
-    return L.sentences_of_runs(L.merge_runs(L.reading_order(L.column_clusters(S.blocks(s, d))))).select("doc_id", "sent_pos", "sent_id", "text")
+    return L.sentences_of_blocks(L.reading_order(L.column_clusters(S.blocks(s, d)))).select("doc_id", "sent_pos", "sent_id", "text")
 
 
 @query(f"WITH {_TEXTS}, {S.TOPIC} SELECT sent_id, text, ntopics, kw_topic1, keywords1, esg2 AS esg_topic, esg_score FROM both_ JOIN (WITH {S.ANN} SELECT sent_id FROM flagged WHERE accepted) a USING (sent_id) WHERE esg2 <> 'outofscope'")
