@@ -42,11 +42,11 @@ def report_flow(
 ) -> DataFrame:
     """Entry A: layout blocks to text in reading order, its numeric sentences, and those in scope.
 
-    No task holds a document: runs of blocks are merged and cut into sentences one by one. ``flagged`` learns the counts of
+    No task holds a document: blocks are merged and cut into sentences run by run. ``flagged`` learns the counts of
     sentences and of accepted ones, ``scoped`` those of sentences with a keyword topic and in scope, as the flow runs.
     """
     ordered = layout.reading_order(layout.column_clusters(layout.text_not_in_figure(blocks)))
-    sents = text.sentence_filter(annotate(layout.sentences_of_runs(layout.merge_runs(ordered), split)))
+    sents = text.sentence_filter(annotate(layout.sentences_of_blocks(ordered, split)))
     found = classify(topics.kwtopics(text.accepted(counted(sents, flagged, accepted=F.col("accepted"))), dictionary, lemmas=lemmas))
     return scope.inscope(observed_scope(found, scoped))
 
