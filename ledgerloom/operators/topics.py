@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keywords import FAR, HEAD, SIGN, topic_finder
 from ..functions.text import lemmatize, strip
 
 #: A plug for lemmas: from an array of texts to their lemmas.
@@ -99,10 +100,10 @@ def kwtopics(sents: DataFrame, topics: dict[str, list[str]] | DataFrame, strict_
     return out.select(*sents.columns, "ntopics", "kw_topic1", "keywords1")
 
 
-#: Words of a keyword that is looked up whole, at most; characters by which any other one is looked up.
-WORDS, HEAD = 5, 6
-# Signs that make more of a regular expression than its own text, and those that reach beyond the character before them.
-_SIGN, _FAR = r"\\^$.|?*+()\[\]{}", r"[\\|()\[\]{}]"
+#: Words of a keyword that is looked up whole in a join, at most.
+WORDS = 5
+#: What a table may hold to be handed to the tasks: topics and keywords in all, their characters, and keywords of one topic.
+HANDED, HANDED_CHARS, HANDED_EACH = 100_000, 4_000_000, 1_000
 
 
 def _pattern(words: Column) -> Column:
@@ -117,15 +118,32 @@ def keyword_keys(topics: DataFrame) -> DataFrame:
     are patterns: their key is what they begin with as plain text. Null: it may match anywhere.
     """
     each = topics.select("ord", "topic", F.size("keywords").alias("n"), F.posexplode("keywords").alias("place", "keyword")).withColumn("last", F.col("place") == F.col("n") - 1)
-    head = F.regexp_extract("keyword", rf"\A(?:[^{_SIGN}](?![*?{{]))*", 0)
-    whole = ~F.col("last") & ~F.col("keyword").rlike(f"[{_SIGN}]") & (F.size(F.split("keyword", " ")) <= WORDS)
-    key = F.when(whole, F.concat("keyword", F.lit(" "))).when(~F.col("keyword").rlike(_FAR) & (head != ""), F.substring(head, 1, HEAD))
+    head = F.regexp_extract("keyword", rf"\A(?:[^{SIGN}](?![*?{{]))*", 0)
+    whole = ~F.col("last") & ~F.col("keyword").rlike(f"[{SIGN}]") & (F.size(F.split("keyword", " ")) <= WORDS)
+    key = F.when(whole, F.concat("keyword", F.lit(" "))).when(~F.col("keyword").rlike(FAR) & (head != ""), F.substring(head, 1, HEAD))
     return each.select("ord", "topic", "place", "keyword", "last", key.alias("key"))
 
 
 def kwtopics_by_table(sents: DataFrame, topics: DataFrame, lemmas: Lemmas = rule_lemmas) -> DataFrame:
     """T5 with the dictionary as a table (ord, topic, keywords), however many topics it has.
 
+    It is counted first. Up to ``HANDED`` topics and keywords are handed to the tasks, where each sentence looks up its own
+    words: nothing is joined or shuffled. A larger table meets the sentences in a join.
+    """
+    size = F.greatest(F.size("keywords"), F.lit(0))
+    sums = topics.agg(F.count(F.lit(1)), F.sum(size), F.sum(F.length(F.array_join("keywords", "")) + F.coalesce(F.length("topic"), F.lit(0))), F.max(size)).first()
+    count, keywords, chars, most = (n or 0 for n in sums)
+    if count + keywords > HANDED or chars > HANDED_CHARS or most > HANDED_EACH:
+        return kwtopics_by_join(sents, topics, lemmas)
+    rows = topics.where("keywords is not null").orderBy("ord", "topic").select("topic", F.array_compact("keywords").alias("keywords")).collect()
+    best = topic_finder([(r["topic"], r["keywords"]) for r in rows])(F.element_at(lemmas(F.array("text")), 1))
+    out = sents.withColumn("best", best)
+    return out.select(*sents.columns, "best.ntopics", F.coalesce("best.topic", F.lit("outofscope")).alias("kw_topic1"), F.col("best.words").alias("keywords1"))
+
+
+def kwtopics_by_join(sents: DataFrame, topics: DataFrame, lemmas: Lemmas = rule_lemmas) -> DataFrame:
+    """T5 with a table of any size.
+
     What may begin a keyword, the word n-grams and the beginnings of a sentence's words, meets the keywords' keys in a
     hash join. The exact pattern is tried only for the topics found so, made of the keywords found so: others can't match, so they
     change nothing. Topics with a keyword that has no key, and those without any keyword, are tried on every sentence. Rows that share a sent_id
